@@ -38,7 +38,7 @@ def token_spans(masked: Column) -> Column:
 
 def _span_text(span: Column) -> Column:
     # A dotted match carries one consumed character after its period.
-    return F.regexp_replace(span, r"\.[^\p{L}\p{Nd}]\z", ".")
+    return F.regexp_replace(span, P.SPAN_FIX_RE, ".")
 
 
 def _token_text(raw: Column) -> Column:
@@ -53,8 +53,16 @@ def tokens_from_spans(spans: Column) -> Column:
     """Index tokens, one per span; position i of the array is position i of
     the document.  The first kept token becomes the empty string."""
     texts = F.transform(spans, lambda s: _token_text(_span_text(s)))
-    first = F.array_position(F.transform(texts, lambda t: t != F.lit(P.SENTINEL)), True) - 1
-    return F.transform(texts, lambda t, i: F.when(i == first, F.lit("")).otherwise(t))
+    return blank_first(texts)
+
+
+def blank_first(texts: Column) -> Column:
+    # No lambda may capture an array-wide expression: Spark would evaluate it
+    # once per element.  slice/concat keep this linear.
+    f = F.array_position(F.transform(texts, lambda t: t != F.lit(P.SENTINEL)), True)
+    n = F.size(texts)
+    blanked = F.concat(F.slice(texts, 1, f - 1), F.array(F.lit("")), F.slice(texts, f + 1, F.greatest(n - f, F.lit(0))))
+    return F.when(f > 0, blanked).otherwise(texts)
 
 
 def analyze(content: Column) -> Column:

@@ -57,7 +57,9 @@ MASK_RE2 = r'("|!|\?|\.|;|:)(' + WS + r"*)[A-Z]" + WORD + r"+[^" + '"' + r"']"
 # Token grammar (ordered alternation; longer forms first so the first
 # alternative that matches is also the longest one in ordinary prose).
 AN = r"[\p{L}\p{Nd}]+"
-HD = r"[\p{L}\p{Nd}]*\p{Nd}[\p{L}\p{Nd}]*"
+# "has a digit", written so the first digit is the one matched by \p{Nd}:
+# the ambiguous form backtracks catastrophically on long junk tokens in Java.
+HD = r"\p{L}*\p{Nd}[\p{L}\p{Nd}]*"
 P = r"[_\-/.,]"
 EMAIL = AN + r"(?:[._\-]" + AN + r")*@" + AN + r"(?:[.\-]" + AN + r")+"
 # Dotted forms that end in a period (acronyms like U.S.A. and hosts written
@@ -78,6 +80,7 @@ TOKEN_RE = (
 )
 # Group numbers of TOKEN_RE: 1 e-mail, 2 dotted, 3 everything else.  Exactly
 # one of them is non-empty per match; group 0 is the consumed span.
+SPAN_FIX_RE = r"\.[^\p{L}\p{Nd}]\z"
 ACRONYM_RE = r"^(?:\p{L}\.)+$"
 POSSESSIVE_RE = r"'[sS]$"
 
