@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -66,10 +66,24 @@ def blank_first(texts: Column) -> Column:
 
 
 def analyze(content: Column) -> Column:
-    """content -> array<string> of index tokens."""
+    """content -> array<string> of index tokens (single expression; prefer
+    ``with_tokens``, which evaluates the token texts once)."""
     return tokens_from_spans(token_spans(mask_sentence_starts(content)))
 
 
+def with_tokens(df: DataFrame, content: str = "content", out: str = "toks") -> DataFrame:
+    """Add index tokens and their field length.  The token texts get their
+    own projection: the blanking step reads them several times, and Spark
+    keeps an expensive column in its own projection rather than inline it
+    into several uses."""
+    texts = F.transform(token_spans(mask_sentence_starts(F.col(content))),
+                        lambda s: _token_text(_span_text(s)))
+    return (df.withColumn("_tx", texts)
+            .withColumn(out, blank_first(F.col("_tx")))
+            .drop("_tx")
+            .withColumn("n_tokens", field_length(F.col(out))))
+
+
 def field_length(toks: Column) -> Column:
     """Document length for relevance: tokens kept by the length rule
     (the blanked first token counts)."""
@@ -116,7 +130,7 @@ def mask_corrections(content: Column) -> Column:
 
 
 def to_original_offset(masked_offset: Column, corrections: Column) -> Column:
-    last = F.element_at(F.filter(corrections, lambda c: c["at"] <= masked_offset), -1)
+    last = F.try_element_at(F.filter(corrections, lambda c: c["at"] <= masked_offset), F.lit(-1))
     return masked_offset + F.coalesce(last["shift"], F.lit(0))
 
 

@@ -77,11 +77,8 @@ def build_docs(lines: DataFrame, rules: list[ScoreRule], max_broadcast_bytes: in
     ``lines`` is the output of ``split_lines``/``parse_scores``."""
     sources = source_table(lines, rules).filter(~F.col("dropped")).select("title", "docid", "score")
     sources, _ = maybe_broadcast(sources, ["title"], max_broadcast_bytes)
-    joined = lines.join(sources, "title")
-    toks = A.analyze(F.col("content"))
-    return (joined.select("line_no", "title", "content", "score", "docid")
-            .withColumn("toks", toks)
-            .withColumn("n_tokens", A.field_length(F.col("toks"))))
+    joined = lines.join(sources, "title").select("line_no", "title", "content", "score", "docid")
+    return A.with_tokens(joined, "content", "toks")
 
 
 def corpus_stats(docs: DataFrame) -> tuple[int, float]:

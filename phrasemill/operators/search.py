@@ -108,14 +108,17 @@ def ranked_hits(docs: DataFrame, terms: DataFrame, formula: str = DEFAULT_FORMUL
                 limit: int | None = None, usage: DataFrame | None = None,
                 stats: tuple[int, float] | None = None, max_broadcast_bytes: int | None = None) -> DataFrame:
     """QRY-2..6: (term_no, line_no, tf, starts, n_tokens, score, docid, idf,
-    bm25, final_score, rank), rank by final_score desc then line_no.
+    n_hits, bm25, final_score, rank), rank by final_score desc then line_no.
 
     ``usage`` (docid, n) gives docMatchCount = 1 + n (RNK-6)."""
     n_docs, avgdl = stats if stats is not None else IDX.corpus_stats(docs)
     hits = phrase_hits(docs, terms, max_broadcast_bytes=max_broadcast_bytes)
     idf = term_idf(docs, terms, n_docs)
-    idf_small, _ = maybe_broadcast(idf, [], max_broadcast_bytes)
-    hits = hits.join(idf_small, "term_no")
+    # Per-term table: idf and the total hit count (QRY-8), one row per term.
+    counts = hits.groupBy("term_no").agg(F.count(F.lit(1)).alias("n_hits"))
+    per_term = idf.join(counts, "term_no")
+    per_term, _ = maybe_broadcast(per_term, [], max_broadcast_bytes)
+    hits = hits.join(per_term, "term_no")
     hits = hits.withColumn("bm25", bm25(F.col("tf"), F.col("n_tokens"), F.col("idf"), avgdl))
     if usage is not None:
         hits = hits.join(usage.select("docid", (F.col("n") + 1).cast("double").alias("docMatchCount")),
