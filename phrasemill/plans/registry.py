@@ -18,15 +18,25 @@ from phrasemill.functions import analysis as A
 from phrasemill.operators import index as IDX
 from phrasemill.operators import search as S
 from phrasemill.plans import oracle_sql as O
+from phrasemill.session import cut_lineage
 from phrasemill.sources import corpus as C
 
 ROUND = 6
 TOP_N = 20
 
 
-def _docs(spark: SparkSession, sf_dir: str, rules=()) -> DataFrame:
-    good, _ = C.parse_scores(C.staged_from_documents(spark, sf_dir))
-    return IDX.build_docs(good, list(rules))
+_DOCS_CACHE: dict = {}
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The document index of ``documents`` (no score rules), built once per
+    session and scale factor and cut from its lineage with a reliable
+    checkpoint — the analogue of the reference's on-disk index."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _DOCS_CACHE:
+        good, _ = C.parse_scores(C.staged_from_documents(spark, sf_dir))
+        _DOCS_CACHE[key] = cut_lineage(IDX.build_docs(good, []))
+    return _DOCS_CACHE[key]
 
 
 def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,6 +137,211 @@ SQL_BM25_TOP = _sql_ranked("bm25")
 SQL_FORMULA_TOP = _sql_ranked(O.DEFAULT_FORMULA_SQL)
 
 
+# ---------------------------------------------------------------------------
+# Document table: score rules, source ids, rejects
+
+# Rules over the driver's source names (src0..src19), in file order.  They
+# exercise: an addition, a drop, a stop, an addition followed by a drop, and
+# an earlier stop protecting from a later drop.
+DEMO_RULES = [
+    C.ScoreRule(1, "REGEX", r"src1\d", 0.5, False),
+    C.ScoreRule(2, "EXACT", "src3", 0.0, True),
+    C.ScoreRule(3, "REGEX", r"^src[2-4]$", -0.25, True),
+    C.ScoreRule(4, "REGEX", r"5$", 0.125, False),
+    C.ScoreRule(5, "REGEX", r"src1[5-9]", 0.0, False),
+    C.ScoreRule(6, "EXACT", "src11", 1.0, True),
+    C.ScoreRule(7, "REGEX", r"1", 0.0, False),
+]
+
+
+def q_score_rules(spark, sf_dir):
+    good, _ = C.parse_scores(C.staged_from_documents(spark, sf_dir))
+    return IDX.source_table(good, DEMO_RULES).select(
+        "title", "docid", F.col("n_lines").cast("long").alias("n_lines"),
+        F.round("score", ROUND).alias("score"), "dropped")
+
+
+def _rules_values() -> str:
+    rows = ", ".join(f"({r.rule_no}, {O.q(r.kind)}, {O.q(r.text)}, {r.adj!r}::DOUBLE, {str(r.stop).lower()})"
+                     for r in DEMO_RULES)
+    return f"rules(rule_no, kind, text, adj, stop) AS (VALUES {rows})"
+
+
+SQL_SCORE_RULES = "WITH " + _rules_values() + f""",
+titles AS (SELECT source AS title, min(doc_id) AS docid, count(*) AS n_lines,
+                  CAST(right(source, 1) AS DOUBLE) AS base FROM documents GROUP BY source),
+m AS (SELECT t.title, r.* FROM titles t JOIN rules r
+      ON CASE WHEN r.kind = 'EXACT' THEN contains(t.title, r.text) ELSE regexp_matches(t.title, r.text) END),
+cut AS (SELECT title, min(rule_no) AS cut FROM m WHERE stop OR adj = 0 GROUP BY title),
+agg AS (SELECT m.title, bool_or(m.adj = 0) AS dropped, sum(CASE WHEN m.adj <> 0 THEN m.adj ELSE 0 END) AS adj
+        FROM m LEFT JOIN cut ON m.title = cut.title WHERE m.rule_no <= coalesce(cut.cut, 1000000) GROUP BY m.title)
+SELECT t.title, t.docid, CAST(t.n_lines AS BIGINT) AS n_lines,
+       round(round(t.base + coalesce(a.adj, 0), 9), {ROUND}) AS score, coalesce(a.dropped, false) AS dropped
+FROM titles t LEFT JOIN agg a ON t.title = a.title"""
+
+
+def q_source_ids(spark, sf_dir):
+    good, _ = C.split_lines(C.lines_from_conversations(spark, sf_dir))
+    return IDX.source_table(good, []).select("title", "docid", F.col("n_lines").cast("long").alias("n_lines"))
+
+
+SQL_SOURCE_IDS = """
+SELECT role || ' ' || CAST(turn % 10 AS VARCHAR) AS title, min(conv_id * 1048576 + turn) AS docid,
+       CAST(count(*) AS BIGINT) AS n_lines
+FROM conversations GROUP BY 1"""
+
+REJECT_DELIMITER = r"[.!?] "
+
+
+def _text_lines(spark, sf_dir):
+    docs = C.table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "raw")).select(
+        (F.col("doc_id") * F.lit(1 << 20) + F.col("i")).alias("line_no"), "raw")
+
+
+def q_rejects(spark, sf_dir):
+    _, rejects = C.split_lines(_text_lines(spark, sf_dir), REJECT_DELIMITER)
+    return rejects
+
+
+SQL_REJECTS = f"""
+WITH l AS (SELECT doc_id * 1048576 + i AS line_no, raw
+           FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw,
+                        unnest(range(len(string_split(text, chr(10))))) AS i FROM documents)),
+s AS (SELECT line_no, raw, regexp_matches(raw, {O.q(REJECT_DELIMITER)}) AS has_delim,
+             regexp_extract(raw, {O.q('(?s)^(.*?)' + REJECT_DELIMITER)}, 1) AS title FROM l)
+SELECT line_no, substring(raw, 1, 100) AS raw,
+       CASE WHEN NOT has_delim THEN 'no delimiter' ELSE 'no score' END AS reason
+FROM s WHERE NOT has_delim OR NOT regexp_matches(right(title, 1), '^[0-9]$')"""
+
+
+# ---------------------------------------------------------------------------
+# Excerpt scoring on a fixed excerpt (the first 180 characters of each hit's
+# document), so every criterion can be checked by SQL.
+
+EXCLUDED_DEMO = ["the", "la", "und"]
+
+
+def _prefix_excerpts(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    terms = _terms(spark, sf_dir)
+    hits = S.phrase_hits(docs, terms, carry=())
+    return (hits.join(terms.select("term_no", "term"), "term_no")
+            .join(docs.select("line_no", F.substring("content", 1, 180).alias("excerpt")), "line_no"))
+
+
+def _penalty_out(df, scoring):
+    from phrasemill.operators import scoring as SC
+    sc = SC.score_excerpts(F.col("excerpt"), F.col("term"), scoring)
+    return df.select("term_no", "line_no", sc["penalty"].cast("long").alias("penalty"),
+                     sc["skip_reason"].alias("skip_reason"))
+
+
+def q_excerpt_penalties(spark, sf_dir):
+    from phrasemill.operators import scoring as SC
+    return _penalty_out(_prefix_excerpts(spark, sf_dir), SC.ExcerptScoring.default(60, 180, EXCLUDED_DEMO))
+
+
+def q_excluded_words(spark, sf_dir):
+    from phrasemill.operators import scoring as SC
+    scoring = SC.ExcerptScoring.default(60, 180, EXCLUDED_DEMO, first_char_strict=False,
+                                        excluded_strict=False, length_strict=False, excluded_penalty=40,
+                                        first_char_penalty=7, length_penalty=3)
+    return _penalty_out(_prefix_excerpts(spark, sf_dir), scoring)
+
+
+def _sql_word_any(col: str, words: list[str]) -> str:
+    alt = "|".join(w.lower() for w in words)
+    pat = r"(?:^|[^\p{L}\p{Nd}_])(?:" + alt + r")(?:[^\p{L}\p{Nd}_]|$)"
+    return f"regexp_matches({col}, {O.q(pat)})"
+
+
+def _sql_penalties(strict: bool, pen_first=100, pen_excl=100, pen_len=100) -> str:
+    first = r"regexp_matches(excerpt, '^[\p{Ll}\x{AA}\x{BA}]')"
+    excl = f"(NOT {_sql_word_any('term', EXCLUDED_DEMO)} AND {_sql_word_any('excerpt', EXCLUDED_DEMO)})"
+    length = "(length(excerpt) < 60 OR length(excerpt) > 180)"
+    chars = ("len(regexp_extract_all(excerpt, '[\\p{Pc}\\p{Ps}\\p{Pe}\\p{Po}]')) "
+             "+ len(regexp_extract_all(excerpt, '\\p{Lu}')) + len(regexp_extract_all(excerpt, '\\p{Nd}'))")
+    if strict:
+        reason = (f"CASE WHEN excerpt IS NULL OR excerpt = '' THEN 'empty' WHEN {first} THEN 'first_char' "
+                  f"WHEN {excl} THEN 'excluded_word' WHEN {length} THEN 'length' END")
+        full = "0"
+    else:
+        reason = "CASE WHEN excerpt IS NULL OR excerpt = '' THEN 'empty' END"
+        full = (f"(CASE WHEN {first} THEN {pen_first} ELSE 0 END + CASE WHEN {excl} THEN {pen_excl} ELSE 0 END"
+                f" + CASE WHEN {length} THEN {pen_len} ELSE 0 END)")
+    return O.with_ctes(O.DOCS, O.TERMS, O.GRAMS, O.HITS) + f"""
+SELECT term_no, line_no, CAST(CASE WHEN reason IS NULL THEN 1 + {full} + {chars} END AS BIGINT) AS penalty,
+       reason AS skip_reason
+FROM (SELECT h.term_no, h.line_no, t.term, substring(d.content, 1, 180) AS excerpt
+      FROM hits h JOIN terms t ON h.term_no = t.term_no JOIN docs d ON h.line_no = d.line_no),
+     LATERAL (SELECT {reason} AS reason)"""
+
+
+SQL_EXCERPT_PENALTIES = _sql_penalties(True)
+SQL_EXCLUDED_WORDS = _sql_penalties(False, 7, 40, 3)
+
+
+# ---------------------------------------------------------------------------
+# Output formatting rules (SNK-2)
+
+FORMAT_RULES = {"text": [(r"[ \t\n\x0B\f\r]+", " ", False), (r"[0-9]+", "#", True), ("#", "NUM", False),
+                         ("[A-Z]", "*", False)]}
+
+
+def q_format_columns(spark, sf_dir):
+    from phrasemill.sources.sinks import format_columns
+    docs = C.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return format_columns(docs, FORMAT_RULES)
+
+
+SQL_FORMAT_COLUMNS = r"""
+SELECT doc_id, CASE WHEN regexp_matches(t1, '[0-9]+') THEN regexp_replace(t1, '[0-9]+', '#', 'g')
+                    ELSE regexp_replace(regexp_replace(t1, '#', 'NUM', 'g'), '[A-Z]', '*', 'g') END AS text
+FROM (SELECT doc_id, regexp_replace(text, '[ 	
+
+]+', ' ', 'g') AS t1 FROM documents)"""
+
+
+# ---------------------------------------------------------------------------
+# Full pipeline (rows-only checks: sentence boundaries need look-ahead)
+
+def _batch_cfg(**kw):
+    from phrasemill.plans import batch as B
+    return B.SearchConfig(**kw)
+
+
+def q_excerpts(spark, sf_dir):
+    from phrasemill.plans import batch as B
+    docs = _docs(spark, sf_dir)
+    terms = _terms(spark, sf_dir)
+    ex = B.scored_excerpts(docs, terms, _batch_cfg())
+    return ex.select("term_no", "line_no", F.col("rank").cast("long").alias("rank"),
+                     F.col("ex_start").cast("long").alias("ex_start"), F.col("ex_end").cast("long").alias("ex_end"),
+                     "excerpt", F.col("penalty").cast("long").alias("penalty"), "skip_reason")
+
+
+def q_run_batch(spark, sf_dir):
+    from phrasemill.plans import batch as B
+    res = B.run_batch(_docs(spark, sf_dir), C.terms_from_benchmark(spark, sf_dir), _batch_cfg())
+    return res.select("term_no", F.col("result_no").cast("long").alias("result_no"), "term", "excerpt", "title")
+
+
+def q_source_quota(spark, sf_dir):
+    """A cap small enough to bind on the test data (exercises RNK-5)."""
+    from phrasemill.plans import batch as B
+    res = B.run_batch(_docs(spark, sf_dir), C.terms_from_benchmark(spark, sf_dir),
+                      _batch_cfg(source_cap=3, highlight_min=20, highlight_max=400))
+    return res.select("term_no", F.col("result_no").cast("long").alias("result_no"), "docid", "line_no")
+
+
+def q_source_usage(spark, sf_dir):
+    from phrasemill.operators import ranking as RK
+    from phrasemill.plans import batch as B
+    res = B.run_batch(_docs(spark, sf_dir), C.terms_from_benchmark(spark, sf_dir), _batch_cfg())
+    return RK.source_usage(res).select("docid", F.col("n").cast("long").alias("n"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "token_counts": q_token_counts,
     "masked_tokens": q_masked_tokens,
@@ -135,6 +350,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "doc_freq": q_doc_freq,
     "bm25_top": q_bm25_top,
     "formula_top": q_formula_top,
+    "score_rules": q_score_rules,
+    "source_ids": q_source_ids,
+    "rejects": q_rejects,
+    "excerpt_penalties": q_excerpt_penalties,
+    "excluded_words": q_excluded_words,
+    "format_columns": q_format_columns,
+    "excerpts": q_excerpts,
+    "run_batch": q_run_batch,
+    "source_quota": q_source_quota,
+    "source_usage": q_source_usage,
 }
 
 ORACLE: dict[str, str] = {
@@ -145,4 +370,10 @@ ORACLE: dict[str, str] = {
     "doc_freq": SQL_DOC_FREQ,
     "bm25_top": SQL_BM25_TOP,
     "formula_top": SQL_FORMULA_TOP,
+    "score_rules": SQL_SCORE_RULES,
+    "source_ids": SQL_SOURCE_IDS,
+    "rejects": SQL_REJECTS,
+    "excerpt_penalties": SQL_EXCERPT_PENALTIES,
+    "excluded_words": SQL_EXCLUDED_WORDS,
+    "format_columns": SQL_FORMAT_COLUMNS,
 }
