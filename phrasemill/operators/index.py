@@ -71,13 +71,20 @@ def source_table(lines: DataFrame, rules: list[ScoreRule]) -> DataFrame:
     return apply_score_rules(per_title, rules)
 
 
-def build_docs(lines: DataFrame, rules: list[ScoreRule], max_broadcast_bytes: int | None = None) -> DataFrame:
+def build_docs(lines: DataFrame, rules: list[ScoreRule], max_broadcast_bytes: int | None = None,
+               partitions: int | None = None) -> DataFrame:
     """IDX-2..4: docs(line_no, title, content, score, docid, toks, n_tokens).
 
     ``lines`` is the output of ``split_lines``/``parse_scores``."""
     sources = source_table(lines, rules).filter(~F.col("dropped")).select("title", "docid", "score")
     sources, _ = maybe_broadcast(sources, ["title"], max_broadcast_bytes)
-    joined = lines.join(sources, "title").select("line_no", "title", "content", "score", "docid")
+    # Hash-partition the lines by line_no before the expensive analysis: the
+    # tokeniser then runs on every core even when the input is a few large
+    # files, and later joins on line_no (excerpt fetch) find the document
+    # table already partitioned on their key.
+    n = partitions if partitions else int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = lines.repartition(n, "line_no")
+    joined = spread.join(sources, "title").select("line_no", "title", "content", "score", "docid")
     return A.with_tokens(joined, "content", "toks")
 
 

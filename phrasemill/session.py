@@ -74,21 +74,28 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def estimated_bytes(df: DataFrame, string_cols: list[str], fixed_bytes_per_row: int = 16) -> int:
-    """Exact row count and string payload of a (small, configuration-sized)
-    DataFrame, used to decide whether it may be broadcast."""
+def estimated_bytes(df: DataFrame, string_cols: list[str], fixed_bytes_per_row: int = 16,
+                    extra=None) -> int:
+    """Row count and payload of a DataFrame about to be broadcast: one
+    aggregate (one row to the driver).  ``extra`` is an optional Column of
+    additional bytes per row (e.g. the size of a nested array)."""
     aggs = [F.count(F.lit(1)).alias("n")]
     aggs += [F.coalesce(F.sum(F.length(c)), F.lit(0)).alias(f"b{i}") for i, c in enumerate(string_cols)]
+    if extra is not None:
+        aggs.append(F.coalesce(F.sum(extra), F.lit(0)).alias("bx"))
     row = df.agg(*aggs).first()
     n = row["n"]
     payload = sum(row[f"b{i}"] for i in range(len(string_cols)))
+    if extra is not None:
+        payload += row["bx"]
     return int(n * fixed_bytes_per_row + payload)
 
 
-def maybe_broadcast(df: DataFrame, string_cols: list[str], max_bytes: int | None = None) -> tuple[DataFrame, bool]:
+def maybe_broadcast(df: DataFrame, string_cols: list[str], max_bytes: int | None = None,
+                    extra=None) -> tuple[DataFrame, bool]:
     """Broadcast ``df`` only when its measured size is under the cap."""
     cap = DEFAULT_MAX_BROADCAST_BYTES if max_bytes is None else max_bytes
-    size = estimated_bytes(df, string_cols)
+    size = estimated_bytes(df, string_cols, extra=extra)
     if size <= cap:
         return F.broadcast(df), True
     return df, False
