@@ -100,6 +100,40 @@ def array_cumsum(arrs: pd.Series) -> pd.Series:
     return arrs.map(lambda a: None if a is None else np.cumsum(np.asarray(a, dtype=np.int64)).astype(np.int32))
 
 
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _original_starts(step: pd.Series, span_len: pd.Series, out_step: pd.Series, removed: pd.Series) -> pd.Series:
+    """Original-content start offset of every token: prefix sums give the
+    masked offsets and the mask's (position, removed-so-far) pairs; a sorted
+    search maps each masked offset to the last correction at or before it."""
+    out = []
+    for st, sl, os_, rm in zip(step, span_len, out_step, removed):
+        sl = np.asarray(sl, dtype=np.int64)
+        mstarts = np.cumsum(np.asarray(st, dtype=np.int64))[: len(sl)] - sl
+        at = np.cumsum(np.asarray(os_, dtype=np.int64))
+        shift = np.cumsum(np.asarray(rm, dtype=np.int64))
+        idx = np.searchsorted(at, mstarts, side="right") - 1
+        fix = np.where(idx >= 0, shift[np.maximum(idx, 0)] if len(shift) else 0, 0)
+        out.append((mstarts + fix).astype(np.int32))
+    return pd.Series(out)
+
+
+def original_token_starts(content: Column, masked: Column) -> Column:
+    """Start offset in ``content`` of every index token (same order as the
+    token array), computed once per document."""
+    gaps = F.split(masked, P.TOKEN_RE, -1)
+    spans = token_spans(masked)
+    span_len = F.transform(spans, lambda s: F.length(s))
+    step = F.zip_with(gaps, spans, lambda g, s: F.length(g) + F.coalesce(F.length(s), F.lit(0)))
+    pieces = F.split(content, P.MASK_JAVA, -1)
+    whole = F.regexp_extract_all(content, F.lit(P.MASK_JAVA), F.lit(0))
+    kept1 = F.regexp_extract_all(content, F.lit(P.MASK_JAVA), F.lit(1))
+    kept2 = F.regexp_extract_all(content, F.lit(P.MASK_JAVA), F.lit(2))
+    kept = F.zip_with(kept1, kept2, lambda a, b: F.length(a) + F.length(b))
+    removed = F.zip_with(whole, kept, lambda w, k: F.length(w) - k)
+    out_step = F.zip_with(F.slice(pieces, 1, F.size(whole)), kept, lambda p, k: F.length(p) + k)
+    return _original_starts(step, span_len, out_step, removed)
+
+
 def masked_token_starts(masked: Column) -> Column:
     """Start offset (0-based, in the masked text) of every token span.
 

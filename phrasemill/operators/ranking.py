@@ -89,10 +89,17 @@ def apply_source_quota(cands: DataFrame, result_limit: int = 5, source_cap: int
         base = base.withColumn("_room", F.greatest(F.lit(source_cap) - F.col("_used"), F.lit(0))).drop("_used")
     else:
         base = base.withColumn("_room", F.lit(source_cap))
-    base = cut_lineage(base)
-    rejected = spark.createDataFrame([], "term_no long, ex_rank int")
     wt = Window.partitionBy("term_no").orderBy("ex_rank")
     ws = Window.partitionBy("docid").orderBy("term_no", "ex_rank")
+    # Cheap test first: if no source receives more first-round proposals than
+    # it has room for, the first K per term are the answer.
+    first = base.withColumn("_k", F.row_number().over(wt)).filter(F.col("_k") <= result_limit)
+    over = (first.groupBy("docid").agg(F.count(F.lit(1)).alias("_c"), F.min("_room").alias("_room"))
+            .filter(F.col("_c") > F.col("_room")))
+    if over.isEmpty():
+        return cands.join(first.select("term_no", "ex_rank"), ["term_no", "ex_rank"], "left_semi")
+    base = cut_lineage(base)
+    rejected = spark.createDataFrame([], "term_no long, ex_rank int")
     for _ in range(max_rounds):
         live = base.join(rejected, ["term_no", "ex_rank"], "left_anti")
         prop = live.withColumn("_k", F.row_number().over(wt)).filter(F.col("_k") <= result_limit).drop("_k")

@@ -38,18 +38,22 @@ def normalize_terms(terms: DataFrame) -> DataFrame:
 
 
 def shingles(docs: DataFrame, length: int, cols: list[str]) -> DataFrame:
-    """(cols..., pos, phrase) for every window of ``length`` tokens."""
+    """(cols..., pos, phrase) for every window of ``length`` tokens.
+
+    The window is a zip of ``length`` shifted slices of the token array,
+    exploded with its position; the phrase is a ``concat_ws`` of the zipped
+    fields.  No lambda functions, so the stage stays in generated code."""
     n = F.size("toks")
-    grams = F.transform(F.sequence(F.lit(0), n - length),
-                        lambda i: F.struct(i.alias("pos"),
-                                           F.array_join(F.slice("toks", i + 1, length), " ").alias("phrase")))
+    m = n - length + 1
+    parts = [F.slice("toks", k + 1, m).alias(f"t{k}") for k in range(length)]
+    zipped = F.arrays_zip(*parts)
     return (docs.filter(n >= length)
-            .select(*cols, F.explode(grams).alias("g"))
-            .select(*cols, "g.pos", "g.phrase"))
+            .select(*cols, F.posexplode(zipped).alias("pos", "g"))
+            .select(*cols, "pos", F.concat_ws(" ", *[F.col(f"g.t{k}") for k in range(length)]).alias("phrase")))
 
 
 def phrase_hits(docs: DataFrame, terms: DataFrame, carry: tuple[str, ...] = ("n_tokens", "score", "docid"),
-                max_broadcast_bytes: int | None = None) -> DataFrame:
+                max_broadcast_bytes: int | None = None, terms_small: bool | None = None) -> DataFrame:
     """QRY-2: (term_no, line_no, tf, starts, *carry) — one row per document
     containing the phrase, ``starts`` = sorted token positions of the matches.
 
@@ -57,7 +61,10 @@ def phrase_hits(docs: DataFrame, terms: DataFrame, carry: tuple[str, ...] = ("n_
     that ranking needs no second join with the document table."""
     lengths = sorted(r["n_toks"] for r in terms.select("n_toks").distinct().collect())
     keyed = terms.select("term_no", "n_toks", "phrase")
-    keyed, small = maybe_broadcast(keyed, ["phrase"], max_broadcast_bytes)
+    if terms_small is None:
+        keyed, small = maybe_broadcast(keyed, ["phrase"], max_broadcast_bytes)
+    else:
+        keyed, small = (F.broadcast(keyed), True) if terms_small else (keyed, False)
     cols = ["line_no", *carry]
     parts = []
     for L in lengths:
@@ -112,13 +119,15 @@ def ranked_hits(docs: DataFrame, terms: DataFrame, formula: str = DEFAULT_FORMUL
 
     ``usage`` (docid, n) gives docMatchCount = 1 + n (RNK-6)."""
     n_docs, avgdl = stats if stats is not None else IDX.corpus_stats(docs)
-    hits = phrase_hits(docs, terms, max_broadcast_bytes=max_broadcast_bytes)
+    # One size check of the term table decides both broadcasts below: the
+    # per-term table has at most one narrower row per term.
+    _, small = maybe_broadcast(terms.select("term_no", "n_toks", "phrase"), ["phrase"], max_broadcast_bytes)
+    hits = phrase_hits(docs, terms, max_broadcast_bytes=max_broadcast_bytes, terms_small=small)
     idf = term_idf(docs, terms, n_docs)
     # Per-term table: idf and the total hit count (QRY-8), one row per term.
     counts = hits.groupBy("term_no").agg(F.count(F.lit(1)).alias("n_hits"))
     per_term = idf.join(counts, "term_no")
-    per_term, _ = maybe_broadcast(per_term, [], max_broadcast_bytes)
-    hits = hits.join(per_term, "term_no")
+    hits = hits.join(F.broadcast(per_term) if small else per_term, "term_no")
     hits = hits.withColumn("bm25", bm25(F.col("tf"), F.col("n_tokens"), F.col("idf"), avgdl))
     if usage is not None:
         hits = hits.join(usage.select("docid", (F.col("n") + 1).cast("double").alias("docMatchCount")),
