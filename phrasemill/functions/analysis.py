@@ -101,37 +101,52 @@ def array_cumsum(arrs: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
-def _original_starts(step: pd.Series, span_len: pd.Series, out_step: pd.Series, removed: pd.Series) -> pd.Series:
-    """Original-content start offset of every token: prefix sums give the
-    masked offsets and the mask's (position, removed-so-far) pairs; a sorted
-    search maps each masked offset to the last correction at or before it."""
+def _original_starts(tok_piece_len: pd.Series, kept_len: pd.Series, removed_len: pd.Series) -> pd.Series:
+    """Original-content start offset of every token.
+
+    ``tok_piece_len``: lengths of the masked text split before each token
+    (piece 0 is the leading gap, piece i >= 1 is token i-1 + the gap after
+    it), so the masked starts are prefix sums.  ``kept_len``/``removed_len``: per mask
+    match, masked-text length up to and including its kept part, and the
+    removed length; a sorted search maps each masked start to the removals
+    before it."""
     out = []
-    for st, sl, os_, rm in zip(step, span_len, out_step, removed):
-        sl = np.asarray(sl, dtype=np.int64)
-        mstarts = np.cumsum(np.asarray(st, dtype=np.int64))[: len(sl)] - sl
-        at = np.cumsum(np.asarray(os_, dtype=np.int64))
+    for tp, kp, rm in zip(tok_piece_len, kept_len, removed_len):
+        tp = np.asarray(tp, dtype=np.int64)
+        if len(tp) <= 1:
+            out.append(np.zeros(0, dtype=np.int32))
+            continue
+        mstarts = np.cumsum(tp[:-1])
+        at = np.cumsum(np.asarray(kp, dtype=np.int64))
         shift = np.cumsum(np.asarray(rm, dtype=np.int64))
         idx = np.searchsorted(at, mstarts, side="right") - 1
-        fix = np.where(idx >= 0, shift[np.maximum(idx, 0)] if len(shift) else 0, 0)
+        fix = shift[np.maximum(idx, 0)] * (idx >= 0) if len(shift) else 0
         out.append((mstarts + fix).astype(np.int32))
     return pd.Series(out)
 
 
-def original_token_starts(content: Column, masked: Column) -> Column:
-    """Start offset in ``content`` of every index token (same order as the
-    token array), computed once per document."""
-    gaps = F.split(masked, P.TOKEN_RE, -1)
-    spans = token_spans(masked)
-    span_len = F.transform(spans, lambda s: F.length(s))
-    step = F.zip_with(gaps, spans, lambda g, s: F.length(g) + F.coalesce(F.length(s), F.lit(0)))
-    pieces = F.split(content, P.MASK_JAVA, -1)
-    whole = F.regexp_extract_all(content, F.lit(P.MASK_JAVA), F.lit(0))
-    kept1 = F.regexp_extract_all(content, F.lit(P.MASK_JAVA), F.lit(1))
-    kept2 = F.regexp_extract_all(content, F.lit(P.MASK_JAVA), F.lit(2))
-    kept = F.zip_with(kept1, kept2, lambda a, b: F.length(a) + F.length(b))
-    removed = F.zip_with(whole, kept, lambda w, k: F.length(w) - k)
-    out_step = F.zip_with(F.slice(pieces, 1, F.size(whole)), kept, lambda p, k: F.length(p) + k)
-    return _original_starts(step, span_len, out_step, removed)
+def mask_marked(content: Column) -> Column:
+    """The mask applied with each removed part kept between MARK and MARK2."""
+    return F.regexp_replace(content, P.MASK_JAVA_3, "$1$2" + P.MARK + "$3" + P.MARK2)
+
+
+def unmark(marked: Column) -> Column:
+    """Masked text from ``mask_marked`` output."""
+    return F.regexp_replace(marked, P.MARK + "[^" + P.MARK2 + "]*" + P.MARK2, "")
+
+
+def original_token_starts(marked: Column, masked: Column) -> Column:
+    """Start offset in the original content of every index token (same order
+    as the token array); two regex passes per document in total (the mask
+    pass that produced ``marked`` and one token pass)."""
+    tok_pieces = F.split(F.regexp_replace(masked, P.TOKEN_RE, P.MARK + "$0"), P.MARK, -1)
+    tok_len = F.transform(tok_pieces, lambda p: F.length(p))
+    mpieces = F.split(marked, P.MARK2, -1)
+    # every piece but the last ends with MARK + removed text
+    mpieces = F.slice(mpieces, 1, F.greatest(F.size(mpieces) - 1, F.lit(0)))
+    kept = F.transform(mpieces, lambda p: F.instr(p, P.MARK) - 1)
+    removed = F.transform(mpieces, lambda p: F.length(p) - F.instr(p, P.MARK))
+    return _original_starts(tok_len, kept, removed)
 
 
 def masked_token_starts(masked: Column) -> Column:

@@ -49,6 +49,14 @@ MASK_JAVA = (
     + "(" + WS + r"*)[A-Z]" + WORD + r"+[^" + '"' + r"']"
 )
 
+# Same pattern with the removed part captured (group 3); used to locate the
+# removals when mapping token offsets back to the original content.
+MASK_JAVA_3 = (
+    r'("|!|\?|(?<!' + _abbrev_alternation(ABBREVIATIONS) + r')\.|;|:)'
+    + "(" + WS + r"*)([A-Z]" + WORD + r"+[^" + '"' + r"'])"
+)
+MARK2 = "\ue001"
+
 # RE2 form: protect abbreviation periods with MARK first (longest first so a
 # longer abbreviation wins), mask without the look-behind, restore periods.
 ABBREV_PROTECT_RE2 = "(" + _abbrev_alternation(sorted(ABBREVIATIONS, key=len, reverse=True)) + r")\."
