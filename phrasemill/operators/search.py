@@ -37,7 +37,7 @@ def normalize_terms(terms: DataFrame) -> DataFrame:
             .filter(F.col("phrase") != ""))
 
 
-def shingles(docs: DataFrame, length: int, cols: list[str]) -> DataFrame:
+def shingles(docs: DataFrame, length: int, cols: list[str], keep_first: bool = False) -> DataFrame:
     """(cols..., pos, phrase) for every window of ``length`` tokens.
 
     The window is a zip of ``length`` shifted slices of the token array,
@@ -49,7 +49,8 @@ def shingles(docs: DataFrame, length: int, cols: list[str]) -> DataFrame:
     zipped = F.arrays_zip(*parts)
     return (docs.filter(n >= length)
             .select(*cols, F.posexplode(zipped).alias("pos", "g"))
-            .select(*cols, "pos", F.concat_ws(" ", *[F.col(f"g.t{k}") for k in range(length)]).alias("phrase")))
+            .select(*cols, "pos", F.concat_ws(" ", *[F.col(f"g.t{k}") for k in range(length)]).alias("phrase"),
+                    *([F.col("g.t0").alias("_t0")] if keep_first else [])))
 
 
 def phrase_hits(docs: DataFrame, terms: DataFrame, carry: tuple[str, ...] = ("n_tokens", "score", "docid"),
@@ -67,9 +68,17 @@ def phrase_hits(docs: DataFrame, terms: DataFrame, carry: tuple[str, ...] = ("n_
         keyed, small = (F.broadcast(keyed), True) if terms_small else (keyed, False)
     cols = ["line_no", *carry]
     parts = []
+    firsts = None
+    if not small:
+        # QRY-3 candidate pruning: the distinct first tokens of the terms are
+        # far fewer than the terms; n-grams whose first token is not among
+        # them are dropped before anything is shuffled.
+        firsts = terms.select(F.element_at("toks", 1).alias("_t0")).distinct()
+        firsts, _ = maybe_broadcast(firsts, ["_t0"], max_broadcast_bytes)
     for L in lengths:
-        grams = shingles(docs, L, cols).withColumn("n_toks", F.lit(L))
+        grams = shingles(docs, L, cols, keep_first=not small).withColumn("n_toks", F.lit(L))
         if not small:
+            grams = grams.join(firsts, "_t0", "left_semi").drop("_t0")
             # Pre-aggregate repeats of one phrase inside a document before the
             # shuffle, so a hot one-word phrase moves one row per document.
             grams = (grams.groupBy(*cols, "n_toks", "phrase")

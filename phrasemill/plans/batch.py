@@ -81,11 +81,18 @@ def scored_excerpts(docs: DataFrame, terms: DataFrame, cfg: SearchConfig = Searc
     return ex.withColumn("_sc", sc).select("*", "_sc.*").drop("_sc")
 
 
+EXPLAIN_COLUMNS = ["tf", "n_tokens", "idf", "bm25", "docMatchCount", "n_hits", "ex_start", "ex_end"]
+
+
 def run_batch(docs: DataFrame, terms_raw: DataFrame, cfg: SearchConfig = SearchConfig(),
-              usage: DataFrame | None = None) -> DataFrame:
+              usage: DataFrame | None = None, explain: bool = False) -> DataFrame:
     """Results (term_no, result_no, term, excerpt, title, docid, line_no,
     rank, round, penalty, final_score): at most ``result_limit`` per term,
-    at most ``source_cap`` per source over the whole batch."""
+    at most ``source_cap`` per source over the whole batch.
+
+    ``explain`` (RNK-7) adds the relevance breakdown (tf, field length, idf,
+    bm25, docMatchCount, total hits) and the excerpt offsets; the reasons
+    for skipped excerpts are in ``scored_excerpts`` (skip_reason)."""
     terms = S.normalize_terms(terms_raw)
     limits = RK.expansion_limits(cfg.match_limit, cfg.expand_iterations, cfg.expand_factor, cfg.expand)
     scored = cut_lineage(scored_excerpts(docs, terms, cfg, usage))
@@ -96,6 +103,6 @@ def run_batch(docs: DataFrame, terms_raw: DataFrame, cfg: SearchConfig = SearchC
         chosen = RK.apply_source_quota(cands, cfg.result_limit, cfg.source_cap, usage)
     from pyspark.sql import Window
     w = Window.partitionBy("term_no").orderBy("ex_rank")
-    return (chosen.withColumn("result_no", F.row_number().over(w))
-            .select("term_no", "result_no", "term", "excerpt", "title", "docid", "line_no", "rank",
-                    "round", "penalty", "final_score"))
+    cols = ["term_no", "result_no", "term", "excerpt", "title", "docid", "line_no", "rank",
+            "round", "penalty", "final_score"] + (EXPLAIN_COLUMNS if explain else [])
+    return chosen.withColumn("result_no", F.row_number().over(w)).select(*cols)

@@ -321,6 +321,23 @@ def q_excerpts(spark, sf_dir):
                      "excerpt", F.col("penalty").cast("long").alias("penalty"), "skip_reason")
 
 
+def q_expansion_rounds(spark, sf_dir):
+    """QRY-7: the round each term's search stopped at and its accepted
+    excerpts, for both expansion modes."""
+    from phrasemill.operators import ranking as RK
+    from phrasemill.plans import batch as B
+    cfg = _batch_cfg()
+    scored = B.scored_excerpts(_docs(spark, sf_dir), _terms(spark, sf_dir), cfg)
+    limits = RK.expansion_limits(cfg.match_limit, cfg.expand_iterations, cfg.expand_factor)
+    out = None
+    for mode in ("cumulative", "band"):
+        sel = RK.select_round(scored, limits, cfg.match_limit, mode)
+        agg = sel.groupBy("term_no").agg(F.first("round").cast("long").alias("round"),
+                                         F.count(F.lit(1)).alias("n_accepted")).withColumn("mode", F.lit(mode))
+        out = agg if out is None else out.unionByName(agg)
+    return out
+
+
 def q_run_batch(spark, sf_dir):
     from phrasemill.plans import batch as B
     res = B.run_batch(_docs(spark, sf_dir), C.terms_from_benchmark(spark, sf_dir), _batch_cfg())
@@ -357,6 +374,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "excluded_words": q_excluded_words,
     "format_columns": q_format_columns,
     "excerpts": q_excerpts,
+    "expansion_rounds": q_expansion_rounds,
     "run_batch": q_run_batch,
     "source_quota": q_source_quota,
     "source_usage": q_source_usage,

@@ -41,3 +41,11 @@ def test_batch_matches_single(spark, docs):
         got.setdefault(r.term_no, []).append(r.line_no)
     for i, t in enumerate(sorted(GOLDEN)):
         assert sorted(got.get(i, [])) == sorted(GOLDEN[t]), t
+
+
+def test_shuffle_path_equals_broadcast_path(spark, docs):
+    terms = S.normalize_terms(spark.createDataFrame([(i, t) for i, t in enumerate(sorted(GOLDEN))],
+                                                    "term_no long, term string"))
+    a = {(r.term_no, r.line_no, r.tf) for r in S.phrase_hits(docs, terms).collect()}
+    b = {(r.term_no, r.line_no, r.tf) for r in S.phrase_hits(docs, terms, max_broadcast_bytes=0).collect()}
+    assert a == b and a
