@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from phrasemill.functions import patterns as P
 from phrasemill.operators import index as IDX
-from phrasemill.session import maybe_broadcast
+from phrasemill.session import cut_lineage, maybe_broadcast
 
 # Default formula: the reference divides relevance by the document score;
 # a score of 0 gives +Infinity there (float division), so it ranks first.
@@ -131,7 +131,9 @@ def ranked_hits(docs: DataFrame, terms: DataFrame, formula: str = DEFAULT_FORMUL
     # One size check of the term table decides both broadcasts below: the
     # per-term table has at most one narrower row per term.
     _, small = maybe_broadcast(terms.select("term_no", "n_toks", "phrase"), ["phrase"], max_broadcast_bytes)
-    hits = phrase_hits(docs, terms, max_broadcast_bytes=max_broadcast_bytes, terms_small=small)
+    # The hits feed both the per-term counts and the ranking; materialise
+    # them once (reliable checkpoint) instead of running the n-gram join twice.
+    hits = cut_lineage(phrase_hits(docs, terms, max_broadcast_bytes=max_broadcast_bytes, terms_small=small))
     idf = term_idf(docs, terms, n_docs)
     # Per-term table: idf and the total hit count (QRY-8), one row per term.
     counts = hits.groupBy("term_no").agg(F.count(F.lit(1)).alias("n_hits"))
