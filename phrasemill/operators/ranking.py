@@ -103,17 +103,17 @@ def apply_source_quota(cands: DataFrame, result_limit: int = 5, source_cap: int
     for _ in range(max_rounds):
         live = base.join(rejected, ["term_no", "ex_rank"], "left_anti")
         prop = live.withColumn("_k", F.row_number().over(wt)).filter(F.col("_k") <= result_limit).drop("_k")
-        prop = cut_lineage(prop)
         # The literal bound lets Spark keep only the first ``cap`` rows per
         # source inside each task (WindowGroupLimit); the room check is exact.
         kept = (prop.withColumn("_s", F.row_number().over(ws)).filter(F.col("_s") <= source_cap)
                 .filter(F.col("_s") <= F.col("_room")))
-        new_rej = prop.join(kept.select("term_no", "ex_rank"), ["term_no", "ex_rank"], "left_anti") \
-                      .select("term_no", F.col("ex_rank").cast("int").alias("ex_rank"))
-        new_rej = cut_lineage(new_rej)
+        new_rej = cut_lineage(prop.join(kept.select("term_no", "ex_rank"), ["term_no", "ex_rank"], "left_anti")
+                              .select("term_no", F.col("ex_rank").cast("int").alias("ex_rank")))
         if new_rej.isEmpty():
             break
-        rejected = cut_lineage(rejected.unionByName(new_rej))
+        # Rejections are final; each round's set is already checkpointed, so
+        # the union's lineage stays one short step per round.
+        rejected = rejected.unionByName(new_rej)
     else:
         raise RuntimeError("source quota did not converge")
     return cands.join(prop.select("term_no", "ex_rank"), ["term_no", "ex_rank"], "left_semi")
