@@ -78,12 +78,12 @@ def build_docs(lines: DataFrame, rules: list[ScoreRule], max_broadcast_bytes: in
     ``lines`` is the output of ``split_lines``/``parse_scores``."""
     sources = source_table(lines, rules).filter(~F.col("dropped")).select("title", "docid", "score")
     sources, _ = maybe_broadcast(sources, ["title"], max_broadcast_bytes)
-    # Hash-partition the lines by line_no before the expensive analysis: the
-    # tokeniser then runs on every core even when the input is a few large
-    # files, and later joins on line_no (excerpt fetch) find the document
-    # table already partitioned on their key.
+    # The analysis is the expensive, row-local part: it must run on every
+    # core.  A large corpus arrives in many input splits and needs no
+    # shuffle; only an input with fewer splits than the target parallelism
+    # (a few big files) is hash-spread by line_no first.
     n = partitions if partitions else int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = lines.repartition(n, "line_no")
+    spread = lines.repartition(n, "line_no") if lines.rdd.getNumPartitions() < n else lines
     joined = spread.join(sources, "title").select("line_no", "title", "content", "score", "docid")
     return A.with_tokens(joined, "content", "toks")
 

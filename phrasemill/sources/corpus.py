@@ -162,9 +162,12 @@ def staged_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents -> already-split lines: line_no = doc_id, title = source,
     content = text; the score digit is the last character of the source."""
     docs = table(spark, sf_dir, "documents")
+    # A missing text is an empty document (a line "title.txt:" is valid).
+    # Non-null content also lets the per-title pass read only doc_id and
+    # source: the delimiter check folds away.
     return docs.select(F.col("doc_id").cast("long").alias("line_no"),
                        F.substring("text", 1, 100).alias("raw"),
-                       F.col("source").alias("title"), F.col("text").alias("content"))
+                       F.col("source").alias("title"), F.coalesce(F.col("text"), F.lit("")).alias("content"))
 
 
 def passages_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
