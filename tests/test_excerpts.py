@@ -108,3 +108,13 @@ def test_single_pass_offsets_equal_reference_path(spark, sf_dir):
     assert all(r.same_mask for r in rows)
     # the old path carries one trailing null (n + 1 gaps zipped with n spans)
     assert all(list(r.old)[:len(r.new)] == list(r.new) for r in rows)
+
+
+def test_excerpts_same_without_broadcast(spark, docs):
+    terms = S.normalize_terms(spark.createDataFrame([(1, "priority"), (2, "sample text"), (3, "word")],
+                                                    "term_no long, term string"))
+    hits = S.ranked_hits(docs, terms, limit=20).join(terms.select("term_no", "term", "n_toks", "q"), "term_no")
+    key = lambda r: (r.term_no, r.line_no, r.ex_start, r.ex_end, r.excerpt)
+    a = sorted(map(key, EX.excerpts(docs, hits).collect()))
+    b = sorted(map(key, EX.excerpts(docs, hits, max_broadcast_bytes=0).collect()))
+    assert a == b and a
