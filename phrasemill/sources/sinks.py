@@ -18,11 +18,12 @@ def results_tsv_rows(results: DataFrame) -> DataFrame:
 
 
 def write_results_tsv(results: DataFrame, path: str) -> None:
-    """SNK-1: ``term<TAB>excerpt<TAB>title`` lines, no header, no quoting,
-    overwriting ``path`` (a directory of part files, as every Spark sink)."""
-    (results_tsv_rows(results).write.mode("overwrite")
-     .option("sep", "\t").option("quote", "").option("escapeQuotes", "false").option("header", "false")
-     .csv(path))
+    """SNK-1: ``term<TAB>excerpt<TAB>title`` lines, written as plain text
+    (no quoting, no trimming — the CSV writer would do both), overwriting
+    ``path`` (a directory of part files, as every Spark sink)."""
+    rows = results_tsv_rows(results)
+    (rows.select(F.concat_ws("\t", "term", "excerpt", "title").alias("value"))
+     .write.mode("overwrite").text(path))
 
 
 def write_results_parquet(results: DataFrame, path: str) -> None:
