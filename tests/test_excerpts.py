@@ -118,3 +118,15 @@ def test_excerpts_same_without_broadcast(spark, docs):
     a = sorted(map(key, EX.excerpts(docs, hits).collect()))
     b = sorted(map(key, EX.excerpts(docs, hits, max_broadcast_bytes=0).collect()))
     assert a == b and a
+
+
+def test_hot_document_chunks(spark, docs, monkeypatch):
+    terms = S.normalize_terms(spark.createDataFrame([(i, t) for i, t in enumerate(
+        ["sample", "text", "is", "where", "a", "term", "This is", "sample text", "will", "match"])],
+        "term_no long, term string"))
+    hits = S.ranked_hits(docs, terms, limit=20).join(terms.select("term_no", "term", "n_toks", "q"), "term_no")
+    key = lambda r: (r.term_no, r.line_no, r.ex_start, r.ex_end, r.excerpt)
+    a = sorted(map(key, EX.excerpts(docs, hits).collect()))
+    monkeypatch.setattr(EX, "MAX_HITS_PER_GROUP", 2)
+    b = sorted(map(key, EX.excerpts(docs, hits).collect()))
+    assert a == b and len(a) > 20
