@@ -23,6 +23,8 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # reliable checkpoints are removed once the DataFrames using them are gone
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 # Largest side we are willing to broadcast by our own decision (bytes).  Above
