@@ -256,7 +256,8 @@ def _sql_word_any(col: str, words: list[str]) -> str:
     return f"regexp_matches({col}, {O.q(pat)})"
 
 
-def _sql_penalties(strict: bool, pen_first=100, pen_excl=100, pen_len=100) -> str:
+def _sql_penalty_parts(strict: bool, pen_first=100, pen_excl=100, pen_len=100) -> tuple[str, str]:
+    """(reason, penalty-without-reason) SQL over columns ``excerpt`` and ``term``."""
     first = r"regexp_matches(excerpt, '^[\p{Ll}\x{AA}\x{BA}]')"
     excl = f"(NOT {_sql_word_any('term', EXCLUDED_DEMO)} AND {_sql_word_any('excerpt', EXCLUDED_DEMO)})"
     length = "(length(excerpt) < 60 OR length(excerpt) > 180)"
@@ -270,8 +271,13 @@ def _sql_penalties(strict: bool, pen_first=100, pen_excl=100, pen_len=100) -> st
         reason = "CASE WHEN excerpt IS NULL OR excerpt = '' THEN 'empty' END"
         full = (f"(CASE WHEN {first} THEN {pen_first} ELSE 0 END + CASE WHEN {excl} THEN {pen_excl} ELSE 0 END"
                 f" + CASE WHEN {length} THEN {pen_len} ELSE 0 END)")
+    return reason, f"1 + {full} + {chars}"
+
+
+def _sql_penalties(strict: bool, pen_first=100, pen_excl=100, pen_len=100) -> str:
+    reason, pen = _sql_penalty_parts(strict, pen_first, pen_excl, pen_len)
     return O.with_ctes(O.DOCS, O.TERMS, O.GRAMS, O.HITS) + f"""
-SELECT term_no, line_no, CAST(CASE WHEN reason IS NULL THEN 1 + {full} + {chars} END AS BIGINT) AS penalty,
+SELECT term_no, line_no, CAST(CASE WHEN reason IS NULL THEN {pen} END AS BIGINT) AS penalty,
        reason AS skip_reason
 FROM (SELECT h.term_no, h.line_no, t.term, substring(d.content, 1, 180) AS excerpt
       FROM hits h JOIN terms t ON h.term_no = t.term_no JOIN docs d ON h.line_no = d.line_no),
@@ -282,6 +288,54 @@ SQL_EXCERPT_PENALTIES = _sql_penalties(True)
 SQL_EXCLUDED_WORDS = _sql_penalties(False, 7, 40, 3)
 
 
+# QRY-7 + RNK-1 + RNK-2 on the same fixed excerpt: expansion rounds over the
+# ranked hits (limits 20/40/80/160), excerpt order, first 5 per term.
+LIMITS = [20, 40, 80, 160]
+
+
+def q_result_limit(spark, sf_dir):
+    from phrasemill.operators import ranking as RK
+    from phrasemill.operators import scoring as SC
+    docs = _docs(spark, sf_dir)
+    terms = _terms(spark, sf_dir)
+    ranked = S.ranked_hits(docs, terms, limit=max(LIMITS)).join(terms.select("term_no", "term"), "term_no")
+    ex = ranked.join(docs.select("line_no", F.substring("content", 1, 180).alias("excerpt")), "line_no")
+    sc = SC.score_excerpts(F.col("excerpt"), F.col("term"), SC.ExcerptScoring.default(60, 180, EXCLUDED_DEMO))
+    scored = ex.withColumn("penalty", sc["penalty"])
+    cands = RK.order_excerpts(RK.select_round(scored, LIMITS, LIMITS[0], "cumulative"))
+    return RK.limit_results(cands, 5).select(
+        "term_no", F.col("ex_rank").cast("long").alias("result_no"), "line_no",
+        F.col("penalty").cast("long").alias("penalty"), F.col("round").cast("long").alias("round"))
+
+
+def _sql_result_limit() -> str:
+    reason, pen = _sql_penalty_parts(True)
+    lims = "[" + ", ".join(str(x) for x in LIMITS) + "]"
+    counts = ", ".join(f"sum(CASE WHEN penalty IS NOT NULL AND rank <= {x} THEN 1 ELSE 0 END) AS c{i}"
+                       for i, x in enumerate(LIMITS))
+    rounds = " ".join(f"WHEN c{i} >= {LIMITS[0]} THEN {i + 1}" for i in range(1, len(LIMITS)))
+    return O.with_ctes(O.DOCS, O.DOCIDS, O.TERMS, O.GRAMS, O.HITS, O.STATS, O.IDF,
+                       O.scored_hits(O.DEFAULT_FORMULA_SQL)) + f""",
+nh AS (SELECT term_no, count(*) AS n_hits FROM hits GROUP BY term_no),
+cand AS (SELECT r.term_no, r.line_no, r.rank, nh.n_hits, t.term, substring(d.content, 1, 180) AS excerpt
+         FROM ranked r JOIN nh ON r.term_no = nh.term_no JOIN terms t ON r.term_no = t.term_no
+              JOIN docs d ON r.line_no = d.line_no
+         WHERE r.rank <= {max(LIMITS)}),
+sc AS (SELECT *, CASE WHEN reason IS NULL THEN {pen} END AS penalty FROM cand, LATERAL (SELECT {reason} AS reason)),
+cnt AS (SELECT term_no, max(n_hits) AS n_hits, {counts} FROM sc GROUP BY term_no),
+rnd AS (SELECT term_no, CASE WHEN c0 >= {LIMITS[0]} OR n_hits < {LIMITS[0]} THEN 1 {rounds} ELSE {len(LIMITS)} END AS round
+        FROM cnt),
+acc AS (SELECT sc.*, rnd.round FROM sc JOIN rnd ON sc.term_no = rnd.term_no
+        WHERE penalty IS NOT NULL AND rank <= {lims}[rnd.round]),
+ord AS (SELECT *, row_number() OVER (PARTITION BY term_no ORDER BY penalty, rank, line_no) AS ex_rank FROM acc)
+SELECT term_no, CAST(ex_rank AS BIGINT) AS result_no, line_no, CAST(penalty AS BIGINT) AS penalty,
+       CAST(round AS BIGINT) AS round
+FROM ord WHERE ex_rank <= 5"""
+
+
+SQL_RESULT_LIMIT = _sql_result_limit()
+
+
 # ---------------------------------------------------------------------------
 # Output formatting rules (SNK-2)
 
@@ -373,6 +427,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "excerpt_penalties": q_excerpt_penalties,
     "excluded_words": q_excluded_words,
     "format_columns": q_format_columns,
+    "result_limit": q_result_limit,
     "excerpts": q_excerpts,
     "expansion_rounds": q_expansion_rounds,
     "run_batch": q_run_batch,
@@ -394,4 +449,5 @@ ORACLE: dict[str, str] = {
     "excerpt_penalties": SQL_EXCERPT_PENALTIES,
     "excluded_words": SQL_EXCLUDED_WORDS,
     "format_columns": SQL_FORMAT_COLUMNS,
+    "result_limit": SQL_RESULT_LIMIT,
 }
