@@ -149,6 +149,10 @@ def original_token_starts(marked: Column, masked: Column) -> Column:
     return _original_starts(tok_len, kept, removed)
 
 
+# The three functions below are the step-by-step formulation of the same
+# offsets (masked starts, mask corrections, mapping); the tests use them as
+# the reference that ``original_token_starts`` must reproduce.
+
 def masked_token_starts(masked: Column) -> Column:
     """Start offset (0-based, in the masked text) of every token span.
 

@@ -12,18 +12,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from phrasemill.functions import patterns as P
 
-LINES_SCHEMA = T.StructType([
-    T.StructField("line_no", T.LongType(), False),
-    T.StructField("raw", T.StringType(), True),
-])
-
-
-def number_lines(df: DataFrame, order_cols: list[str] | None = None) -> DataFrame:
+def number_lines(df: DataFrame) -> DataFrame:
     """1-based line numbers in file order, without moving the lines.
 
     Each input split is a contiguous run of lines.  One pass counts the lines
@@ -36,7 +31,6 @@ def number_lines(df: DataFrame, order_cols: list[str] | None = None) -> DataFram
                 .withColumn("_mid", F.monotonically_increasing_id()))
     blocks = (tagged.groupBy("_file", "_block")
               .agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first")))
-    from pyspark.sql import Window as W
     w = W.orderBy("_file", "_block").rowsBetween(W.unboundedPreceding, -1)
     # One row per input split: the ordering window runs over a table whose
     # size is the number of splits, never the number of lines.
