@@ -317,7 +317,7 @@ def _sql_result_limit() -> str:
     return O.with_ctes(O.DOCS, O.DOCIDS, O.TERMS, O.GRAMS, O.HITS, O.STATS, O.IDF,
                        O.scored_hits(O.DEFAULT_FORMULA_SQL)) + f""",
 nh AS (SELECT term_no, count(*) AS n_hits FROM hits GROUP BY term_no),
-cand AS (SELECT r.term_no, r.line_no, r.rank, nh.n_hits, t.term, substring(d.content, 1, 180) AS excerpt
+cand AS (SELECT r.term_no, r.line_no, r.docid, r.rank, nh.n_hits, t.term, substring(d.content, 1, 180) AS excerpt
          FROM ranked r JOIN nh ON r.term_no = nh.term_no JOIN terms t ON r.term_no = t.term_no
               JOIN docs d ON r.line_no = d.line_no
          WHERE r.rank <= {max(LIMITS)}),
@@ -336,6 +336,61 @@ FROM ord WHERE ex_rank <= 5"""
 SQL_RESULT_LIMIT = _sql_result_limit()
 
 
+# RNK-3..5 with a cap that binds on the test data: same candidates as
+# result_limit (all of them, in excerpt order), at most 5 per term and at most
+# QUOTA_CAP per source over all terms.  The SQL oracle walks the terms in
+# order with a recursive query (the reference's serial loop); Spark runs the
+# deferred-acceptance fixpoint.
+QUOTA_CAP = 3
+
+
+def q_source_cap(spark, sf_dir):
+    from phrasemill.operators import ranking as RK
+    from phrasemill.operators import scoring as SC
+    from pyspark.sql import Window
+    docs = _docs(spark, sf_dir)
+    terms = _terms(spark, sf_dir)
+    ranked = S.ranked_hits(docs, terms, limit=max(LIMITS)).join(terms.select("term_no", "term"), "term_no")
+    ex = ranked.join(docs.select("line_no", F.substring("content", 1, 180).alias("excerpt")), "line_no")
+    sc = SC.score_excerpts(F.col("excerpt"), F.col("term"), SC.ExcerptScoring.default(60, 180, EXCLUDED_DEMO))
+    cands = RK.order_excerpts(RK.select_round(ex.withColumn("penalty", sc["penalty"]), LIMITS, LIMITS[0]))
+    chosen = RK.apply_source_quota(cands, 5, QUOTA_CAP)
+    w = Window.partitionBy("term_no").orderBy("ex_rank")
+    return chosen.select("term_no", F.row_number().over(w).cast("long").alias("result_no"), "docid", "line_no")
+
+
+def _sql_source_cap() -> str:
+    base = _sql_result_limit()
+    assert base.startswith("WITH ")
+    base = "WITH RECURSIVE " + base[len("WITH "):]
+    head = base[:base.rindex("SELECT term_no, CAST(ex_rank AS BIGINT) AS result_no")]
+    return head + f""",
+cands AS (SELECT o.term_no, o.ex_rank, o.line_no, o.docid, dense_rank() OVER (ORDER BY o.term_no) AS tord FROM ord o),
+walk(i, docid, cnt, acc) AS (
+  SELECT 0, docid, 0, []::STRUCT(term_no BIGINT, ex_rank BIGINT)[] FROM (SELECT DISTINCT docid FROM cands)
+  UNION ALL
+  SELECT i, docid, cnt + len(took), list_concat(acc, took) FROM (
+    SELECT x.i, x.docid, x.cnt, x.acc,
+           coalesce(list(struct_pack(term_no := x.term_no, ex_rank := x.ex_rank)) FILTER (WHERE x.taken), []) AS took
+    FROM (
+      SELECT y.*, y.eligible AND sum(CASE WHEN y.eligible THEN 1 ELSE 0 END)
+               OVER (PARTITION BY y.tord ORDER BY y.ex_rank ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= 5 AS taken
+      FROM (
+        SELECT w.i + 1 AS i, w.docid, w.cnt, w.acc, c.term_no, c.ex_rank, c.tord,
+               c.term_no IS NOT NULL AND row_number() OVER (PARTITION BY w.docid, c.tord ORDER BY c.ex_rank)
+                   <= {QUOTA_CAP} - w.cnt AS eligible
+        FROM walk w LEFT JOIN cands c ON c.docid = w.docid AND c.tord = w.i + 1
+        WHERE w.i < (SELECT max(tord) FROM cands)) y) x
+    GROUP BY x.i, x.docid, x.cnt, x.acc))
+SELECT c.term_no, CAST(row_number() OVER (PARTITION BY c.term_no ORDER BY c.ex_rank) AS BIGINT) AS result_no,
+       c.docid, c.line_no
+FROM (SELECT unnest(acc, recursive := true) FROM walk WHERE i = (SELECT max(tord) FROM cands)) a
+JOIN cands c ON c.term_no = a.term_no AND c.ex_rank = a.ex_rank"""
+
+
+SQL_SOURCE_CAP = _sql_source_cap()
+
+
 # ---------------------------------------------------------------------------
 # Output formatting rules (SNK-2)
 
@@ -428,6 +483,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "excluded_words": q_excluded_words,
     "format_columns": q_format_columns,
     "result_limit": q_result_limit,
+    "source_cap": q_source_cap,
     "excerpts": q_excerpts,
     "expansion_rounds": q_expansion_rounds,
     "run_batch": q_run_batch,
@@ -450,4 +506,5 @@ ORACLE: dict[str, str] = {
     "excluded_words": SQL_EXCLUDED_WORDS,
     "format_columns": SQL_FORMAT_COLUMNS,
     "result_limit": SQL_RESULT_LIMIT,
+    "source_cap": SQL_SOURCE_CAP,
 }
