@@ -53,45 +53,66 @@ def shingles(docs: DataFrame, length: int, cols: list[str], keep_first: bool = F
                     *([F.col("g.t0").alias("_t0")] if keep_first else [])))
 
 
+def all_shingles(docs: DataFrame, lengths: list[int], cols: list[str], keep_first: bool = False) -> DataFrame:
+    """(cols..., n_toks, pos, phrase) for every window of every length, from
+    ONE scan of the index: per length an array of same-shaped structs
+    (pos, n_toks, t0..t{max-1}; unused fields empty), concatenated and
+    exploded once.  No lambda functions."""
+    n = F.size("toks")
+    top = max(lengths)
+    empty = F.array_repeat(F.lit(""), F.greatest(n, F.lit(0)))
+    per_len = []
+    for L in lengths:
+        m = F.greatest(n - L + 1, F.lit(0))
+        fields = [F.when(m > 0, F.sequence(F.lit(0), m - 1)).otherwise(F.array().cast("array<int>")).alias("pos"),
+                  F.array_repeat(F.lit(L), m).alias("n_toks")]
+        fields += [(F.slice("toks", k + 1, m) if k < L else F.slice(empty, 1, m)).alias(f"t{k}") for k in range(top)]
+        per_len.append(F.arrays_zip(*fields))
+    grams = F.concat(*per_len) if len(per_len) > 1 else per_len[0]
+    g = F.col("g")
+    phrase = None
+    for L in lengths:
+        txt = F.concat_ws(" ", *[g[f"t{k}"] for k in range(L)])
+        phrase = F.when(g["n_toks"] == L, txt) if phrase is None else phrase.when(g["n_toks"] == L, txt)
+    return (docs.select(*cols, F.explode(grams).alias("g"))
+            .select(*cols, g["n_toks"].alias("n_toks"), g["pos"].alias("pos"), phrase.alias("phrase"),
+                    *([g["t0"].alias("_t0")] if keep_first else [])))
+
+
 def phrase_hits(docs: DataFrame, terms: DataFrame, carry: tuple[str, ...] = ("n_tokens", "score", "docid"),
                 max_broadcast_bytes: int | None = None, terms_small: bool | None = None) -> DataFrame:
     """QRY-2: (term_no, line_no, tf, starts, *carry) — one row per document
     containing the phrase, ``starts`` = sorted token positions of the matches.
 
     ``terms`` must be normalised.  ``carry`` document columns ride along so
-    that ranking needs no second join with the document table."""
+    that ranking needs no second join with the document table.  The n-grams
+    of all term lengths come from one scan of the index and meet the terms
+    in one join."""
     lengths = sorted(r["n_toks"] for r in terms.select("n_toks").distinct().collect())
+    if not lengths:
+        return docs.sparkSession.createDataFrame(
+            [], "term_no long, line_no long, tf long, starts array<int>, n_tokens int, score double, docid long")
     keyed = terms.select("term_no", "n_toks", "phrase")
     if terms_small is None:
         keyed, small = maybe_broadcast(keyed, ["phrase"], max_broadcast_bytes)
     else:
         keyed, small = (F.broadcast(keyed), True) if terms_small else (keyed, False)
     cols = ["line_no", *carry]
-    parts = []
-    firsts = None
-    if not small:
+    grams = all_shingles(docs, lengths, cols, keep_first=not small)
+    if small:
+        matched = grams.join(keyed, ["n_toks", "phrase"]).select("term_no", *cols, "pos")
+    else:
         # QRY-3 candidate pruning: the distinct first tokens of the terms are
         # far fewer than the terms; n-grams whose first token is not among
         # them are dropped before anything is shuffled.
         firsts = terms.select(F.element_at("toks", 1).alias("_t0")).distinct()
         firsts, _ = maybe_broadcast(firsts, ["_t0"], max_broadcast_bytes)
-    for L in lengths:
-        grams = shingles(docs, L, cols, keep_first=not small).withColumn("n_toks", F.lit(L))
-        if not small:
-            grams = grams.join(firsts, "_t0", "left_semi").drop("_t0")
-            # Pre-aggregate repeats of one phrase inside a document before the
-            # shuffle, so a hot one-word phrase moves one row per document.
-            grams = (grams.groupBy(*cols, "n_toks", "phrase")
-                     .agg(F.collect_list("pos").alias("_ps")))
-            parts.append(grams.join(keyed, ["n_toks", "phrase"])
-                         .select("term_no", *cols, F.explode("_ps").alias("pos")))
-        else:
-            parts.append(grams.join(keyed, ["n_toks", "phrase"]).select("term_no", *cols, "pos"))
-    if not parts:
-        return docs.sparkSession.createDataFrame([], "term_no long, line_no long, tf long, starts array<int>")
-    matched = parts[0]
-    for p in parts[1:]:
-        matched = matched.unionByName(p)
+        grams = grams.join(firsts, "_t0", "left_semi").drop("_t0")
+        # Pre-aggregate repeats of one phrase inside a document before the
+        # shuffle, so a hot one-word phrase moves one row per document.
+        grams = grams.groupBy(*cols, "n_toks", "phrase").agg(F.collect_list("pos").alias("_ps"))
+        matched = (grams.join(keyed, ["n_toks", "phrase"])
+                   .select("term_no", *cols, F.explode("_ps").alias("pos")))
     return (matched.groupBy("term_no", *cols)
             .agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("pos")).alias("starts")))
 
