@@ -55,28 +55,21 @@ def shingles(docs: DataFrame, length: int, cols: list[str], keep_first: bool = F
 
 def all_shingles(docs: DataFrame, lengths: list[int], cols: list[str], keep_first: bool = False) -> DataFrame:
     """(cols..., n_toks, pos, phrase) for every window of every length, from
-    ONE scan of the index: per length an array of same-shaped structs
-    (pos, n_toks, t0..t{max-1}; unused fields empty), concatenated and
-    exploded once.  No lambda functions."""
+    ONE scan of the index: one row per position holding the next max(L)
+    tokens (a zip of shifted slices; past the end they are null), then one
+    small row per term length.  No lambda functions."""
     n = F.size("toks")
     top = max(lengths)
-    empty = F.array_repeat(F.lit(""), F.greatest(n, F.lit(0)))
-    per_len = []
-    for L in lengths:
-        m = F.greatest(n - L + 1, F.lit(0))
-        fields = [F.when(m > 0, F.sequence(F.lit(0), m - 1)).otherwise(F.array().cast("array<int>")).alias("pos"),
-                  F.array_repeat(F.lit(L), m).alias("n_toks")]
-        fields += [(F.slice("toks", k + 1, m) if k < L else F.slice(empty, 1, m)).alias(f"t{k}") for k in range(top)]
-        per_len.append(F.arrays_zip(*fields))
-    grams = F.concat(*per_len) if len(per_len) > 1 else per_len[0]
+    zipped = F.arrays_zip(*[F.slice("toks", k + 1, F.greatest(n - k, F.lit(0))).alias(f"t{k}")
+                            for k in range(top)])
+    at = docs.select(*cols, F.posexplode(zipped).alias("pos", "g"))
     g = F.col("g")
-    phrase = None
-    for L in lengths:
-        txt = F.concat_ws(" ", *[g[f"t{k}"] for k in range(L)])
-        phrase = F.when(g["n_toks"] == L, txt) if phrase is None else phrase.when(g["n_toks"] == L, txt)
-    return (docs.select(*cols, F.explode(grams).alias("g"))
-            .select(*cols, g["n_toks"].alias("n_toks"), g["pos"].alias("pos"), phrase.alias("phrase"),
-                    *([g["t0"].alias("_t0")] if keep_first else [])))
+    per_len = F.array(*[F.struct(F.lit(L).alias("n_toks"),
+                                 F.concat_ws(" ", *[g[f"t{k}"] for k in range(L)]).alias("phrase"),
+                                 g[f"t{L - 1}"].isNotNull().alias("_ok")) for L in lengths])
+    out = (at.select(*cols, "pos", *([g["t0"].alias("_t0")] if keep_first else []), F.inline(per_len))
+           .filter(F.col("_ok")).drop("_ok"))
+    return out
 
 
 def phrase_hits(docs: DataFrame, terms: DataFrame, carry: tuple[str, ...] = ("n_tokens", "score", "docid"),
