@@ -33,7 +33,7 @@ def mask_sentence_starts(content: Column) -> Column:
 def token_spans(masked: Column) -> Column:
     """Every match of the token grammar (group 0, including the one character
     a dotted form consumes after its final period)."""
-    return F.regexp_extract_all(masked, F.lit(P.TOKEN_RE), F.lit(0))
+    return F.regexp_extract_all(masked, F.lit(P.TOKEN_RE_JAVA), F.lit(0))
 
 
 def _span_text(span: Column) -> Column:
@@ -139,7 +139,7 @@ def original_token_starts(marked: Column, masked: Column) -> Column:
     """Start offset in the original content of every index token (same order
     as the token array); two regex passes per document in total (the mask
     pass that produced ``marked`` and one token pass)."""
-    tok_pieces = F.split(F.regexp_replace(masked, P.TOKEN_RE, P.MARK + "$0"), P.MARK, -1)
+    tok_pieces = F.split(F.regexp_replace(masked, P.TOKEN_RE_JAVA, P.MARK + "$0"), P.MARK, -1)
     tok_len = F.transform(tok_pieces, lambda p: F.length(p))
     mpieces = F.split(marked, P.MARK2, -1)
     # every piece but the last ends with MARK + removed text
@@ -158,7 +158,7 @@ def masked_token_starts(masked: Column) -> Column:
 
     masked = gap0 span0 gap1 span1 ... so start_i = sum(gap_0..i) + sum(span_0..i-1).
     """
-    gaps = F.split(masked, P.TOKEN_RE, -1)
+    gaps = F.split(masked, P.TOKEN_RE_JAVA, -1)
     spans = token_spans(masked)
     step = F.zip_with(gaps, spans, lambda g, s: F.length(g) + F.coalesce(F.length(s), F.lit(0)))
     ends = array_cumsum(step)

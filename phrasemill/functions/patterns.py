@@ -86,6 +86,16 @@ TOKEN_RE = (
     + "|(" + DOTTED + r")(?:[^\p{L}\p{Nd}]|\z)"
     + "|(" + "|".join([NUM_D, NUM_A, HOST, COMPANY, APOSTROPHE, AN]) + ")"
 )
+# Java form of the same grammar with possessive quantifiers.  Every letter /
+# digit run in it is followed by a character outside that class (or ends the
+# alternative), so giving characters back can never produce another match:
+# the possessive form matches exactly the same strings and fails fast.  RE2
+# (the SQL oracle) has no possessive quantifiers and keeps TOKEN_RE.
+TOKEN_RE_JAVA = (TOKEN_RE
+                 .replace(r"[\p{L}\p{Nd}]+", r"[\p{L}\p{Nd}]++")
+                 .replace(r"[\p{L}\p{Nd}]*", r"[\p{L}\p{Nd}]*+")
+                 .replace(r"\p{L}*\p{Nd}", r"\p{L}*+\p{Nd}")
+                 .replace(r"\p{L}+", r"\p{L}++"))
 # Group numbers of TOKEN_RE: 1 e-mail, 2 dotted, 3 everything else.  Exactly
 # one of them is non-empty per match; group 0 is the consumed span.
 SPAN_FIX_RE = r"\.[^\p{L}\p{Nd}]\z"
