@@ -468,11 +468,34 @@ def q_source_usage(spark, sf_dir):
     return RK.source_usage(res).select("docid", F.col("n").cast("long").alias("n"))
 
 
+# ---------------------------------------------------------------------------
+# Second corpus: conversation turns as corpus lines (title<delim>content split
+# by the regular-expression delimiter), searched with the same terms.
+
+def q_conversation_hits(spark, sf_dir):
+    good, _ = C.split_lines(C.lines_from_conversations(spark, sf_dir))
+    hits = S.phrase_hits(IDX.build_docs(good, []), _terms(spark, sf_dir))
+    return hits.select("term_no", "line_no", F.col("tf").cast("long").alias("tf"),
+                       F.element_at("starts", 1).cast("long").alias("first_pos"))
+
+
+DOCS_CONVERSATIONS = f"""docs AS (
+  SELECT line_no, title, content, score, toks, n_tokens FROM {O.analyzed(
+      "SELECT conv_id * 1048576 + turn AS line_no, role || ' ' || CAST(turn % 10 AS VARCHAR) AS title, "
+      "text AS content, CAST(turn % 10 AS DOUBLE) AS score FROM conversations",
+      "content")}
+)"""
+
+SQL_CONVERSATION_HITS = O.with_ctes(DOCS_CONVERSATIONS, O.TERMS, O.GRAMS, O.HITS) + """
+SELECT term_no, line_no, CAST(tf AS BIGINT) AS tf, CAST(first_pos AS BIGINT) AS first_pos FROM hits"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "token_counts": q_token_counts,
     "masked_tokens": q_masked_tokens,
     "phrase_hits": q_phrase_hits,
     "term_summary": q_term_summary,
+    "conversation_hits": q_conversation_hits,
     "doc_freq": q_doc_freq,
     "bm25_top": q_bm25_top,
     "formula_top": q_formula_top,
@@ -496,6 +519,7 @@ ORACLE: dict[str, str] = {
     "masked_tokens": SQL_MASKED_TOKENS,
     "phrase_hits": SQL_PHRASE_HITS,
     "term_summary": SQL_TERM_SUMMARY,
+    "conversation_hits": SQL_CONVERSATION_HITS,
     "doc_freq": SQL_DOC_FREQ,
     "bm25_top": SQL_BM25_TOP,
     "formula_top": SQL_FORMULA_TOP,
