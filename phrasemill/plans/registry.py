@@ -293,7 +293,7 @@ SQL_EXCLUDED_WORDS = _sql_penalties(False, 7, 40, 3)
 LIMITS = [20, 40, 80, 160]
 
 
-def q_result_limit(spark, sf_dir):
+def q_result_limit(spark, sf_dir, mode: str = "cumulative"):
     from phrasemill.operators import ranking as RK
     from phrasemill.operators import scoring as SC
     docs = _docs(spark, sf_dir)
@@ -302,17 +302,19 @@ def q_result_limit(spark, sf_dir):
     ex = ranked.join(docs.select("line_no", F.substring("content", 1, 180).alias("excerpt")), "line_no")
     sc = SC.score_excerpts(F.col("excerpt"), F.col("term"), SC.ExcerptScoring.default(60, 180, EXCLUDED_DEMO))
     scored = ex.withColumn("penalty", sc["penalty"])
-    cands = RK.order_excerpts(RK.select_round(scored, LIMITS, LIMITS[0], "cumulative"))
+    cands = RK.order_excerpts(RK.select_round(scored, LIMITS, LIMITS[0], mode))
     return RK.limit_results(cands, 5).select(
         "term_no", F.col("ex_rank").cast("long").alias("result_no"), "line_no",
         F.col("penalty").cast("long").alias("penalty"), F.col("round").cast("long").alias("round"))
 
 
-def _sql_result_limit() -> str:
+def _sql_result_limit(mode: str = "cumulative") -> str:
     reason, pen = _sql_penalty_parts(True)
     lims = "[" + ", ".join(str(x) for x in LIMITS) + "]"
-    counts = ", ".join(f"sum(CASE WHEN penalty IS NOT NULL AND rank <= {x} THEN 1 ELSE 0 END) AS c{i}"
-                       for i, x in enumerate(LIMITS))
+    lows = [0] + (LIMITS[:-1] if mode == "band" else [0] * (len(LIMITS) - 1))
+    counts = ", ".join(f"sum(CASE WHEN penalty IS NOT NULL AND rank > {lo} AND rank <= {x} THEN 1 ELSE 0 END) AS c{i}"
+                       for i, (lo, x) in enumerate(zip(lows, LIMITS)))
+    low_of_round = ("CASE WHEN rnd.round > 1 THEN " + lims + "[rnd.round - 1] ELSE 0 END") if mode == "band" else "0"
     rounds = " ".join(f"WHEN c{i} >= {LIMITS[0]} THEN {i + 1}" for i in range(1, len(LIMITS)))
     return O.with_ctes(O.DOCS, O.DOCIDS, O.TERMS, O.GRAMS, O.HITS, O.STATS, O.IDF,
                        O.scored_hits(O.DEFAULT_FORMULA_SQL)) + f""",
@@ -326,7 +328,7 @@ cnt AS (SELECT term_no, max(n_hits) AS n_hits, {counts} FROM sc GROUP BY term_no
 rnd AS (SELECT term_no, CASE WHEN c0 >= {LIMITS[0]} OR n_hits < {LIMITS[0]} THEN 1 {rounds} ELSE {len(LIMITS)} END AS round
         FROM cnt),
 acc AS (SELECT sc.*, rnd.round FROM sc JOIN rnd ON sc.term_no = rnd.term_no
-        WHERE penalty IS NOT NULL AND rank <= {lims}[rnd.round]),
+        WHERE penalty IS NOT NULL AND rank > {low_of_round} AND rank <= {lims}[rnd.round]),
 ord AS (SELECT *, row_number() OVER (PARTITION BY term_no ORDER BY penalty, rank, line_no) AS ex_rank FROM acc)
 SELECT term_no, CAST(ex_rank AS BIGINT) AS result_no, line_no, CAST(penalty AS BIGINT) AS penalty,
        CAST(round AS BIGINT) AS round
@@ -336,6 +338,15 @@ FROM ord WHERE ex_rank <= 5"""
 SQL_RESULT_LIMIT = _sql_result_limit()
 
 
+def q_result_limit_band(spark, sf_dir):
+    """The same with the reference's expansion loop (only the band of the
+    last round survives, SURVEY Q1)."""
+    return q_result_limit(spark, sf_dir, "band")
+
+
+SQL_RESULT_LIMIT_BAND = _sql_result_limit("band")
+
+
 # RNK-3..5 with a cap that binds on the test data: same candidates as
 # result_limit (all of them, in excerpt order), at most 5 per term and at most
 # QUOTA_CAP per source over all terms.  The SQL oracle walks the terms in
@@ -506,6 +517,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "excluded_words": q_excluded_words,
     "format_columns": q_format_columns,
     "result_limit": q_result_limit,
+    "result_limit_band": q_result_limit_band,
     "source_cap": q_source_cap,
     "excerpts": q_excerpts,
     "expansion_rounds": q_expansion_rounds,
@@ -530,5 +542,6 @@ ORACLE: dict[str, str] = {
     "excluded_words": SQL_EXCLUDED_WORDS,
     "format_columns": SQL_FORMAT_COLUMNS,
     "result_limit": SQL_RESULT_LIMIT,
+    "result_limit_band": SQL_RESULT_LIMIT_BAND,
     "source_cap": SQL_SOURCE_CAP,
 }
