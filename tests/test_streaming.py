@@ -26,3 +26,26 @@ def test_term_files_stream(spark):
     usage = spark.read.parquet(os.path.join(out, "_usage", "epoch=0")).collect()
     assert sum(r.n for r in usage) == len(rows)
     assert max(r.n for r in usage) <= 3
+
+
+def test_usage_carries_to_next_batch(spark):
+    root = tempfile.mkdtemp(prefix="pm-stream2-")
+    terms_dir = os.path.join(root, "terms")
+    os.makedirs(terms_dir)
+    with open(os.path.join(terms_dir, "a.txt"), "w") as f:
+        f.write("sample\n")
+    lines = spark.createDataFrame([(i + 1, r) for i, r in enumerate(TEST_CORPUS)], "line_no long, raw string")
+    docs, _ = B.build_index(lines)
+    docs = docs.cache()
+    cfg = B.SearchConfig(result_limit=5, source_cap=4, highlight_min=10, highlight_max=400)
+    out, ckpt = os.path.join(root, "out"), os.path.join(root, "ckpt")
+    search_term_files(spark, docs, terms_dir, out, ckpt, cfg).awaitTermination(300)
+    with open(os.path.join(terms_dir, "b.txt"), "w") as f:
+        f.write("text\nwill\n")
+    search_term_files(spark, docs, terms_dir, out, ckpt, cfg).awaitTermination(300)
+    u0 = {r.docid: r.n for r in spark.read.parquet(os.path.join(out, "_usage", "epoch=0")).collect()}
+    u1 = {r.docid: r.n for r in spark.read.parquet(os.path.join(out, "_usage", "epoch=1")).collect()}
+    n1 = len(spark.read.option("sep", "\t").csv(os.path.join(out, "epoch=1")).collect())
+    assert sum(u1.values()) == sum(u0.values()) + n1       # usage accumulates
+    assert all(u1.get(k, 0) >= v for k, v in u0.items())
+    assert max(u1.values()) <= 4                             # the cap holds over both batches
