@@ -37,22 +37,6 @@ def normalize_terms(terms: DataFrame) -> DataFrame:
             .filter(F.col("phrase") != ""))
 
 
-def shingles(docs: DataFrame, length: int, cols: list[str], keep_first: bool = False) -> DataFrame:
-    """(cols..., pos, phrase) for every window of ``length`` tokens.
-
-    The window is a zip of ``length`` shifted slices of the token array,
-    exploded with its position; the phrase is a ``concat_ws`` of the zipped
-    fields.  No lambda functions, so the stage stays in generated code."""
-    n = F.size("toks")
-    m = n - length + 1
-    parts = [F.slice("toks", k + 1, m).alias(f"t{k}") for k in range(length)]
-    zipped = F.arrays_zip(*parts)
-    return (docs.filter(n >= length)
-            .select(*cols, F.posexplode(zipped).alias("pos", "g"))
-            .select(*cols, "pos", F.concat_ws(" ", *[F.col(f"g.t{k}") for k in range(length)]).alias("phrase"),
-                    *([F.col("g.t0").alias("_t0")] if keep_first else [])))
-
-
 def all_shingles(docs: DataFrame, lengths: list[int], cols: list[str], keep_first: bool = False) -> DataFrame:
     """(cols..., n_toks, pos, phrase) for every window of every length, from
     ONE scan of the index: one row per position holding the next max(L)
