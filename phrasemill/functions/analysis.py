@@ -25,6 +25,16 @@ from pyspark.sql import types as T
 
 from phrasemill.functions import patterns as P
 
+# The two pandas UDFs below travel with the tasks by value, so executors need
+# numpy/pandas only, not this package on their path.
+try:
+    import sys as _sys
+
+    from pyspark import cloudpickle as _cloudpickle
+    _cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+except Exception:  # older cloudpickle: the package must then be shipped with --py-files
+    pass
+
 
 def mask_sentence_starts(content: Column) -> Column:
     return F.regexp_replace(content, P.MASK_JAVA, P.MASK_REPLACEMENT_JAVA)
