@@ -71,7 +71,7 @@ def limit_results(cands: DataFrame, result_limit: int = 5) -> DataFrame:
 
 
 def apply_source_quota(cands: DataFrame, result_limit: int = 5, source_cap: int = 129,
-                       usage: DataFrame | None = None, max_rounds: int = 50) -> DataFrame:
+                       usage: DataFrame | None = None, max_rounds: int | None = None) -> DataFrame:
     """RNK-3..5: per-term results under a cap of ``source_cap`` results per
     source (docid) over all terms.  ``usage`` (docid, n) counts earlier
     emissions and lowers the remaining room of a source.
@@ -80,7 +80,11 @@ def apply_source_quota(cands: DataFrame, result_limit: int = 5, source_cap: int
     result_limit per term, and each source's first ``cap`` proposals come from
     a per-source top-k that Spark limits inside each task before the shuffle,
     so a source holding a third of all proposals never lands whole in one
-    task.  Rejections are cut from the lineage with a reliable checkpoint."""
+    task.  Rejections are cut from the lineage with a reliable checkpoint.
+
+    The loop ends on its own: every round that does not stop rejects at least
+    one candidate for good, so there are at most as many rounds as
+    candidates.  ``max_rounds`` is an optional guard; none by default."""
     spark = cands.sparkSession
     base = cands.select("term_no", "ex_rank", "docid")
     if usage is not None:
@@ -100,7 +104,11 @@ def apply_source_quota(cands: DataFrame, result_limit: int = 5, source_cap: int
         return cands.join(first.select("term_no", "ex_rank"), ["term_no", "ex_rank"], "left_semi")
     base = cut_lineage(base)
     rejected = spark.createDataFrame([], "term_no long, ex_rank int")
-    for _ in range(max_rounds):
+    rounds = 0
+    while True:
+        rounds += 1
+        if max_rounds is not None and rounds > max_rounds:
+            raise RuntimeError(f"source quota did not converge in {max_rounds} rounds")
         live = base.join(rejected, ["term_no", "ex_rank"], "left_anti")
         prop = live.withColumn("_k", F.row_number().over(wt)).filter(F.col("_k") <= result_limit).drop("_k")
         # The literal bound lets Spark keep only the first ``cap`` rows per
@@ -112,10 +120,11 @@ def apply_source_quota(cands: DataFrame, result_limit: int = 5, source_cap: int
         if new_rej.isEmpty():
             break
         # Rejections are final; each round's set is already checkpointed, so
-        # the union's lineage stays one short step per round.
+        # the union's lineage stays one short step per round, and it is
+        # folded into a single checkpoint every 10 rounds.
         rejected = rejected.unionByName(new_rej)
-    else:
-        raise RuntimeError("source quota did not converge")
+        if rounds % 10 == 0:
+            rejected = cut_lineage(rejected)
     return cands.join(prop.select("term_no", "ex_rank"), ["term_no", "ex_rank"], "left_semi")
 
 
