@@ -9,7 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from phrasemill.llm import byte_bpe
 from phrasemill.llm import tables as T
+from phrasemill.llm.line_dedup import line_dedup
+from phrasemill.llm.packing import pack_documents
 from phrasemill.llm.substring_dedup import substring_dedup
 
 QUERIES, ORACLE = {}, {}
@@ -28,7 +31,7 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE["op1_substring_dedup"] = r"""
 WITH d AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
   FROM documents),
 win AS (
   SELECT doc_id, i, sha256(array_to_string(w[i:i+12], ' ')) AS g
@@ -48,3 +51,39 @@ SELECT d.doc_id, len(d.w) AS n_words, len(d.w) - coalesce(k.n, 0) AS n_removed,
        sha256(coalesce(k.t, '')) AS kept_sha256
 FROM d LEFT JOIN kept k USING (doc_id)
 """
+
+
+@query
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pack_documents(T.read(spark, sf_dir, "documents"), T.tokenizer("word_bpe_49k.json"), end_id=2)
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = T.tokenizer("byte_bpe_50k.tiktoken")
+    ids = byte_bpe.encode(T.read(spark, sf_dir, "documents"), ranks, T.pretoken_pattern())
+    both = byte_bpe.decode(ids, ranks)
+    return both.select("doc_id", byte_bpe.n_ids(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = T.read(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup(docs).select("doc_id", "n_lines", "n_dropped",
+                                   F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+ORACLE["op10_line_dedup"] = r"""
+WITH l AS (
+  SELECT doc_id, i, lines[i] AS line,
+         translate(regexp_replace(lines[i], '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i
+        FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents))),
+hot AS (SELECT k FROM l WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT doc_id) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(hot.k) AS n_dropped,
+       sha256(coalesce(string_agg(CASE WHEN hot.k IS NULL THEN line END, chr(10) ORDER BY i), '')) AS kept_sha256
+FROM l LEFT JOIN hot USING (k) GROUP BY doc_id
+"""

@@ -20,3 +20,14 @@ def write_shared(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     path = f"{ensure_checkpoint_dir(spark)}/llm-tables/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def tokenizer(name: str) -> str:
+    """Path of a public vocabulary file (installed beside Python on every machine)."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+def pretoken_pattern() -> str:
+    import public_tokenizers
+    return public_tokenizers.PATTERN
