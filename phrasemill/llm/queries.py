@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phrasemill.llm import byte_bpe
+from phrasemill.llm import byte_bpe, simhash
 from phrasemill.llm import tables as T
 from phrasemill.llm.line_dedup import line_dedup
 from phrasemill.llm.packing import pack_documents
@@ -87,3 +87,9 @@ SELECT doc_id, count(*) AS n_lines, count(hot.k) AS n_dropped,
        sha256(coalesce(string_agg(CASE WHEN hot.k IS NULL THEN line END, chr(10) ORDER BY i), '')) AS kept_sha256
 FROM l LEFT JOIN hot USING (k) GROUP BY doc_id
 """
+
+
+@query
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.simhash_near_dedup(T.read(spark, sf_dir, "documents"))
+    return out.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
