@@ -105,10 +105,6 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-_RND = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_BASE = 0x2545F4914F6CDD1D | 1
-
-
 def _powers(n: int, base: int) -> np.ndarray:
     p = np.full(n, base, np.uint64)
     if n:
@@ -134,23 +130,24 @@ class Words:
         offset = np.cumsum([0] + [len(e) + 1 for e in enc])
         self.first = np.searchsorted(self.start, offset)
         self.doc = np.repeat(np.arange(len(enc)), np.diff(self.first))
-        self._bytes, self._solid = a, solid
 
     @property
     def hash(self) -> np.ndarray:
-        """Polynomial over randomised bytes, mixed."""
-        if not len(self.start):
-            return np.zeros(0, np.uint64)
-        a, out, step = self._bytes, np.empty(len(self.start), np.uint64), 1 << 16
-        for i in range(0, len(self.start), step):  # in pieces that stay in cache
-            s, e = self.start[i:i + step], self.end[i:i + step]
-            lo, hi = s[0], e[-1]
-            length = np.diff(np.append(s, hi))
-            rel = np.arange(hi - lo) - np.repeat(s - lo, length)
-            v = _RND[a[lo:hi]] * _powers(int(length.max()), _BASE)[rel]
-            v[~self._solid[lo:hi]] = 0
-            out[i:i + step] = np.add.reduceat(v, s - lo) + (e - s).astype(np.uint64)
-        return _mix(out)
+        """Eight bytes at a time: all words' first eight, then the next of the longer ones."""
+        size = self.end - self.start
+        eight = np.ndarray(len(self.raw), "<u8", self.raw + bytes(8), strides=(1,))
+        h = _mix(size.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+        at, left = np.arange(len(size)), size
+        done = 0
+        while len(at):
+            v = eight[self.start[at] + done]
+            short = left < 8
+            v[short] &= (np.uint64(1) << (left[short] * 8).astype(np.uint64)) - np.uint64(1)
+            h[at] = _mix(h[at] ^ v) * np.uint64(0x9FB21C651E98DF25)
+            done += 8
+            more = left > 8
+            at, left = at[more], left[more] - 8
+        return _mix(h)
 
     def text(self, lo: int, hi: int) -> bytes:
         """Words lo..hi joined by one space."""
@@ -167,3 +164,14 @@ def gram_hash(h: np.ndarray, n: int) -> np.ndarray:
     for j in range(n):
         g += h[j:j + m] * p[j]
     return _mix(g)
+
+
+def distinct(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index of the first of each distinct value, and the number of each row's value (values ascending)."""
+    o = np.argsort(g)
+    s = g[o]
+    head = np.ones(len(s), bool)
+    head[1:] = s[1:] != s[:-1]
+    inv = np.empty(len(s), np.int64)
+    inv[o] = np.cumsum(head) - 1
+    return np.minimum.reduceat(o, np.flatnonzero(head)) if len(s) else o, inv

@@ -39,7 +39,9 @@ from phrasemill.llm import blocks as B
 EDGES_PER_BUCKET = 2_000_000
 _EDGE = "bucket int, block int, keys binary, docs binary, pos binary"
 _ANSWER = "block int, bucket int, at binary, docs binary, pos binary"
-_CLAIM = "block int, doc_id long, start long, n long, src_doc long, src_start long, digest binary"
+_CLAIM = ("block int, src_doc long, src_start long, n long, digest binary, "
+          "spans array<struct<doc_id:long,start:long>>")
+_SPANS = pa.list_(pa.struct([("doc_id", pa.int64()), ("start", pa.int64())]))
 _OUT = "doc_id long, n_words long, n_removed long, kept_text string, removed array<struct<start:long,end:long>>"
 
 
@@ -75,9 +77,9 @@ class _Block:
 
 def _distinct(g: np.ndarray, buckets: int, bits: int):
     """Distinct edges by bucket in order of first place: (first, inverse), and rows (bucket, slice of edges)."""
-    _, first, inv = np.unique(g, return_index=True, return_inverse=True)
+    first, inv = B.distinct(g)
     bucket = ((g[first] >> np.uint64(bits)) % np.uint64(buckets)).astype(np.int64)
-    order = np.lexsort((first, bucket))
+    order = np.argsort((bucket << 40) | first)
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
     cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -155,17 +157,20 @@ def _claims(k: int, buckets: int, bits: int):
         doc, pos = b.place(p)
         sd, sp = src_doc[inv], src_pos[inv]
         hit = np.flatnonzero(sd < doc)
-        rows = [[] for _ in range(7)]
+        paths: dict[tuple, list] = {}
         if len(hit):
             q, sd, sp, doc, pos = p[hit], sd[hit], sp[hit], doc[hit], pos[hit]
             path = np.ones(len(hit), bool)
             path[1:] = (q[1:] != q[:-1] + 1) | (sd[1:] != sd[:-1]) | (sp[1:] != sp[:-1] + 1) | (b.w.doc[q[1:]] != b.w.doc[q[:-1]])
             at = np.flatnonzero(path)
             n = np.diff(np.append(at, len(hit)))
-            rows = [np.full(len(at), b_id(key)), doc[at], pos[at], n, sd[at], sp[at],
-                    [b.digest(int(i), int(m)) for i, m in zip(q[at], n, strict=True)]]
-        types = [pa.int32(), *[pa.int64()] * 5, pa.binary()]
-        return pa.table({f.split()[0]: pa.array(c, ty) for f, c, ty in zip(_CLAIM.split(", "), rows, types, strict=True)})
+            for x in zip(sd[at].tolist(), sp[at].tolist(), n.tolist(), q[at].tolist(), doc[at].tolist(),
+                         pos[at].tolist(), strict=True):
+                paths.setdefault((*x[:3], b.digest(x[3], x[2])), []).append({"doc_id": x[4], "start": x[5]})
+        c = list(zip(*paths, strict=True)) or [[]] * 4
+        return pa.table({"block": pa.array([b_id(key)] * len(paths), pa.int32()), "src_doc": pa.array(c[0], pa.int64()),
+                         "src_start": pa.array(c[1], pa.int64()), "n": pa.array(c[2], pa.int64()),
+                         "digest": pa.array(c[3], pa.binary()), "spans": pa.array(list(paths.values()), _SPANS)})
     return run
 
 
@@ -250,13 +255,15 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     edges = by_block.applyInArrow(_edges(k, buckets, key_bits), _EDGE)
     answers = edges.groupBy("bucket").applyInArrow(_canonical, _ANSWER)
-    claims = by_block.cogroup(answers.groupBy("block")).applyInArrow(_claims(k, buckets, key_bits), _CLAIM)
-
+    # both uses of the claims, and of the digests below, read one exchange on the same keys
     path = ["src_doc", "src_start", "n", "digest"]
+    claims = by_block.cogroup(answers.groupBy("block")).applyInArrow(_claims(k, buckets, key_bits), _CLAIM
+                                                                    ).repartition(*path)
     to_check = claims.select(*path).distinct().withColumn("block", B.block_of(F.col("src_doc"), nb))
     wrong = by_block.cogroup(to_check.groupBy("block")).applyInArrow(
         _wrong(k), "src_doc long, src_start long, n long, digest binary")
-    judged = claims.join(wrong.withColumn("bad", F.lit(True)), path, "left")
+    judged = claims.join(wrong.withColumn("bad", F.lit(True)), path, "left").select(
+        "block", "src_doc", "n", "bad", F.inline("spans").alias("doc_id", "start"))
     good = judged.filter(F.col("bad").isNull()).select("block", "doc_id", "start", "n")
 
     failed = judged.filter(F.col("bad"))
@@ -264,7 +271,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                             F.lit(0).cast("long").alias("start"), F.lit(-1).cast("long").alias("n")).distinct()
     failed = failed.select("block", "doc_id", "start", "n").unionByName(sources)
     own = by_block.cogroup(failed.groupBy("block")).applyInArrow(
-        _window_digests(k), "block int, doc_id long, start long, digest binary")
+        _window_digests(k), "block int, doc_id long, start long, digest binary").repartition("digest")
     first = own.groupBy("digest").agg(F.min("doc_id").alias("first_doc"))
     late = own.join(first, "digest").filter("first_doc < doc_id").select(
         "block", "doc_id", "start", F.lit(1).cast("long").alias("n"))
