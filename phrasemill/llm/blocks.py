@@ -116,7 +116,7 @@ class Words:
     """Words `[^\\x20\\x09-\\x0D]+` of many texts, as arrays.
 
     raw: the UTF-8 bytes of all texts, one line feed after each; start/end: byte
-    range of each word; doc: index of its text; first: index of each text's
+    range of each word; doc: index of its text; offset: first byte of each text; first: index of each text's
     first word (length n_docs + 1); hash: 64-bit hash of the word's bytes."""
 
     def __init__(self, texts: list[str | None], lower: bool = False):
@@ -130,6 +130,7 @@ class Words:
         offset = np.cumsum([0] + [len(e) + 1 for e in enc])
         self.first = np.searchsorted(self.start, offset)
         self.doc = np.repeat(np.arange(len(enc)), np.diff(self.first))
+        self.offset = offset
 
     @property
     def hash(self) -> np.ndarray:
@@ -175,3 +176,16 @@ def distinct(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     inv = np.empty(len(s), np.int64)
     inv[o] = np.cumsum(head) - 1
     return np.minimum.reduceat(o, np.flatnonzero(head)) if len(s) else o, inv
+
+
+def small_batches(batches: Iterator[pa.RecordBatch], text_at: int, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about `limit` bytes of text (at least one row each)."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        size = np.array([len(x) if x is not None else 0 for x in b.column(text_at).cast(pa.binary()).to_pylist()], np.int64) \
+            if b.column(text_at).nbytes > limit else np.zeros(b.num_rows, np.int64)
+        part = np.cumsum(size) // limit
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), b.num_rows]
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            yield b.slice(lo, hi - lo)

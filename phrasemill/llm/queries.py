@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phrasemill.llm import byte_bpe, simhash
+from phrasemill.llm import byte_bpe, quality, simhash
 from phrasemill.llm import tables as T
 from phrasemill.llm.line_dedup import line_dedup
 from phrasemill.llm.packing import pack_documents
@@ -93,3 +93,18 @@ FROM l LEFT JOIN hot USING (k) GROUP BY doc_id
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.simhash_near_dedup(T.read(spark, sf_dir, "documents"))
     return out.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def quality_model(spark: SparkSession, sf_dir: str) -> quality.Model:
+    """Fitted on labelled rows that aren't held out."""
+    docs, labels = T.read(spark, sf_dir, "documents"), T.read(spark, sf_dir, "labels")
+    rows = labels.filter(~quality.held_out(F.col("doc_id"))).select("doc_id", "quality")
+    return quality.train(docs.select("doc_id", "text", "n_chars").join(rows, "doc_id"), "quality")
+
+
+@query
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = T.read(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    out = quality.score(docs, quality_model(spark, sf_dir))
+    return out.select("doc_id", F.coalesce(quality.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score",
+                      (F.col("score") >= 0.3).cast("int").alias("predicted"))
