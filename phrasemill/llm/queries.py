@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phrasemill.llm import byte_bpe, quality, simhash
+from phrasemill.llm import byte_bpe, pii, quality, simhash
 from phrasemill.llm import tables as T
 from phrasemill.llm.line_dedup import line_dedup
 from phrasemill.llm.packing import pack_documents
@@ -108,3 +108,11 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.score(docs, quality_model(spark, sf_dir))
     return out.select("doc_id", F.coalesce(quality.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score",
                       (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.sanitise(T.read(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = [F.aggregate("spans", F.lit(0).cast("long"), pii.count_kind(k)).alias(f"n_{k}") for k in pii.KINDS[:4]]
+    return out.select("doc_id", *count, F.sha2(pii.told(F.filter("spans", lambda s: s["rank"] < 4)), 256).alias("base_sha256"),
+                      pii.told(F.col("spans")).alias("spans"))
