@@ -57,31 +57,54 @@ def block_of(id_col: Column, blocks: int) -> Column:
     return F.pmod(F.xxhash64(id_col.cast("long")), F.lit(blocks)).cast("int")
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        block = batch.column(0).to_numpy(zero_copy_only=False)
-        order = np.argsort(block, kind="stable")
-        cuts = np.flatnonzero(np.diff(block[order])) + 1
-        keys, out = [], []
-        for rows in np.split(order, cuts) if len(order) else []:
-            part = batch.take(pa.array(rows))
-            sink = pa.BufferOutputStream()
-            own = pa.RecordBatch.from_arrays(part.columns[1:3], names=["id", "text"])
-            with pa.ipc.new_stream(sink, own.schema) as w:
-                w.write_batch(own)
-            keys.append(int(block[rows[0]]))
-            out.append(squeeze(sink.getvalue().to_pybytes()))
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(out, pa.binary())],
-                                         names=["block", "data"])
-
-
-def pack_blocks(docs: DataFrame, id_col: str, text_col: str, blocks: int,
-                block: Column | None = None) -> DataFrame:
+def _pack(block_numbers):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            block = block_numbers(batch.column(0))
+            order = np.argsort(block, kind="stable")
+            cuts = np.flatnonzero(np.diff(block[order])) + 1
+            keys, out = [], []
+            for rows in np.split(order, cuts) if len(order) else []:
+                part = batch.take(pa.array(rows))
+                sink = pa.BufferOutputStream()
+                own = pa.RecordBatch.from_arrays(part.columns[1:3], names=["id", "text"])
+                with pa.ipc.new_stream(sink, own.schema) as w:
+                    w.write_batch(own)
+                keys.append(int(block[rows[0]]))
+                out.append(squeeze(sink.getvalue().to_pybytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(out, pa.binary())],
+                                             names=["block", "data"])
+    return run
+
+
+def _as_numbers(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False)
+
+
+def pack_blocks(docs: DataFrame, id_col: str, text_col: str, blocks: int) -> DataFrame:
     """(block int, data binary); read with `open_block`."""
-    b = block_of(F.col(id_col), blocks) if block is None else block
-    return docs.select(b.alias("block"), F.col(id_col).cast("long").alias("id"),
+    return docs.select(block_of(F.col(id_col), blocks).alias("block"), F.col(id_col).cast("long").alias("id"),
                        F.col(text_col).cast("string").alias("text")
-                       ).mapInArrow(_pack, "block int, data binary")
+                       ).mapInArrow(_pack(_as_numbers), "block int, data binary")
+
+
+def id_bounds(docs: DataFrame, id_col: str, blocks: int) -> np.ndarray:
+    """Ids (of the table) that cut it into about `blocks` ranges, ascending; all ids below the second are in range 0."""
+    share = [i / blocks for i in range(1, blocks)]
+    if not share:
+        return np.zeros(1, np.int64)
+    got = docs.agg(F.percentile_approx(F.col(id_col).cast("long"), share, max(10_000, 20 * blocks)).alias("q")).first()["q"]
+    return np.concatenate(([0], np.unique(np.array(got or [], np.int64))))
+
+
+def pack_ranges(docs: DataFrame, id_col: str, text_col: str, bounds: np.ndarray) -> DataFrame:
+    """As `pack_blocks`, a block being a range of ids between bounds; null ids are in range 0."""
+    def locate(ids: pa.Array) -> np.ndarray:
+        low = ids.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
+        return np.searchsorted(bounds[1:], low, side="right")
+
+    return docs.select(F.col(id_col).cast("long").alias("key"), F.col(id_col).cast("long").alias("id"),
+                       F.col(text_col).cast("string").alias("text")).mapInArrow(_pack(locate), "block int, data binary")
 
 
 def open_block(datas: list[bytes]) -> tuple[list[int | None], list[str | None]]:

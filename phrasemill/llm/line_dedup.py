@@ -1,7 +1,7 @@
 """Line dedup (operator 10), DataFrame functions only.
 
 Lines are exploded with their positions; a line's key (stripped, A-Z
-lower-cased) is hashed to 128 bits; documents are counted per hash with partial
+lower-cased) is hashed to 128 bits (two xxhash64); documents are counted per hash with partial
 sums, so a line that a third of the corpus holds is one row per task; positions
 of lines whose hash reaches the threshold are gathered per document, and the
 text is put together again from the runs between them.
@@ -20,6 +20,8 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from phrasemill.llm import tables as T
+
 WHITE = " \t\n\u000b\f\r"  # \x20 and \x09-\x0D
 
 
@@ -47,12 +49,14 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # a row's identity: equal rows lose the same lines
     ident = [F.col(id_col).cast("long").alias("d"), F.xxhash64(text).alias("x"), F.length(text).alias("l")]
     lines = docs.select(*ident, F.posexplode(_lines(text)).alias("p", "line"))
-    keyed = lines.select("d", "x", "l", "p", _line_key(F.col("line")).alias("k")).filter(
-        F.length("k") >= min_chars).select("d", "x", "l", "p", F.unhex(F.md5("k")).alias("h"))
-
-    hot = (keyed.groupBy("h", "d").agg(F.lit(1).alias("one"))
-           .groupBy("h").agg(F.count("one").alias("n")).filter(F.col("n") >= min_docs).select("h"))
-    gone = keyed.join(hot, "h").groupBy("d", "x", "l").agg(F.array_sort(F.collect_set("p")).alias("gone"))
+    key, h = _line_key(F.col("line")), ["h1", "h2"]
+    # keys are hashed once: both uses below read the written table
+    keyed = T.write_shared(lines.filter(F.length(F.btrim("line", F.lit(WHITE))) >= min_chars).select(
+        "d", "x", "l", "p", F.xxhash64(key).alias("h1"), F.xxhash64(F.lit("line"), key).alias("h2")), "lines")
+
+    hot = (keyed.groupBy(*h, "d").agg(F.lit(1).alias("one"))
+           .groupBy(*h).agg(F.count("one").alias("n")).filter(F.col("n") >= min_docs).select(*h))
+    gone = keyed.join(hot, h).groupBy("d", "x", "l").agg(F.array_sort(F.collect_set("p")).alias("gone"))
 
     marked = docs.select("*", *[c.alias(n) for c, n in zip(
         (F.col(id_col).cast("long"), F.xxhash64(text), F.length(text)), ("__ld_d", "__ld_x", "__ld_l"), strict=True)])

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phrasemill.llm import byte_bpe, pii, quality, simhash
+from phrasemill.llm import byte_bpe, lz_fingerprint, pii, quality, simhash
 from phrasemill.llm import tables as T
 from phrasemill.llm.line_dedup import line_dedup
 from phrasemill.llm.packing import pack_documents
@@ -116,3 +116,8 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = [F.aggregate("spans", F.lit(0).cast("long"), pii.count_kind(k)).alias(f"n_{k}") for k in pii.KINDS[:4]]
     return out.select("doc_id", *count, F.sha2(pii.told(F.filter("spans", lambda s: s["rank"] < 4)), 256).alias("base_sha256"),
                       pii.told(F.col("spans")).alias("spans"))
+
+
+@query
+def op7_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lz_fingerprint.compare_neighbours(T.read(spark, sf_dir, "documents"))
