@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phrasemill.llm import byte_bpe, lz_fingerprint, pii, quality, simhash
+from phrasemill.llm import byte_bpe, lm_score, lz_fingerprint, pii, quality, simhash
 from phrasemill.llm import tables as T
 from phrasemill.llm.line_dedup import line_dedup
 from phrasemill.llm.packing import pack_documents
@@ -121,3 +121,43 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lz_fingerprint.compare_neighbours(T.read(spark, sf_dir, "documents"))
+
+
+@query
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lm_score.lm_scores(T.read(spark, sf_dir, "documents"))
+    return out.withColumn("log_score", F.round("log_score", 4))
+
+
+ORACLE["op6_lm_score"] = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+tok AS (
+  SELECT doc_id, i, w[i] AS g1,
+         CASE WHEN i >= 2 THEN w[i-1] || ' ' || w[i] END AS g2,
+         CASE WHEN i >= 3 THEN w[i-2] || ' ' || w[i-1] || ' ' || w[i] END AS g3
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+loo AS (
+  SELECT doc_id, i,
+         count(*) OVER (PARTITION BY g1) - count(*) OVER (PARTITION BY g1, doc_id) AS c1,
+         CASE WHEN g2 IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY g2) - count(*) OVER (PARTITION BY g2, doc_id) END AS c2,
+         CASE WHEN g3 IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY g3) - count(*) OVER (PARTITION BY g3, doc_id) END AS c3,
+         count(*) OVER () AS n
+  FROM tok),
+ctx AS (
+  SELECT *, lag(c1) OVER (PARTITION BY doc_id ORDER BY i) AS p1, lag(c2) OVER (PARTITION BY doc_id ORDER BY i) AS p2,
+         least(i - 1, 2) AS back
+  FROM loo),
+s AS (
+  SELECT doc_id, CASE WHEN c3 > 0 THEN 3 WHEN c2 > 0 THEN 2 WHEN c1 > 0 THEN 1 ELSE 0 END AS k,
+         CASE WHEN c3 > 0 THEN ln(c3::DOUBLE / p2)
+              WHEN c2 > 0 THEN (back - 1) * ln(0.4::DOUBLE) + ln(c2::DOUBLE / p1)
+              WHEN c1 > 0 THEN back * ln(0.4::DOUBLE) + ln(c1::DOUBLE / n)
+              ELSE (back + 1) * ln(0.4::DOUBLE) - ln(n::DOUBLE) END AS l
+  FROM ctx)
+SELECT d.doc_id, any_value(len(d.w)) AS n_words, count(*) FILTER (k = 3) AS n_trigram, count(*) FILTER (k = 2) AS n_bigram,
+       count(*) FILTER (k = 1) AS n_unigram, count(*) FILTER (k = 0) AS n_unseen,
+       round(coalesce(sum(l), 0), 4) AS log_score
+FROM d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id
+"""
