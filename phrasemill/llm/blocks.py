@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 BLOCK_BYTES = 4 << 20
 _CODEC = pa.Codec("zstd", compression_level=1)
+_TEXT_CODEC = pa.Codec("zstd", compression_level=3)
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -30,6 +31,10 @@ def squeeze(raw: bytes) -> bytes:
     return len(raw).to_bytes(8, "little") + _CODEC.compress(raw, asbytes=True)
 
 
+def squeeze_text(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + _TEXT_CODEC.compress(raw, asbytes=True)
+
+
 def unsqueeze(data: bytes) -> bytes:
     n = int.from_bytes(data[:8], "little")
     return _CODEC.decompress(data[8:], decompressed_size=n, asbytes=True) if n else b""
@@ -71,7 +76,7 @@ def _pack(block_numbers):
                 with pa.ipc.new_stream(sink, own.schema) as w:
                     w.write_batch(own)
                 keys.append(int(block[rows[0]]))
-                out.append(squeeze(sink.getvalue().to_pybytes()))
+                out.append(squeeze_text(sink.getvalue().to_pybytes()))
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(out, pa.binary())],
                                              names=["block", "data"])
     return run

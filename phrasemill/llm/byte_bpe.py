@@ -22,12 +22,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phrasemill.llm import blocks as B
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 5 << 20
 WORDS_PER_BUCKET = 500_000
 
 
@@ -57,27 +58,53 @@ class _Codes(dict):
 
 
 def _split(t: pa.Table, pattern: str):
-    """Ids of a block's documents, its distinct words, each document's word numbers."""
+    """Ids of a block's documents, its distinct pre-tokens, each document's pre-token numbers.
+
+    The pattern never reaches from a visible character over a single space, so
+    a text whose spaces stand alone is cut at them and each distinct stretch is
+    matched once; other texts are matched whole."""
     import regex
-    find, codes = regex.compile(pattern).findall, _Codes()
+    find, codes, heads, rest = regex.compile(pattern).findall, _Codes(), _Codes(), _Codes()
     ids, texts = B.open_block(t.column("data").to_pylist())
-    rows = [np.fromiter(map(codes.__getitem__, find(x)), np.int32) if x else np.zeros(0, np.int32) for x in texts]
+    cut = []
+    for x in texts:
+        parts = (x or "").split(" ")
+        cut.append((heads[parts[0]], np.fromiter(map(rest.__getitem__, parts[1:]), np.int64, len(parts) - 1)))
+    stretches = [*heads, *(" " + p for p in rest)]
+    # a first stretch is clean if no blank is at its ends, a later one if just its own space is
+    clean = np.array([bool(p) and not p[-1].isspace() and not p[p[0] == " "].isspace() for p in stretches], bool)
+    clean[:len(heads)] &= np.array([not p[:1].isspace() for p in heads], bool)
+    found, size = [], []
+    for p in stretches:
+        f = find(p)
+        found += f
+        size.append(len(f))
+    size = np.array(size, np.int64)
+    at, flat = np.cumsum(size) - size, np.fromiter(map(codes.__getitem__, found), np.int32, len(found))
+    rows = []
+    for x, (head, tail) in zip(texts, cut, strict=True):
+        if not x:
+            rows.append(np.zeros(0, np.int32))
+        elif clean[head] and clean[tail + len(heads)].all():
+            rows.append(_gather(flat, at, size, np.concatenate(([head], tail + len(heads)))))
+        else:
+            rows.append(np.fromiter(map(codes.__getitem__, find(x)), np.int32))
     return ids, list(codes), rows
 
 
 def _by_bucket(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Order of the words by bucket and by text, and where buckets begin."""
-    raw = [w.encode("utf-8", "surrogatepass") for w in words]
-    if not raw:
+    if not words:
         return np.zeros(0, np.int64), np.zeros(buckets + 1, np.int64)
-    a = np.frombuffer(b"".join(raw), np.uint8)
-    size = np.array([len(x) for x in raw])
-    at = np.cumsum(size) - size
-    h = np.zeros(len(raw), np.uint64)
-    v = (a.astype(np.uint64) + np.uint64(1)) * (np.arange(len(a), dtype=np.uint64) - np.repeat(at, size).astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
-    h = B._mix(np.add.reduceat(v, at) + h)
+    column = pa.array(words, pa.string())
+    order = pc.sort_indices(column).to_numpy()
+    offset = np.frombuffer(column.buffers()[1], np.int32)[:len(words) + 1].astype(np.int64)
+    a = np.frombuffer(column.buffers()[2], np.uint8)[:offset[-1]]
+    size = np.diff(offset)
+    place = np.arange(len(a), dtype=np.uint64) - np.repeat(offset[:-1], size).astype(np.uint64)
+    h = B._mix(np.add.reduceat((a.astype(np.uint64) + np.uint64(1)) * (place * np.uint64(2) + np.uint64(0x9E3779B97F4A7C15)), offset[:-1]))
     bucket = (h % np.uint64(buckets)).astype(np.int64)
-    order = np.array(sorted(range(len(raw)), key=lambda i: (bucket[i], words[i])))
+    order = order[np.argsort(bucket[order], kind="stable")]
     return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
 
 
@@ -98,7 +125,7 @@ def _put_strings(words: list[str]) -> bytes:
     b = pa.RecordBatch.from_arrays([pa.array(words, pa.string())], names=["w"])
     with pa.ipc.new_stream(sink, b.schema) as w:
         w.write_batch(b)
-    return B.squeeze(sink.getvalue().to_pybytes())
+    return B.squeeze_text(sink.getvalue().to_pybytes())
 
 
 def _get_strings(data: bytes) -> list[str]:

@@ -18,6 +18,7 @@ one piece; a sequence's pieces lie gapless from offset 0.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,36 +29,56 @@ from pyspark.sql import functions as F
 
 from phrasemill.llm import tables as T
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
+# plain words: ASCII and precomposed Latin letters, whose lower case and normal form don't depend on their neighbours
+_LATIN = "\u00df-\u00f6\u00f8-\u012f\u0131-\u024f"
+_PLAIN = re.compile(f"[!-&(-~\u00c0-\u00d6\u00d8-\u00de{_LATIN}]+").fullmatch
+_PIECES = re.compile(f"[a-z{_LATIN}]+|[0-9]|[^a-z0-9{_LATIN}]+").findall
+# byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on
+_SELF = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_LEVEL = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SELF)}
 _FIELDS = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()),
            ("ids", pa.binary()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("open", pa.bool_()),
            ("part", pa.int64())]
 _SCHEMA = "doc_id long, start long, length long, doc_tokens long, ids binary, sequence_id long, offset long, open boolean, part long"
 
 
-class WordTokens:
+class WordTokens(dict):
     """Ids of a text as little-endian unsigned 32-bit numbers, word by word.
 
     The tokenizer drops white space and nothing in it reaches across ASCII
     white space, so a word's ids don't depend on its neighbours; each word is
-    tokenized once per worker (the cache is emptied when it is full)."""
+    tokenized once per worker (this dict, emptied when it is full).  Plain words
+    go to the merges directly, in the pieces that the tokenizer's own split
+    makes of them; all others, and special tokens, through the whole tokenizer."""
 
     def __init__(self, path: str):
+        super().__init__()
         from tokenizers import Tokenizer
-        self.encode, self.cache = Tokenizer.from_file(path).encode, {}
+        tokenizer = Tokenizer.from_file(path)
+        self.encode, self.merge, self.pieces = tokenizer.encode, tokenizer.model.tokenize, {}
 
     def __call__(self, text: str | None) -> bytes:
-        words, cache = (text or "").encode("utf-8", "replace").split(), self.cache
-        new = set(words).difference(cache)
-        if len(cache) + len(new) > CACHE_WORDS:
-            cache.clear()
-            new = set(words)
-        for w in new:
-            cache[w] = self._one(w)
-        return b"".join(map(cache.__getitem__, words))
-
-    def _one(self, word: bytes) -> bytes:
-        return np.array(self.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        if len(self) + len(self.pieces) > CACHE_WORDS:
+            self.clear()
+            self.pieces.clear()
+        return b"".join(map(self.__getitem__, (text or "").encode("utf-8", "replace").split()))
+
+    def __missing__(self, word: bytes) -> bytes:
+        w = word.decode()
+        if _PLAIN(w) and "<|" not in w:
+            ids = b"".join(map(self._piece, _PIECES(w.lower())))
+        else:
+            ids = np.array(self.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+        self[word] = ids
+        return ids
+
+    def _piece(self, piece: str) -> bytes:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            level = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_LEVEL)
+            ids = self.pieces[piece] = b"".join(t.id.to_bytes(4, "little") for t in self.merge(level))
+        return ids
 
 
 class _Packer:

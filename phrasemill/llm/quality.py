@@ -165,14 +165,14 @@ def _meta(batch: pa.RecordBatch, at: int, names: list[str]) -> np.ndarray:
                      for i in range(len(names))], float).reshape(len(names), batch.num_rows).T
 
 
-def train(labelled: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text",
+def train(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text",
           metadata: tuple[str, ...] = ("n_chars",), max_train: int = MAX_TRAIN, dims: int = DIMS, **how) -> Model:
-    """Fit on at most `max_train` rows with label 0 or 1."""
+    """Fit on the documents of at most `max_train` rows of `labels` with label 0 or 1."""
     names = list(metadata)
-    picked = (labelled.filter(F.col(label_col).isin(0, 1))
-              .orderBy(F.xxhash64(F.col(id_col).cast("long")), id_col).limit(max_train)
-              .select(F.col(label_col).cast("int").alias("y"), F.col(text_col).cast("string").alias("t"),
-                      *[F.col(c).cast("double").alias(f"m{i}") for i, c in enumerate(names)]))
+    few = (labels.filter(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("y"))
+           .orderBy(F.xxhash64(F.col("__id").cast("long")), "__id", "y").limit(max_train))
+    picked = docs.join(F.broadcast(few), F.col(id_col) == F.col("__id")).select(   # bounded by max_train
+        "y", F.col(text_col).cast("string").alias("t"), *[F.col(c).cast("double").alias(f"m{i}") for i, c in enumerate(names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in B.small_batches(batches, 1):

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phrasemill.llm import byte_bpe, lm_score, lz_fingerprint, pii, quality, simhash
+from phrasemill.llm import byte_bpe, cover_tree, lm_score, lz_fingerprint, pii, quality, simhash
 from phrasemill.llm import tables as T
 from phrasemill.llm.line_dedup import line_dedup
 from phrasemill.llm.packing import pack_documents
@@ -97,9 +97,8 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality_model(spark: SparkSession, sf_dir: str) -> quality.Model:
     """Fitted on labelled rows that aren't held out."""
-    docs, labels = T.read(spark, sf_dir, "documents"), T.read(spark, sf_dir, "labels")
-    rows = labels.filter(~quality.held_out(F.col("doc_id"))).select("doc_id", "quality")
-    return quality.train(docs.select("doc_id", "text", "n_chars").join(rows, "doc_id"), "quality")
+    labels = T.read(spark, sf_dir, "labels").filter(~quality.held_out(F.col("doc_id")))
+    return quality.train(T.read(spark, sf_dir, "documents"), labels, "quality")
 
 
 @query
@@ -161,3 +160,27 @@ SELECT d.doc_id, any_value(len(d.w)) AS n_words, count(*) FILTER (k = 3) AS n_tr
        round(coalesce(sum(l), 0), 4) AS log_score
 FROM d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id
 """
+
+
+@query
+def op3_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.near_duplicates(T.read(spark, sf_dir, "embeddings"))
+
+
+ORACLE["op3_cover_tree"] = r"""
+WITH RECURSIVE e AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+link AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.98),
+reach(a, b) AS (
+  SELECT vec_id, vec_id FROM embeddings
+  UNION
+  SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a)
+SELECT v.vec_id, coalesce(n.n, 0) AS n_links, r.component_id, v.vec_id = r.component_id AS kept
+FROM embeddings v
+JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) r ON r.a = v.vec_id
+LEFT JOIN (SELECT a, count(*) AS n FROM link GROUP BY a) n ON n.a = v.vec_id
+"""

@@ -2,13 +2,16 @@
 
 import zlib
 from collections import defaultdict
+from functools import cache
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from phrasemill.llm import byte_bpe
 from phrasemill.llm import tables as T
-from phrasemill.llm.packing import pack_documents
+from phrasemill.llm.packing import WordTokens, pack_documents
 
 WORD, RANKS = T.tokenizer("word_bpe_49k.json"), T.tokenizer("byte_bpe_50k.tiktoken")
 
@@ -98,3 +101,18 @@ def test_bpe_table(spark, sf_dir):
 def test_bpe_empty(no_docs):
     out = byte_bpe.decode(byte_bpe.encode(no_docs, RANKS, T.pretoken_pattern()), RANKS)
     assert out.count() == 0 and out.columns == ["doc_id", "ids", "decoded"]
+
+
+@cache
+def _both():
+    from tokenizers import Tokenizer
+    return WordTokens(WORD), Tokenizer.from_file(WORD)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.text(st.one_of(st.characters(max_codepoint=0x24f, exclude_categories=["Cs"]), st.characters(exclude_categories=["Cs"]),
+                                  st.sampled_from("AaZz09'.,!\u0301\u0130\u03a3\u1e9e\u00df<|>")), max_size=12), max_size=8))
+def test_word_tokens_same_as_library(parts):
+    text = " ".join([*parts, "<|endoftext|>", "it's", "Don'T", "x" * 50])
+    ours, library = _both()
+    assert np.frombuffer(ours(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
