@@ -58,13 +58,15 @@ def simhash(text: str | None, words: int = 4, seed: int = 42) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4,
                  seed: int = 42) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a long (two's complement)."""
+    """(doc_id, x, fp): a hash of the text, and the fingerprint as a long (two's complement)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([simhash(t, words, seed) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], names=["doc_id", "fp"])
+            fp = np.array([simhash(t, words, seed) for t in b.column(2).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp, pa.int64())], names=["doc_id", "x", "fp"])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, fp long")
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long"), F.xxhash64(text).alias("x"), text).mapInArrow(
+        run, "doc_id long, x long, fp long")
 
 
 # ---------------------------------------------------------------- vantage-point trees
@@ -170,19 +172,37 @@ def near_links(distinct: DataFrame, bits: int, shard_rows: int = 32_000, sample:
             .groupBy("shard").applyInArrow(_links(bits), "a long, b long"))
 
 
+def _groups(fps: DataFrame, bits: int, shard_rows: int, sample: int) -> DataFrame:
+    """(fp, component) for every distinct fingerprint."""
+    distinct = fps.select("fp").distinct()
+    comp = components(near_links(distinct, bits, shard_rows, sample), "a", "b").withColumnRenamed("node", "fp")
+    return distinct.join(comp, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"))
+
+
 def simhash_near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4,
                        seed: int = 42, bits: int = 4, shard_rows: int = 32_000, sample: int = 20_000) -> DataFrame:
     """(doc_id, fp, component_id), one row per input row."""
     fps = cut_lineage(fingerprints(docs, id_col, text_col, words, seed))
-    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
-    comp = components(near_links(distinct, bits, shard_rows, sample), "a", "b")
-    named = distinct.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "least_id", F.coalesce("component", "fp").alias("component"))
+    least = fps.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
+    named = _groups(fps, bits, shard_rows, sample).join(least, "fp")
     least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
     of = named.join(least, "component").select("fp", "component_id")
     return fps.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, seed: int = 42,
+             bits: int = 4, shard_rows: int = 32_000, sample: int = 20_000) -> DataFrame:
+    """The rows of `docs` with one of each component: its smallest doc_id (null ids only where there is no other;
+    of rows with that id the smallest text hash, of equal rows any)."""
+    fps = cut_lineage(fingerprints(docs, id_col, text_col, words, seed))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "x"))
+    named = fps.groupBy("fp").agg(first.alias("k")).join(_groups(fps, bits, shard_rows, sample), "fp")
+    keep = named.groupBy("component").agg(F.min("k").alias("k")).select(F.col("k.doc_id").alias("__d"), F.col("k.x").alias("__x"))
+    marked = docs.select("*", F.xxhash64(F.col(text_col).cast("string")).alias("__own"))
+    same = marked[id_col].cast("long").eqNullSafe(keep["__d"]) & (marked["__own"] == keep["__x"])
+    return marked.join(keep, same).dropDuplicates(["__d", "__x"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def hex_digits(fp):
     """16 lowercase hex digits."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
