@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from phrasemill.llm import blocks as B
 
 BLOCK_BYTES = 4 << 20
-GRAMS_PER_TABLE = 8_000_000
+GRAMS_PER_TABLE = 2_000_000
 BACKOFF = 0.4
 _DROP = np.uint64(8)
 
