@@ -33,15 +33,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from phrasemill.llm import blocks as B
 
 EDGES_PER_BUCKET = 2_000_000
 _EDGE = "bucket int, block int, keys binary, docs binary, pos binary"
 _ANSWER = "block int, bucket int, at binary, docs binary, pos binary"
-_CLAIM = ("block int, src_doc long, src_start long, n long, digest binary, "
-          "spans array<struct<doc_id:long,start:long>>")
+# columns that are never null, so that no consumer adds a filter of its own below the shared exchange
+_CLAIM = (StructType().add("src_doc", "long", False).add("src_start", "long", False).add("n", "long", False)
+          .add("digest", "binary", False)
+          .add("spans", ArrayType(StructType().add("doc_id", "long").add("start", "long")), False))
+_PATH = StructType(_CLAIM.fields[:4])
 _SPANS = pa.list_(pa.struct([("doc_id", pa.int64()), ("start", pa.int64())]))
+_WINDOW = StructType().add("doc_id", "long", False).add("start", "long", False).add("digest", "binary", False)
 _OUT = "doc_id long, n_words long, n_removed long, kept_text string, removed array<struct<start:long,end:long>>"
 
 
@@ -168,16 +173,11 @@ def _claims(k: int, buckets: int, bits: int):
                          pos[at].tolist(), strict=True):
                 paths.setdefault((*x[:3], b.digest(x[3], x[2])), []).append({"doc_id": x[4], "start": x[5]})
         c = list(zip(*paths, strict=True)) or [[]] * 4
-        return pa.table({"block": pa.array([b_id(key)] * len(paths), pa.int32()), "src_doc": pa.array(c[0], pa.int64()),
-                         "src_start": pa.array(c[1], pa.int64()), "n": pa.array(c[2], pa.int64()),
+        return pa.table({"src_doc": pa.array(c[0], pa.int64()), "src_start": pa.array(c[1], pa.int64()), "n": pa.array(c[2], pa.int64()),
                          "digest": pa.array(c[3], pa.binary()), "spans": pa.array(list(paths.values()), _SPANS)})
     return run
 
 
-def b_id(key) -> int:
-    return int(key[0].as_py())
-
-
 def _wrong(k: int):
     """Of the claims on this block's documents, those whose words differ."""
     def run(key: tuple[pa.Scalar, ...], docs: pa.Table, claims: pa.Table) -> pa.Table:
@@ -195,7 +195,7 @@ def _wrong(k: int):
 def _window_digests(k: int):
     """Digests of the windows of spans; n < 0: of the whole document."""
     def run(key: tuple[pa.Scalar, ...], docs: pa.Table, spans: pa.Table) -> pa.Table:
-        out = [[], [], [], []]
+        out = [[], [], []]
         if spans.num_rows:
             b = _Block(docs, k)
             for r in spans.to_pylist():
@@ -207,10 +207,10 @@ def _window_digests(k: int):
                 else:
                     p = range(base + r["start"], base + r["start"] + r["n"])
                 for j in p:
-                    for c, v in zip(out, (b_id(key), d, j - base, b.digest(j, 1)), strict=True):
+                    for c, v in zip(out, (d, j - base, b.digest(j, 1)), strict=True):
                         c.append(v)
-        return pa.table({"block": pa.array(out[0], pa.int32()), "doc_id": pa.array(out[1], pa.int64()),
-                         "start": pa.array(out[2], pa.int64()), "digest": pa.array(out[3], pa.binary())})
+        return pa.table({"doc_id": pa.array(out[0], pa.int64()), "start": pa.array(out[1], pa.int64()),
+                         "digest": pa.array(out[2], pa.binary())})
     return run
 
 
@@ -259,21 +259,23 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     path = ["src_doc", "src_start", "n", "digest"]
     claims = by_block.cogroup(answers.groupBy("block")).applyInArrow(_claims(k, buckets, key_bits), _CLAIM
                                                                     ).repartition(*path)
-    to_check = claims.select(*path).distinct().withColumn("block", B.block_of(F.col("src_doc"), nb))
+    to_check = claims.groupBy(*path).agg(F.sum(F.size("spans")).alias("copies")).withColumn(
+        "block", B.block_of(F.col("src_doc"), nb))
     wrong = by_block.cogroup(to_check.groupBy("block")).applyInArrow(
-        _wrong(k), "src_doc long, src_start long, n long, digest binary")
-    judged = claims.join(wrong.withColumn("bad", F.lit(True)), path, "left").select(
-        "block", "src_doc", "n", "bad", F.inline("spans").alias("doc_id", "start"))
-    good = judged.filter(F.col("bad").isNull()).select("block", "doc_id", "start", "n")
+        _wrong(k), _PATH)
+    own_block = B.block_of(F.col("doc_id"), nb).alias("block")
+
+    def spans(of: DataFrame) -> DataFrame:
+        return of.select("src_doc", "n", F.inline("spans").alias("doc_id", "start"))
 
-    failed = judged.filter(F.col("bad"))
+    good = spans(claims.join(wrong, path, "left_anti")).select(own_block, "doc_id", "start", "n")
+    failed = spans(claims.join(wrong, path, "left_semi"))
     sources = failed.select(B.block_of(F.col("src_doc"), nb).alias("block"), F.col("src_doc").alias("doc_id"),
                             F.lit(0).cast("long").alias("start"), F.lit(-1).cast("long").alias("n")).distinct()
-    failed = failed.select("block", "doc_id", "start", "n").unionByName(sources)
-    own = by_block.cogroup(failed.groupBy("block")).applyInArrow(
-        _window_digests(k), "block int, doc_id long, start long, digest binary").repartition("digest")
-    first = own.groupBy("digest").agg(F.min("doc_id").alias("first_doc"))
+    failed = failed.select(own_block, "doc_id", "start", "n").unionByName(sources)
+    own = by_block.cogroup(failed.groupBy("block")).applyInArrow(_window_digests(k), _WINDOW).repartition("digest")
+    first = own.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.min("start").alias("first_start"))
     late = own.join(first, "digest").filter("first_doc < doc_id").select(
-        "block", "doc_id", "start", F.lit(1).cast("long").alias("n"))
+        own_block, "doc_id", "start", F.lit(1).cast("long").alias("n"))
 
     return by_block.cogroup(good.unionByName(late).groupBy("block")).applyInArrow(_remove(k), _OUT)
