@@ -217,3 +217,10 @@ def small_batches(batches: Iterator[pa.RecordBatch], text_at: int, limit: int =
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), b.num_rows]
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
             yield b.slice(lo, hi - lo)
+
+
+def gather(values: np.ndarray, at: np.ndarray, size: np.ndarray, pick: np.ndarray) -> np.ndarray:
+    """The ragged rows `pick` of values, one after another; row i is values[at[i]:at[i] + size[i]]."""
+    n = size[pick]
+    begin = np.cumsum(n) - n
+    return values[np.arange(int(n.sum())) - np.repeat(begin - at[pick], n)]

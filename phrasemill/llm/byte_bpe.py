@@ -86,7 +86,7 @@ def _split(t: pa.Table, pattern: str):
         if not x:
             rows.append(np.zeros(0, np.int32))
         elif clean[head] and clean[tail + len(heads)].all():
-            rows.append(_gather(flat, at, size, np.concatenate(([head], tail + len(heads)))))
+            rows.append(B.gather(flat, at, size, np.concatenate(([head], tail + len(heads)))))
         else:
             rows.append(np.fromiter(map(codes.__getitem__, find(x)), np.int32))
     return ids, list(codes), rows
@@ -149,14 +149,8 @@ def _encode_words(path: str):
     return run
 
 
-def _gather(values: np.ndarray, at: np.ndarray, size: np.ndarray, pick: np.ndarray) -> np.ndarray:
-    """The ragged rows `pick` of values, one after another."""
-    n = size[pick]
-    begin = np.cumsum(n) - n
-    return values[np.arange(int(n.sum())) - np.repeat(begin - at[pick], n)]
-
-
-def _assemble(pattern: str, buckets: int):
+def _assemble(pattern: str, buckets: int, table=None):
+    """table: the token-byte table, to decode the ids in the same pass."""
     def run(key: tuple[pa.Scalar, ...], docs: pa.Table, answers: pa.Table) -> pa.Table:
         doc_ids, words, rows = _split(docs, pattern)
         order, cuts = _by_bucket(words, buckets)
@@ -170,22 +164,28 @@ def _assemble(pattern: str, buckets: int):
             parts.append(ids)
             base += len(ids)
         values = np.concatenate(parts).astype("<u4") if parts else np.zeros(0, "<u4")
-        out = [_gather(values, at, size, c).tobytes() for c in rows]
-        return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "ids": pa.array(out, pa.binary())})
+        ids = [B.gather(values, at, size, c) for c in rows]
+        out = {"doc_id": pa.array(doc_ids, pa.int64()), "ids": pa.array([x.tobytes() for x in ids], pa.binary())}
+        if table is not None:
+            tokens = table.value
+            out["decoded"] = pa.array([B.gather(*tokens, x).tobytes() for x in ids], pa.binary())
+        return pa.table(out)
     return run
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
-           block_bytes: int = BLOCK_BYTES, words_per_bucket: int = WORDS_PER_BUCKET) -> DataFrame:
-    """(doc_id, ids): ids are little-endian unsigned 32-bit numbers."""
+           block_bytes: int = BLOCK_BYTES, words_per_bucket: int = WORDS_PER_BUCKET, decoded: bool = False) -> DataFrame:
+    """(doc_id, ids): ids are little-endian unsigned 32-bit numbers.  With
+    `decoded`, also the bytes that the ids decode to, from the same pass."""
     nb = B.block_count(docs, text_col, block_bytes)
     buckets = max(1, nb * block_bytes // (24 * words_per_bucket))
     by_block = B.pack_blocks(docs, id_col, text_col, nb).groupBy("block")
     words = by_block.applyInArrow(_words(pattern, buckets), "bucket int, block int, words binary")
     answers = words.groupBy("bucket").applyInArrow(_encode_words(ranks_path),
                                                    "block int, bucket int, size binary, ids binary")
-    return by_block.cogroup(answers.groupBy("block")).applyInArrow(_assemble(pattern, buckets),
-                                                                   "doc_id long, ids binary")
+    table = docs.sparkSession.sparkContext.broadcast(token_bytes(ranks_path)) if decoded else None
+    return by_block.cogroup(answers.groupBy("block")).applyInArrow(
+        _assemble(pattern, buckets, table), "doc_id long, ids binary" + ", decoded binary" * decoded)
 
 
 def token_bytes(ranks_path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -208,7 +208,7 @@ def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: str =
         values, at, size = table.value
         for b in batches:
             ids = b.column(len(cols))
-            got = [None if x is None else _gather(values, at, size, np.frombuffer(x, "<u4")).tobytes()
+            got = [None if x is None else B.gather(values, at, size, np.frombuffer(x, "<u4")).tobytes()
                    for x in ids.to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:len(cols)], pa.array(got, pa.binary())], names=[*cols, out_col])
 

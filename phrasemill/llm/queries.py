@@ -62,8 +62,7 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = T.tokenizer("byte_bpe_50k.tiktoken")
-    ids = byte_bpe.encode(T.read(spark, sf_dir, "documents"), ranks, T.pretoken_pattern())
-    both = byte_bpe.decode(ids, ranks)
+    both = byte_bpe.encode(T.read(spark, sf_dir, "documents"), ranks, T.pretoken_pattern(), decoded=True)
     return both.select("doc_id", byte_bpe.n_ids(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))
 
