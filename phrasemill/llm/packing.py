@@ -18,6 +18,7 @@ one piece; a sequence's pieces lie gapless from offset 0.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
@@ -27,13 +28,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from phrasemill.llm import blocks as B
 from phrasemill.llm import tables as T
 
-CACHE_WORDS = 800_000
+CACHE_PIECES = 600_000
 # plain words: ASCII and precomposed Latin letters, whose lower case and normal form don't depend on their neighbours
 _LATIN = "\u00df-\u00f6\u00f8-\u012f\u0131-\u024f"
 _PLAIN = re.compile(f"[!-&(-~\u00c0-\u00d6\u00d8-\u00de{_LATIN}]+").fullmatch
-_PIECES = re.compile(f"[a-z{_LATIN}]+|[0-9]|[^a-z0-9{_LATIN}]+").findall
+_PIECES = re.compile(f"[a-z{_LATIN}]+|[0-9]|\n|[^a-z0-9{_LATIN}\n]+").findall
 # byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on
 _SELF = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _LEVEL = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SELF)}
@@ -44,40 +46,60 @@ _SCHEMA = "doc_id long, start long, length long, doc_tokens long, ids binary, se
 
 
 class WordTokens(dict):
-    """Ids of a text as little-endian unsigned 32-bit numbers, word by word.
+    """Ids of a batch of texts as little-endian unsigned 32-bit numbers.
 
     The tokenizer drops white space and nothing in it reaches across ASCII
-    white space, so a word's ids don't depend on its neighbours; each word is
-    tokenized once per worker (this dict, emptied when it is full).  Plain words
-    go to the merges directly, in the pieces that the tokenizer's own split
-    makes of them; all others, and special tokens, through the whole tokenizer."""
+    white space, so a word's ids don't depend on its neighbours: a batch's
+    distinct words (told apart by a 64-bit hash) are tokenized once and their
+    ids gathered by position.  Plain words go to the merges directly, in the
+    pieces that the tokenizer's own split makes of them (this dict keeps the
+    ids of pieces and is emptied when it is full); all others, and special
+    tokens, go through the whole tokenizer."""
 
     def __init__(self, path: str):
         super().__init__()
-        from tokenizers import Tokenizer
-        tokenizer = Tokenizer.from_file(path)
-        self.encode, self.merge, self.pieces = tokenizer.encode, tokenizer.model.tokenize, {}
-
-    def __call__(self, text: str | None) -> bytes:
-        if len(self) + len(self.pieces) > CACHE_WORDS:
+        from tokenizers import Tokenizer, models
+        self.encode = Tokenizer.from_file(path).encode
+        with open(path, encoding="utf-8") as f:
+            m = json.load(f)["model"]
+        pairs = [tuple(x.split(" ")) if isinstance(x, str) else tuple(x) for x in m["merges"]]
+        # the same merges without the library's own cache: each piece is merged once here
+        self.merge = models.BPE(vocab=m["vocab"], merges=pairs, cache_capacity=0, end_of_word_suffix=m["end_of_word_suffix"]).tokenize
+
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        if len(self) > CACHE_PIECES:
             self.clear()
-            self.pieces.clear()
-        return b"".join(map(self.__getitem__, (text or "").encode("utf-8", "replace").split()))
-
-    def __missing__(self, word: bytes) -> bytes:
-        w = word.decode()
-        if _PLAIN(w) and "<|" not in w:
-            ids = b"".join(map(self._piece, _PIECES(w.lower())))
-        else:
-            ids = np.array(self.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
-        self[word] = ids
-        return ids
-
-    def _piece(self, piece: str) -> bytes:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            level = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_LEVEL)
-            ids = self.pieces[piece] = b"".join(t.id.to_bytes(4, "little") for t in self.merge(level))
+        w = B.Words(texts, lower=True)
+        if b"<|" in w.raw:                      # special tokens are told apart by case
+            w = B.Words(texts)
+        first, word = B.distinct(w.hash)
+        words = [w.raw[s:e].decode() for s, e in zip(w.start[first].tolist(), w.end[first].tolist(), strict=True)]
+        plain = [_PLAIN(x) is not None and "<|" not in x for x in words]
+        ids, size = [], []
+        done = 0
+        for p in _PIECES("".join(x + "\n" for x, ok in zip(words, plain, strict=True) if ok).lower()):
+            if p == "\n":
+                size.append(len(ids) - done)
+                done = len(ids)
+            else:
+                ids += self[p]
+        for x, ok in zip(words, plain, strict=True):
+            if not ok:
+                own = self.encode(x, add_special_tokens=False).ids
+                ids += own
+                size.append(len(own))
+        plain = np.array(plain, bool)
+        order = np.concatenate((np.flatnonzero(plain), np.flatnonzero(~plain)))   # words as their ids lie
+        n, at = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        n[order] = size
+        at[order] = np.cumsum(size) - size if size else 0
+        out = B.gather(np.array(ids, "<u4"), at, n, word).tobytes()
+        end = 4 * np.concatenate(([0], np.cumsum(n[word])))[w.first]
+        return [out[lo:hi] for lo, hi in zip(end[:-1].tolist(), end[1:].tolist(), strict=True)]
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        level = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_LEVEL)
+        self[piece] = ids = tuple([t.id for t in self.merge(level)])
         return ids
 
 
@@ -133,9 +155,9 @@ def _pack(path: str, end_id: int, window: int, keep: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, end = TaskContext.get().partitionId(), np.array([end_id], "<u4").tobytes()
         tokens, packer = WordTokens(path), _Packer(window, keep, part << 32, part)
-        for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = tokens(text) + end
+        for b in B.small_batches(batches, 1):
+            for doc_id, ids in zip(b.column(0).to_pylist(), tokens(b.column(1).to_pylist()), strict=True):
+                ids += end
                 packer.add(doc_id, 0, ids, len(ids) // 4)
                 if len(packer.rows) >= 1000:
                     yield from packer.drain().to_batches()
