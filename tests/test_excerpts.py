@@ -12,11 +12,11 @@ from phrasemill.plans import batch as B
 from phrasemill.sources import corpus as C
 
 MASK_CASES = [
-    ("will not be matched. Pancakes are yummy", "will not be matched. are yummy"),
-    ('matched.  "First word of', 'matched.  "word of'),
-    ("Mr. Term will", "Mr. Term will"),
-    ("in America. However it", "in America. However it"),
-    ('said "No" then "Quote" and', 'said "No" then "" and'),
+    ("came that morning. Otters swam by", "came that morning. swam by"),
+    ('all day.  "Rain fell', 'all day.  "fell'),
+    ("Mr. Hollis stood", "Mr. Hollis stood"),
+    ("from Malacca. Later it", "from Malacca. Later it"),
+    ('wrote "No" then "Draft" and', 'wrote "No" then "" and'),
     (". Stop. Next one", ".  Next one"),
     ("the end! Hello", "the end! "),
     ("x. A dog", "x. A dog"),
@@ -25,7 +25,7 @@ MASK_CASES = [
 
 BOUNDARY_CASES = [
     ("One two.  Three four; five! six? Seven.", ["One two.  ", "Three four; five! ", "six? ", "Seven."]),
-    ('He saw Mr. Term. then went. "Quoted start." End', ["He saw Mr. ", "Term. then went. ", '"Quoted start." ', "End"]),
+    ('We met Mr. Hollis. then left. "Quick reply." End', ["We met Mr. ", "Hollis. then left. ", '"Quick reply." ', "End"]),
     ('Say "Hi!" he said. (Yes.) Ok... Fine', ['Say "Hi!" ', "he said. ", "(Yes.) ", "Ok... ", "Fine"]),
     ("what? lower! lower. lower", ["what? ", "lower! ", "lower. lower"]),
     ("Hi., there. 5 dogs", ["Hi., there. 5 dogs"]),
@@ -49,12 +49,11 @@ def test_sentence_boundaries(spark):
 
 
 def test_offsets_point_at_tokens(spark):
-    texts = ["This is sample text where the first word will not be matched. Pancakes are always good Pancakes will match",
-             "Mr. Term and Dr. Who. Next one! Again: Words here; U.S.A. and e.g. it's AT&T 1,000.50 www.a.com."]
+    texts = ["nobody came to the pier that morning. Otters swam while other Otters slept on the warm stones of the quay",
+             "Mr. Hollis and Dr. Who. Next one! Again: Words here; U.S.A. and e.g. it's AT&T 1,000.50 www.a.com."]
     df = spark.createDataFrame([(t,) for t in texts], "content string")
-    df = A.with_tokens(df).withColumn("_m", A.masked_token_starts(A.mask_sentence_starts(F.col("content")))) \
-        .withColumn("_c", A.mask_corrections(F.col("content")))
-    rows = df.select("content", "toks", F.transform("_m", lambda o: A.to_original_offset(o, F.col("_c"))).alias("o")).collect()
+    df = A.with_tokens(df).withColumn("_mk", A.mask_marked(F.col("content"))).withColumn("_m", A.unmark(F.col("_mk")))
+    rows = df.select("content", "toks", A.original_token_starts(F.col("_mk"), F.col("_m")).alias("o")).collect()
     for r in rows:
         for i, (tok, off) in enumerate(zip(r.toks, r.o)):
             if i == 0 or tok in ("", "\u0001"):
@@ -70,7 +69,7 @@ def docs(spark):
 
 
 def test_excerpt_contains_match(spark, docs):
-    terms = S.normalize_terms(spark.createDataFrame([(1, "priority"), (2, "Pancakes"), (3, "sentence")],
+    terms = S.normalize_terms(spark.createDataFrame([(1, "lighthouse"), (2, "Otters"), (3, "pier")],
                                                     "term_no long, term string"))
     hits = S.ranked_hits(docs, terms, limit=20).join(terms.select("term_no", "term", "n_toks", "q"), "term_no")
     for pick in ("last", "first"):
@@ -78,11 +77,11 @@ def test_excerpt_contains_match(spark, docs):
         assert rows
         for r in rows:
             assert r.content[r.ex_start:r.ex_end] == r.excerpt
-            assert r.term in r.excerpt or r.term == "sentence"
+            assert r.term in r.excerpt
 
 
 def test_run_batch_limits(spark, docs):
-    terms = spark.createDataFrame([(i, t) for i, t in enumerate(["sample", "text", "priority", "matched", "word"])],
+    terms = spark.createDataFrame([(i, t) for i, t in enumerate(["the", "old", "lighthouse", "motion", "pier"])],
                                   "term_no long, term string")
     cfg = B.SearchConfig(result_limit=3, source_cap=2, highlight_min=10, highlight_max=400)
     res = B.run_batch(docs, terms, cfg).collect()
@@ -95,23 +94,20 @@ def test_run_batch_limits(spark, docs):
     assert max(per_src.values()) <= 2
 
 
-def test_single_pass_offsets_equal_reference_path(spark, sf_dir):
+def test_offsets_of_whole_documents(spark, sf_dir):
+    """Every token of the table stands where its offset says (possessives and the blanked first token aside)."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("text").alias("content"))
-    c = F.col("content")
-    docs = (docs.withColumn("_ms", A.masked_token_starts(A.mask_sentence_starts(c)))
-            .withColumn("_cr", A.mask_corrections(c)))
-    old = F.transform("_ms", lambda o: A.to_original_offset(o, F.col("_cr")))
-    df = (docs.withColumn("_mk", A.mask_marked(c)).withColumn("_m", A.unmark(F.col("_mk")))
-          .select(old.alias("old"), A.original_token_starts(F.col("_mk"), F.col("_m")).alias("new"),
-                  (A.mask_sentence_starts(c) == F.col("_m")).alias("same_mask")))
-    rows = df.collect()
-    assert all(r.same_mask for r in rows)
-    # the old path carries one trailing null (n + 1 gaps zipped with n spans)
-    assert all(list(r.old)[:len(r.new)] == list(r.new) for r in rows)
+    df = A.with_tokens(docs).withColumn("_mk", A.mask_marked(F.col("content"))).withColumn("_m", A.unmark(F.col("_mk")))
+    rows = df.select("content", "toks", A.original_token_starts(F.col("_mk"), F.col("_m")).alias("o"),
+                     (A.mask_sentence_starts(F.col("content")) == F.col("_m")).alias("same_mask")).collect()
+    assert rows and all(r.same_mask for r in rows)
+    for r in rows:
+        assert len(r.o) == len(r.toks) and list(r.o) == sorted(r.o)
+        assert all(r.content.startswith(t, o) for t, o in zip(r.toks, r.o) if t not in ("", "\u0001"))
 
 
 def test_excerpts_same_without_broadcast(spark, docs):
-    terms = S.normalize_terms(spark.createDataFrame([(1, "priority"), (2, "sample text"), (3, "word")],
+    terms = S.normalize_terms(spark.createDataFrame([(1, "lighthouse"), (2, "the old"), (3, "pier")],
                                                     "term_no long, term string"))
     hits = S.ranked_hits(docs, terms, limit=20).join(terms.select("term_no", "term", "n_toks", "q"), "term_no")
     key = lambda r: (r.term_no, r.line_no, r.ex_start, r.ex_end, r.excerpt)
@@ -122,7 +118,7 @@ def test_excerpts_same_without_broadcast(spark, docs):
 
 def test_hot_document_chunks(spark, docs, monkeypatch):
     terms = S.normalize_terms(spark.createDataFrame([(i, t) for i, t in enumerate(
-        ["sample", "text", "is", "where", "a", "term", "This is", "sample text", "will", "match"])],
+        ["the", "old", "ferry", "a", "on", "of", "the old", "on the", "at", "pump"])],
         "term_no long, term string"))
     hits = S.ranked_hits(docs, terms, limit=20).join(terms.select("term_no", "term", "n_toks", "q"), "term_no")
     key = lambda r: (r.term_no, r.line_no, r.ex_start, r.ex_end, r.excerpt)

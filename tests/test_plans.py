@@ -19,7 +19,7 @@ def _docs(spark):
 
 
 def _terms(spark):
-    return S.normalize_terms(spark.createDataFrame([(1, "priority"), (2, "two words"), (3, "slop hyphen term")],
+    return S.normalize_terms(spark.createDataFrame([(1, "lighthouse"), (2, "apple trees"), (3, "up and down")],
                                                    "term_no long, term string"))
 
 

@@ -30,7 +30,7 @@ def test_format_columns_stop_after(spark):
 def test_usage_feeds_doc_match_count(spark):
     lines = spark.createDataFrame([(i + 1, r) for i, r in enumerate(TEST_CORPUS)], "line_no long, raw string")
     docs, _ = B.build_index(lines)
-    terms = S.normalize_terms(spark.createDataFrame([(1, "priority")], "term_no long, term string"))
+    terms = S.normalize_terms(spark.createDataFrame([(1, "lighthouse")], "term_no long, term string"))
     base = {r.line_no: r.final_score for r in S.ranked_hits(docs, terms, formula="_score / docMatchCount").collect()}
     docid = docs.filter("line_no = 18").first().docid
     usage = spark.createDataFrame([(docid, 3)], "docid long, n long")
