@@ -1,6 +1,6 @@
 """Text analysis as Spark column expressions (TXT-1..6).
 
-Content goes through four steps, all JVM-side built-ins:
+Content goes through four steps; 1 to 3 are JVM-side built-ins:
 
 1. ``mask_sentence_starts``: delete capitalised sentence-initial words
    (one ``regexp_replace`` with the Java pattern, look-behind included).
@@ -9,10 +9,10 @@ Content goes through four steps, all JVM-side built-ins:
 3. ``tokens_from_spans``: fix the dotted forms, strip possessives, replace
    over-long tokens by a sentinel that keeps their position, blank the first
    token of the document.
-4. offsets (only where an excerpt is needed): gaps between tokens come from a
-   ``split`` with the same grammar; prefix sums turn gap and span lengths into
-   start offsets, and the mask's own match list maps masked offsets back to
-   the original content.
+4. offsets: gaps between tokens come from a ``split`` with the same grammar;
+   prefix sums turn gap and span lengths into start offsets, and the mask's own
+   match list maps masked offsets back to the original content (Spark has no
+   prefix sum over an array: numpy over whole Arrow batches).
 """
 
 from __future__ import annotations
@@ -25,17 +25,6 @@ from pyspark.sql import types as T
 
 from phrasemill.functions import patterns as P
 
-# The two pandas UDFs below travel with the tasks by value, so executors need
-# numpy/pandas only, not this package on their path.
-try:
-    import sys as _sys
-
-    from pyspark import cloudpickle as _cloudpickle
-    _cloudpickle.register_pickle_by_value(_sys.modules[__name__])
-except Exception:  # older cloudpickle: the package must then be shipped with --py-files
-    pass
-
-
 def mask_sentence_starts(content: Column) -> Column:
     return F.regexp_replace(content, P.MASK_JAVA, P.MASK_REPLACEMENT_JAVA)
 
@@ -75,12 +64,6 @@ def blank_first(texts: Column) -> Column:
     return F.when(f > 0, blanked).otherwise(texts)
 
 
-def analyze(content: Column) -> Column:
-    """content -> array<string> of index tokens (single expression; prefer
-    ``with_tokens``, which evaluates the token texts once)."""
-    return tokens_from_spans(token_spans(mask_sentence_starts(content)))
-
-
 def with_tokens(df: DataFrame, content: str = "content", out: str = "toks") -> DataFrame:
     """Add index tokens and their field length.  The token texts get their
     own projection: the blanking step reads them several times, and Spark
@@ -103,11 +86,29 @@ def field_length(toks: Column) -> Column:
 # ---------------------------------------------------------------------------
 # Offsets (TXT-6).
 
+def _flat(arrays: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a batch of arrays one after another, and each array's length (null: 0)."""
+    size = arrays.map(len, na_action="ignore").fillna(0).to_numpy(np.int64)
+    full = [a for a in arrays if a is not None]
+    return (np.concatenate(full) if full else np.zeros(0)).astype(np.int64), size
+
+
+def _sums(values: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Inclusive prefix sums within each array."""
+    total = np.concatenate(([0], np.cumsum(values)))
+    before = np.cumsum(size) - size
+    return total[1:] - np.repeat(total[before], size)
+
+
+def _arrays(values: np.ndarray, size: np.ndarray) -> pd.Series:
+    return pd.Series(np.split(values.astype(np.int32), np.cumsum(size)[:-1]) if len(size) else [])
+
+
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
 def array_cumsum(arrs: pd.Series) -> pd.Series:
-    """Inclusive prefix sums of int arrays (Spark has no linear-time array
-    scan; this is an Arrow-batched numpy helper)."""
-    return arrs.map(lambda a: None if a is None else np.cumsum(np.asarray(a, dtype=np.int64)).astype(np.int32))
+    """Inclusive prefix sums of int arrays."""
+    values, size = _flat(arrs)
+    return _arrays(_sums(values, size), size).where(arrs.notna().to_numpy(), None)
 
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
@@ -119,20 +120,21 @@ def _original_starts(tok_piece_len: pd.Series, kept_len: pd.Series, removed_len:
     it), so the masked starts are prefix sums.  ``kept_len``/``removed_len``: per mask
     match, masked-text length up to and including its kept part, and the
     removed length; a sorted search maps each masked start to the removals
-    before it."""
-    out = []
-    for tp, kp, rm in zip(tok_piece_len, kept_len, removed_len):
-        tp = np.asarray(tp, dtype=np.int64)
-        if len(tp) <= 1:
-            out.append(np.zeros(0, dtype=np.int32))
-            continue
-        mstarts = np.cumsum(tp[:-1])
-        at = np.cumsum(np.asarray(kp, dtype=np.int64))
-        shift = np.cumsum(np.asarray(rm, dtype=np.int64))
-        idx = np.searchsorted(at, mstarts, side="right") - 1
-        fix = shift[np.maximum(idx, 0)] * (idx >= 0) if len(shift) else 0
-        out.append((mstarts + fix).astype(np.int32))
-    return pd.Series(out)
+    before it.  One search serves the batch: keys are (row, offset)."""
+    pieces, n_pieces = _flat(tok_piece_len)
+    kept, n_kept = _flat(kept_len)
+    removed, _ = _flat(removed_len)
+    row = np.repeat(np.arange(len(n_pieces)), n_pieces)
+    last = np.zeros(len(pieces), bool)
+    last[np.cumsum(n_pieces)[n_pieces > 0] - 1] = True
+    start, row = _sums(pieces, n_pieces)[~last], row[~last]
+    at_row = np.repeat(np.arange(len(n_kept)), n_kept)
+    at, shift = _sums(kept, n_kept), _sums(removed, n_kept)
+    found = np.searchsorted((at_row << 32) + at, (row << 32) + start, side="right") - 1
+    if len(at):
+        mine = (found >= 0) & (at_row[found] == row)
+        start = start + np.where(mine, shift[found], 0)
+    return _arrays(start, np.maximum(n_pieces - 1, 0))
 
 
 def mask_marked(content: Column) -> Column:
@@ -159,47 +161,12 @@ def original_token_starts(marked: Column, masked: Column) -> Column:
     return _original_starts(tok_len, kept, removed)
 
 
-# The three functions below are the step-by-step formulation of the same
-# offsets (masked starts, mask corrections, mapping); the tests use them as
-# the reference that ``original_token_starts`` must reproduce.
-
-def masked_token_starts(masked: Column) -> Column:
-    """Start offset (0-based, in the masked text) of every token span.
-
-    masked = gap0 span0 gap1 span1 ... so start_i = sum(gap_0..i) + sum(span_0..i-1).
-    """
-    gaps = F.split(masked, P.TOKEN_RE_JAVA, -1)
-    spans = token_spans(masked)
-    step = F.zip_with(gaps, spans, lambda g, s: F.length(g) + F.coalesce(F.length(s), F.lit(0)))
-    ends = array_cumsum(step)
-    # start_i = ends_i - len(span_i)
-    return F.zip_with(ends, spans, lambda e, s: e - F.length(s))
-
-
-def mask_corrections(content: Column) -> Column:
-    """(at, shift) pairs of the mask, in masked coordinates: an offset o of the
-    masked text maps to o + shift of the last pair with at <= o."""
-    pieces = F.split(content, P.MASK_JAVA, -1)
-    whole = F.regexp_extract_all(content, F.lit(P.MASK_JAVA), F.lit(0))
-    kept1 = F.regexp_extract_all(content, F.lit(P.MASK_JAVA), F.lit(1))
-    kept2 = F.regexp_extract_all(content, F.lit(P.MASK_JAVA), F.lit(2))
-    kept = F.zip_with(kept1, kept2, lambda a, b: F.length(a) + F.length(b))
-    removed = F.zip_with(whole, kept, lambda w, k: F.length(w) - k)
-    # output position after replacement k = sum(piece_0..k) + sum(kept_0..k)
-    out_step = F.zip_with(F.slice(pieces, 1, F.size(whole)), kept, lambda p, k: F.length(p) + k)
-    at = array_cumsum(out_step)
-    shift = array_cumsum(removed)
-    return F.arrays_zip(at.alias("at"), shift.alias("shift"))
-
-
-def to_original_offset(masked_offset: Column, corrections: Column) -> Column:
-    last = F.try_element_at(F.filter(corrections, lambda c: c["at"] <= masked_offset), F.lit(-1))
-    return masked_offset + F.coalesce(last["shift"], F.lit(0))
+def sentence_pieces(content: Column) -> Column:
+    """The content cut at its sentence boundaries."""
+    return F.split(F.regexp_replace(content, P.SENTENCE_END_JAVA, "$0" + P.MARK), P.MARK, -1)
 
 
 def sentence_boundaries(content: Column) -> Column:
     """Sorted sentence boundaries including 0 and the content length."""
-    marked = F.regexp_replace(content, P.SENTENCE_END_JAVA, "$0" + P.MARK)
-    pieces = F.split(marked, P.MARK, -1)
-    lens = F.transform(pieces, lambda p: F.length(p))
+    lens = F.transform(sentence_pieces(content), lambda p: F.length(p))
     return F.array_distinct(F.concat(F.array(F.lit(0)), array_cumsum(lens)))

@@ -61,6 +61,7 @@ MARK2 = "\ue001"
 # longer abbreviation wins), mask without the look-behind, restore periods.
 ABBREV_PROTECT_RE2 = "(" + _abbrev_alternation(sorted(ABBREVIATIONS, key=len, reverse=True)) + r")\."
 MASK_RE2 = r'("|!|\?|\.|;|:)(' + WS + r"*)[A-Z]" + WORD + r"+[^" + '"' + r"']"
+MASK_3_RE2 = r'("|!|\?|\.|;|:)(' + WS + r"*)([A-Z]" + WORD + r"+[^" + '"' + r"'])"
 
 # Token grammar (ordered alternation; longer forms first so the first
 # alternative that matches is also the longest one in ordinary prose).
@@ -113,13 +114,21 @@ SENTENCE_END_JAVA = (
     + _SP + r"(?=" + _ST + r"*[\p{Lu}\p{Lt}\p{Lo}])|" + _SP + r"(?=[#*<&\-(\[\x{BF}]))"
 )
 
+# RE2 has no look-ahead: what follows a boundary is captured (groups 3 and 5)
+# and written back after the mark.  It can never begin another boundary, except
+# a period or the like after two blanks, which a second pass handles.
+SENTENCE_1_RE2 = (
+    r"(\.*[!?\x{3002}][.!?\x{3002}]*" + _CL + "*" + _SP + r"*|\.+" + _CL + r"*\x{2029})"
+    + r"|(\.+" + _CL + "*" + _SP + r"{2,})([^ \t\n\x0B\f\r,;:.!?\x{3002}])"
+    + r"|(\.+" + _CL + "*" + _SP + ")(" + _ST + r"*[\p{Lu}\p{Lt}\p{Lo}]|[#*<&\-(\[\x{BF}])"
+)
+SENTENCE_2_RE2 = r"(\.+" + _CL + "*" + _SP + r"{2,})([.!?\x{3002}])"
+
 # Character classes for excerpt scoring (Java names; RE2 equivalents below).
 LOWER_FIRST_JAVA = r"^\p{javaLowerCase}"
 UPPER_JAVA = r"\p{javaUpperCase}"
 PUNCT = r"[\p{Pc}\p{Ps}\p{Pe}\p{Po}]"
 DIGIT = r"\p{Nd}"
-LOWER_FIRST_RE2 = r"^\p{Ll}"
-UPPER_RE2 = r"\p{Lu}"
 
 
 def sql_str(s: str) -> str:
