@@ -9,9 +9,9 @@ L_last rows per term, so a term with millions of hits costs no more than any
 other once the top-N limit has been applied.
 
 The source quota is a deferred-acceptance fixpoint (RNK-5): every term
-proposes its best K candidates not yet rejected, every source keeps its first
-``cap`` proposals in term order and rejects the rest for good; repeat until
-nothing is rejected.  With one priority order shared by all sources this
+proposes its best K candidates not yet rejected; a source with more than
+``cap`` proposals rejects, for good, every candidate behind its cap-th in term
+order; repeat until no source is overfull.  With one priority order shared by all sources this
 equals the serial walk (terms in order, each taking its next candidate whose
 source still has room).
 """
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from phrasemill.session import cut_lineage
+from phrasemill.session import cut_lineage, top_per_group
 
 
 def expansion_limits(match_limit: int = 20, iterations: int = 3, factor: float = 2.0,
@@ -77,55 +77,46 @@ def apply_source_quota(cands: DataFrame, result_limit: int = 5, source_cap: int
     emissions and lowers the remaining room of a source.
 
     Every round is a bounded amount of work: proposals are at most
-    result_limit per term, and each source's first ``cap`` proposals come from
-    a per-source top-k that Spark limits inside each task before the shuffle,
-    so a source holding a third of all proposals never lands whole in one
-    task.  Rejections are cut from the lineage with a reliable checkpoint.
-
-    The loop ends on its own: every round that does not stop rejects at least
-    one candidate for good, so there are at most as many rounds as
-    candidates.  ``max_rounds`` is an optional guard; none by default."""
-    spark = cands.sparkSession
+    result_limit per term, and a source's first ``cap`` of them come from a
+    top-k that Spark limits inside each task.  The state is one row per full
+    source: its last acceptable candidate.  A source that is full keeps that
+    or a better one for good, so everything behind it is rejected at once.
+
+    The loop ends on its own: every round that does not stop moves a cutoff
+    forward.  ``max_rounds`` is an optional guard; none by default."""
     base = cands.select("term_no", "ex_rank", "docid")
     if usage is not None:
-        room = usage.groupBy("docid").agg(F.sum("n").alias("_used"))
-        base = base.join(room, "docid", "left").fillna({"_used": 0})
-        base = base.withColumn("_room", F.greatest(F.lit(source_cap) - F.col("_used"), F.lit(0))).drop("_used")
+        used = usage.groupBy("docid").agg(F.sum("n").alias("_used"))
+        base = base.join(used, "docid", "left").withColumn(
+            "_room", F.greatest(F.lit(source_cap) - F.coalesce("_used", F.lit(0)), F.lit(0))).drop("_used")
     else:
         base = base.withColumn("_room", F.lit(source_cap))
-    wt = Window.partitionBy("term_no").orderBy("ex_rank")
-    ws = Window.partitionBy("docid").orderBy("term_no", "ex_rank")
-    # Cheap test first: if no source receives more first-round proposals than
-    # it has room for, the first K per term are the answer.
-    first = base.withColumn("_k", F.row_number().over(wt)).filter(F.col("_k") <= result_limit)
-    over = (first.groupBy("docid").agg(F.count(F.lit(1)).alias("_c"), F.min("_room").alias("_room"))
-            .filter(F.col("_c") > F.col("_room")))
-    if over.isEmpty():
-        return cands.join(first.select("term_no", "ex_rank"), ["term_no", "ex_rank"], "left_semi")
+    best = [F.col("ex_rank")]
     base = cut_lineage(base)
-    rejected = spark.createDataFrame([], "term_no long, ex_rank int")
-    rounds = 0
+    cutoffs, rounds = None, 0
     while True:
         rounds += 1
         if max_rounds is not None and rounds > max_rounds:
             raise RuntimeError(f"source quota did not converge in {max_rounds} rounds")
-        live = base.join(rejected, ["term_no", "ex_rank"], "left_anti")
-        prop = live.withColumn("_k", F.row_number().over(wt)).filter(F.col("_k") <= result_limit).drop("_k")
-        # The literal bound lets Spark keep only the first ``cap`` rows per
-        # source inside each task (WindowGroupLimit); the room check is exact.
-        kept = (prop.withColumn("_s", F.row_number().over(ws)).filter(F.col("_s") <= source_cap)
-                .filter(F.col("_s") <= F.col("_room")))
-        new_rej = cut_lineage(prop.join(kept.select("term_no", "ex_rank"), ["term_no", "ex_rank"], "left_anti")
-                              .select("term_no", F.col("ex_rank").cast("int").alias("ex_rank")))
-        if new_rej.isEmpty():
-            break
-        # Rejections are final; each round's set is already checkpointed, so
-        # the union's lineage stays one short step per round, and it is
-        # folded into a single checkpoint every 10 rounds.
-        rejected = rejected.unionByName(new_rej)
-        if rounds % 10 == 0:
-            rejected = cut_lineage(rejected)
-    return cands.join(prop.select("term_no", "ex_rank"), ["term_no", "ex_rank"], "left_semi")
+        live = base
+        if cutoffs is not None:
+            live = live.join(cutoffs, "docid", "left").filter(
+                F.col("_last").isNull() | (F.struct("term_no", "ex_rank") <= F.col("_last"))).drop("_last")
+        proposed = cut_lineage(top_per_group(live, ["term_no"], best, result_limit, "_k").drop("_k"))
+        full = (proposed.groupBy("docid").agg(F.count(F.lit(1)).alias("_n"), F.min("_room").alias("_r"))
+                .filter(F.col("_n") > F.col("_r")).select("docid"))
+        # the room-th proposal of an overfull source; none is before (-1, -1)
+        ranked = top_per_group(proposed.join(full, "docid", "left_semi"), ["docid"],
+                               [F.col("term_no"), F.col("ex_rank")], source_cap + 1, "_s")
+        at_room = F.when(F.col("_s") == F.col("_room"), F.struct("term_no", "ex_rank"))
+        nothing = F.struct(F.lit(-(2 ** 63)).cast("long").alias("term_no"), F.lit(-1).alias("ex_rank"))
+        new = ranked.groupBy("docid").agg(F.coalesce(F.max(at_room), nothing).alias("_last"))
+        new = cut_lineage(new)
+        if new.isEmpty():
+            return cands.join(proposed.select("term_no", "ex_rank"), ["term_no", "ex_rank"], "left_semi")
+        # a source's cutoff only moves forward in priority, so the latest one holds
+        cutoffs = new if cutoffs is None else cut_lineage(
+            cutoffs.join(new, "docid", "left_anti").unionByName(new))
 
 
 def source_usage(results: DataFrame, usage: DataFrame | None = None) -> DataFrame:

@@ -9,10 +9,7 @@ session, and a broadcast that is only taken when the side is proven small.
 
 from __future__ import annotations
 
-import os
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 DEFAULT_CONF = {
@@ -52,9 +49,8 @@ def get_session(master: str | None = None, app: str = "phrasemill",
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the folder must be set by the deployment (a shared file
-    system); only a local-mode session without one gets a private scratch
-    folder, which is what tests and the bench use.
+    The folder must be set by the deployment (a shared file system); this
+    library sets none of its own.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
@@ -62,12 +58,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
-    if not sc.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-    path = tempfile.mkdtemp(prefix="phrasemill-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    spark.conf.set("spark.checkpoint.dir", path)
-    sc.setCheckpointDir(path)
-    return path
+    if sc.master == "local" or sc.master.startswith("local["):
+        # one process, nothing is shared: beside the session's warehouse
+        path = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-checkpoints"
+        sc.setCheckpointDir(path)
+        return path
+    raise RuntimeError("spark.checkpoint.dir must name a shared folder")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -101,3 +97,22 @@ def maybe_broadcast(df: DataFrame, string_cols: list[str], max_bytes: int | None
     if size <= cap:
         return F.broadcast(df), True
     return df, False
+
+
+# Above this many rows per group Spark plans no group limit inside the tasks.
+GROUP_LIMIT = 1000
+
+
+def top_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int, name: str) -> DataFrame:
+    """The first ``n`` rows of each group, numbered from 1 in column ``name``.
+
+    Up to GROUP_LIMIT rows, Spark keeps only the first n of a group inside
+    each task.  Beyond, a first ranking per group and salt cuts every salt to
+    n rows, so a hot group is never sorted whole in one task."""
+    if n > GROUP_LIMIT:
+        salt = F.pmod(F.xxhash64(*[c for c in df.columns if c not in keys]), F.lit(64))
+        few = Window.partitionBy(*keys, "_salt").orderBy(*order)
+        df = (df.withColumn("_salt", salt).withColumn("_part", F.row_number().over(few))
+              .filter(F.col("_part") <= n).drop("_salt", "_part"))
+    whole = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn(name, F.row_number().over(whole)).filter(F.col(name) <= n)
