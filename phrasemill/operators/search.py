@@ -1,9 +1,9 @@
 """Phrase search (QRY-1..9), set-at-a-time.
 
 All terms are matched in one pass: every document's token array is cut into
-n-grams of each distinct term length (a handful of lengths, the only thing
-collected to the driver), and the n-grams are equi-joined with the terms on
-``(n_toks, phrase)``.  When the term table is small enough (measured), it is
+n-grams of up to three tokens, and the n-grams are equi-joined with the terms'
+first tokens on ``(n_toks, phrase)``; longer terms are compared whole on the
+candidates that this leaves.  When the term table is small enough (measured), it is
 broadcast and the n-grams are never shuffled: they stream through a hash
 probe that drops all non-matching rows inside the scan stage.  Otherwise the
 join shuffles on the phrase and AQE splits hot phrases.
@@ -15,26 +15,32 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from phrasemill.functions import patterns as P
+from phrasemill.functions.formula import DEFAULT_FORMULA, sql_formula, validate
 from phrasemill.operators import index as IDX
-from phrasemill.session import cut_lineage, maybe_broadcast
+from phrasemill.session import cut_lineage, maybe_broadcast, top_per_group
 
-# Default formula: the reference divides relevance by the document score;
-# a score of 0 gives +Infinity there (float division), so it ranks first.
-DEFAULT_FORMULA = "coalesce(try_divide(_score, score), double('Infinity'))"
 SCORE_ROUND = 9
+KEY_TOKENS = 3   # tokens of a term that the n-gram join matches; the rest is compared on candidates
 
 
-def normalize_terms(terms: DataFrame) -> DataFrame:
-    """QRY-1: '-' -> ' ', '.' removed, split on single spaces (trailing empty
-    pieces dropped).  Leading/trailing spaces are trimmed; a term without
-    tokens never matches.  Adds phrase, toks, n_toks, q (raw term length)."""
-    norm = F.replace(F.replace(F.col("term"), F.lit("-"), F.lit(" ")), F.lit("."), F.lit(""))
-    phrase = F.trim(norm)
+def normalize_terms(terms: DataFrame, acronyms: bool = False) -> DataFrame:
+    """QRY-1: '-' -> ' ', '.' removed, split on single spaces.  Leading and
+    trailing spaces are trimmed; a term without tokens keeps its row, with
+    n_toks 0, and never matches.  Adds phrase, toks, n_toks, q (raw term
+    length).  ``acronyms`` keeps the periods of words like ``U.S.A.``, as the
+    index does."""
+    bare = F.trim(F.replace(F.col("term"), F.lit("-"), F.lit(" ")))
+
+    def word(w: Column) -> Column:
+        plain = F.replace(w, F.lit("."), F.lit(""))
+        return F.when(w.rlike(P.ACRONYM_RE), w).otherwise(plain) if acronyms else plain
+
+    phrase = F.trim(F.array_join(F.transform(F.split(bare, " ", -1), word), " "))
     return (terms.withColumn("phrase", phrase)
-            .withColumn("toks", F.split(F.col("phrase"), " ", -1))
+            .withColumn("toks", F.when(F.col("phrase") == "", F.array().cast("array<string>"))
+                        .otherwise(F.split(F.col("phrase"), " ", -1)))
             .withColumn("n_toks", F.size("toks"))
-            .withColumn("q", F.length("term"))
-            .filter(F.col("phrase") != ""))
+            .withColumn("q", F.length("term")))
 
 
 def all_shingles(docs: DataFrame, lengths: list[int], cols: list[str], keep_first: bool = False) -> DataFrame:
@@ -63,21 +69,26 @@ def phrase_hits(docs: DataFrame, terms: DataFrame, carry: tuple[str, ...] = ("n_
 
     ``terms`` must be normalised.  ``carry`` document columns ride along so
     that ranking needs no second join with the document table.  The n-grams
-    of all term lengths come from one scan of the index and meet the terms
-    in one join."""
-    lengths = sorted(r["n_toks"] for r in terms.select("n_toks").distinct().collect())
+    of all lengths come from one scan of the index and meet the terms in one
+    join."""
+    terms = terms.filter("n_toks > 0")
+    lengths = [r["n"] for r in terms.select(F.least("n_toks", F.lit(KEY_TOKENS)).alias("n")).distinct().collect()]
+    longer = not terms.filter(F.col("n_toks") > KEY_TOKENS).isEmpty()
     if not lengths:
         return docs.sparkSession.createDataFrame(
             [], "term_no long, line_no long, tf long, starts array<int>, n_tokens int, score double, docid long")
-    keyed = terms.select("term_no", "n_toks", "phrase")
+    # A term meets the n-grams with its first KEY_TOKENS tokens, however long it is.
+    key = F.array_join(F.slice("toks", 1, KEY_TOKENS), " ")
+    keyed = terms.select("term_no", F.col("n_toks").alias("_len"), F.least("n_toks", F.lit(KEY_TOKENS)).alias("n_toks"),
+                         key.alias("phrase"))
     if terms_small is None:
         keyed, small = maybe_broadcast(keyed, ["phrase"], max_broadcast_bytes)
     else:
         keyed, small = (F.broadcast(keyed), True) if terms_small else (keyed, False)
     cols = ["line_no", *carry]
-    grams = all_shingles(docs, lengths, cols, keep_first=not small)
+    grams = all_shingles(docs, sorted(lengths), cols, keep_first=not small)
     if small:
-        matched = grams.join(keyed, ["n_toks", "phrase"]).select("term_no", *cols, "pos")
+        matched = grams.join(keyed, ["n_toks", "phrase"]).select("term_no", *cols, "pos", "_len")
     else:
         # QRY-3 candidate pruning: the distinct first tokens of the terms are
         # far fewer than the terms; n-grams whose first token is not among
@@ -89,7 +100,14 @@ def phrase_hits(docs: DataFrame, terms: DataFrame, carry: tuple[str, ...] = ("n_
         # shuffle, so a hot one-word phrase moves one row per document.
         grams = grams.groupBy(*cols, "n_toks", "phrase").agg(F.collect_list("pos").alias("_ps"))
         matched = (grams.join(keyed, ["n_toks", "phrase"])
-                   .select("term_no", *cols, F.explode("_ps").alias("pos")))
+                   .select("term_no", *cols, F.explode("_ps").alias("pos"), "_len"))
+    if longer:
+        # Candidates of longer terms are compared whole.
+        want = terms.select("term_no", F.col("toks").alias("_want"))
+        whole = (matched.filter(F.col("_len") > KEY_TOKENS).join(want, "term_no")
+                 .join(docs.select("line_no", "toks"), "line_no")
+                 .filter(F.slice("toks", F.col("pos") + 1, F.col("_len")) == F.col("_want")))
+        matched = matched.filter(F.col("_len") <= KEY_TOKENS).unionByName(whole.select(*matched.columns))
     return (matched.groupBy("term_no", *cols)
             .agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("pos")).alias("starts")))
 
@@ -113,7 +131,7 @@ def bm25(tf: Column, dl: Column, idf: Column, avgdl: float, k1: float = P.BM25_K
 def formula_score(formula: str) -> Column:
     """QRY-5: a Spark SQL expression over _score, score, docid, docMatchCount;
     negative and NaN results become 0."""
-    x = F.expr(formula).cast("double")
+    x = F.expr(sql_formula(formula)).cast("double")
     x = F.when(F.isnan(x) | x.isNull(), F.lit(0.0)).otherwise(x)
     return F.round(F.greatest(x, F.lit(0.0)), SCORE_ROUND)
 
@@ -124,7 +142,9 @@ def ranked_hits(docs: DataFrame, terms: DataFrame, formula: str = DEFAULT_FORMUL
     """QRY-2..6: (term_no, line_no, tf, starts, n_tokens, score, docid, idf,
     n_hits, bm25, final_score, rank), rank by final_score desc then line_no.
 
-    ``usage`` (docid, n) gives docMatchCount = 1 + n (RNK-6)."""
+    ``usage`` (docid, n) gives docMatchCount = 1 + n (RNK-6).  An invalid
+    formula raises before anything is read."""
+    validate(docs.sparkSession, formula)
     n_docs, avgdl = stats if stats is not None else IDX.corpus_stats(docs)
     # One size check of the term table decides both broadcasts below: the
     # per-term table has at most one narrower row per term.
@@ -139,17 +159,16 @@ def ranked_hits(docs: DataFrame, terms: DataFrame, formula: str = DEFAULT_FORMUL
     hits = hits.join(F.broadcast(per_term) if small else per_term, "term_no")
     hits = hits.withColumn("bm25", bm25(F.col("tf"), F.col("n_tokens"), F.col("idf"), avgdl))
     if usage is not None:
-        hits = hits.join(usage.select("docid", (F.col("n") + 1).cast("double").alias("docMatchCount")),
-                         "docid", "left").fillna({"docMatchCount": 1.0})
+        used = usage.groupBy("docid").agg((F.sum("n") + 1).cast("double").alias("docMatchCount"))
+        hits = hits.join(used, "docid", "left").fillna({"docMatchCount": 1.0})
     else:
         hits = hits.withColumn("docMatchCount", F.lit(1.0))
     hits = (hits.withColumn("_score", F.col("bm25"))
             .withColumn("final_score", formula_score(formula)).drop("_score"))
-    w = Window.partitionBy("term_no").orderBy(F.desc("final_score"), F.asc("line_no"))
-    ranked = hits.withColumn("rank", F.row_number().over(w))
+    order = [F.desc("final_score"), F.asc("line_no")]
     if limit is not None:
-        ranked = ranked.filter(F.col("rank") <= limit)
-    return ranked
+        return top_per_group(hits, ["term_no"], order, limit, "rank")
+    return hits.withColumn("rank", F.row_number().over(Window.partitionBy("term_no").orderBy(*order)))
 
 
 def term_summary(terms: DataFrame, hits: DataFrame) -> DataFrame:

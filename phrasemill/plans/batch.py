@@ -8,11 +8,12 @@ quota-limited results (SNK-1 rows) and an explanation per result.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from phrasemill.functions.formula import validate
 from phrasemill.operators import excerpt as EX
 from phrasemill.operators import index as IDX
 from phrasemill.operators import ranking as RK
@@ -69,16 +70,20 @@ class SearchConfig:
 def scored_excerpts(docs: DataFrame, terms: DataFrame, cfg: SearchConfig = SearchConfig(),
                     usage: DataFrame | None = None) -> DataFrame:
     """Every hit within the last expansion limit, with its excerpt and
-    excerpt score (penalty null = skipped, see skip_reason)."""
+    excerpt score (penalty null = skipped, see skip_reason).  Equal terms are
+    searched once; their rows are given to each of them at the end."""
     limits = RK.expansion_limits(cfg.match_limit, cfg.expand_iterations, cfg.expand_factor, cfg.expand)
-    ranked = S.ranked_hits(docs, terms, formula=cfg.formula, limit=max(limits), usage=usage,
+    same = terms.filter("n_toks > 0").select("term_no", "term")
+    once = terms.join(same.groupBy("term").agg(F.min("term_no").alias("term_no")), ["term", "term_no"])
+    ranked = S.ranked_hits(docs, once, formula=cfg.formula, limit=max(limits), usage=usage,
                            max_broadcast_bytes=cfg.max_broadcast_bytes)
-    ranked = ranked.join(terms.select("term_no", "term", "n_toks", "q"), "term_no")
+    ranked = ranked.join(once.select("term_no", "term", "n_toks", "q"), "term_no")
     ranked = cut_lineage(ranked)
     ex = EX.excerpts(docs, ranked, cfg.highlight_min, cfg.highlight_max, cfg.passage_pick,
                      cfg.max_broadcast_bytes)
     sc = SC.score_excerpts(F.col("excerpt"), F.col("term"), cfg.excerpt_scoring())
-    return ex.withColumn("_sc", sc).select("*", "_sc.*").drop("_sc")
+    scored = ex.withColumn("_sc", sc).select("*", "_sc.*").drop("_sc", "term_no")
+    return scored.join(same, "term")
 
 
 EXPLAIN_COLUMNS = ["tf", "n_tokens", "idf", "bm25", "docMatchCount", "n_hits", "ex_start", "ex_end"]
@@ -91,18 +96,48 @@ def run_batch(docs: DataFrame, terms_raw: DataFrame, cfg: SearchConfig = SearchC
     at most ``source_cap`` per source over the whole batch.
 
     ``explain`` (RNK-7) adds the relevance breakdown (tf, field length, idf,
-    bm25, docMatchCount, total hits) and the excerpt offsets; the reasons
-    for skipped excerpts are in ``scored_excerpts`` (skip_reason)."""
+    bm25, docMatchCount, total hits) and the excerpt offsets; ``explain_batch``
+    has the same for every excerpt that did not become a result, and why."""
+    validate(docs.sparkSession, cfg.formula)
     terms = S.normalize_terms(terms_raw)
-    limits = RK.expansion_limits(cfg.match_limit, cfg.expand_iterations, cfg.expand_factor, cfg.expand)
     scored = cut_lineage(scored_excerpts(docs, terms, cfg, usage))
+    return _results(scored, cfg, usage, explain)
+
+
+def _results(scored: DataFrame, cfg: SearchConfig, usage: DataFrame | None, explain: bool) -> DataFrame:
+    limits = RK.expansion_limits(cfg.match_limit, cfg.expand_iterations, cfg.expand_factor, cfg.expand)
     cands = RK.order_excerpts(RK.select_round(scored, limits, cfg.match_limit, cfg.expand_mode))
     if cfg.source_cap is None:
         chosen = RK.limit_results(cands, cfg.result_limit)
     else:
         chosen = RK.apply_source_quota(cands, cfg.result_limit, cfg.source_cap, usage)
-    from pyspark.sql import Window
     w = Window.partitionBy("term_no").orderBy("ex_rank")
     cols = ["term_no", "result_no", "term", "excerpt", "title", "docid", "line_no", "rank",
             "round", "penalty", "final_score"] + (EXPLAIN_COLUMNS if explain else [])
     return chosen.withColumn("result_no", F.row_number().over(w)).select(*cols)
+
+
+def explain_batch(docs: DataFrame, terms_raw: DataFrame, cfg: SearchConfig = SearchConfig(),
+                  usage: DataFrame | None = None) -> DataFrame:
+    """RNK-7: every excerpt within the last expansion limit with the breakdown
+    of its relevance, what each criterion gave it, and its outcome: 'result',
+    its skip_reason, 'not in round' (beyond the round the search stopped at),
+    'quota' (its source was full), or 'limit' (enough better ones)."""
+    terms = S.normalize_terms(terms_raw)
+    scored = cut_lineage(scored_excerpts(docs, terms, cfg, usage))
+    limits = RK.expansion_limits(cfg.match_limit, cfg.expand_iterations, cfg.expand_factor, cfg.expand)
+    key = ["term_no", "line_no"]
+    in_round = RK.order_excerpts(RK.select_round(scored, limits, cfg.match_limit, cfg.expand_mode)).select(
+        *key, "ex_rank", "round")
+    results = _results(scored, cfg, usage, False).select(*key, "result_no")
+    # a candidate before a term's last result that is no result was refused by its source
+    last = in_round.join(results, key).groupBy("term_no").agg(F.max("ex_rank").alias("_last"), F.count(F.lit(1)).alias("_n"))
+    out = scored.join(in_round, key, "left").join(results, key, "left").join(last, "term_no", "left")
+    short = F.coalesce("_n", F.lit(0)) < cfg.result_limit
+    outcome = (F.when(F.col("result_no").isNotNull(), "result").when(F.col("penalty").isNull(), F.col("skip_reason"))
+               .when(F.col("ex_rank").isNull(), "not in round")
+               .when(short | (F.col("ex_rank") < F.col("_last")), "quota").otherwise("limit"))
+    parts = SC.penalty_parts(F.col("excerpt"), F.col("term"), cfg.excerpt_scoring())
+    return out.select(*key, "rank", "round", "ex_rank", "result_no", outcome.alias("outcome"), "penalty",
+                      parts.alias("penalties"), "term", "title", "excerpt", "docid", "score", "final_score",
+                      *EXPLAIN_COLUMNS)

@@ -14,9 +14,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from phrasemill.functions import patterns as P
+from phrasemill.session import maybe_broadcast
 
 def number_lines(df: DataFrame) -> DataFrame:
     """1-based line numbers in file order, without moving the lines.
@@ -31,12 +31,16 @@ def number_lines(df: DataFrame) -> DataFrame:
                 .withColumn("_mid", F.monotonically_increasing_id()))
     blocks = (tagged.groupBy("_file", "_block")
               .agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first")))
-    w = W.orderBy("_file", "_block").rowsBetween(W.unboundedPreceding, -1)
-    # One row per input split: the ordering window runs over a table whose
-    # size is the number of splits, never the number of lines.
-    blocks = blocks.withColumn("_base", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    out = (tagged.join(F.broadcast(blocks.select("_file", "_block", "_first", "_base")),
-                       ["_file", "_block"])
+    # Lines before each file (one row per file), and before each split within
+    # its file: no window sees more than the files, or one file's splits.
+    files = blocks.groupBy("_file").agg(F.sum("_n").alias("_lines"))
+    files = files.withColumn("_before", F.coalesce(F.sum("_lines").over(
+        W.orderBy("_file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("_file", "_before")
+    inside = W.partitionBy("_file").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_skip", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(files, "_file").select(
+        "_file", "_block", "_first", (F.col("_before") + F.col("_skip")).alias("_base"))
+    blocks, _ = maybe_broadcast(blocks, ["_file"])
+    out = (tagged.join(blocks, ["_file", "_block"])
            .withColumn("line_no", F.col("_base") + F.col("_mid") - F.col("_first") + 1))
     return out.drop("_file", "_block", "_mid", "_first", "_base")
 
@@ -90,15 +94,6 @@ class ScoreRule:
     stop: bool
 
 
-RULES_SCHEMA = T.StructType([
-    T.StructField("rule_no", T.IntegerType(), False),
-    T.StructField("kind", T.StringType(), False),
-    T.StructField("text", T.StringType(), False),
-    T.StructField("adj", T.DoubleType(), False),
-    T.StructField("stop", T.BooleanType(), False),
-])
-
-
 def parse_rule_lines(lines: list[str]) -> list[ScoreRule]:
     """SRC-5: tab-separated (kind, text, adjustment, stop) rules in file order.
 
@@ -124,13 +119,32 @@ def parse_rule_lines(lines: list[str]) -> list[ScoreRule]:
     return rules
 
 
-def read_rules(spark: SparkSession, path: str) -> list[ScoreRule]:
-    lines = [r.value for r in spark.read.option("lineSep", "\n").text(path).collect()]
-    return parse_rule_lines([ln[:-1] if ln.endswith("\r") else ln for ln in lines])
+MAX_CONFIG_ROWS = 100_000
+
+
+def config_lines(lines: DataFrame, what: str) -> list[str]:
+    """The rows of a one-column configuration table, which must be small."""
+    rows = lines.limit(MAX_CONFIG_ROWS + 1).collect()
+    if len(rows) > MAX_CONFIG_ROWS:
+        raise ValueError(f"{what}: more than {MAX_CONFIG_ROWS} lines")
+    return [r[0] for r in rows]
+
+
+def check_rules(spark: SparkSession, rules: list[ScoreRule]) -> list[ScoreRule]:
+    """Raise on a rule whose regular expression is invalid, before any corpus is read."""
+    probe = spark.range(1).select(F.lit("x").alias("t"))
+    for r in rules:
+        if r.kind == "REGEX":
+            try:
+                probe.filter(F.col("t").rlike(r.text)).collect()
+            except Exception as exc:
+                raise ValueError(f"invalid regular expression in rule {r.rule_no}: {r.text!r}") from exc
+    return rules
 
 
-def rules_frame(spark: SparkSession, rules: list[ScoreRule]) -> DataFrame:
-    return spark.createDataFrame([(r.rule_no, r.kind, r.text, r.adj, r.stop) for r in rules], RULES_SCHEMA)
+def read_rules(spark: SparkSession, path: str) -> list[ScoreRule]:
+    lines = config_lines(spark.read.option("lineSep", "\n").text(path), "score rules")
+    return check_rules(spark, parse_rule_lines([ln[:-1] if ln.endswith("\r") else ln for ln in lines]))
 
 
 def read_terms(spark: SparkSession, path: str) -> DataFrame:
@@ -142,7 +156,7 @@ def read_terms(spark: SparkSession, path: str) -> DataFrame:
 
 def read_excluded_words(spark: SparkSession, path: str) -> list[str]:
     """SRC-7: one pattern per line (configuration-sized)."""
-    return [r.value for r in spark.read.text(path).collect()]
+    return config_lines(spark.read.text(path), "excluded words")
 
 
 # ---------------------------------------------------------------------------
@@ -164,37 +178,51 @@ def staged_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.col("source").alias("title"), F.coalesce(F.col("text"), F.lit("")).alias("content"))
 
 
-def passages_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line-level corpus: each ``\\n``-separated line of a document is a line
-    of the corpus, numbered (doc_id, line index) in order."""
-    docs = table(spark, sf_dir, "documents")
-    exploded = docs.select("doc_id", "source", F.posexplode(F.split(F.col("text"), "\n", -1)).alias("i", "line"))
-    return exploded.select(
-        (F.col("doc_id") * F.lit(1 << 20) + F.col("i")).cast("long").alias("line_no"),
-        F.concat_ws(".txt:", F.col("source"), F.col("line")).alias("raw"))
+def within(df: DataFrame, count) -> int:
+    """One more than the largest per-row count (a Column) of the table: the
+    width that keeps (row id, position) apart as row id * width + position."""
+    return int(df.agg(F.max(count).alias("m")).first()["m"] or 0) + 1
+
+
+def lines_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of every document, numbered by (document, line)."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n", -1).alias("ls"))
+    width = within(docs, F.size("ls"))
+    return docs.select("doc_id", F.posexplode("ls").alias("i", "raw")).select(
+        (F.col("doc_id") * F.lit(width).cast("long") + F.col("i")).alias("line_no"), "raw")
 
 
 def lines_from_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secondary corpus: one line per turn, title = role + ' ' + turn % 10."""
     conv = table(spark, sf_dir, "conversations")
+    width = within(conv, F.col("turn"))
     return conv.select(
-        (F.col("conv_id") * F.lit(1 << 20) + F.col("turn")).cast("long").alias("line_no"),
+        (F.col("conv_id") * F.lit(width).cast("long") + F.col("turn")).cast("long").alias("line_no"),
         F.concat_ws(".txt:", F.concat_ws(" ", F.col("role"), (F.col("turn") % 10).cast("string")),
                     F.col("text")).alias("raw"))
 
 
-def terms_from_benchmark(spark: SparkSession, sf_dir: str, sizes: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
-    """Terms derived from ``benchmark``: words 3..3+n of each item's text for
-    every n in ``sizes``; term_no = item_id * 10 + n."""
-    bench = table(spark, sf_dir, "benchmark")
-    words = F.regexp_extract_all(F.col("text"), F.lit(P.AN), F.lit(0))
-    frames = []
-    for n in sizes:
-        frames.append(bench.select(
-            (F.col("item_id") * 10 + n).cast("long").alias("term_no"),
-            F.array_join(F.slice(words, 4, n), " ").alias("term"),
-            F.size(words).alias("_nw")).filter(F.col("_nw") >= 3 + n).drop("_nw"))
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+def terms_from_benchmark(spark: SparkSession, sf_dir: str, sizes: tuple[int, ...] = (1, 2, 3), whole: bool = True,
+                         only_at: int | None = None) -> DataFrame:
+    """Terms from the whole ``benchmark`` texts: every window of ``sizes``
+    words, and (``whole``) all words of the text as one phrase.  Identical
+    phrases stay apart: term_no = item * width + 4 * first word + size (0: the
+    whole text).  ``only_at`` keeps the windows that start at one word (bench)."""
+    bench = table(spark, sf_dir, "benchmark").select(
+        "item_id", F.regexp_extract_all(F.col("text"), F.lit(P.AN), F.lit(0)).alias("w"))
+    width = 4 * within(bench, F.size("w"))
+    n_words = F.size("w")
+
+    def window(n: int):
+        first = F.sequence(F.lit(0), n_words - n) if only_at is None else F.array(F.lit(only_at))
+        fits = n_words >= n if only_at is None else n_words >= only_at + n
+        return F.when(fits, F.transform(first, lambda i: F.struct(
+            (i * 4 + n).alias("k"), F.array_join(F.slice("w", i + 1, n), " ").alias("term")))).otherwise(
+                F.array().cast("array<struct<k:int,term:string>>"))
+
+    parts = [window(n) for n in sizes]
+    if whole:
+        parts.append(F.when(n_words > 0, F.array(F.struct(F.lit(0).alias("k"), F.array_join("w", " ").alias("term")))
+                            ).otherwise(F.array().cast("array<struct<k:int,term:string>>")))
+    return bench.select("item_id", F.explode(F.concat(*parts)).alias("t")).select(
+        (F.col("item_id") * F.lit(width).cast("long") + F.col("t.k")).cast("long").alias("term_no"), "t.term")

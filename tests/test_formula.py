@@ -45,3 +45,11 @@ def test_plain_division_by_zero_raises(spark):
     df = spark.createDataFrame([(2.5, 0.0, 1, 1.0)], "_score double, score double, docid long, docMatchCount double")
     with pytest.raises(Exception):
         df.select(formula_score("_score / score")).collect()
+
+
+def test_helper_names(spark):
+    df = spark.createDataFrame([(2.5, -1.5)], "_score double, score double")
+    FM.register(spark)
+    for expr, want in (("max(_score, score, 1)", 2.5), ("MIN(_score, 4)", 2.5), ("trunc(_score * 3)", 7.0), ("trunc(score) + 2", 1.0),
+                       ("haversin(0, 0, 0, 1)", 111.194927), ("random() * 0 + 1", 1.0)):
+        assert abs(df.select(formula_score(expr).alias("v")).first().v - want) < 1e-5, expr
