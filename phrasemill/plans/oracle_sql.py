@@ -50,31 +50,45 @@ DOCS = f"""docs AS (
 
 DOCIDS = """docids AS (SELECT title, min(line_no) AS docid FROM docs GROUP BY title)"""
 
-TERMS = """terms AS (
-  SELECT term_no, term, phrase, string_split(phrase, ' ') AS toks, len(string_split(phrase, ' ')) AS n_toks,
-         length(term) AS q
-  FROM (
-    SELECT item_id * 10 + n AS term_no, array_to_string(list_slice(w, 4, 3 + n), ' ') AS term,
-           trim(replace(replace(array_to_string(list_slice(w, 4, 3 + n), ' '), '-', ' '), '.', ''), ' ') AS phrase
-    FROM (SELECT item_id, regexp_extract_all(text, '[\\p{L}\\p{Nd}]+') AS w FROM benchmark), (VALUES (1), (2), (3)) v(n)
-    WHERE len(w) >= 3 + n)
-  WHERE phrase <> ''
+# All windows of 1-3 words of the whole benchmark texts, and each text as one phrase.
+TERMS = """bench AS (SELECT item_id, regexp_extract_all(text, '[\\p{L}\\p{Nd}]+') AS w FROM benchmark),
+bench_width AS (SELECT 4 * (coalesce(max(len(w)), 0) + 1) AS width FROM bench),
+raw_terms AS (
+  SELECT item_id * width + i * 4 + n AS term_no, array_to_string(list_slice(w, i + 1, i + n), ' ') AS term
+  FROM (SELECT item_id, w, n, unnest(range(0, len(w) - n + 1)) AS i FROM bench, (VALUES (1), (2), (3)) v(n)), bench_width
+  UNION ALL
+  SELECT item_id * width, array_to_string(w, ' ') FROM bench, bench_width WHERE len(w) > 0),
+terms AS (
+  SELECT term_no, term, phrase, CASE WHEN phrase = '' THEN [] ELSE string_split(phrase, ' ') END AS toks,
+         CASE WHEN phrase = '' THEN 0 ELSE len(string_split(phrase, ' ')) END AS n_toks, length(term) AS q
+  FROM (SELECT term_no, term, trim(replace(replace(term, '-', ' '), '.', ''), ' ') AS phrase FROM raw_terms)
 )"""
 
+# Index tokens with the one and two that follow; a long phrase is found by its
+# first three tokens and then compared whole.
 GRAMS = """grams AS (
-  SELECT d.line_no, L.n_toks, i AS pos, array_to_string(list_slice(d.toks, i + 1, i + L.n_toks), ' ') AS phrase
-  FROM docs d, (SELECT DISTINCT n_toks FROM terms) L, LATERAL (SELECT unnest(range(0, len(d.toks) - L.n_toks + 1)) AS i)
+  SELECT line_no, i - 1 AS pos, toks[i] AS g1, toks[i] || ' ' || toks[i + 1] AS g2,
+         toks[i] || ' ' || toks[i + 1] || ' ' || toks[i + 2] AS g3
+  FROM (SELECT line_no, toks, unnest(range(1, len(toks) + 1)) AS i FROM docs)
 )"""
 
-HITS = """hits AS (
-  SELECT t.term_no, g.line_no, count(*) AS tf, min(g.pos) AS first_pos
-  FROM grams g JOIN terms t ON g.n_toks = t.n_toks AND g.phrase = t.phrase
-  GROUP BY t.term_no, g.line_no
-)"""
+HITS = """phrases AS (SELECT DISTINCT phrase, toks, n_toks FROM terms WHERE n_toks > 0),
+found AS (
+  SELECT p.phrase, g.line_no, g.pos FROM grams g JOIN phrases p ON p.n_toks = 1 AND p.phrase = g.g1
+  UNION ALL
+  SELECT p.phrase, g.line_no, g.pos FROM grams g JOIN phrases p ON p.n_toks = 2 AND p.phrase = g.g2
+  UNION ALL
+  SELECT p.phrase, g.line_no, g.pos
+  FROM grams g JOIN (SELECT *, array_to_string(toks[1:3], ' ') AS head FROM phrases WHERE n_toks >= 3) p ON p.head = g.g3
+       JOIN docs d ON d.line_no = g.line_no
+  WHERE p.n_toks = 3 OR list_slice(d.toks, g.pos + 1, g.pos + p.n_toks) = p.toks
+),
+phrase_hits AS (SELECT phrase, line_no, count(*) AS tf, min(pos) AS first_pos FROM found GROUP BY phrase, line_no),
+hits AS (SELECT t.term_no, h.line_no, h.tf, h.first_pos FROM terms t JOIN phrase_hits h ON h.phrase = t.phrase)"""
 
 STATS = """stats AS (SELECT count(*) AS n_docs, sum(n_tokens) / count(*) AS avgdl FROM docs)"""
 
-IDF = """term_tok AS (SELECT term_no, unnest(toks) AS token FROM terms),
+IDF = """term_tok AS (SELECT term_no, unnest(toks) AS token FROM terms WHERE n_toks > 0),
 dfs AS (
   SELECT token, count(*) AS df
   FROM (SELECT DISTINCT line_no, unnest(toks) AS token FROM docs)
@@ -106,5 +120,80 @@ ranked AS (
 DEFAULT_FORMULA_SQL = "CASE WHEN score = 0 THEN 'Infinity'::DOUBLE ELSE bm25 / score END"
 
 
+# ---------------------------------------------------------------------------
+# Excerpts (EXC-1..5) from the rule in SURVEY 2.5.1, first passage of a hit.
+
+_MARK, _MARK2 = "chr(57346)", "chr(57347)"
+_LOWER = "regexp_matches({}, '^[\\p{{Ll}}\\x{{AA}}\\x{{BA}}]')"
+_UPPER = "regexp_matches({}, '^\\p{{Lu}}')"
+
+# Original start offset of every token: masked offset plus what the mask
+# removed before it.
+OFFSETS = f"""marked AS (
+  SELECT line_no, {masked('content')} AS masked,
+         replace(regexp_replace(regexp_replace(content, {q(P.ABBREV_PROTECT_RE2)}, '\\1' || chr(57344), 'g'),
+                                {q(P.MASK_3_RE2)}, '\\1\\2' || {_MARK} || '\\3' || {_MARK2}, 'g'), chr(57344), '.') AS mk
+  FROM docs),
+cuts AS (
+  SELECT line_no, sum(strpos(p, {_MARK}) - 1) OVER w AS at, sum(length(p) - strpos(p, {_MARK})) OVER w AS shift
+  FROM (SELECT line_no, ps[k] AS p, k
+        FROM (SELECT line_no, string_split(mk, {_MARK2}) AS ps, unnest(range(1, len(string_split(mk, {_MARK2})))) AS k
+              FROM marked))
+  WINDOW w AS (PARTITION BY line_no ORDER BY k)),
+tok_starts AS (
+  SELECT line_no, i - 1 AS pos, sum(length(ps[i])) OVER (PARTITION BY line_no ORDER BY i) AS at
+  FROM (SELECT line_no, ps, unnest(range(1, len(ps))) AS i
+        FROM (SELECT line_no, string_split(regexp_replace(masked, {q(P.TOKEN_RE)}, {_MARK} || '\\0', 'g'), {_MARK}) AS ps
+              FROM marked))),
+starts AS (
+  SELECT t.line_no, t.pos, CAST(t.at + coalesce(c.shift, 0) AS BIGINT) AS s
+  FROM tok_starts t ASOF LEFT JOIN cuts c ON t.line_no = c.line_no AND t.at >= c.at)"""
+
+
+def sentences(mn: int) -> str:
+    """Per document: its length, boundaries, and the acceptable passage starts."""
+    step1 = f"regexp_replace(content, {q(P.SENTENCE_1_RE2)}, '\\1\\2\\4' || {_MARK} || '\\3\\5', 'g')"
+    step2 = f"regexp_replace({step1}, {q(P.SENTENCE_2_RE2)}, '\\1' || {_MARK} || '\\2', 'g')"
+    c, nx, pv = "substr(content, b + 1, 1)", "substr(content, b + 2, 1)", "CASE WHEN b = 0 THEN '' ELSE substr(content, b, 1) END"
+    return f"""ends AS (
+  SELECT line_no, content, n, 0 AS b, length(ps[1]) > 0 AS real FROM (
+    SELECT line_no, content, length(content) AS n, string_split({step2}, {_MARK}) AS ps FROM docs)
+  UNION ALL
+  SELECT line_no, content, n, CAST(sum(length(ps[k])) OVER (PARTITION BY line_no ORDER BY k) AS BIGINT), coalesce(length(ps[k + 1]), 0) > 0
+  FROM (SELECT line_no, content, n, ps, unnest(range(1, len(ps) + 1)) AS k FROM (
+    SELECT line_no, content, length(content) AS n, string_split({step2}, {_MARK}) AS ps FROM docs))),
+around AS (SELECT line_no, n, b, real, {c} AS c, {nx} AS nx, {pv} AS pv FROM ends),
+judged AS (
+  SELECT line_no, n, b, c = '.' AND nx <> ' ' AND nx <> ',' AS plus2,
+         real AND b + {mn} <= n AND NOT {_LOWER.format('c')}
+         AND (c <> '.' OR (nx <> ',' AND (nx <> ' ' OR NOT {_UPPER.format('pv')})))
+         AND (c <> ',' OR pv NOT IN ('!', '?', '"', chr(39), ')')) AS ok
+  FROM around),
+bounds AS (
+  SELECT line_no, any_value(n) AS n, list(DISTINCT b) AS bs,
+         coalesce(list(DISTINCT b) FILTER (ok AND NOT plus2), []) AS okb, coalesce(list(DISTINCT b) FILTER (ok AND plus2), []) AS okb2
+  FROM judged GROUP BY line_no)"""
+
+
+def passages(hits: str, mn: int, mx: int) -> str:
+    """``hits`` (with line_no, first_pos, q) and the excerpt of each."""
+    return f"""opened AS (
+  SELECT h.*, b.n, b.bs, st.s, greatest(st.s - {mx} + h.q + 2, 0) AS lo,
+         greatest(list_max(list_filter(b.okb, lambda x: x <= st.s)), list_max(list_filter(b.okb2, lambda x: x <= st.s))) AS near,
+         list_max(list_filter(b.okb2, lambda x: x <= st.s)) AS near2
+  FROM {hits} h JOIN starts st ON st.line_no = h.line_no AND st.pos = h.first_pos JOIN bounds b ON b.line_no = h.line_no),
+begun AS (
+  SELECT *, CASE WHEN best IS NULL THEN 0 WHEN best = near AND best >= lo AND best = near2 THEN best + 2 ELSE best END AS ex_start
+  FROM (SELECT *, greatest(near, list_max(list_filter(bs, lambda x: x <= s AND x < lo))) AS best FROM opened)),
+closed AS (
+  SELECT *, CASE WHEN e <= least(cur + {mx} + 1, n) THEN e ELSE coalesce(list_max(list_filter(bs, lambda x: x > s AND x < minb)), e) END AS ex_end
+  FROM (SELECT *, list_min(list_filter(bs, lambda x: x > s AND x >= minb)) AS e
+        FROM (SELECT *, least(cur + {mn} + q, n) AS minb
+              FROM (SELECT *, CASE WHEN best IS NULL THEN n ELSE ex_start END AS cur FROM begun)))),
+excerpts AS (
+  SELECT c.* EXCLUDE (bs), substr(d.content, c.ex_start + 1, c.ex_end - c.ex_start) AS excerpt
+  FROM closed c JOIN docs d ON d.line_no = c.line_no)"""
+
+
 def with_ctes(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"

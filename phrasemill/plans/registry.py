@@ -1,14 +1,16 @@
 """Driver queries: one Spark plan per operator family, each with the DuckDB
-SQL that must give the same rows (when SQL can express it).
+SQL that must give the same rows.
 
 Inputs are the driver tables: ``documents`` is the corpus (line_no = doc_id,
-title = source, content = text, score = last digit of source) and the terms
-are words 3..3+n of each ``benchmark`` text for n = 1, 2, 3.  Every query
-runs over whole tables and whole texts.
+title = source, content = text, score = last digit of source); the terms are
+all windows of 1-3 words of the whole ``benchmark`` texts and each text as one
+phrase.  Every query runs over whole tables and whole texts; excerpts are the
+real ones (EXC-1..5), the first passage of each hit.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,27 +18,25 @@ from pyspark.sql import functions as F
 
 from phrasemill.functions import analysis as A
 from phrasemill.operators import index as IDX
+from phrasemill.operators import postings as PO
+from phrasemill.operators import ranking as RK
+from phrasemill.operators import scoring as SC
 from phrasemill.operators import search as S
+from phrasemill.plans import batch as B
 from phrasemill.plans import oracle_sql as O
-from phrasemill.session import cut_lineage
+from phrasemill.session import cut_lineage, ensure_checkpoint_dir
 from phrasemill.sources import corpus as C
+from phrasemill.sources import sinks
 
 ROUND = 6
 TOP_N = 20
 
 
-_DOCS_CACHE: dict = {}
-
-
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The document index of ``documents`` (no score rules), built once per
-    session and scale factor and cut from its lineage with a reliable
-    checkpoint — the analogue of the reference's on-disk index."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _DOCS_CACHE:
-        good, _ = C.parse_scores(C.staged_from_documents(spark, sf_dir))
-        _DOCS_CACHE[key] = cut_lineage(IDX.build_docs(good, []))
-    return _DOCS_CACHE[key]
+    """The document index of ``documents`` (no score rules), cut from its
+    lineage with a reliable checkpoint, as a stored index would be."""
+    good, _ = C.parse_scores(C.staged_from_documents(spark, sf_dir))
+    return cut_lineage(IDX.build_docs(good, []))
 
 
 def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,221 +185,243 @@ def q_source_ids(spark, sf_dir):
     return IDX.source_table(good, []).select("title", "docid", F.col("n_lines").cast("long").alias("n_lines"))
 
 
-SQL_SOURCE_IDS = """
-SELECT role || ' ' || CAST(turn % 10 AS VARCHAR) AS title, min(conv_id * 1048576 + turn) AS docid,
-       CAST(count(*) AS BIGINT) AS n_lines
-FROM conversations GROUP BY 1"""
-
-REJECT_DELIMITER = r"[.!?] "
+CONVERSATION_LINES = """conv AS (
+  SELECT conv_id * (SELECT max(turn) + 1 FROM conversations) + turn AS line_no,
+         role || ' ' || CAST(turn % 10 AS VARCHAR) AS title, text, CAST(turn % 10 AS DOUBLE) AS score
+  FROM conversations)"""
 
+SQL_SOURCE_IDS = "WITH " + CONVERSATION_LINES + """
+SELECT title, min(line_no) AS docid, CAST(count(*) AS BIGINT) AS n_lines FROM conv GROUP BY 1"""
 
-def _text_lines(spark, sf_dir):
-    docs = C.table(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "raw")).select(
-        (F.col("doc_id") * F.lit(1 << 20) + F.col("i")).alias("line_no"), "raw")
+REJECT_DELIMITER = r"[.!?] "
 
 
 def q_rejects(spark, sf_dir):
-    _, rejects = C.split_lines(_text_lines(spark, sf_dir), REJECT_DELIMITER)
+    _, rejects = C.split_lines(C.lines_from_documents(spark, sf_dir), REJECT_DELIMITER)
     return rejects
 
 
-SQL_REJECTS = f"""
-WITH l AS (SELECT doc_id * 1048576 + i AS line_no, raw
-           FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw,
-                        unnest(range(len(string_split(text, chr(10))))) AS i FROM documents)),
+TEXT_LINES = """text_lines AS (
+  SELECT doc_id * (SELECT max(len(string_split(text, chr(10)))) + 1 FROM documents) + i AS line_no, raw, i
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw,
+               unnest(range(len(string_split(text, chr(10))))) AS i FROM documents))"""
+
+SQL_REJECTS = "WITH " + TEXT_LINES + f""",
 s AS (SELECT line_no, raw, regexp_matches(raw, {O.q(REJECT_DELIMITER)}) AS has_delim,
-             regexp_extract(raw, {O.q('(?s)^(.*?)' + REJECT_DELIMITER)}, 1) AS title FROM l)
+             regexp_extract(raw, {O.q('(?s)^(.*?)' + REJECT_DELIMITER)}, 1) AS title FROM text_lines)
 SELECT line_no, substring(raw, 1, 100) AS raw,
        CASE WHEN NOT has_delim THEN 'no delimiter' ELSE 'no score' END AS reason
 FROM s WHERE NOT has_delim OR NOT regexp_matches(right(title, 1), '^[0-9]$')"""
 
 
 # ---------------------------------------------------------------------------
-# Excerpt scoring on a fixed excerpt (the first 180 characters of each hit's
-# document), so every criterion can be checked by SQL.
+# Excerpts, their scores, expansion, order, limits and the quota.
 
 EXCLUDED_DEMO = ["the", "la", "und"]
+LIMITS = [20, 40, 80, 160]
+QUOTA_CAP = 3
+LENIENT = dict(first_char_strict=False, excluded_strict=False, length_strict=False,
+               excluded_penalty=40, first_char_penalty=7, length_penalty=3)
 
 
-def _prefix_excerpts(spark, sf_dir):
-    docs = _docs(spark, sf_dir)
-    terms = _terms(spark, sf_dir)
-    hits = S.phrase_hits(docs, terms, carry=())
-    return (hits.join(terms.select("term_no", "term"), "term_no")
-            .join(docs.select("line_no", F.substring("content", 1, 180).alias("excerpt")), "line_no"))
+def _cfg(mn: int = 60, mx: int = 180, **kw) -> B.SearchConfig:
+    return B.SearchConfig(highlight_min=mn, highlight_max=mx, passage_pick="first", **kw)
+
+
+def _scored(spark, sf_dir, cfg):
+    return B.scored_excerpts(_docs(spark, sf_dir), _terms(spark, sf_dir), cfg)
 
 
-def _penalty_out(df, scoring):
-    from phrasemill.operators import scoring as SC
-    sc = SC.score_excerpts(F.col("excerpt"), F.col("term"), scoring)
-    return df.select("term_no", "line_no", sc["penalty"].cast("long").alias("penalty"),
-                     sc["skip_reason"].alias("skip_reason"))
+def _long(*names):
+    return [F.col(c).cast("long").alias(c) for c in names]
+
+
+def q_excerpts(spark, sf_dir):
+    """EXC-1..5: every hit within the last expansion limit and its passage."""
+    return _scored(spark, sf_dir, _cfg()).select("term_no", "line_no", *_long("rank", "ex_start", "ex_end"), "excerpt")
 
 
 def q_excerpt_penalties(spark, sf_dir):
-    from phrasemill.operators import scoring as SC
-    return _penalty_out(_prefix_excerpts(spark, sf_dir), SC.ExcerptScoring.default(60, 180, EXCLUDED_DEMO))
+    cfg = _cfg(excluded_words=tuple(EXCLUDED_DEMO))
+    return _scored(spark, sf_dir, cfg).select("term_no", "line_no", *_long("penalty"), "skip_reason")
 
 
 def q_excluded_words(spark, sf_dir):
-    from phrasemill.operators import scoring as SC
-    scoring = SC.ExcerptScoring.default(60, 180, EXCLUDED_DEMO, first_char_strict=False,
-                                        excluded_strict=False, length_strict=False, excluded_penalty=40,
-                                        first_char_penalty=7, length_penalty=3)
-    return _penalty_out(_prefix_excerpts(spark, sf_dir), scoring)
+    cfg = _cfg(scoring=SC.ExcerptScoring.default(60, 180, EXCLUDED_DEMO, **LENIENT))
+    return _scored(spark, sf_dir, cfg).select("term_no", "line_no", *_long("penalty"), "skip_reason")
 
 
 def _sql_word_any(col: str, words: list[str]) -> str:
     alt = "|".join(w.lower() for w in words)
-    pat = r"(?:^|[^\p{L}\p{Nd}_])(?:" + alt + r")(?:[^\p{L}\p{Nd}_]|$)"
+    pat = r"(?:^|[^\p{L}\p{M}\p{Nd}_])(?:" + alt + r")(?:[^\p{L}\p{M}\p{Nd}_]|$)"
     return f"regexp_matches({col}, {O.q(pat)})"
 
 
-def _sql_penalty_parts(strict: bool, pen_first=100, pen_excl=100, pen_len=100) -> tuple[str, str]:
+def _sql_penalty_parts(mn: int, mx: int, excluded: bool, lenient: dict | None) -> tuple[str, str]:
     """(reason, penalty-without-reason) SQL over columns ``excerpt`` and ``term``."""
     first = r"regexp_matches(excerpt, '^[\p{Ll}\x{AA}\x{BA}]')"
-    excl = f"(NOT {_sql_word_any('term', EXCLUDED_DEMO)} AND {_sql_word_any('excerpt', EXCLUDED_DEMO)})"
-    length = "(length(excerpt) < 60 OR length(excerpt) > 180)"
+    excl = f"(NOT {_sql_word_any('term', EXCLUDED_DEMO)} AND {_sql_word_any('excerpt', EXCLUDED_DEMO)})" if excluded else "false"
+    length = f"(length(excerpt) < {mn} OR length(excerpt) > {mx})"
     chars = ("len(regexp_extract_all(excerpt, '[\\p{Pc}\\p{Ps}\\p{Pe}\\p{Po}]')) "
              "+ len(regexp_extract_all(excerpt, '\\p{Lu}')) + len(regexp_extract_all(excerpt, '\\p{Nd}'))")
-    if strict:
+    if lenient is None:
         reason = (f"CASE WHEN excerpt IS NULL OR excerpt = '' THEN 'empty' WHEN {first} THEN 'first_char' "
                   f"WHEN {excl} THEN 'excluded_word' WHEN {length} THEN 'length' END")
         full = "0"
     else:
         reason = "CASE WHEN excerpt IS NULL OR excerpt = '' THEN 'empty' END"
-        full = (f"(CASE WHEN {first} THEN {pen_first} ELSE 0 END + CASE WHEN {excl} THEN {pen_excl} ELSE 0 END"
-                f" + CASE WHEN {length} THEN {pen_len} ELSE 0 END)")
+        full = (f"(CASE WHEN {first} THEN {lenient['first_char_penalty']} ELSE 0 END"
+                f" + CASE WHEN {excl} THEN {lenient['excluded_penalty']} ELSE 0 END"
+                f" + CASE WHEN {length} THEN {lenient['length_penalty']} ELSE 0 END)")
     return reason, f"1 + {full} + {chars}"
 
 
-def _sql_penalties(strict: bool, pen_first=100, pen_excl=100, pen_len=100) -> str:
-    reason, pen = _sql_penalty_parts(strict, pen_first, pen_excl, pen_len)
-    return O.with_ctes(O.DOCS, O.TERMS, O.GRAMS, O.HITS) + f"""
-SELECT term_no, line_no, CAST(CASE WHEN reason IS NULL THEN {pen} END AS BIGINT) AS penalty,
-       reason AS skip_reason
-FROM (SELECT h.term_no, h.line_no, t.term, substring(d.content, 1, 180) AS excerpt
-      FROM hits h JOIN terms t ON h.term_no = t.term_no JOIN docs d ON h.line_no = d.line_no),
-     LATERAL (SELECT {reason} AS reason)"""
-
-
-SQL_EXCERPT_PENALTIES = _sql_penalties(True)
-SQL_EXCLUDED_WORDS = _sql_penalties(False, 7, 40, 3)
-
-
-# QRY-7 + RNK-1 + RNK-2 on the same fixed excerpt: expansion rounds over the
-# ranked hits (limits 20/40/80/160), excerpt order, first 5 per term.
-LIMITS = [20, 40, 80, 160]
-
-
-def q_result_limit(spark, sf_dir, mode: str = "cumulative"):
-    from phrasemill.operators import ranking as RK
-    from phrasemill.operators import scoring as SC
-    docs = _docs(spark, sf_dir)
-    terms = _terms(spark, sf_dir)
-    ranked = S.ranked_hits(docs, terms, limit=max(LIMITS)).join(terms.select("term_no", "term"), "term_no")
-    ex = ranked.join(docs.select("line_no", F.substring("content", 1, 180).alias("excerpt")), "line_no")
-    sc = SC.score_excerpts(F.col("excerpt"), F.col("term"), SC.ExcerptScoring.default(60, 180, EXCLUDED_DEMO))
-    scored = ex.withColumn("penalty", sc["penalty"])
-    cands = RK.order_excerpts(RK.select_round(scored, LIMITS, LIMITS[0], mode))
-    return RK.limit_results(cands, 5).select(
-        "term_no", F.col("ex_rank").cast("long").alias("result_no"), "line_no",
-        F.col("penalty").cast("long").alias("penalty"), F.col("round").cast("long").alias("round"))
-
-
-def _sql_result_limit(mode: str = "cumulative") -> str:
-    reason, pen = _sql_penalty_parts(True)
+def _sql_scored(mn: int = 60, mx: int = 180, excluded: bool = False, lenient: dict | None = None) -> str:
+    """... ``sc``: every hit within the last limit with excerpt, reason and penalty."""
+    reason, pen = _sql_penalty_parts(mn, mx, excluded, lenient)
+    return O.with_ctes(O.DOCS, O.DOCIDS, O.TERMS, O.GRAMS, O.HITS, O.STATS, O.IDF,
+                       O.scored_hits(O.DEFAULT_FORMULA_SQL), O.OFFSETS, O.sentences(mn),
+                       "nh AS (SELECT term_no, count(*) AS n_hits FROM hits GROUP BY term_no)",
+                       f"""top AS (
+  SELECT r.term_no, r.line_no, r.docid, r.rank, r.final_score, h.first_pos, t.term, t.q, nh.n_hits
+  FROM ranked r JOIN hits h ON h.term_no = r.term_no AND h.line_no = r.line_no
+       JOIN terms t ON t.term_no = r.term_no JOIN nh ON nh.term_no = r.term_no
+  WHERE r.rank <= {max(LIMITS)})""",
+                       O.passages("top", mn, mx),
+                       f"""sc AS (SELECT *, CASE WHEN reason IS NULL THEN {pen} END AS penalty
+       FROM excerpts, LATERAL (SELECT {reason} AS reason))""")
+
+
+SQL_EXCERPTS = _sql_scored() + """
+SELECT term_no, line_no, CAST(rank AS BIGINT) AS rank, CAST(ex_start AS BIGINT) AS ex_start,
+       CAST(ex_end AS BIGINT) AS ex_end, excerpt FROM sc"""
+_SQL_PENALTIES = """
+SELECT term_no, line_no, CAST(penalty AS BIGINT) AS penalty, reason AS skip_reason FROM sc"""
+SQL_EXCERPT_PENALTIES = _sql_scored(excluded=True) + _SQL_PENALTIES
+SQL_EXCLUDED_WORDS = _sql_scored(excluded=True, lenient=LENIENT) + _SQL_PENALTIES
+
+
+def _sql_round(mode: str) -> str:
+    """``ord``: the accepted excerpts of each term's last round, in excerpt order."""
     lims = "[" + ", ".join(str(x) for x in LIMITS) + "]"
     lows = [0] + (LIMITS[:-1] if mode == "band" else [0] * (len(LIMITS) - 1))
     counts = ", ".join(f"sum(CASE WHEN penalty IS NOT NULL AND rank > {lo} AND rank <= {x} THEN 1 ELSE 0 END) AS c{i}"
                        for i, (lo, x) in enumerate(zip(lows, LIMITS)))
     low_of_round = ("CASE WHEN rnd.round > 1 THEN " + lims + "[rnd.round - 1] ELSE 0 END") if mode == "band" else "0"
     rounds = " ".join(f"WHEN c{i} >= {LIMITS[0]} THEN {i + 1}" for i in range(1, len(LIMITS)))
-    return O.with_ctes(O.DOCS, O.DOCIDS, O.TERMS, O.GRAMS, O.HITS, O.STATS, O.IDF,
-                       O.scored_hits(O.DEFAULT_FORMULA_SQL)) + f""",
-nh AS (SELECT term_no, count(*) AS n_hits FROM hits GROUP BY term_no),
-cand AS (SELECT r.term_no, r.line_no, r.docid, r.rank, nh.n_hits, t.term, substring(d.content, 1, 180) AS excerpt
-         FROM ranked r JOIN nh ON r.term_no = nh.term_no JOIN terms t ON r.term_no = t.term_no
-              JOIN docs d ON r.line_no = d.line_no
-         WHERE r.rank <= {max(LIMITS)}),
-sc AS (SELECT *, CASE WHEN reason IS NULL THEN {pen} END AS penalty FROM cand, LATERAL (SELECT {reason} AS reason)),
+    return f""",
 cnt AS (SELECT term_no, max(n_hits) AS n_hits, {counts} FROM sc GROUP BY term_no),
 rnd AS (SELECT term_no, CASE WHEN c0 >= {LIMITS[0]} OR n_hits < {LIMITS[0]} THEN 1 {rounds} ELSE {len(LIMITS)} END AS round
         FROM cnt),
 acc AS (SELECT sc.*, rnd.round FROM sc JOIN rnd ON sc.term_no = rnd.term_no
         WHERE penalty IS NOT NULL AND rank > {low_of_round} AND rank <= {lims}[rnd.round]),
-ord AS (SELECT *, row_number() OVER (PARTITION BY term_no ORDER BY penalty, rank, line_no) AS ex_rank FROM acc)
+ord AS (SELECT *, row_number() OVER (PARTITION BY term_no ORDER BY penalty, rank, line_no) AS ex_rank FROM acc)"""
+
+
+def _accepted(spark, sf_dir, mode):
+    cfg = _cfg(expand_mode=mode)
+    return RK.select_round(_scored(spark, sf_dir, cfg), LIMITS, LIMITS[0], mode)
+
+
+def q_result_limit(spark, sf_dir, mode: str = "cumulative"):
+    """QRY-7, RNK-1, RNK-2: expansion rounds, excerpt order, first 5 per term."""
+    cands = RK.order_excerpts(_accepted(spark, sf_dir, mode))
+    return RK.limit_results(cands, 5).select(
+        "term_no", F.col("ex_rank").cast("long").alias("result_no"), "line_no", *_long("penalty", "round"))
+
+
+def q_result_limit_band(spark, sf_dir):
+    """The same with only the band of the last round."""
+    return q_result_limit(spark, sf_dir, "band")
+
+
+def _sql_result_limit(mode: str) -> str:
+    return _sql_scored() + _sql_round(mode) + """
 SELECT term_no, CAST(ex_rank AS BIGINT) AS result_no, line_no, CAST(penalty AS BIGINT) AS penalty,
        CAST(round AS BIGINT) AS round
 FROM ord WHERE ex_rank <= 5"""
 
 
-SQL_RESULT_LIMIT = _sql_result_limit()
+SQL_RESULT_LIMIT, SQL_RESULT_LIMIT_BAND = _sql_result_limit("cumulative"), _sql_result_limit("band")
 
 
-def q_result_limit_band(spark, sf_dir):
-    """The same with the reference's expansion loop (only the band of the
-    last round survives, SURVEY Q1)."""
-    return q_result_limit(spark, sf_dir, "band")
+def q_expansion_rounds(spark, sf_dir):
+    """QRY-7: the round each term's search stopped at and its accepted
+    excerpts, for both expansion modes."""
+    scored = cut_lineage(_scored(spark, sf_dir, _cfg()))
+    out = None
+    for mode in ("cumulative", "band"):
+        agg = RK.select_round(scored, LIMITS, LIMITS[0], mode).groupBy("term_no").agg(
+            F.first("round").cast("long").alias("round"), F.count(F.lit(1)).alias("n_accepted")).withColumn("mode", F.lit(mode))
+        out = agg if out is None else out.unionByName(agg)
+    return out
 
 
-SQL_RESULT_LIMIT_BAND = _sql_result_limit("band")
+SQL_EXPANSION_ROUNDS = " UNION ALL ".join(
+    f"SELECT * FROM ({_sql_scored()}{_sql_round(mode)} SELECT term_no, CAST(any_value(round) AS BIGINT) AS round, "
+    f"count(*) AS n_accepted, '{mode}' AS mode FROM ord GROUP BY term_no)" for mode in ("cumulative", "band"))
 
 
-# RNK-3..5 with a cap that binds on the test data: same candidates as
-# result_limit (all of them, in excerpt order), at most 5 per term and at most
-# QUOTA_CAP per source over all terms.  The SQL oracle walks the terms in
-# order with a recursive query (the reference's serial loop); Spark runs the
-# deferred-acceptance fixpoint.
-QUOTA_CAP = 3
+def _batch(spark, sf_dir, cfg):
+    return B.run_batch(_docs(spark, sf_dir), C.terms_from_benchmark(spark, sf_dir), cfg)
+
+
+def q_run_batch(spark, sf_dir):
+    """The whole batch search with the default quota."""
+    return _batch(spark, sf_dir, _cfg()).select("term_no", *_long("result_no"), "term", "excerpt", "title")
 
 
 def q_source_cap(spark, sf_dir):
-    from phrasemill.operators import ranking as RK
-    from phrasemill.operators import scoring as SC
-    from pyspark.sql import Window
-    docs = _docs(spark, sf_dir)
-    terms = _terms(spark, sf_dir)
-    ranked = S.ranked_hits(docs, terms, limit=max(LIMITS)).join(terms.select("term_no", "term"), "term_no")
-    ex = ranked.join(docs.select("line_no", F.substring("content", 1, 180).alias("excerpt")), "line_no")
-    sc = SC.score_excerpts(F.col("excerpt"), F.col("term"), SC.ExcerptScoring.default(60, 180, EXCLUDED_DEMO))
-    cands = RK.order_excerpts(RK.select_round(ex.withColumn("penalty", sc["penalty"]), LIMITS, LIMITS[0]))
-    chosen = RK.apply_source_quota(cands, 5, QUOTA_CAP)
-    w = Window.partitionBy("term_no").orderBy("ex_rank")
-    return chosen.select("term_no", F.row_number().over(w).cast("long").alias("result_no"), "docid", "line_no")
-
-
-def _sql_source_cap() -> str:
-    base = _sql_result_limit()
-    assert base.startswith("WITH ")
-    base = "WITH RECURSIVE " + base[len("WITH "):]
-    head = base[:base.rindex("SELECT term_no, CAST(ex_rank AS BIGINT) AS result_no")]
-    return head + f""",
-cands AS (SELECT o.term_no, o.ex_rank, o.line_no, o.docid, dense_rank() OVER (ORDER BY o.term_no) AS tord FROM ord o),
-walk(i, docid, cnt, acc) AS (
-  SELECT 0, docid, 0, []::STRUCT(term_no BIGINT, ex_rank BIGINT)[] FROM (SELECT DISTINCT docid FROM cands)
+    """RNK-3..5 with a cap that binds."""
+    return _batch(spark, sf_dir, _cfg(source_cap=QUOTA_CAP)).select("term_no", *_long("result_no"), "docid", "line_no")
+
+
+def q_source_quota(spark, sf_dir):
+    """The same with other excerpt lengths."""
+    return _batch(spark, sf_dir, _cfg(20, 400, source_cap=QUOTA_CAP)).select(
+        "term_no", *_long("result_no"), "docid", "line_no")
+
+
+def q_source_usage(spark, sf_dir):
+    return RK.source_usage(_batch(spark, sf_dir, _cfg())).select("docid", *_long("n"))
+
+
+def _sql_batch(cap: int, mn: int = 60, mx: int = 180) -> str:
+    """``chosen``: the serial rule, one term after the other: a term takes its
+    next candidates whose source still has room, up to five.  ``walk`` keeps the
+    number of results of each source so far."""
+    head = _sql_scored(mn, mx) + _sql_round("cumulative")
+    assert head.startswith("WITH ")
+    return "WITH RECURSIVE " + head[len("WITH "):] + f""",
+cands AS (SELECT o.term_no, o.ex_rank, o.line_no, o.docid, o.term, o.excerpt,
+                 dense_rank() OVER (ORDER BY o.term_no) AS tord FROM ord o),
+per_term AS (SELECT tord, list(struct_pack(ex_rank := ex_rank, docid := docid) ORDER BY ex_rank) AS cs FROM cands GROUP BY tord),
+walk(i, docid, cnt, took) AS (
+  SELECT CAST(0 AS BIGINT), docid, CAST(0 AS BIGINT), []::BIGINT[] FROM (SELECT DISTINCT docid FROM cands)
   UNION ALL
-  SELECT i, docid, cnt + len(took), list_concat(acc, took) FROM (
-    SELECT x.i, x.docid, x.cnt, x.acc,
-           coalesce(list(struct_pack(term_no := x.term_no, ex_rank := x.ex_rank)) FILTER (WHERE x.taken), []) AS took
+  SELECT i, docid, cnt + len(took), took FROM (
+    SELECT x.i, x.docid, x.cnt, coalesce(list(x.ex_rank) FILTER (WHERE x.taken), []::BIGINT[]) AS took
     FROM (
       SELECT y.*, y.eligible AND sum(CASE WHEN y.eligible THEN 1 ELSE 0 END)
-               OVER (PARTITION BY y.tord ORDER BY y.ex_rank ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= 5 AS taken
+               OVER (ORDER BY y.ex_rank NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= 5 AS taken
       FROM (
-        SELECT w.i + 1 AS i, w.docid, w.cnt, w.acc, c.term_no, c.ex_rank, c.tord,
-               c.term_no IS NOT NULL AND row_number() OVER (PARTITION BY w.docid, c.tord ORDER BY c.ex_rank)
-                   <= {QUOTA_CAP} - w.cnt AS eligible
-        FROM walk w LEFT JOIN cands c ON c.docid = w.docid AND c.tord = w.i + 1
-        WHERE w.i < (SELECT max(tord) FROM cands)) y) x
-    GROUP BY x.i, x.docid, x.cnt, x.acc))
-SELECT c.term_no, CAST(row_number() OVER (PARTITION BY c.term_no ORDER BY c.ex_rank) AS BIGINT) AS result_no,
-       c.docid, c.line_no
-FROM (SELECT unnest(acc, recursive := true) FROM walk WHERE i = (SELECT max(tord) FROM cands)) a
-JOIN cands c ON c.term_no = a.term_no AND c.ex_rank = a.ex_rank"""
+        SELECT w.i + 1 AS i, w.docid, w.cnt, c.ex_rank,
+               c.ex_rank IS NOT NULL AND row_number() OVER (PARTITION BY w.docid ORDER BY c.ex_rank) <= {cap} - w.cnt AS eligible
+        FROM walk w LEFT JOIN (
+          SELECT tord, unnest(cs, recursive := true) FROM per_term) c ON c.tord = w.i + 1 AND c.docid = w.docid
+        WHERE w.i < (SELECT max(tord) FROM per_term)) y) x
+    GROUP BY x.i, x.docid, x.cnt)),
+chosen AS (
+  SELECT c.*, CAST(row_number() OVER (PARTITION BY c.term_no ORDER BY c.ex_rank) AS BIGINT) AS result_no
+  FROM (SELECT i, unnest(took) AS ex_rank FROM walk) a JOIN cands c ON c.tord = a.i AND c.ex_rank = a.ex_rank)"""
 
 
-SQL_SOURCE_CAP = _sql_source_cap()
+SQL_RUN_BATCH = _sql_batch(129) + """
+SELECT c.term_no, c.result_no, c.term, c.excerpt, d.title FROM chosen c JOIN docs d ON d.line_no = c.line_no"""
+SQL_SOURCE_USAGE = _sql_batch(129) + "\nSELECT docid, count(*) AS n FROM chosen GROUP BY docid"
+_SQL_CHOSEN = "\nSELECT term_no, result_no, docid, line_no FROM chosen"
+SQL_SOURCE_CAP = _sql_batch(QUOTA_CAP) + _SQL_CHOSEN
+SQL_SOURCE_QUOTA = _sql_batch(QUOTA_CAP, 20, 400) + _SQL_CHOSEN
 
 
 # ---------------------------------------------------------------------------
@@ -424,81 +446,184 @@ FROM (SELECT doc_id, regexp_replace(text, '[
 
 
 # ---------------------------------------------------------------------------
-# Full pipeline (rows-only checks: sentence boundaries need look-ahead)
+# Second corpus: conversation turns as corpus lines (title<delim>content split
+# by the regular-expression delimiter), searched with the same terms.
+
+def q_conversation_hits(spark, sf_dir):
+    good, _ = C.split_lines(C.lines_from_conversations(spark, sf_dir))
+    hits = S.phrase_hits(IDX.build_docs(good, []), _terms(spark, sf_dir))
+    return hits.select("term_no", "line_no", F.col("tf").cast("long").alias("tf"),
+                       F.element_at("starts", 1).cast("long").alias("first_pos"))
+
+
+DOCS_CONVERSATIONS = f"""docs AS (
+  SELECT line_no, title, content, score, toks, n_tokens FROM {O.analyzed(
+      "SELECT line_no, title, text AS content, score FROM conv", "content")}
+)"""
+
+SQL_CONVERSATION_HITS = O.with_ctes(CONVERSATION_LINES, DOCS_CONVERSATIONS, O.TERMS, O.GRAMS, O.HITS) + """
+SELECT term_no, line_no, CAST(tf AS BIGINT) AS tf, CAST(first_pos AS BIGINT) AS first_pos FROM hits"""
+
+
+# ---------------------------------------------------------------------------
+# Text inputs, the stored index and the remaining outputs.  Files are written
+# under the shared folder that the session names (spark.checkpoint.dir).
 
-def _batch_cfg(**kw):
-    from phrasemill.plans import batch as B
-    return B.SearchConfig(**kw)
+def _folder(spark, name: str) -> str:
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def q_excerpts(spark, sf_dir):
-    from phrasemill.plans import batch as B
-    docs = _docs(spark, sf_dir)
-    terms = _terms(spark, sf_dir)
-    ex = B.scored_excerpts(docs, terms, _batch_cfg())
-    return ex.select("term_no", "line_no", F.col("rank").cast("long").alias("rank"),
-                     F.col("ex_start").cast("long").alias("ex_start"), F.col("ex_end").cast("long").alias("ex_end"),
-                     "excerpt", F.col("penalty").cast("long").alias("penalty"), "skip_reason")
+def _index(spark, sf_dir) -> PO.Index:
+    path = _folder(spark, "index")
+    PO.write_index(_docs(spark, sf_dir), path)
+    return PO.load_index(spark, path)
 
 
-def q_expansion_rounds(spark, sf_dir):
-    """QRY-7: the round each term's search stopped at and its accepted
-    excerpts, for both expansion modes."""
-    from phrasemill.operators import ranking as RK
-    from phrasemill.plans import batch as B
-    cfg = _batch_cfg()
-    scored = B.scored_excerpts(_docs(spark, sf_dir), _terms(spark, sf_dir), cfg)
-    limits = RK.expansion_limits(cfg.match_limit, cfg.expand_iterations, cfg.expand_factor)
-    out = None
-    for mode in ("cumulative", "band"):
-        sel = RK.select_round(scored, limits, cfg.match_limit, mode)
-        agg = sel.groupBy("term_no").agg(F.first("round").cast("long").alias("round"),
-                                         F.count(F.lit(1)).alias("n_accepted")).withColumn("mode", F.lit(mode))
-        out = agg if out is None else out.unionByName(agg)
-    return out
+def q_postings(spark, sf_dir):
+    """IDX-4, TXT-6: every token occurrence of the stored index with its place in the content."""
+    return _index(spark, sf_dir).postings.select("token", "line_no", *_long("pos", "start", "end"))
 
 
-def q_run_batch(spark, sf_dir):
-    from phrasemill.plans import batch as B
-    res = B.run_batch(_docs(spark, sf_dir), C.terms_from_benchmark(spark, sf_dir), _batch_cfg())
-    return res.select("term_no", F.col("result_no").cast("long").alias("result_no"), "term", "excerpt", "title")
+SQL_POSTINGS = O.with_ctes(O.DOCS, O.OFFSETS) + """
+SELECT t.token, t.line_no, CAST(t.pos AS BIGINT) AS pos, s.s AS start, s.s + length(t.token) AS "end"
+FROM (SELECT line_no, i - 1 AS pos, toks[i] AS token
+      FROM (SELECT line_no, toks, unnest(range(1, len(toks) + 1)) AS i FROM docs)) t
+JOIN starts s ON s.line_no = t.line_no AND s.pos = t.pos
+WHERE t.token <> '' AND t.token <> chr(1)"""
 
 
-def q_source_quota(spark, sf_dir):
-    """A cap small enough to bind on the test data (exercises RNK-5)."""
-    from phrasemill.plans import batch as B
-    res = B.run_batch(_docs(spark, sf_dir), C.terms_from_benchmark(spark, sf_dir),
-                      _batch_cfg(source_cap=3, highlight_min=20, highlight_max=400))
-    return res.select("term_no", F.col("result_no").cast("long").alias("result_no"), "docid", "line_no")
+def q_indexed_hits(spark, sf_dir):
+    """QRY-2, QRY-3, SRC-8, SNK-3: the same hits from the stored index."""
+    hits = PO.phrase_hits(_index(spark, sf_dir), _terms(spark, sf_dir))
+    return hits.select("term_no", "line_no", *_long("tf"), F.element_at("starts", 1).cast("long").alias("first_pos"))
 
 
-def q_source_usage(spark, sf_dir):
-    from phrasemill.operators import ranking as RK
-    from phrasemill.plans import batch as B
-    res = B.run_batch(_docs(spark, sf_dir), C.terms_from_benchmark(spark, sf_dir), _batch_cfg())
-    return RK.source_usage(res).select("docid", F.col("n").cast("long").alias("n"))
+def q_corpus_text(spark, sf_dir):
+    """SRC-1..4: the documents' lines written as a text corpus, read and numbered again."""
+    path = _folder(spark, "corpus")
+    docs = C.table(spark, sf_dir, "documents").select("doc_id", "source", F.posexplode(F.split("text", "\n", -1)).alias("i", "line"))
+    (docs.repartitionByRange("doc_id", "i").sortWithinPartitions("doc_id", "i")
+     .select(F.concat("source", F.lit(".txt:"), "line").alias("value")).write.option("lineSep", "\n").text(path))
+    good, _ = C.split_lines(C.read_corpus(spark, path))
+    return good.select("line_no", "title", "content", "base_score")
 
 
-# ---------------------------------------------------------------------------
-# Second corpus: conversation turns as corpus lines (title<delim>content split
-# by the regular-expression delimiter), searched with the same terms.
+SQL_CORPUS_TEXT = """
+SELECT row_number() OVER (ORDER BY doc_id, i) AS line_no, source AS title, line AS content, CAST(right(source, 1) AS DOUBLE) AS base_score
+FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line,
+             unnest(range(len(string_split(text, chr(10))))) AS i FROM documents)"""
 
-def q_conversation_hits(spark, sf_dir):
-    good, _ = C.split_lines(C.lines_from_conversations(spark, sf_dir))
-    hits = S.phrase_hits(IDX.build_docs(good, []), _terms(spark, sf_dir))
-    return hits.select("term_no", "line_no", F.col("tf").cast("long").alias("tf"),
-                       F.element_at("starts", 1).cast("long").alias("first_pos"))
 
+def q_rules_text(spark, sf_dir):
+    """SRC-5, IDX-1, IDX-2: one rule per source, written as rule lines, read back and folded."""
+    path = _folder(spark, "rules")
+    digit = F.substring("source", -1, 1).cast("int")
+    (C.table(spark, sf_dir, "documents").select("source").distinct().coalesce(1).sortWithinPartitions("source")
+     .select(F.concat_ws("\t", F.when(digit % 2 == 0, "REGEX").otherwise("EXACT"), F.concat("source", F.when(digit % 2 == 0, "$").otherwise("")),
+                         ((digit - 3) / 4).cast("string"), F.when(digit % 4 == 0, "T").otherwise("F")).alias("value"))
+     .write.text(path))
+    good, _ = C.parse_scores(C.staged_from_documents(spark, sf_dir))
+    return IDX.source_table(good, C.read_rules(spark, path)).select("title", F.round("score", ROUND).alias("score"), "dropped")
 
-DOCS_CONVERSATIONS = f"""docs AS (
-  SELECT line_no, title, content, score, toks, n_tokens FROM {O.analyzed(
-      "SELECT conv_id * 1048576 + turn AS line_no, role || ' ' || CAST(turn % 10 AS VARCHAR) AS title, "
-      "text AS content, CAST(turn % 10 AS DOUBLE) AS score FROM conversations",
-      "content")}
-)"""
 
-SQL_CONVERSATION_HITS = O.with_ctes(DOCS_CONVERSATIONS, O.TERMS, O.GRAMS, O.HITS) + """
-SELECT term_no, line_no, CAST(tf AS BIGINT) AS tf, CAST(first_pos AS BIGINT) AS first_pos FROM hits"""
+SQL_RULES_TEXT = f"""
+WITH titles AS (SELECT source AS title, CAST(right(source, 1) AS DOUBLE) AS base FROM documents GROUP BY source),
+rules AS (SELECT row_number() OVER (ORDER BY title) AS rule_no, title AS text, base % 2 = 0 AS regex,
+                 (base - 3) / 4 AS adj, base % 4 = 0 AS stop FROM titles),
+m AS (SELECT t.title, r.rule_no, r.adj, r.stop FROM titles t JOIN rules r
+      ON CASE WHEN r.regex THEN suffix(t.title, r.text) ELSE contains(t.title, r.text) END),
+cut AS (SELECT title, min(rule_no) AS cut FROM m WHERE stop OR adj = 0 GROUP BY title),
+agg AS (SELECT m.title, bool_or(m.adj = 0) AS dropped, sum(m.adj) AS adj
+        FROM m LEFT JOIN cut ON m.title = cut.title WHERE m.rule_no <= coalesce(cut.cut, 1000000) GROUP BY m.title)
+SELECT t.title, round(t.base + coalesce(a.adj, 0), {ROUND}) AS score, coalesce(a.dropped, false) AS dropped
+FROM titles t LEFT JOIN agg a ON t.title = a.title"""
+
+
+def q_terms_text(spark, sf_dir):
+    """SRC-6, QRY-1: the benchmark's terms written as a term file (some lines blank), read and normalised."""
+    path = _folder(spark, "terms")
+    terms = C.terms_from_benchmark(spark, sf_dir)
+    (terms.repartitionByRange("term_no").sortWithinPartitions("term_no")
+     .select(F.explode(F.array(F.concat("term", F.lit(".")), F.lit("  "), F.concat(F.lit("-"), "term"))).alias("value")).write.text(path))
+    return S.normalize_terms(C.read_terms(spark, path)).select("term_no", "term", "phrase", *_long("n_toks", "q"))
+
+
+SQL_TERMS_TEXT = O.with_ctes(O.TERMS) + """,
+lines AS (SELECT row_number() OVER (ORDER BY term_no, k) AS term_no, CASE k WHEN 1 THEN term || '.' WHEN 2 THEN '  ' ELSE '-' || term END AS term
+          FROM raw_terms, (VALUES (1), (2), (3)) v(k))
+SELECT term_no, term, phrase, CAST(len(string_split(phrase, ' ')) AS BIGINT) AS n_toks, CAST(length(term) AS BIGINT) AS q
+FROM (SELECT term_no, term, trim(replace(replace(term, '-', ' '), '.', ''), ' ') AS phrase FROM lines)
+WHERE trim(term) <> ''"""
+
+
+def q_results_tsv(spark, sf_dir):
+    """SNK-1: the lines of the results file, written and read."""
+    path = _folder(spark, "results")
+    sinks.write_results_tsv(_batch(spark, sf_dir, _cfg()), path)
+    return spark.read.option("lineSep", "\n").text(path).select(F.col("value").alias("line"))
+
+
+SQL_RESULTS_TSV = _sql_batch(129) + r"""
+SELECT c.term || chr(9) || regexp_replace(c.excerpt, '[\t\r\n]', ' ', 'g') || chr(9) || regexp_replace(d.title, '[\t\r\n]', ' ', 'g') AS line
+FROM chosen c JOIN docs d ON d.line_no = c.line_no"""
+
+
+def q_adhoc_search(spark, sf_dir):
+    """QRY-9: the ranked documents of one phrase, the first two words of the first benchmark text."""
+    phrase = C.terms_from_benchmark(spark, sf_dir, sizes=(2,), whole=False, only_at=0).orderBy("term_no").first()["term"]
+    return S.search_phrase(_docs(spark, sf_dir), phrase).select("line_no", *_long("rank", "tf"), F.round("final_score", ROUND).alias("final_score"))
+
+
+SQL_ADHOC_SEARCH = O.with_ctes(O.DOCS, O.DOCIDS, O.TERMS, O.GRAMS, O.HITS, O.STATS, O.IDF,
+                               O.scored_hits(O.DEFAULT_FORMULA_SQL)) + f"""
+SELECT line_no, CAST(rank AS BIGINT) AS rank, CAST(tf AS BIGINT) AS tf, round(final_score, {ROUND}) AS final_score
+FROM ranked WHERE rank <= {TOP_N} AND term_no = (SELECT min(item_id) * (SELECT width FROM bench_width) + 2 FROM bench WHERE len(w) >= 2)"""
+
+
+def q_explain(spark, sf_dir):
+    """RNK-7: what became of every excerpt, with a cap that binds."""
+    out = B.explain_batch(_docs(spark, sf_dir), C.terms_from_benchmark(spark, sf_dir), _cfg(source_cap=QUOTA_CAP))
+    return out.select("term_no", "line_no", *_long("rank", "ex_rank", "result_no", "penalty"), "outcome",
+                      F.col("penalties.punctuation").cast("long").alias("punctuation"), F.round("bm25", ROUND).alias("bm25"))
+
+
+SQL_EXPLAIN = _sql_batch(QUOTA_CAP) + rf""",
+last AS (SELECT term_no, max(ex_rank) AS last, count(*) AS n FROM chosen GROUP BY term_no)
+SELECT s.term_no, s.line_no, CAST(s.rank AS BIGINT) AS rank, CAST(o.ex_rank AS BIGINT) AS ex_rank, c.result_no,
+       CAST(s.penalty AS BIGINT) AS penalty,
+       CASE WHEN c.result_no IS NOT NULL THEN 'result' WHEN s.penalty IS NULL THEN s.reason WHEN o.ex_rank IS NULL THEN 'not in round'
+            WHEN coalesce(l.n, 0) < 5 OR o.ex_rank < l.last THEN 'quota' ELSE 'limit' END AS outcome,
+       CAST(len(regexp_extract_all(s.excerpt, '[\p{{Pc}}\p{{Ps}}\p{{Pe}}\p{{Po}}]')) AS BIGINT) AS punctuation, round(r.bm25, {ROUND}) AS bm25
+FROM sc s JOIN ranked r ON r.term_no = s.term_no AND r.line_no = s.line_no
+LEFT JOIN ord o ON o.term_no = s.term_no AND o.line_no = s.line_no
+LEFT JOIN chosen c ON c.term_no = s.term_no AND c.line_no = s.line_no LEFT JOIN last l ON l.term_no = s.term_no"""
+
+CUSTOM_FORMULA = "max(min(_score, 3), 0.5) + trunc(score / 2) / 10 + haversin(0, 0, 0, score) / 1000"
+
+
+def q_custom_scoring(spark, sf_dir):
+    """UDF-1, UDF-2: a user's criteria and a formula with the helper functions."""
+    shout = SC.FullCriterion("shout", lambda e, t: e.contains("!"), penalty=5, strict=False, last=True)
+    scoring = SC.ExcerptScoring((shout, SC.length_outside(20, 170)), (SC.CharCriterion("vowels", "[aeiou]", 2),))
+    cfg = _cfg(scoring=scoring, formula=CUSTOM_FORMULA)
+    return _scored(spark, sf_dir, cfg).select("term_no", "line_no", *_long("rank", "penalty"), "skip_reason",
+                                              F.round("final_score", ROUND).alias("final_score"))
+
+
+def _sql_custom() -> str:
+    formula = ("greatest(least(bm25, 3), 0.5) + trunc(score / 2) / 10 "
+               "+ 2 * 6371.0 * asin(sqrt(pow(sin(radians(0) / 2), 2) + cos(radians(0)) * cos(radians(0)) * pow(sin(radians(score) / 2), 2))) / 1000")
+    head = _sql_scored().replace(O.DEFAULT_FORMULA_SQL, formula)
+    return head + f"""
+SELECT term_no, line_no, CAST(rank AS BIGINT) AS rank,
+       CASE WHEN excerpt = '' THEN NULL WHEN NOT contains(excerpt, '!') AND (length(excerpt) < 20 OR length(excerpt) > 170) THEN NULL
+            ELSE CAST(1 + CASE WHEN contains(excerpt, '!') THEN 5 ELSE 0 END + 2 * len(regexp_extract_all(excerpt, '[aeiou]')) AS BIGINT) END AS penalty,
+       CASE WHEN excerpt = '' THEN 'empty' WHEN NOT contains(excerpt, '!') AND (length(excerpt) < 20 OR length(excerpt) > 170) THEN 'length' END AS skip_reason,
+       round(final_score, {ROUND}) AS final_score
+FROM sc"""
+
+
+SQL_CUSTOM_SCORING = _sql_custom()
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -524,6 +649,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "run_batch": q_run_batch,
     "source_quota": q_source_quota,
     "source_usage": q_source_usage,
+    "postings": q_postings,
+    "indexed_hits": q_indexed_hits,
+    "corpus_text": q_corpus_text,
+    "rules_text": q_rules_text,
+    "terms_text": q_terms_text,
+    "results_tsv": q_results_tsv,
+    "adhoc_search": q_adhoc_search,
+    "explain": q_explain,
+    "custom_scoring": q_custom_scoring,
 }
 
 ORACLE: dict[str, str] = {
@@ -544,4 +678,18 @@ ORACLE: dict[str, str] = {
     "result_limit": SQL_RESULT_LIMIT,
     "result_limit_band": SQL_RESULT_LIMIT_BAND,
     "source_cap": SQL_SOURCE_CAP,
+    "excerpts": SQL_EXCERPTS,
+    "expansion_rounds": SQL_EXPANSION_ROUNDS,
+    "run_batch": SQL_RUN_BATCH,
+    "source_quota": SQL_SOURCE_QUOTA,
+    "source_usage": SQL_SOURCE_USAGE,
+    "postings": SQL_POSTINGS,
+    "indexed_hits": SQL_PHRASE_HITS,
+    "corpus_text": SQL_CORPUS_TEXT,
+    "rules_text": SQL_RULES_TEXT,
+    "terms_text": SQL_TERMS_TEXT,
+    "results_tsv": SQL_RESULTS_TSV,
+    "adhoc_search": SQL_ADHOC_SEARCH,
+    "explain": SQL_EXPLAIN,
+    "custom_scoring": SQL_CUSTOM_SCORING,
 }
