@@ -50,7 +50,7 @@ def main():
     extra["index_tokens_per_sec"] = round(extra["tokens"] / times["index_build"], 1)
 
     for n in (1, 2, 3):
-        terms = cut_lineage(S.normalize_terms(C.terms_from_benchmark(spark, sf_dir, sizes=(n,))))
+        terms = cut_lineage(S.normalize_terms(C.terms_from_benchmark(spark, sf_dir, sizes=(n,), whole=False, only_at=3)))
         n_terms = terms.count()
         t = time.time()
         run(S.phrase_hits(docs, terms))
@@ -58,13 +58,13 @@ def main():
         extra[f"terms_{n}tok"] = n_terms
         extra[f"terms_per_sec_{n}tok"] = round(n_terms / times[f"hits_{n}tok"], 2)
 
-    terms_all = S.normalize_terms(C.terms_from_benchmark(spark, sf_dir))
+    terms_all = S.normalize_terms(C.terms_from_benchmark(spark, sf_dir, whole=False, only_at=3))
     t = time.time()
     run(S.ranked_hits(docs, terms_all, limit=20, stats=(n_docs, avgdl)))
     times["ranked_top20"] = time.time() - t
 
     t = time.time()
-    res = B.run_batch(docs, C.terms_from_benchmark(spark, sf_dir), B.SearchConfig())
+    res = B.run_batch(docs, C.terms_from_benchmark(spark, sf_dir, whole=False, only_at=3), B.SearchConfig())
     run(res)
     times["run_batch"] = time.time() - t
 
