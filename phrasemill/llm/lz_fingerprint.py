@@ -44,6 +44,16 @@ class Phrases:
         self.find, self.known = regex.compile(r"\w{1,12}|[^\w\s]").findall, {}
 
     def __call__(self, text: str) -> set[int]:
+        return self._parse(text, set(), 0)[0]
+
+    def both(self, text: str, other: str, same: int) -> tuple[set[int], set[int]]:
+        """The phrases of two texts that begin with the same characters: the
+        parse of the common part (up to a space) is done once."""
+        cut = text.rfind(" ", 0, same) + 1
+        begun, phrase = self._parse(text[:cut], set(), 0)
+        return self._parse(text[cut:], set(begun), phrase)[0], self._parse(other[cut:], begun, phrase)[0]
+
+    def _parse(self, text: str, seen: set[int], phrase: int) -> tuple[set[int], int]:
         symbols, known = self.find(text), self.known
         new = set(symbols).difference(known)
         if len(known) + len(new) > CACHE_SYMBOLS:
@@ -51,14 +61,13 @@ class Phrases:
             new = set(symbols)
         for s in new:
             known[s] = int.from_bytes(hashlib.blake2b(s.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-        seen: set[int] = set()
-        add, phrase = seen.add, 0
+        add = seen.add
         for s in map(known.__getitem__, symbols):
             phrase = (phrase * 0x9E3779B97F4A7C15 + s) & _MASK
             if phrase not in seen:
                 add(phrase)
                 phrase = 0
-        return seen
+        return seen, phrase
 
 
 def signature(phrases: set[int]) -> bytes:
@@ -116,10 +125,10 @@ def _compare(key: tuple[pa.Scalar, ...], docs: pa.Table, before: pa.Table) -> pa
     ids, texts = B.open_block(docs.column("data").to_pylist())
     texts, parse = [t or "" for t in texts], Phrases()
     follow = [before.column("text")[0].as_py(), *texts[:-1]]     # descending ids: the one below comes next
-    own = [signature(parse(t)) for t in texts]
-    of_next = [signature(parse(follow[0])), *own[:-1]]
     other = [edited(t, f) for t, f in zip(texts, follow, strict=True)]
-    of_other = [signature(parse(t)) for t in other]
+    pairs = [[signature(p) for p in parse.both(t, o, len(t) - len(t) // 3)] for t, o in zip(texts, other, strict=True)]
+    own, of_other = [a for a, _ in pairs], [b for _, b in pairs]
+    of_next = [signature(parse(follow[0])), *own[:-1]]
     return pa.table({
         "doc_id": pa.array(ids, pa.int64()), "n_chars": pa.array(map(len, texts), pa.int64()),
         "edited_sha256": pa.array([hashlib.sha256(t.encode()).hexdigest() for t in other], pa.string()),
