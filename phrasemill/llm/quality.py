@@ -107,7 +107,7 @@ def _margin(m: Model, first, idx, val, dense):
     return m.bias + _rows(m.w[idx] * val, first) + dense @ m.w[d:] + 0.5 * (s * s - sq).sum(axis=1), s, vx
 
 
-def fit(rows: list[tuple], dims: int, factors: int = 8, epochs: int = 12, rate: float = 0.02, l2: float = 1e-4,
+def fit(rows: list[tuple], dims: int, factors: int = 8, steps: int = 400, rate: float = 0.02, l2: float = 1e-4,
         batch: int = 256, seed: int = 11) -> Model:
     """rows: (label, index, value, statistics, metadata) of each training row.  Log loss, Adam."""
     y = np.array([r[0] for r in rows], float)
@@ -129,7 +129,7 @@ def fit(rows: list[tuple], dims: int, factors: int = 8, epochs: int = 12, rate:
     p = [m.w[:, None], m.v]
     mom = [[np.zeros_like(a), np.zeros_like(a)] for a in p]
     step = 0
-    for _ in range(epochs):
+    while step < steps:              # whole passes over the rows
         order = rng.permutation(len(rows))
         for lo in range(0, len(order), batch):
             pick = order[lo:lo + batch]
