@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -211,8 +212,7 @@ def small_batches(batches: Iterator[pa.RecordBatch], text_at: int, limit: int =
     for b in batches:
         if not b.num_rows:
             continue
-        size = np.array([len(x) if x is not None else 0 for x in b.column(text_at).cast(pa.binary()).to_pylist()], np.int64) \
-            if b.column(text_at).nbytes > limit else np.zeros(b.num_rows, np.int64)
+        size = pc.binary_length(b.column(text_at)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
         part = np.cumsum(size) // limit
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), b.num_rows]
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):

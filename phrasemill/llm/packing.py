@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +32,8 @@ from pyspark.sql import functions as F
 from phrasemill.llm import blocks as B
 from phrasemill.llm import tables as T
 
-CACHE_PIECES = 600_000
+CACHE_PIECES = 1_000_000
+BATCH_BYTES = 8 << 20   # of text whose distinct words are looked up together
 # plain words: ASCII and precomposed Latin letters, whose lower case and normal form don't depend on their neighbours
 _LATIN = "\u00df-\u00f6\u00f8-\u012f\u0131-\u024f"
 _PLAIN = re.compile(f"[!-&(-~\u00c0-\u00d6\u00d8-\u00de{_LATIN}]+").fullmatch
@@ -45,6 +47,10 @@ _FIELDS = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64())
 _SCHEMA = "doc_id long, start long, length long, doc_tokens long, ids binary, sequence_id long, offset long, open boolean, part long"
 
 
+def _little_endian(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class WordTokens(dict):
     """Ids of a batch of texts as little-endian unsigned 32-bit numbers.
 
@@ -75,7 +81,7 @@ class WordTokens(dict):
         first, word = B.distinct(w.hash)
         words = [w.raw[s:e].decode() for s, e in zip(w.start[first].tolist(), w.end[first].tolist(), strict=True)]
         plain = [_PLAIN(x) is not None and "<|" not in x for x in words]
-        ids, size = [], []
+        ids, size = bytearray(), []
         done = 0
         for p in _PIECES("".join(x + "\n" for x, ok in zip(words, plain, strict=True) if ok).lower()):
             if p == "\n":
@@ -86,20 +92,20 @@ class WordTokens(dict):
         for x, ok in zip(words, plain, strict=True):
             if not ok:
                 own = self.encode(x, add_special_tokens=False).ids
-                ids += own
-                size.append(len(own))
+                ids += _little_endian(own)
+                size.append(4 * len(own))
         plain = np.array(plain, bool)
         order = np.concatenate((np.flatnonzero(plain), np.flatnonzero(~plain)))   # words as their ids lie
         n, at = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
-        n[order] = size
-        at[order] = np.cumsum(size) - size if size else 0
-        out = B.gather(np.array(ids, "<u4"), at, n, word).tobytes()
+        n[order] = np.array(size, np.int64) // 4
+        at[order] = np.cumsum(n[order]) - n[order]
+        out = B.gather(np.frombuffer(bytes(ids), "<u4"), at, n, word).tobytes()
         end = 4 * np.concatenate(([0], np.cumsum(n[word])))[w.first]
         return [out[lo:hi] for lo, hi in zip(end[:-1].tolist(), end[1:].tolist(), strict=True)]
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
+    def __missing__(self, piece: str) -> bytes:
         level = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_LEVEL)
-        self[piece] = ids = tuple([t.id for t in self.merge(level)])
+        self[piece] = ids = _little_endian([t.id for t in self.merge(level)])
         return ids
 
 
@@ -155,7 +161,7 @@ def _pack(path: str, end_id: int, window: int, keep: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, end = TaskContext.get().partitionId(), np.array([end_id], "<u4").tobytes()
         tokens, packer = WordTokens(path), _Packer(window, keep, part << 32, part)
-        for b in B.small_batches(batches, 1):
+        for b in B.small_batches(batches, 1, BATCH_BYTES):
             for doc_id, ids in zip(b.column(0).to_pylist(), tokens(b.column(1).to_pylist()), strict=True):
                 ids += end
                 packer.add(doc_id, 0, ids, len(ids) // 4)
