@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from phrasemill.llm import tables as T
 
+SALTS = 16
 WHITE = " \t\n\u000b\f\r"  # \x20 and \x09-\x0D
 
 
@@ -56,7 +57,10 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     hot = (keyed.groupBy(*h, "d").agg(F.lit(1).alias("one"))
            .groupBy(*h).agg(F.count("one").alias("n")).filter(F.col("n") >= min_docs).select(*h))
-    gone = keyed.join(hot, h).groupBy("d", "x", "l").agg(F.array_sort(F.collect_set("p")).alias("gone"))
+    # a hot line's rows are split over salts; the threshold bounds the lines that are copied
+    salted = hot.select(*h, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    gone = keyed.withColumn("salt", F.pmod(F.xxhash64("d", "x"), F.lit(SALTS)).cast("int")).join(salted, [*h, "salt"]).groupBy(
+        "d", "x", "l").agg(F.array_sort(F.collect_set("p")).alias("gone"))
 
     marked = docs.select("*", *[c.alias(n) for c, n in zip(
         (F.col(id_col).cast("long"), F.xxhash64(text), F.length(text)), ("__ld_d", "__ld_x", "__ld_l"), strict=True)])
