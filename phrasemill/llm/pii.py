@@ -15,7 +15,8 @@ counts over the whole corpus,
 a term t (letters and digits, lower-cased) reveals the share PMI / IC of the
 entity: 1 if it occurs only beside it.  Terms at or over `alpha`, seen beside
 the entity in at least `support` different windows (copies of one text count
-once there), are spans of kind "term" wherever they stand in its windows.
+once there), are spans of kind "term" wherever they stand in the table: beside
+the entity, far from it or in documents without it, but not within a base span.
 n(t) are partial sums over all words of all texts.
 
 `sanitise` replaces base spans and terms: base spans and numbers by their kind
@@ -33,6 +34,7 @@ from pyspark.sql import functions as F
 
 from phrasemill.llm import tables as T
 from phrasemill.llm.line_dedup import free_name
+from phrasemill.session import maybe_broadcast
 
 KINDS = ["email", "ip", "card", "phone", "term"]
 _PATTERNS = [
@@ -62,7 +64,7 @@ def _identity(id_col: str, text: Column) -> list[Column]:
 
 
 def base_spans(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
-    """(d, x, l, rank, start, end, m, left, right): valid matches and the text beside them, up to their kind's next match."""
+    """(d, x, l, rank, start, end, m, left, right): valid matches and the `window` characters beside them."""
     text = F.col(text_col).cast("string")
     none = F.array().cast("array<string>")
     found = [F.struct(F.lit(i).alias("rank"), F.when(text.contains(need), F.regexp_extract_all(text, F.lit(p), F.lit(0)))
@@ -72,12 +74,26 @@ def base_spans(docs: DataFrame, id_col: str, text_col: str, window: int) -> Data
     pieces = F.lit(None).cast("array<string>")
     for i, p in enumerate(_PATTERNS):
         pieces = F.when(F.col("rank") == i, F.split("t", p, -1)).otherwise(pieces)
-    n = F.size("m")
+    n, wide = F.size("m"), F.lit(window)
+    # windows go on over the kind's other matches: one has two characters at least, so `window` of them are enough
+    head = F.transform("m", lambda m, i: F.right(F.concat(F.get("p", i), m), wide))
+    tail = F.transform("m", lambda m, i: F.left(F.concat(m, F.get("p", i + 1)), wide))
+
+    def left(m: Column, i: Column) -> Column:
+        gap, back = F.get("p", i), F.least(i, wide)
+        return F.right(F.when(F.length(gap) >= window, gap).otherwise(
+            F.concat(F.array_join(F.slice("head", i - back + 1, back), ""), gap)), wide)
+
+    def right(m: Column, i: Column) -> Column:
+        gap = F.get("p", i + 1)
+        return F.left(F.when(F.length(gap) >= window, gap).otherwise(
+            F.concat(gap, F.array_join(F.slice("tail", i + 2, wide), ""))), wide)
+
     rows = rows.select(*_KEY, "rank", "m", pieces.alias("p")).select(
+        *_KEY, "rank", "m", "p", head.alias("head"), tail.alias("tail")).select(
         *_KEY, "rank", F.arrays_zip(
             F.col("m"), F.slice(F.transform("p", F.length), F.lit(1), n).alias("gap"),
-            F.slice(F.transform("p", lambda s: F.right(s, F.lit(window))), F.lit(1), n).alias("left"),
-            F.slice(F.transform("p", lambda s: F.left(s, F.lit(window))), F.lit(2), n).alias("right")).alias("z")
+            F.transform("m", left).alias("left"), F.transform("m", right).alias("right")).alias("z")
     ).dropDuplicates([*_KEY, "rank"]).select(*_KEY, "rank", F.posexplode("z").alias("pos", "z")).select(
         *_KEY, "rank", "pos", *[F.col(f"z.{c}").alias(c) for c in ("m", "gap", "left", "right")])
     before = Window.partitionBy(*_KEY, "rank").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
@@ -86,63 +102,84 @@ def base_spans(docs: DataFrame, id_col: str, text_col: str, window: int) -> Data
         *_KEY, "rank", "start", (F.col("start") + F.length("m")).alias("end"), "m", "left", "right")
 
 
-def _words(side: str, at: Column, window: int) -> Column:
-    """Words of a window and where they start; a word that the window may cut is left out."""
-    words, gaps = F.regexp_extract_all(F.col(side), F.lit(_TERM), F.lit(0)), F.split(F.col(side), _TERM, -1)
-    length = lambda a, s: a + F.length(s)
-    placed = F.transform(words, lambda w, i: F.struct(
-        F.lower(w).alias("term"), w.alias("word"), i.alias("i"),
-        (at + F.aggregate(F.slice(gaps, F.lit(1), i + 1), F.lit(0), length)
-         + F.aggregate(F.slice(words, F.lit(1), i), F.lit(0), length)).alias("start")))
+def _all_words(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(_TERM), F.lit(0))
+
+
+def _words(side: str, window: int) -> Column:
+    """Words of a window; a word that the window may cut is left out."""
+    words, gaps = _all_words(F.col(side)), F.split(F.col(side), _TERM, -1)
     clipped = F.length(side) >= window
     cut = (F.lit(0) if side == "left" else F.size(words) - 1)
     edge = F.element_at(gaps, 1 if side == "left" else -1) == ""
-    return F.filter(placed, lambda s: ~(clipped & edge & (s.i == cut)) & (F.length(s.word) >= 3))
+    return F.filter(words, lambda w, i: ~(clipped & edge & (i == cut)) & (F.length(w) >= 3))
 
 
-def term_spans(docs: DataFrame, base: DataFrame, text_col: str, window: int, alpha: float, support: int) -> DataFrame:
-    """(d, x, l, rank, start, end, word) of terms that reveal an entity beside them."""
+def revealing(docs: DataFrame, base: DataFrame, text_col: str, window: int, alpha: float, support: int) -> DataFrame:
+    """(term): those that reveal an entity beside them."""
     entity = F.when(F.col("rank") == 0, F.lower("m")).when(F.col("rank") == 1, F.col("m")).otherwise(
         F.regexp_replace("m", "[^0-9]", ""))
-    seen = base.select(*_KEY, "rank", entity.alias("e"), F.xxhash64("left", "right").alias("w"), F.explode(F.concat(
-        _words("left", F.col("start") - F.length("left"), window), _words("right", F.col("end"), window))).alias("s")
-    ).select(*_KEY, "rank", "e", "w", "s.term", "s.word", "s.start")
+    seen = base.select("rank", entity.alias("e"), F.xxhash64("left", "right").alias("w"), F.explode(F.concat(
+        _words("left", window), _words("right", window))).alias("word")).withColumn("term", F.lower("word"))
     pair = (seen.groupBy("rank", "e", "term", "w").agg(F.count(F.lit(1)).alias("n"))
             .groupBy("rank", "e", "term").agg(F.count("w").alias("windows"), F.sum("n").alias("n_te"))
             .filter(F.col("windows") >= support))
     n_e = base.groupBy("rank", entity.alias("e")).agg(F.count(F.lit(1)).alias("n_e"))
-    words = docs.select(F.explode(F.split(F.lower(F.col(text_col).cast("string")), r"[^\p{L}\p{N}]+", -1)).alias("term"))
-    counts = T.write_shared(words.filter("term <> ''").groupBy("term").agg(F.count(F.lit(1)).alias("n_t")), "words")
+    words = docs.select(F.explode(_all_words(F.col(text_col).cast("string"))).alias("word")).select(F.lower("word").alias("term"))
+    counts = T.write_shared(words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")), "words")
     total = counts.agg(F.sum("n_t").alias("total"))
     ic = -F.log2(F.col("n_e") / F.col("total"))
     # one word may stand in the windows of two values: n(t, e) is at most n(t)
     pmi = F.log2(F.least(F.col("n_te"), F.col("n_t")) / F.col("n_t")) + ic
-    told = (pair.join(n_e, ["rank", "e"]).join(counts, "term").crossJoin(F.broadcast(total))
-            .filter((ic > 0) & (pmi / ic >= alpha)).select("rank", "e", "term"))
-    spans = seen.join(told, ["rank", "e", "term"]).select(
-        *_KEY, F.lit(4).alias("rank"), F.col("start").cast("long"), (F.col("start") + F.length("word")).cast("long").alias("end"),
-        "word").distinct()
-    b = base.select(*[F.col(k).alias(f"b{k}") for k in _KEY], F.col("start").alias("bs"), F.col("end").alias("be"))
-    return spans.join(b, F.col("d").eqNullSafe(F.col("bd")) & (F.col("x") == F.col("bx")) & (F.col("l") == F.col("bl"))
-                      & (F.col("start") < F.col("be")) & (F.col("end") > F.col("bs")), "left_anti")
+    return (pair.join(n_e, ["rank", "e"]).join(counts, "term").crossJoin(F.broadcast(total))
+            .filter((ic > 0) & (pmi / ic >= alpha)).select("term").distinct())
+
+
+def terms_within(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(d, x, l, term): the revealing terms of each document.  A hot term's documents stay where they are read,
+    or are split by the skewed join if the terms are too many to broadcast."""
+    text = F.col(text_col).cast("string")
+    words = docs.select(*_identity(id_col, text), F.explode(F.array_distinct(_all_words(text))).alias("word")).select(
+        *_KEY, F.lower("word").alias("term"))
+    return words.join(maybe_broadcast(terms, ["term"])[0], "term").select(*_KEY, "term")
+
+
+def _term_spans(text: Column) -> Column:
+    """Spans of a row's words that are among its terms and outside its base spans, in one walk over the words."""
+    kind = "struct<start:bigint,rank:int,end:bigint,kind:string,label:string>"
+    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{kind}>").alias("hits"))
+
+    def step(acc: Column, p: Column) -> Column:
+        start = acc.at + F.length(p.gap)
+        end = start + F.coalesce(F.length(p.word), F.lit(0))
+        label = F.when(p.word.rlike(r"^\p{N}+$"), F.lit("[NUMBER]")).otherwise(F.lit(""))
+        hit = F.struct(start.alias("start"), F.lit(4).alias("rank"), end.alias("end"), F.lit(KINDS[4]).alias("kind"),
+                       label.alias("label"))
+        return F.struct(end.alias("at"), F.when(F.array_contains("__pii_terms", F.lower(p.word)), F.array_append(acc.hits, hit))
+                        .otherwise(acc.hits).alias("hits"))
+
+    words = F.arrays_zip(F.split(text, _TERM, -1).alias("gap"), _all_words(text).alias("word"))
+    found = F.aggregate(words, zero, step, lambda acc: acc.hits)
+    return F.when(F.size("__pii_terms") > 0, F.filter(found, lambda h: ~F.exists("__pii_base", lambda b: (h.start < b.end) & (h.end > b.start)))
+                  ).otherwise(F.array().cast(f"array<{kind}>"))
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 96, alpha: float = 0.9,
              support: int = 3) -> DataFrame:
     """The table with `text_col` sanitised, and spans array<struct<start, rank, end, kind>> of the text as it was."""
     base = T.write_shared(base_spans(docs, id_col, text_col, window), "pii")
-    terms = term_spans(docs, base, text_col, window, alpha, support)
-    every = base.select(*_KEY, "rank", "start", "end", F.lit(None).cast("string").alias("word")).unionByName(terms)
+    terms = T.write_shared(revealing(docs, base, text_col, window, alpha, support), "terms")
     kind = F.element_at(F.array(*map(F.lit, KINDS)), F.col("rank") + 1)
-    label = F.when(F.col("rank") < 4, F.concat(F.lit("["), F.upper(kind), F.lit("]"))).when(
-        F.col("word").rlike(r"^\p{N}+$"), F.lit("[NUMBER]")).otherwise(F.lit(""))
-    of = every.groupBy(*_KEY).agg(F.array_sort(F.collect_list(F.struct(
-        "start", "rank", "end", kind.alias("kind"), label.alias("label")))).alias("s"))
+    span = F.struct("start", "rank", "end", kind.alias("kind"), F.concat(F.lit("["), F.upper(kind), F.lit("]")).alias("label"))
+    of = base.select(*_KEY, span.alias("span"), F.lit(None).cast("string").alias("term")).unionByName(
+        terms_within(docs, terms, id_col, text_col), allowMissingColumns=True).groupBy(*_KEY).agg(
+        F.collect_list("span").alias("__pii_base"), F.collect_set("term").alias("__pii_terms"))
 
     text = F.col(text_col).cast("string")
     marked = docs.select("*", *[c.alias(f"__pii_{k}") for k, c in zip(_KEY, _identity(id_col, text), strict=True)])
     joined = marked.join(of, F.col("__pii_d").eqNullSafe(F.col("d")) & (F.col("__pii_x") == F.col("x"))
                          & F.col("__pii_l").eqNullSafe(F.col("l")), "left")
+    joined = joined.withColumn("__pii_s", F.array_sort(F.concat("__pii_base", _term_spans(text))))
     zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
     def add(acc: Column, s: Column) -> Column:
@@ -151,11 +188,11 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
         return F.struct(F.greatest(acc.at, s.end).alias("at"), F.when(fresh, F.concat(
             acc.out, F.substring(text, acc.at.cast("int") + 1, (s.start - acc.at).cast("int")), s.label)).otherwise(acc.out).alias("out"))
 
-    clean = F.aggregate("s", zero, add, lambda acc: F.concat(acc.out, F.substring(text, acc.at.cast("int") + 1, F.length(text))))
-    spans = F.coalesce(F.transform("s", lambda s: F.struct(s.start.alias("start"), s.rank.alias("rank"), s.end.alias("end"),
+    clean = F.aggregate("__pii_s", zero, add, lambda acc: F.concat(acc.out, F.substring(text, acc.at.cast("int") + 1, F.length(text))))
+    spans = F.coalesce(F.transform("__pii_s", lambda s: F.struct(s.start.alias("start"), s.rank.alias("rank"), s.end.alias("end"),
                                                            s.kind.alias("kind"))),
                        F.array().cast("array<struct<start:bigint,rank:int,end:bigint,kind:string>>"))
-    return joined.select(*[F.when(F.col("s").isNull(), text).otherwise(clean).alias(c) if c == text_col else F.col(f"`{c}`")
+    return joined.select(*[F.when(F.col("__pii_s").isNull(), text).otherwise(clean).alias(c) if c == text_col else F.col(f"`{c}`")
                            for c in docs.columns], spans.alias(free_name(docs, "spans")))
 
 

@@ -97,6 +97,24 @@ def test_pii_revealing_terms(spark):
     assert [s.kind for s in out[60].spans] == ["email"]
 
 
+def test_pii_terms_everywhere(spark):
+    """A revealing term is removed far from its entity and in documents without it; a window goes past other numbers."""
+    far = "plain words of no meaning " * 12
+    rows = [(i, f"Memo {i}: Zarathustra Quill, 日本 😀 QUILL. {far} Note {i} by Zarathustra Quill at zq@corp.example.") for i in range(4)]
+    rows += [(5, f"{far}only zarathustra knows"), (6, "zarathustra@corp.example is not Zarathustra's")]
+    rows += [(20 + i, f"paid {i}7 by Xanthippe 2024 on card 4111 1111 1111 1111") for i in range(3)]
+    rows += [(30 + i, f"Memo and note, paid on card by others at item {i} {far}") for i in range(40)]
+    rows += [(90, None), (91, "")]
+    out = {r.doc_id: r for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), alpha=0.8).collect()}
+    for i, t in rows:
+        want = [(m.start(), m.end()) for m in re.finditer(r"\b(zarathustra|quill|xanthippe)\b(?!@)", t or "", re.I)]
+        spans = {(s.start, s.end): t[s.start:s.end] for s in out[i].spans if s.kind == "term"}
+        assert set(want) <= set(spans), (i, spans)
+        assert not {w.lower() for w in spans.values()} & {"plain", "words", "memo", "note", "paid", "card", "others", "item"}
+    assert out[5].text == f"{far}only  knows" and out[6].text == "[EMAIL] is not 's"
+    assert out[90].text is None and out[91].text == "" and all(out[30 + i].text == rows[9 + i][1] for i in range(40))
+
+
 def test_pii_is_native(spark, sf_dir):
     plan = pii.sanitise(T.read(spark, sf_dir, "documents"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
