@@ -112,7 +112,7 @@ def _words(side: str, window: int) -> Column:
     clipped = F.length(side) >= window
     cut = (F.lit(0) if side == "left" else F.size(words) - 1)
     edge = F.element_at(gaps, 1 if side == "left" else -1) == ""
-    return F.filter(words, lambda w, i: ~(clipped & edge & (i == cut)) & (F.length(w) >= 3))
+    return F.filter(words, lambda w, i: ~(clipped & edge & (i == cut)))
 
 
 def revealing(docs: DataFrame, base: DataFrame, text_col: str, window: int, alpha: float, support: int) -> DataFrame:

@@ -115,6 +115,16 @@ def test_pii_terms_everywhere(spark):
     assert out[90].text is None and out[91].text == "" and all(out[30 + i].text == rows[9 + i][1] for i in range(40))
 
 
+def test_pii_short_terms(spark):
+    """Names of one or two code points are terms; common short words are not."""
+    rows = [(i, f"{i} is to Wu or 李 at wl@corp.example") for i in range(4)]
+    rows += [(10 + i, f"it is up to us or at {i} of it") for i in range(60)]
+    out = pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    for r in out:
+        words = [dict(rows)[r.doc_id][s.start:s.end] for s in r.spans if s.kind == "term"]
+        assert words == (["Wu", "李"] if r.doc_id < 4 else []), (r.doc_id, words)
+
+
 def test_pii_is_native(spark, sf_dir):
     plan = pii.sanitise(T.read(spark, sf_dir, "documents"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
