@@ -95,12 +95,14 @@ def pack_blocks(docs: DataFrame, id_col: str, text_col: str, blocks: int) -> Dat
 
 
 def id_bounds(docs: DataFrame, id_col: str, blocks: int) -> np.ndarray:
-    """Ids (of the table) that cut it into about `blocks` ranges, ascending; all ids below the second are in range 0."""
+    """Ids (of the table) that cut it into about `blocks` ranges, ascending; all ids below the second are in range 0.
+    No range is empty: the smallest id is no cut."""
     share = [i / blocks for i in range(1, blocks)]
     if not share:
         return np.zeros(1, np.int64)
-    got = docs.agg(F.percentile_approx(F.col(id_col).cast("long"), share, max(10_000, 20 * blocks)).alias("q")).first()["q"]
-    return np.concatenate(([0], np.unique(np.array(got or [], np.int64))))
+    i = F.col(id_col).cast("long")
+    got = docs.agg(F.percentile_approx(i, share, max(10_000, 20 * blocks)).alias("q"), F.min(i).alias("low")).first()
+    return np.concatenate(([0], np.unique(np.array([q for q in got["q"] or [] if q > got["low"]], np.int64))))
 
 
 def pack_ranges(docs: DataFrame, id_col: str, text_col: str, bounds: np.ndarray) -> DataFrame:

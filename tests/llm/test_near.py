@@ -209,6 +209,15 @@ def test_lz_neighbours(nasty, block_bytes):
     _check_neighbours(rows, [tuple(r) for r in Z.compare_neighbours(nasty, block_bytes=block_bytes).collect()])
 
 
+@pytest.mark.parametrize("ids, size", [([1, 2], 5000), ([1] * 40 + list(range(2, 62)), 100), ([7] * 9, 100)])
+def test_lz_first_range_is_not_empty(spark, ids, size):
+    """The first quantile may be the smallest id: texts longer than a block, or many rows of the smallest id."""
+    rows = [(i, f"{n} words {n * n} of text {n % 7} " * (size // 20)) for n, i in enumerate(ids)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    total = sum(len(t) for _, t in rows)
+    _check_neighbours(rows, [tuple(r) for r in Z.compare_neighbours(docs, block_bytes=total // 5 + 1).collect()])
+
+
 def test_lz_table(spark, sf_dir):
     docs = T.read(spark, sf_dir, "documents")
     got = Z.compare_neighbours(docs.repartition(5), block_bytes=50_000).collect()
