@@ -1,9 +1,9 @@
 """Blocks of documents, and compact number columns, for operators that exchange
 far more small items (n-grams, tokens) than documents.
 
-A document's block is a hash of its id, so a block has the same documents no
-matter which task packs it, in which order rows arrive, or whether a lost task
-runs again.  One row of the packed table holds what one Arrow batch has for one
+A document's block is a hash of its id (of id and text where rows are
+independent), so a block has the same documents no matter which task packs it,
+in which order rows arrive, or whether a lost task runs again.  One row of the packed table holds what one Arrow batch has for one
 block: ids and whole texts, zstd-compressed.  `open_block` puts the rows of a
 block together in (id, text) order.
 
@@ -59,8 +59,8 @@ def block_count(docs: DataFrame, text: str, target: int = BLOCK_BYTES) -> int:
     return max(1, math.ceil(total / target))
 
 
-def block_of(id_col: Column, blocks: int) -> Column:
-    return F.pmod(F.xxhash64(id_col.cast("long")), F.lit(blocks)).cast("int")
+def block_of(id_col: Column, blocks: int, *more: Column) -> Column:
+    return F.pmod(F.xxhash64(id_col.cast("long"), *more), F.lit(blocks)).cast("int")
 
 
 def _pack(block_numbers):
@@ -87,9 +87,11 @@ def _as_numbers(column: pa.Array) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False)
 
 
-def pack_blocks(docs: DataFrame, id_col: str, text_col: str, blocks: int) -> DataFrame:
-    """(block int, data binary); read with `open_block`."""
-    return docs.select(block_of(F.col(id_col), blocks).alias("block"), F.col(id_col).cast("long").alias("id"),
+def pack_blocks(docs: DataFrame, id_col: str, text_col: str, blocks: int, independent: bool = False) -> DataFrame:
+    """(block int, data binary); read with `open_block`.  If rows are independent, the different texts of one id
+    (or of null ids) go to different blocks."""
+    more = [F.col(text_col).cast("string")] if independent else []
+    return docs.select(block_of(F.col(id_col), blocks, *more).alias("block"), F.col(id_col).cast("long").alias("id"),
                        F.col(text_col).cast("string").alias("text")
                        ).mapInArrow(_pack(_as_numbers), "block int, data binary")
 

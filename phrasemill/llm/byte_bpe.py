@@ -179,7 +179,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     `decoded`, also the bytes that the ids decode to, from the same pass."""
     nb = B.block_count(docs, text_col, block_bytes)
     buckets = max(1, nb * block_bytes // (24 * words_per_bucket))
-    by_block = B.pack_blocks(docs, id_col, text_col, nb).groupBy("block")
+    by_block = B.pack_blocks(docs, id_col, text_col, nb, independent=True).groupBy("block")
     words = by_block.applyInArrow(_words(pattern, buckets), "bucket int, block int, words binary")
     answers = words.groupBy("bucket").applyInArrow(_encode_words(ranks_path),
                                                    "block int, bucket int, size binary, ids binary")

@@ -135,7 +135,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     """(doc_id, n_words, n_trigram, n_bigram, n_unigram, n_unseen, log_score): how many words were scored by which order."""
     nb = B.block_count(docs, text_col, block_bytes)
     tables = max(1, nb * block_bytes // (4 * grams_per_table))
-    by_block = B.pack_blocks(docs, id_col, text_col, nb).groupBy("block")
+    by_block = B.pack_blocks(docs, id_col, text_col, nb, independent=True).groupBy("block")
     words = docs.agg(F.sum(F.size(F.filter(F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "[ \t-\r]+"),
                                            lambda w: w != "")).cast("long")).alias("n")).first()["n"] or 0
     sums = (by_block.applyInArrow(_counts(tables), "tab int, block int, keys binary, counts binary")

@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from phrasemill.llm import lm_score, pii
+from phrasemill.llm import blocks, byte_bpe, lm_score, pii
 from phrasemill.llm import queries as Q
 from phrasemill.llm import tables as T
 
@@ -165,3 +165,17 @@ def test_lm_same_as_literal(spark, nasty, block_bytes, per_table):
 
 def test_lm_empty(no_docs):
     assert lm_score.lm_scores(no_docs).count() == 0
+
+
+@pytest.mark.parametrize("one_id", [None, 7])
+def test_rows_of_one_id_are_in_many_blocks(spark, monkeypatch, one_id):
+    """Token ids and language-model scores: the rows of one id don't meet in one task."""
+    packed, pack = [], blocks.pack_blocks
+    monkeypatch.setattr(blocks, "pack_blocks", lambda *a, **k: packed.append(pack(*a, **k)) or packed[-1])
+    rows = [(one_id, f"text {i} of one id with words {i % 3} {i % 5}") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.n_words, round(r.log_score, 4)) for r in lm_score.lm_scores(df, block_bytes=200).collect())
+    byte_bpe.encode(df, T.tokenizer("byte_bpe_50k.tiktoken"), T.pretoken_pattern(), block_bytes=200)
+    assert len(packed) == 2 and all(p.select("block").distinct().count() > 5 for p in packed)
+    unique = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], df.schema)
+    assert got == sorted((r.n_words, round(r.log_score, 4)) for r in lm_score.lm_scores(unique).collect())
