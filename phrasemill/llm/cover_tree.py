@@ -40,7 +40,7 @@ from phrasemill.llm import tables as T
 from phrasemill.llm.links import Forest, components
 
 LEAF = 16
-SLACK = 1e-9   # above rounding errors; what is this near the threshold is compared exactly
+SLACK = 1e-7   # above rounding errors; what is this near the threshold is compared exactly
 
 
 class Node:

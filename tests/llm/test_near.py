@@ -240,3 +240,9 @@ def test_lz_signature_estimates_jaccard():
     want = len(a & c) / len(a | c)
     assert abs(Z.likeness(Z.signature(a), Z.signature(c)) - want) < .15
     assert Z.likeness(b"", b"") == 1 and Z.likeness(b"", Z.signature(a)) == 0
+
+
+def test_slack_is_above_rounding_errors():
+    x = np.random.default_rng(3).normal(size=(2000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert np.sqrt(np.abs(2 - 2 * (x * x).sum(axis=1))).max() < C.SLACK
