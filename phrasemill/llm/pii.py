@@ -3,21 +3,25 @@
 Base spans: e-mail addresses, IPv4 addresses, card numbers (Luhn) and phone
 numbers, leftmost and non-overlapping per kind.  The patterns are written with
 possessive quantifiers and start only where a run of their characters starts,
-so they match the plain patterns' strings without backtracking.  Offsets come
-from the lengths of the pieces between matches (`split`) and of the matches.
+so they match the plain patterns' strings without backtracking.  Offsets are
+running sums of the lengths of the pieces between matches (`split`) and of the
+matches, taken inside the row; no step looks at a text's beginning again, so
+time grows with the text, not with text times spans.
 
 Information-theoretic sanitisation: a protected entity is a value found by a
-base pattern; its windows are the `window` characters on each side.  With
-counts over the whole corpus,
+base pattern.  Words are runs of letters and digits, lower-cased, of the text
+with its base spans blanked, so no part of an address or number is a word.
+The words beside an entity are those that lie whole within `window`
+characters before or after one of its spans.  With counts over the whole corpus,
 
     IC(e) = -log2 n(e)/N,   PMI(t, e) = log2 (n(t, e) / n(t)) + IC(e),
 
-a term t (letters and digits, lower-cased) reveals the share PMI / IC of the
-entity: 1 if it occurs only beside it.  Terms at or over `alpha`, seen beside
-the entity in at least `support` different windows (copies of one text count
-once there), are spans of kind "term" wherever they stand in the table: beside
+a term t reveals the share PMI / IC of the entity: 1 if it occurs only beside
+it.  n(t, e) counts places of t, each once however many spans of e are near.
+Terms at or over `alpha`, seen beside the entity in at least `support`
+different texts with different windows (a text counts once, copied passages
+count once), are spans of kind "term" wherever they stand in the table: beside
 the entity, far from it or in documents without it, but not within a base span.
-n(t) are partial sums over all words of all texts.
 
 `sanitise` replaces base spans and terms: base spans and numbers by their kind
 (generalised), other terms by nothing (removed).
@@ -29,7 +33,7 @@ back; other columns come back unchanged (`spans` takes another name if taken).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phrasemill.llm import tables as T
@@ -43,157 +47,209 @@ _PATTERNS = [
     r"[0-9](?:[ -]?[0-9])++",
     r"\+[0-9][ ().0-9-]+[0-9]",
 ]
-_NEEDS = ["@", ".", "", "+"]  # no match without it
+# no valid match without these
+_NEEDS = [r"@[A-Za-z0-9-]++\.", r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", r"[0-9](?:[ -]?[0-9]){13}", r"\+[0-9][ ().0-9-]{9}"]
 _TERM = r"[\p{L}\p{N}]+"
 _KEY = ["d", "x", "l"]
+_SPAN = "struct<start:bigint,rank:int,end:bigint,m:string>"
+_CHUNK = 256     # code points; a piece of a text is cut from the chunks that it touches
+_BLOCK = 256     # numbers summed by one growing array
 
 
-def _valid() -> Column:
-    """Checks of a match `m` of kind number `rank`."""
-    digits = F.regexp_replace("m", "[^0-9]", "")
-    parts = F.transform(F.split("m", r"\."), lambda p: F.ltrim(p, F.lit("0")))
-    small = F.forall(parts, lambda p: (F.length(p) < 3) | ((F.length(p) == 3) & (p <= F.lit("255"))))
-    card = F.length(digits).between(14, 19) & F.expr("luhn_check(regexp_replace(m, '[^0-9]', ''))")
-    return F.when(F.col("rank") == 0, True).when(F.col("rank") == 1, small).when(F.col("rank") == 2, card).otherwise(
-        F.length(digits).between(10, 15))
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _identity(id_col: str, text: Column) -> list[Column]:
-    """Equal rows share their spans."""
-    return [F.col(id_col).cast("long").alias("d"), F.xxhash64(text).alias("x"), F.length(text).alias("l")]
+def _none(of: str) -> Column:
+    return F.array().cast(f"array<{of}>")
 
 
-def base_spans(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
-    """(d, x, l, rank, start, end, m, left, right): valid matches and the `window` characters beside them."""
-    text = F.col(text_col).cast("string")
-    none = F.array().cast("array<string>")
-    found = [F.struct(F.lit(i).alias("rank"), F.when(text.contains(need), F.regexp_extract_all(text, F.lit(p), F.lit(0)))
-                      .otherwise(none).alias("m")) for i, (p, need) in enumerate(zip(_PATTERNS, _NEEDS, strict=True))]
-    rows = docs.select(*_identity(id_col, text), text.alias("t"), F.explode(F.array(*found)).alias("f")).select(
-        *_KEY, "t", "f.rank", "f.m").filter(F.size("m") > 0)
-    pieces = F.lit(None).cast("array<string>")
-    for i, p in enumerate(_PATTERNS):
-        pieces = F.when(F.col("rank") == i, F.split("t", p, -1)).otherwise(pieces)
-    n, wide = F.size("m"), F.lit(window)
-    # windows go on over the kind's other matches: one has two characters at least, so `window` of them are enough
-    head = F.transform("m", lambda m, i: F.right(F.concat(F.get("p", i), m), wide))
-    tail = F.transform("m", lambda m, i: F.left(F.concat(m, F.get("p", i + 1)), wide))
-
-    def left(m: Column, i: Column) -> Column:
-        gap, back = F.get("p", i), F.least(i, wide)
-        return F.right(F.when(F.length(gap) >= window, gap).otherwise(
-            F.concat(F.array_join(F.slice("head", i - back + 1, back), ""), gap)), wide)
-
-    def right(m: Column, i: Column) -> Column:
-        gap = F.get("p", i + 1)
-        return F.left(F.when(F.length(gap) >= window, gap).otherwise(
-            F.concat(gap, F.array_join(F.slice("tail", i + 2, wide), ""))), wide)
-
-    rows = rows.select(*_KEY, "rank", "m", pieces.alias("p")).select(
-        *_KEY, "rank", "m", "p", head.alias("head"), tail.alias("tail")).select(
-        *_KEY, "rank", F.arrays_zip(
-            F.col("m"), F.slice(F.transform("p", F.length), F.lit(1), n).alias("gap"),
-            F.transform("m", left).alias("left"), F.transform("m", right).alias("right")).alias("z")
-    ).dropDuplicates([*_KEY, "rank"]).select(*_KEY, "rank", F.posexplode("z").alias("pos", "z")).select(
-        *_KEY, "rank", "pos", *[F.col(f"z.{c}").alias(c) for c in ("m", "gap", "left", "right")])
-    before = Window.partitionBy(*_KEY, "rank").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    start = (F.coalesce(F.sum(F.col("gap") + F.length("m")).over(before), F.lit(0)) + F.col("gap")).cast("long")
-    return rows.withColumn("start", start).filter(_valid()).select(
-        *_KEY, "rank", "start", (F.col("start") + F.length("m")).alias("end"), "m", "left", "right")
+def _before(a: Column, step, zero: int = 0) -> Column:
+    """For each number of array `a`, the fold of those before it.  Blocks are folded by themselves and then
+    shifted, so no growing array is copied more than a block's length."""
+    start = F.struct(F.lit(zero).cast("long").alias("at"), _none("bigint").alias("out"))
+
+    def fold(v: Column) -> Column:
+        return F.aggregate(v, start, lambda acc, x: F.struct(step(acc.at, x).alias("at"), F.array_append(acc.out, acc.at).alias("out")))
+
+    def whole(v: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(v) - 1) / _BLOCK), F.lit(0)).cast("int")),
+                             lambda b: fold(F.slice(v, b * _BLOCK + 1, _BLOCK)))
+        return _let(blocks, lambda bs: F.flatten(F.transform(
+            F.arrays_zip(bs.alias("own"), fold(F.transform(bs, lambda b: b.at)).out.alias("base")),
+            lambda z: F.transform(z.own.out, lambda x: step(z.base, x)))))
+
+    return _let(a, whole)
+
+
+def _sums_before(a: Column) -> Column:
+    return _before(a, lambda at, x: at + x)
+
+
+def _valid(rank: int, m: Column) -> Column:
+    """Checks of a match of kind number `rank`."""
+    digits = F.regexp_replace(m, "[^0-9]", "")
+    if rank == 1:
+        parts = F.transform(F.split(m, r"\."), lambda p: F.ltrim(p, F.lit("0")))
+        return F.forall(parts, lambda p: (F.length(p) < 3) | ((F.length(p) == 3) & (p <= F.lit("255"))))
+    if rank == 2:
+        return F.length(digits).between(14, 19) & F.call_function("luhn_check", digits)
+    return F.length(digits).between(10, 15) if rank == 3 else F.lit(True)
+
+
+def _placed(text: Column, pattern: str) -> Column:
+    """array<struct<start, end, m>>: the matches of a pattern and where they stand."""
+    def place(z: Column) -> Column:
+        size = F.transform(z, lambda p: (F.length(p.gap) + F.coalesce(F.length(p.m), F.lit(0))).cast("long"))
+        return F.transform(F.filter(F.arrays_zip(z.alias("p"), _sums_before(size).alias("at")), lambda q: q.p.m.isNotNull()),
+                           lambda q: F.struct((q.at + F.length(q.p.gap)).alias("start"),
+                                              (q.at + F.length(q.p.gap) + F.length(q.p.m)).alias("end"), q.p.m.alias("m")))
+
+    return _let(F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m")), place)
+
+
+def base_spans(text: Column) -> Column:
+    """array<struct<start, rank, end, m>> of the valid matches, ascending; empty for a null text."""
+    def of_kind(i: int) -> Column:
+        good = F.filter(_placed(text, _PATTERNS[i]), lambda p: _valid(i, p.m))
+        spans = F.transform(good, lambda p: F.struct(p.start.alias("start"), F.lit(i).alias("rank"), p.end.alias("end"), p.m.alias("m")))
+        return F.when(text.rlike(_NEEDS[i]), spans.cast(f"array<{_SPAN}>")).otherwise(_none(_SPAN))
+
+    return F.array_sort(F.concat(*[of_kind(i) for i in range(len(_PATTERNS))]))
+
+
+def _chunks(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_CHUNK}}}"), F.lit(0))
+
+
+def _piece(chunks: Column, lo: Column, hi: Column) -> Column:
+    """Code points lo..hi of a text cut by `_chunks`."""
+    first, last = F.floor(lo / _CHUNK).cast("int"), F.floor((hi - 1) / _CHUNK).cast("int")
+    near = F.array_join(F.slice(chunks, first + 1, last - first + 1), "")
+    return F.when(hi > lo, F.substring(near, (lo - first * _CHUNK).cast("int") + 1, (hi - lo).cast("int"))).otherwise(F.lit(""))
+
+
+def _rewrite(text: Column, spans: Column, instead) -> Column:
+    """The text with each run of overlapping spans replaced by instead(its first span, its length); spans ascend."""
+    def build(s: Column) -> Column:
+        reach = _before(F.transform(s, lambda x: x.end), lambda at, x: F.greatest(at, x))
+        heads = F.filter(F.arrays_zip(s.alias("s"), reach.alias("reach")), lambda z: z.s.start >= z.reach)
+        end = F.array_max(F.transform(s, lambda x: x.end))
+
+        def parts(h: Column) -> Column:
+            return _let(_chunks(text), lambda c: F.concat(F.array_join(F.flatten(F.transform(h, lambda z, i: F.array(
+                _piece(c, z.reach, z.s.start),
+                instead(z.s, F.coalesce(F.get(h, i + 1).reach, end) - z.s.start)))), ""),
+                _piece(c, end, F.length(text).cast("long"))))
+
+        return _let(heads, parts)
+
+    return F.when(F.size(spans) > 0, _let(spans, build)).otherwise(text)
+
+
+def blanked(text: Column, spans: Column) -> Column:
+    """The text with spaces in place of its spans, of the same length."""
+    return _rewrite(text, spans, lambda s, n: F.repeat(F.lit(" "), n.cast("int")))
+
+
+def _beside(blank: Column, spans: Column, window: int) -> Column:
+    """array<struct<rank, e, at, term, w>>: the words near each entity, one row a place; w: hash of a window."""
+    def near(c: Column, total: Column, s: Column) -> Column:
+        lo, hi = F.greatest(s.start - window, F.lit(0).cast("long")), F.least(s.end + window, total)
+        e = F.when(s.rank == 0, F.lower(s.m)).when(s.rank == 1, s.m).otherwise(F.regexp_replace(s.m, "[^0-9]", ""))
+
+        def rows(part: Column, at: Column, w: Column, whole) -> Column:
+            return F.transform(F.filter(_placed(part, _TERM), whole), lambda p: F.struct(
+                s.rank.alias("rank"), e.alias("e"), (at + p.start).alias("at"), F.lower(p.m).alias("term"), w.alias("w")))
+
+        def words(v: Column) -> Column:
+            # a word that the window may cut is left out
+            w = F.xxhash64(v.left, v.right)
+            return F.concat(rows(v.left, v.lo, w, lambda p: (p.start > 0) | (v.lo == 0)),
+                            rows(v.right, s.end, w, lambda p: (s.end + p.end < v.hi) | (v.hi == total)))
+
+        return _let(F.struct(_piece(c, lo, s.start).alias("left"), _piece(c, s.end, hi).alias("right"),
+                             lo.alias("lo"), hi.alias("hi")), words)
+
+    def once(rows: Column) -> Column:
+        """A place near several spans of one entity is one row."""
+        return F.filter(rows, lambda r, i: (i == 0) | (r.at != F.get(rows, i - 1).at) | (r.e != F.get(rows, i - 1).e)
+                        | (r.rank != F.get(rows, i - 1).rank))
+
+    found = _let(F.struct(_chunks(blank).alias("c"), F.length(blank).cast("long").alias("n")), lambda v: F.flatten(
+        F.transform(spans, lambda s: near(v.c, v.n, s))))
+    return _let(F.array_sort(found), once)
 
 
 def _all_words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(_TERM), F.lit(0))
 
 
-def _words(side: str, window: int) -> Column:
-    """Words of a window; a word that the window may cut is left out."""
-    words, gaps = _all_words(F.col(side)), F.split(F.col(side), _TERM, -1)
-    clipped = F.length(side) >= window
-    cut = (F.lit(0) if side == "left" else F.size(words) - 1)
-    edge = F.element_at(gaps, 1 if side == "left" else -1) == ""
-    return F.filter(words, lambda w, i: ~(clipped & edge & (i == cut)))
+def _with_blank(docs: DataFrame, text_col: str, *keep: Column) -> DataFrame:
+    """keep, s (base spans) and b (the blanked text)."""
+    text = F.col(text_col).cast("string")
+    return docs.select(*keep, text.alias("t")).withColumn("s", base_spans(F.col("t"))).withColumn(
+        "b", blanked(F.col("t"), F.col("s")))
 
 
-def revealing(docs: DataFrame, base: DataFrame, text_col: str, window: int, alpha: float, support: int) -> DataFrame:
+def revealing(docs: DataFrame, text_col: str, window: int, alpha: float, support: int) -> DataFrame:
     """(term): those that reveal an entity beside them."""
-    entity = F.when(F.col("rank") == 0, F.lower("m")).when(F.col("rank") == 1, F.col("m")).otherwise(
-        F.regexp_replace("m", "[^0-9]", ""))
-    seen = base.select("rank", entity.alias("e"), F.xxhash64("left", "right").alias("w"), F.explode(F.concat(
-        _words("left", window), _words("right", window))).alias("word")).withColumn("term", F.lower("word"))
-    pair = (seen.groupBy("rank", "e", "term", "w").agg(F.count(F.lit(1)).alias("n"))
-            .groupBy("rank", "e", "term").agg(F.count("w").alias("windows"), F.sum("n").alias("n_te"))
-            .filter(F.col("windows") >= support))
-    n_e = base.groupBy("rank", entity.alias("e")).agg(F.count(F.lit(1)).alias("n_e"))
-    words = docs.select(F.explode(_all_words(F.col(text_col).cast("string"))).alias("word")).select(F.lower("word").alias("term"))
+    beside = F.when(F.size("s") > 0, _beside(F.col("b"), F.col("s"), window))
+    near = T.write_shared(_with_blank(docs, text_col).select(F.xxhash64("t").alias("x"), F.explode(beside).alias("r")).select(
+        "x", "r.*"), "beside")
+    pair = (near.groupBy("rank", "e", "term", "x").agg(F.count(F.lit(1)).alias("n"), F.min("w").alias("w"))
+            .groupBy("rank", "e", "term").agg(F.countDistinct("w").alias("texts"), F.sum("n").alias("n_te"))
+            .filter(F.col("texts") >= support))
+    text = F.col(text_col).cast("string")
+    entity = F.when(F.col("s.rank") == 0, F.lower("s.m")).when(F.col("s.rank") == 1, F.col("s.m")).otherwise(
+        F.regexp_replace("s.m", "[^0-9]", ""))
+    n_e = docs.select(F.explode(base_spans(text)).alias("s")).groupBy(F.col("s.rank").alias("rank"), entity.alias("e")).agg(
+        F.count(F.lit(1)).alias("n_e"))
+    words = _with_blank(docs, text_col).select(F.explode(_all_words(F.col("b"))).alias("word")).select(F.lower("word").alias("term"))
     counts = T.write_shared(words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")), "words")
-    total = counts.agg(F.sum("n_t").alias("total"))
-    ic = -F.log2(F.col("n_e") / F.col("total"))
-    # one word may stand in the windows of two values: n(t, e) is at most n(t)
-    pmi = F.log2(F.least(F.col("n_te"), F.col("n_t")) / F.col("n_t")) + ic
-    return (pair.join(n_e, ["rank", "e"]).join(counts, "term").crossJoin(F.broadcast(total))
+    total = counts.agg(F.sum("n_t").alias("total")).first()["total"] or 0
+    ic = -F.log2(F.col("n_e") / F.lit(float(total)))
+    pmi = F.log2(F.col("n_te") / F.col("n_t")) + ic
+    return (pair.join(n_e, ["rank", "e"]).join(counts, "term")
             .filter((ic > 0) & (pmi / ic >= alpha)).select("term").distinct())
 
 
-def terms_within(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(d, x, l, term): the revealing terms of each document.  A hot term's documents stay where they are read,
+def term_spans(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(d, x, l, hits): where each document holds revealing terms.  A hot term's documents stay where they are read,
     or are split by the skewed join if the terms are too many to broadcast."""
-    text = F.col(text_col).cast("string")
-    words = docs.select(*_identity(id_col, text), F.explode(F.array_distinct(_all_words(text))).alias("word")).select(
-        *_KEY, F.lower("word").alias("term"))
-    return words.join(maybe_broadcast(terms, ["term"])[0], "term").select(*_KEY, "term")
+    rows = _with_blank(docs, text_col, *_identity(id_col, F.col(text_col).cast("string"))).select(
+        *_KEY, F.explode(_placed(F.col("b"), _TERM)).alias("p")).select(*_KEY, "p.*", F.lower("p.m").alias("term"))
+    hit = F.struct("start", F.lit(4).alias("rank"), "end", "m").cast(_SPAN)
+    return rows.join(maybe_broadcast(terms, ["term"])[0], "term").groupBy(*_KEY).agg(F.collect_set(hit).alias("hits"))
 
 
-def _term_spans(text: Column) -> Column:
-    """Spans of a row's words that are among its terms and outside its base spans, in one walk over the words."""
-    kind = "struct<start:bigint,rank:int,end:bigint,kind:string,label:string>"
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{kind}>").alias("hits"))
+def _identity(id_col: str, text: Column) -> list[Column]:
+    """Equal rows share their spans."""
+    return [F.col(id_col).cast("long").alias("d"), F.xxhash64(text).alias("x"), F.length(text).alias("l")]
 
-    def step(acc: Column, p: Column) -> Column:
-        start = acc.at + F.length(p.gap)
-        end = start + F.coalesce(F.length(p.word), F.lit(0))
-        label = F.when(p.word.rlike(r"^\p{N}+$"), F.lit("[NUMBER]")).otherwise(F.lit(""))
-        hit = F.struct(start.alias("start"), F.lit(4).alias("rank"), end.alias("end"), F.lit(KINDS[4]).alias("kind"),
-                       label.alias("label"))
-        return F.struct(end.alias("at"), F.when(F.array_contains("__pii_terms", F.lower(p.word)), F.array_append(acc.hits, hit))
-                        .otherwise(acc.hits).alias("hits"))
 
-    words = F.arrays_zip(F.split(text, _TERM, -1).alias("gap"), _all_words(text).alias("word"))
-    found = F.aggregate(words, zero, step, lambda acc: acc.hits)
-    return F.when(F.size("__pii_terms") > 0, F.filter(found, lambda h: ~F.exists("__pii_base", lambda b: (h.start < b.end) & (h.end > b.start)))
-                  ).otherwise(F.array().cast(f"array<{kind}>"))
+def _label(s: Column) -> Column:
+    kind = F.element_at(F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS]), s.rank + 1)
+    return F.when(s.rank < 4, kind).when(s.m.rlike(r"^\p{N}+$"), F.lit("[NUMBER]")).otherwise(F.lit(""))
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 96, alpha: float = 0.9,
              support: int = 3) -> DataFrame:
     """The table with `text_col` sanitised, and spans array<struct<start, rank, end, kind>> of the text as it was."""
-    base = T.write_shared(base_spans(docs, id_col, text_col, window), "pii")
-    terms = T.write_shared(revealing(docs, base, text_col, window, alpha, support), "terms")
-    kind = F.element_at(F.array(*map(F.lit, KINDS)), F.col("rank") + 1)
-    span = F.struct("start", "rank", "end", kind.alias("kind"), F.concat(F.lit("["), F.upper(kind), F.lit("]")).alias("label"))
-    of = base.select(*_KEY, span.alias("span"), F.lit(None).cast("string").alias("term")).unionByName(
-        terms_within(docs, terms, id_col, text_col), allowMissingColumns=True).groupBy(*_KEY).agg(
-        F.collect_list("span").alias("__pii_base"), F.collect_set("term").alias("__pii_terms"))
-
+    terms = T.write_shared(revealing(docs, text_col, window, alpha, support), "terms")
+    of = term_spans(docs, terms, id_col, text_col)
     text = F.col(text_col).cast("string")
     marked = docs.select("*", *[c.alias(f"__pii_{k}") for k, c in zip(_KEY, _identity(id_col, text), strict=True)])
     joined = marked.join(of, F.col("__pii_d").eqNullSafe(F.col("d")) & (F.col("__pii_x") == F.col("x"))
                          & F.col("__pii_l").eqNullSafe(F.col("l")), "left")
-    joined = joined.withColumn("__pii_s", F.array_sort(F.concat("__pii_base", _term_spans(text))))
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-
-    def add(acc: Column, s: Column) -> Column:
-        """Spans that overlap become one gap with the first one's label."""
-        fresh = s.start >= acc.at
-        return F.struct(F.greatest(acc.at, s.end).alias("at"), F.when(fresh, F.concat(
-            acc.out, F.substring(text, acc.at.cast("int") + 1, (s.start - acc.at).cast("int")), s.label)).otherwise(acc.out).alias("out"))
-
-    clean = F.aggregate("__pii_s", zero, add, lambda acc: F.concat(acc.out, F.substring(text, acc.at.cast("int") + 1, F.length(text))))
-    spans = F.coalesce(F.transform("__pii_s", lambda s: F.struct(s.start.alias("start"), s.rank.alias("rank"), s.end.alias("end"),
-                                                           s.kind.alias("kind"))),
-                       F.array().cast("array<struct<start:bigint,rank:int,end:bigint,kind:string>>"))
-    return joined.select(*[F.when(F.col("__pii_s").isNull(), text).otherwise(clean).alias(c) if c == text_col else F.col(f"`{c}`")
-                           for c in docs.columns], spans.alias(free_name(docs, "spans")))
+    joined = joined.withColumn("__pii_s", F.array_sort(F.concat(base_spans(text), F.coalesce("hits", _none(_SPAN)))))
+    clean = _rewrite(text, F.col("__pii_s"), lambda s, n: _label(s))
+    kind = F.array(*map(F.lit, KINDS))
+    spans = F.transform("__pii_s", lambda s: F.struct(s.start.alias("start"), s.rank.alias("rank"), s.end.alias("end"),
+                                                      F.element_at(kind, s.rank + 1).alias("kind")))
+    return joined.select(*[clean.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns],
+                         spans.alias(free_name(docs, "spans")))
 
 
 def told(spans: Column) -> Column:
