@@ -216,12 +216,18 @@ def revealing(docs: DataFrame, text_col: str, window: int, alpha: float, support
 
 
 def term_spans(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(d, x, l, hits): where each document holds revealing terms.  A hot term's documents stay where they are read,
-    or are split by the skewed join if the terms are too many to broadcast."""
-    rows = _with_blank(docs, text_col, *_identity(id_col, F.col(text_col).cast("string"))).select(
-        *_KEY, F.explode(_placed(F.col("b"), _TERM)).alias("p")).select(*_KEY, "p.*", F.lower("p.m").alias("term"))
+    """(d, x, l, hits): where each document holds revealing terms.  The documents that hold any are found first; only
+    their words are placed.  A hot term's documents stay where they are read, or are split by the skewed join if the
+    terms are too many to broadcast."""
+    terms, _ = maybe_broadcast(terms, ["term"])
+    src = _with_blank(docs, text_col, *_identity(id_col, F.col(text_col).cast("string")))
+    words = src.select(*_KEY, F.explode(F.array_distinct(_all_words(F.col("b")))).alias("word"))
+    holds = words.withColumn("term", F.lower("word")).join(terms, "term", "left_semi").select(*[F.col(k).alias(f"h{k}") for k in _KEY]).distinct()
+    holds, _ = maybe_broadcast(T.write_shared(holds, "holds"), [])
+    rows = src.join(holds, F.col("d").eqNullSafe(F.col("hd")) & (F.col("x") == F.col("hx")) & (F.col("l") == F.col("hl")), "left_semi")
+    placed = rows.select(*_KEY, F.explode(_placed(F.col("b"), _TERM)).alias("p")).select(*_KEY, "p.*", F.lower("p.m").alias("term"))
     hit = F.struct("start", F.lit(4).alias("rank"), "end", "m").cast(_SPAN)
-    return rows.join(maybe_broadcast(terms, ["term"])[0], "term").groupBy(*_KEY).agg(F.collect_set(hit).alias("hits"))
+    return placed.join(terms, "term").groupBy(*_KEY).agg(F.collect_set(hit).alias("hits"))
 
 
 def _identity(id_col: str, text: Column) -> list[Column]:

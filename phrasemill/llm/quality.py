@@ -167,12 +167,15 @@ def _meta(batch: pa.RecordBatch, at: int, names: list[str]) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text",
           metadata: tuple[str, ...] = ("n_chars",), max_train: int = MAX_TRAIN, dims: int = DIMS, **how) -> Model:
-    """Fit on the documents of at most `max_train` rows of `labels` with label 0 or 1."""
+    """Fit on the documents of at most `max_train` rows of `labels` with label 0 or 1: of several documents with a
+    labelled id the one with the smallest text hash, so `max_train` bounds the rows that are gathered."""
     names = list(metadata)
-    few = (labels.filter(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("y"))
+    few = (labels.filter(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("y")).distinct()
            .orderBy(F.xxhash64(F.col("__id").cast("long")), "__id", "y").limit(max_train))
-    picked = docs.join(F.broadcast(few), F.col(id_col) == F.col("__id")).select(   # bounded by max_train
-        "y", F.col(text_col).cast("string").alias("t"), *[F.col(c).cast("double").alias(f"m{i}") for i, c in enumerate(names)])
+    meta = [F.col(c).cast("double").alias(f"m{i}") for i, c in enumerate(names)]
+    joined = docs.join(F.broadcast(few), F.col(id_col) == F.col("__id")).select(   # bounded by max_train
+        F.col("__id").alias("label_id"), "y", F.struct(F.col(text_col).cast("string").alias("t"), *meta).alias("r"))
+    picked = joined.groupBy("label_id", "y").agg(F.min_by("r", F.struct(F.xxhash64("r.t"), "r")).alias("r")).select("y", "r.*")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in B.small_batches(batches, 1):

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phrasemill.llm import byte_bpe, cover_tree, lm_score, lz_fingerprint, pii, quality, simhash
+from phrasemill.llm import alignment, byte_bpe, conversations, cover_tree, lm_score, lz_fingerprint, pii, quality, simhash, warc
 from phrasemill.llm import tables as T
 from phrasemill.llm.line_dedup import line_dedup
 from phrasemill.llm.packing import pack_documents
@@ -183,3 +183,42 @@ FROM embeddings v
 JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) r ON r.a = v.vec_id
 LEFT JOIN (SELECT a, count(*) AS n FROM link GROUP BY a) n ON n.a = v.vec_id
 """
+
+
+@query
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversations.damaged(T.read(spark, sf_dir, "conversations"))
+    return conversations.repair(rows, gone=F.col("gone")).conversations
+
+
+@query
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.normalise(warc.write(T.read(spark, sf_dir, "pages")))
+    return warc.read(archives, payloads=False).select(
+        warc.page_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        warc.page_of("refers_to").alias("refers_to"))
+
+
+ORACLE["op11_warc"] = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT t, min(page_id) AS first FROM p GROUP BY t),
+b AS (
+  SELECT page_id, t, array_to_string(list_transform(range(1, 41), lambda j:
+           substr('0000000100100011010001010110011110001001101010111100110111101111',
+                  4 * instr('0123456789abcdef', substr(h, j, 1)) - 3, 4)), '') AS bits
+  FROM p)
+SELECT page_id, strlen(t) AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1
+         + 16 * substr(bits, 5 * i + 1, 1)::INT + 8 * substr(bits, 5 * i + 2, 1)::INT + 4 * substr(bits, 5 * i + 3, 1)::INT
+         + 2 * substr(bits, 5 * i + 4, 1)::INT + substr(bits, 5 * i + 5, 1)::INT, 1)), '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM b JOIN f USING (t)
+"""
+
+
+@query
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = alignment.align(T.read(spark, sf_dir, "documents"), T.tokenizer("byte_bpe_50k.json"), T.tokenizer("piece_bpe_32k.model"))
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum",
+                      F.when(F.col("n_a") == 0, F.lit("")).otherwise(F.sha2("groups", 256)).alias("groups_sha256"))

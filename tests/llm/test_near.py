@@ -246,3 +246,62 @@ def test_slack_is_above_rounding_errors():
     x = np.random.default_rng(3).normal(size=(2000, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     assert np.sqrt(np.abs(2 - 2 * (x * x).sum(axis=1))).max() < C.SLACK
+
+
+def _literal_fingerprint(text):
+    """LZ78 with a dictionary of symbol tuples; bins and minima by plain numbers."""
+    import regex
+    mask, known, phrase = 2**64 - 1, {}, ()
+    for s in regex.findall(r"\w{1,12}|[^\w\s]", text or ""):
+        phrase += (s,)
+        if phrase not in known:
+            known[phrase] = True
+            phrase = ()
+    bins = {}
+    for p in known:
+        h = 0
+        for s in p:
+            h = (h * 0x9E3779B97F4A7C15 + int.from_bytes(hashlib.blake2b(s.encode(), digest_size=8).digest(), "little")) & mask
+        h = _literal_mix(h)
+        bins[h >> 57] = min(h << 7 & mask, bins.get(h >> 57, mask))
+    out = []
+    for i in range(128) if bins else ():
+        far = next(d for d in range(128) if (i + d) % 128 in bins)
+        v = bins[(i + far) % 128]
+        if len(bins) < 128:
+            v = (v + far * 0x9E3779B97F4A7C15) & mask
+        out.append(_literal_mix(v) >> 56)
+    return bytes(out)
+
+
+def _literal_mix(h):
+    mask = 2**64 - 1
+    h ^= h >> 33
+    h = h * 0xFF51AFD7ED558CCD & mask
+    h ^= h >> 33
+    h = h * 0xC4CEB9FE1A85EC53 & mask
+    return h ^ h >> 33
+
+
+@pytest.mark.parametrize("block_bytes", [500, 4 << 20])
+def test_lz_same_as_literal(spark, nasty, block_bytes):
+    """Fingerprints and likenesses of every row, of its edited text and of its neighbour."""
+    rnd = random.Random(4)
+    rows = [(r.doc_id, r.text) for r in nasty.collect()] + [
+        (200 + i, " ".join(rnd.choice(["ab", "abc", "d", "naïve", "日本", "x,y", "...", "q" * 30]) for _ in range(rnd.randint(0, 150)))) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    want = []
+    for i, (doc, text) in enumerate(order):
+        text, following = text or "", order[i - 1][1] or ""
+        n = len(text) // 3
+        other = text[:len(text) - n] + following[:n]
+        a, b, c = map(_literal_fingerprint, (text, other, following))
+
+        def like(x, y):
+            same = sum(p == q for p, q in zip(x, y, strict=False)) / 128
+            return float(x == y) if not x or not y else round(max(0.0, (same - 1 / 256) / (1 - 1 / 256)), 6)
+
+        want.append((doc, len(text), hashlib.sha256(other.encode()).hexdigest(), a.hex(), b.hex(), like(a, b), like(a, c)))
+    got = [tuple(r) for r in Z.compare_neighbours(df, block_bytes=block_bytes).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)

@@ -7,6 +7,7 @@ from pathlib import Path
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as T_F
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 import corpus_pipeline as P  # noqa: E402
@@ -93,7 +94,63 @@ def test_run(spark, sf_dir):
     assert all(by_doc[r.doc_id] == r.doc_tokens for r in pieces)
 
 
-def test_empty(spark, no_docs):
+BLANK = " \t\n\x0b\x0c\r"
+
+
+def _literal_run(spark, sf_dir):
+    """The five stages by plain loops: {doc_id: token ids}.  Only the model is the trained one."""
+    from test_text import _literal_sanitise
+    from tokenizers import Tokenizer
+
+    from phrasemill.llm import quality
+    from phrasemill.llm import tables as T
+    table = T.read(spark, sf_dir, "documents")
+    labels = T.read(spark, sf_dir, "labels").filter(~quality.held_out(T_F.col("doc_id")))
+    model = quality.train(table, labels, "quality")
+    docs = sorted((r.doc_id, r.text, r.n_chars) for r in table.collect())
+    scores = model.score([t for _, t, _ in docs], np.array([[np.nan if n is None else float(n)] for _, _, n in docs]))
+    rows = [(i, t) for (i, t, _), s in zip(docs, scores, strict=True) if s >= 0.3]
+    upper = {ord(c): c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
+    held = defaultdict(set)
+    for i, t in rows:
+        for line in (t or "").split("\n"):
+            held[line.strip(BLANK).translate(upper)].add(i)
+    rows = [(i, t if t is None else "\n".join(x for x in t.split("\n") if not (
+        (k := x.strip(BLANK).translate(upper)) and len(held[k]) >= 10))) for i, t in rows]
+    fps = [_fp(t) for _, t in rows]
+    root = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if root[a] != root[b] and (fps[a] ^ fps[b]).bit_count() <= 4:
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    rows = [r for n, r in enumerate(rows) if root[n] == n]
+    encode = Tokenizer.from_file(T.tokenizer("word_bpe_49k.json")).encode
+    return {i: [*encode(t or "", add_special_tokens=False).ids, 2] for i, t, _ in _literal_sanitise(rows)}
+
+
+def test_run_same_as_literal(spark, sf_dir):
+    """run() keeps the documents, and of each the very tokens, that the chained literal stages keep."""
+    parts = defaultdict(list)
+    for r in P.run(spark, sf_dir).collect():
+        parts[r.doc_id].append((r.start, bytes(r.ids)))
+    got = {i: np.frombuffer(b"".join(x for _, x in sorted(p)), "<u4").tolist() for i, p in parts.items()}
+    want = _literal_run(spark, sf_dir)
+    assert set(got) == set(want) and 0 < len(got) < 200
+    assert [i for i in got if got[i] != want[i]] == []
+
+
+def test_odd_rows_in_every_stage(spark, nasty, sf_dir):
+    """Nulls, empty and long texts, repeated rows and ids go through the first and the last stage, too."""
+    odd = nasty.withColumn("n_chars", T_F.length("text").cast("long")).withColumn("doc_id", T_F.col("doc_id"))
+    kept = P.keep_quality(spark, odd, sf_dir)
+    assert kept.columns == odd.columns and kept.count() <= odd.count()
+    packed = P.pack(spark, odd, sf_dir)
+    assert packed.agg(T_F.sum("length")).first()[0] > 0 and packed.filter("start = 0").count() == odd.count()
+
+
+def test_empty(spark, no_docs, sf_dir):
+    assert P.keep_quality(spark, no_docs, sf_dir).count() == 0
     for stage in (P.drop_lines, P.one_of_each, P.hide_personal, P.pack):
         assert stage(spark, no_docs, "").count() == 0
 

@@ -74,3 +74,15 @@ def test_bound(spark, sf_dir, max_train, monkeypatch):
     docs, labels = T.read(spark, sf_dir, "documents"), T.read(spark, sf_dir, "labels")
     quality.train(docs, labels, "quality", max_train=max_train)
     assert 0 < seen[0] <= max_train
+
+
+def test_one_document_per_label(spark, monkeypatch):
+    """A labelled id that many rows share brings one of them; repeated labels count once."""
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda rows, dims, **how: seen.append(rows) or quality.Model(dims))
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(300)] + [(2, None), (2, "other"), (3, "third"), (None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (3, 1), (3, 0), (None, 1), (9, 1)], "doc_id long, quality int")
+    for _ in range(2):
+        quality.train(docs.repartition(3), labels, "quality", metadata=())
+    assert [sorted(r[0] for r in rows) for rows in seen] == [[0, 0, 1, 1]] * 2
+    assert all(np.array_equal(a[1], b[1]) for a, b in zip(*seen, strict=True))

@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -40,6 +41,12 @@ def _check(df, rows, **how):
     return out
 
 
+def _window_hash(left, right):
+    """Spark's xxhash64 of two strings."""
+    h = xxhash.xxh64_intdigest(right.encode(), xxhash.xxh64_intdigest(left.encode(), 42))
+    return h - 2**64 if h >= 2**63 else h
+
+
 def _literal_sanitise(rows, window=96, alpha=0.9, support=3):
     """(id, clean text, spans) of each row, by plain loops."""
     word = re.compile(r"[^\W_]+")
@@ -61,12 +68,11 @@ def _literal_sanitise(rows, window=96, alpha=0.9, support=3):
                     cut = m.start() == 0 < left if at == left and part is not b[hi:right] else hi + m.end() == right < len(t)
                     if not cut:
                         places.add((rank, e, at + m.start(), m.group().lower()))
-                        seen.setdefault((rank, e, m.group().lower()), {}).setdefault(t, set()).add((b[left:lo], b[hi:right]))
+                        seen.setdefault((rank, e, m.group().lower()), {}).setdefault(t, set()).add(_window_hash(b[left:lo], b[hi:right]))
         n_te.update((r, e, w) for r, e, _, w in places)
     total, terms = sum(n_t.values()), set()
     for (rank, e, w), n in n_te.items():
         texts = seen[rank, e, w]
-        # texts told apart by one of their windows; a text has one window here unless the test avoids it
         different = len({min(v) for v in texts.values()})
         ic = -math.log2(n_e[rank, e] / total)
         if different >= support and ic > 0 and (math.log2(n / n_t[w]) + ic) / ic >= alpha - 1e-12:

@@ -123,3 +123,14 @@ def test_word_tokens_same_as_library(parts):
     text = " ".join([*parts, "<|endoftext|>", "it's", "Don'T", "x" * 50])
     ours, library = _both()
     assert np.frombuffer(ours([text])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.text(st.one_of(st.sampled_from(" \t\n\r\x0b\x1c\x85    ab'sZ09.,é日😀"), st.characters(exclude_categories=["Cs"])), max_size=40),
+                min_size=60, max_size=90))
+def test_bpe_random_same_as_library(spark, texts):
+    enc = _tiktoken()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    got = byte_bpe.encode(df, RANKS, T.pretoken_pattern(), block_bytes=1500, words_per_bucket=20, decoded=True).collect()
+    assert {r.doc_id: (np.frombuffer(r.ids, "<u4").tolist(), bytes(r.decoded)) for r in got} == {
+        i: (enc.encode_ordinary(t), t.encode()) for i, t in enumerate(texts)}
