@@ -23,7 +23,12 @@ ABBREVIATIONS = [
     "U.S", "U.S.A", "e.g", "i.e", "etc", "et al", "ca", "O.K",
     "A.M", "P.M", "A.D", "B.C",
 ]
+# A capitalised word after " ! ? . ; : (plus blanks), and the one character
+# after it unless that is a quote; {abbr} is a look-behind for the list above.
+SENTENCE_MASK = r'''("|!|\?|{abbr}\.|;|:)(\s*){open}[A-Z]\w+[^"']{close}'''
 MASK_REPLACEMENT_JAVA = "$1$2"
+# A possessive ending: after ', U+2019 or U+FF07.
+POSSESSIVE_RE = "['\u2019\uff07][sS]$"
 # Relevance parameters (BM25 defaults) and search defaults.
 BM25_K1 = 1.2
 BM25_B = 0.75
@@ -42,26 +47,22 @@ def _abbrev_alternation(order: list[str]) -> str:
     return "|".join(a.replace(".", r"\.") for a in order)
 
 
-# Sentence-start mask: a capitalised word after " ! ? . ; : (plus blanks) is
-# removed together with the one character after it, unless that is a quote.
-MASK_JAVA = (
-    r'("|!|\?|(?<!' + _abbrev_alternation(ABBREVIATIONS) + r')\.|;|:)'
-    + "(" + WS + r"*)[A-Z]" + WORD + r"+[^" + '"' + r"']"
-)
+def _mask(abbr: str = "", capture: bool = False) -> str:
+    """The fixed mask with Java's ASCII classes spelled out (RE2 reads it the same way); with the removed part as
+    group 3 to map token offsets back to the original content."""
+    open_, close = ("(", ")") if capture else ("", "")
+    return (SENTENCE_MASK.replace(r"\s", WS).replace(r"\w", WORD)
+            .replace("{abbr}", abbr).replace("{open}", open_).replace("{close}", close))
 
-# Same pattern with the removed part captured (group 3); used to locate the
-# removals when mapping token offsets back to the original content.
-MASK_JAVA_3 = (
-    r'("|!|\?|(?<!' + _abbrev_alternation(ABBREVIATIONS) + r')\.|;|:)'
-    + "(" + WS + r"*)([A-Z]" + WORD + r"+[^" + '"' + r"'])"
-)
+
+_NO_ABBREVIATION = "(?<!" + _abbrev_alternation(ABBREVIATIONS) + ")"
+MASK_JAVA, MASK_JAVA_3 = _mask(_NO_ABBREVIATION), _mask(_NO_ABBREVIATION, capture=True)
 MARK2 = "\ue001"
 
 # RE2 form: protect abbreviation periods with MARK first (longest first so a
 # longer abbreviation wins), mask without the look-behind, restore periods.
 ABBREV_PROTECT_RE2 = "(" + _abbrev_alternation(sorted(ABBREVIATIONS, key=len, reverse=True)) + r")\."
-MASK_RE2 = r'("|!|\?|\.|;|:)(' + WS + r"*)[A-Z]" + WORD + r"+[^" + '"' + r"']"
-MASK_3_RE2 = r'("|!|\?|\.|;|:)(' + WS + r"*)([A-Z]" + WORD + r"+[^" + '"' + r"'])"
+MASK_RE2, MASK_3_RE2 = _mask(), _mask(capture=True)
 
 # Token grammar (ordered alternation; longer forms first so the first
 # alternative that matches is also the longest one in ordinary prose).
@@ -101,7 +102,6 @@ TOKEN_RE_JAVA = (TOKEN_RE
 # one of them is non-empty per match; group 0 is the consumed span.
 SPAN_FIX_RE = r"\.[^\p{L}\p{Nd}]\z"
 ACRONYM_RE = r"^(?:\p{L}\.)+$"
-POSSESSIVE_RE = r"'[sS]$"
 
 # Sentence boundaries (English rules of the JDK sentence iterator, as a
 # pattern whose match end is a boundary).  Uses look-ahead: Spark only.

@@ -8,58 +8,56 @@ size allows and shuffle-joined otherwise (AQE splits a hot title).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phrasemill.functions import analysis as A
+from phrasemill.operators import theta
 from phrasemill.session import maybe_broadcast
-from phrasemill.sources.corpus import ScoreRule
+from phrasemill.sources.corpus import ScoreRule, rules_table
 
 RULE_ROUND = 9
 
 
-def rule_applies(title, rule: ScoreRule):
+def rule_applies(title: Column, rule: Column) -> Column:
     """IDX-1: EXACT is a case-sensitive substring test, REGEX a ``find``."""
-    if rule.kind == "EXACT":
-        return F.instr(title, rule.text) > 0 if rule.text else F.lit(True)
-    return title.rlike(rule.text)
+    return F.when(rule["kind"] == "EXACT", F.contains(title, rule["text"])).otherwise(F.rlike(title, rule["text"]))
 
 
-def apply_score_rules(titles: DataFrame, rules: list[ScoreRule], score_col: str = "base_score") -> DataFrame:
+def apply_score_rules(titles: DataFrame, rules: DataFrame | list[ScoreRule], score_col: str = "base_score",
+                      max_broadcast_bytes: int | None = None) -> DataFrame:
     """IDX-2: the ordered rule fold, per row of ``titles``.
 
     In file order, a matching rule with adjustment 0 drops the document and
     stops; any other matching rule adds its adjustment, and stops if flagged.
-    Each rule's predicate is its own column (literal pattern, compiled once);
-    the fold over the rule list is one ``aggregate``.
+    Rules are a table: titles meet them in blocks (see ``theta``), and the
+    matching ones of a title are folded in order of rule_no.
     Adds ``score`` (rounded to 9 decimals) and ``dropped``.
     """
-    title = F.col("title")
-    if not rules:
-        return titles.withColumn("score", F.col(score_col)).withColumn("dropped", F.lit(False))
-    hits = F.array(*[rule_applies(title, r) for r in rules])
-    params = F.array(*[F.struct(F.lit(float(r.adj)).alias("adj"), F.lit(bool(r.stop)).alias("stop"))
-                       for r in rules])
-    zipped = F.arrays_zip(hits.alias("hit"), params.alias("p"))
+    if isinstance(rules, list):
+        if not rules:
+            return titles.withColumn("score", F.col(score_col)).withColumn("dropped", F.lit(False))
+        rules = rules_table(titles.sparkSession, rules)
+    rules = rules.select("rule_no", "kind", "text", "adj", "stop")
+    found = theta.matches(titles.select("title").distinct(), rules, "rule_no", rule_applies, max_broadcast_bytes)
     init = F.struct(F.col(score_col).cast("double").alias("score"),
                     F.lit(False).alias("done"), F.lit(False).alias("dropped"))
 
-    def step(acc, x):
-        live = ~acc["done"] & x["hit"]
-        zero = x["p"]["adj"] == 0
+    def step(acc, r):
+        live = ~acc["done"]
+        zero = r["adj"] == 0
         return F.struct(
-            F.when(live & ~zero, acc["score"] + x["p"]["adj"]).otherwise(acc["score"]).alias("score"),
-            (acc["done"] | (live & (zero | x["p"]["stop"]))).alias("done"),
+            F.when(live & ~zero, acc["score"] + r["adj"]).otherwise(acc["score"]).alias("score"),
+            (acc["done"] | zero | r["stop"]).alias("done"),
             (acc["dropped"] | (live & zero)).alias("dropped"))
 
-    folded = F.aggregate(zipped, init, step)
-    return (titles.withColumn("_fold", folded)
-            .withColumn("score", F.round(F.col("_fold.score"), RULE_ROUND))
-            .withColumn("dropped", F.col("_fold.dropped"))
-            .drop("_fold"))
+    folded = F.aggregate("found", init, step)
+    out = titles.join(found, "title", "left").withColumn("_fold", F.coalesce(folded, init))
+    return (out.withColumn("score", F.round(F.col("_fold.score"), RULE_ROUND))
+            .withColumn("dropped", F.col("_fold.dropped")).select(*titles.columns, "score", "dropped"))
 
 
-def source_table(lines: DataFrame, rules: list[ScoreRule]) -> DataFrame:
+def source_table(lines: DataFrame, rules: DataFrame | list[ScoreRule]) -> DataFrame:
     """IDX-2/3 per distinct title: (title, docid, n_lines, score, dropped).
 
     docid = the first line number of the title (deterministic, unlike a
@@ -71,7 +69,7 @@ def source_table(lines: DataFrame, rules: list[ScoreRule]) -> DataFrame:
     return apply_score_rules(per_title, rules)
 
 
-def build_docs(lines: DataFrame, rules: list[ScoreRule], max_broadcast_bytes: int | None = None,
+def build_docs(lines: DataFrame, rules: DataFrame | list[ScoreRule], max_broadcast_bytes: int | None = None,
                partitions: int | None = None) -> DataFrame:
     """IDX-2..4: docs(line_no, title, content, score, docid, toks, n_tokens).
 

@@ -2,22 +2,25 @@
 
 An index is a folder of four Parquet tables:
 
-* ``docs``: the document table without its tokens;
+* ``docs``: the document table, sorted by line number inside each file;
 * ``postings``: one row per token occurrence (token, line_no, pos, start, end
   in the original content, and the document columns ranking needs), in folders
-  by hash of the token, sorted by token inside each file.  A bucket is written
-  by several tasks, split by document, so a very frequent token lies in
-  several files and no task writes it whole;
-* ``df``: documents per token; ``stats``: documents and average length.
-
-A search looks up each phrase's rarest token and checks the phrase's other
-tokens at their positions: it reads the buckets of the phrases' tokens and
-nothing else.  A long phrase costs more look-ups per candidate, never more
-columns.
+  by hash of the token, sorted by token inside each file with small row groups,
+  so that the files' own statistics lead a reader to a token.  A token of very
+  many documents is split by document over several files, so no task writes it
+  whole; the number of folders and files follows from the number of tokens;
+* ``df``: documents per token; ``stats``: documents, average length, folders.
+
+A search starts at each phrase's rarest token and checks the phrase's other
+tokens at their positions: it reads the folders of the phrases' tokens and
+nothing else, and for a few tokens only the row groups that can hold them.  A
+long phrase costs more look-ups per candidate, never more columns.  Counts come
+first; positions are read again for the documents that a ranking keeps.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,13 +30,16 @@ from phrasemill.functions import analysis as A
 from phrasemill.operators import index as IDX
 from phrasemill.session import cut_lineage, maybe_broadcast
 
-BUCKETS = 64
-SPREAD = 8            # tasks (and files) per bucket at least
+TOKENS_PER_BUCKET = 16_000_000
+TOKENS_PER_FILE = 4_000_000
+MIN_BUCKETS, MAX_BUCKETS = 16, 8192
+ROW_GROUP_BYTES = 8 << 20
+FEW_TOKENS = 10       # up to here Parquet readers test the tokens themselves, beyond only their range
 CARRY = ["n_tokens", "score", "docid"]
-DOC_COLUMNS = ["line_no", "title", "content", "score", "docid", "n_tokens"]
+DOC_COLUMNS = ["line_no", "title", "content", "score", "docid", "toks", "n_tokens"]
 
 
-def bucket(token: Column, buckets: int = BUCKETS) -> Column:
+def bucket(token: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(token), F.lit(buckets)).cast("int")
 
 
@@ -52,28 +58,45 @@ def postings(docs: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Index:
+    """A stored index; searches take it in place of the document table."""
     docs: DataFrame
     postings: DataFrame
     df: DataFrame
     n_docs: int
     avgdl: float
-    buckets: int = BUCKETS
+    buckets: int
 
 
-def write_index(docs: DataFrame, path: str, buckets: int = BUCKETS, spread: int = SPREAD) -> None:
+def write_index(docs: DataFrame, path: str, buckets: int | None = None, tokens_per_file: int = TOKENS_PER_FILE,
+                row_group_bytes: int = ROW_GROUP_BYTES) -> None:
     """Create or overwrite the index; ``docs`` is the document table with tokens."""
-    docs = cut_lineage(docs)   # analysed once for the four tables
-    docs.select(*DOC_COLUMNS).write.mode("overwrite").parquet(f"{path}/docs")
-    rows = postings(docs).withColumn("bucket", bucket(F.col("token"), buckets))
-    (rows.repartition(buckets * spread, "bucket", F.pmod(F.xxhash64("line_no"), F.lit(spread)))
-     .sortWithinPartitions("bucket", "token", "line_no", "pos")
-     .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings"))
-    written = docs.sparkSession.read.parquet(f"{path}/postings")
-    counts = written.groupBy("token").agg(F.countDistinct("line_no").alias("df"))
-    counts.withColumn("bucket", bucket(F.col("token"), buckets)).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/df")
+    spark = docs.sparkSession
+
+    def write(df: DataFrame, name: str, *folders: str) -> DataFrame:
+        out = df.write.mode("overwrite").option("parquet.block.size", row_group_bytes)
+        (out.partitionBy(*folders) if folders else out).parquet(f"{path}/{name}")
+        return spark.read.parquet(f"{path}/{name}")
+
+    # analysed once: what follows reads the written table
+    docs = write(docs.select(*DOC_COLUMNS).sortWithinPartitions("line_no"), "docs")
     n, avgdl = IDX.corpus_stats(docs)
-    docs.sparkSession.createDataFrame([(n, avgdl, buckets)], "n_docs long, avgdl double, buckets int").coalesce(1).write.mode(
-        "overwrite").parquet(f"{path}/stats")
+    tokens = n * avgdl
+    if buckets is None:
+        buckets = min(max(math.ceil(tokens / TOKENS_PER_BUCKET), MIN_BUCKETS), MAX_BUCKETS)
+    counts = IDX.doc_freq(docs).filter(F.col("token") != "\u0001")
+    df = write(counts.withColumn("bucket", bucket(F.col("token"), buckets)).repartition(buckets, "bucket")
+               .sortWithinPartitions("bucket", "token"), "df", "bucket")
+    # A token of more documents than a file should hold is dealt out by document, the others by token.
+    files = max(1, math.ceil(tokens / buckets / tokens_per_file))
+    hot, _ = maybe_broadcast(df.filter(F.col("df") > tokens_per_file).select(
+        "token", F.ceil(F.col("df") / tokens_per_file).alias("_files")), ["token"])
+    by_token, by_line = F.pmod(F.xxhash64("token", F.lit(1)), F.lit(files)), F.pmod(F.xxhash64("line_no"), F.col("_files"))
+    rows = postings(docs).withColumn("bucket", bucket(F.col("token"), buckets)).join(hot, "token", "left")
+    whose = F.when(F.col("_files").isNotNull(), F.col("token"))
+    (write(rows.repartition(buckets * files, "bucket", whose, F.coalesce(by_line, by_token))
+           .select("token", "line_no", "pos", "start", "end", *CARRY, "bucket")
+           .sortWithinPartitions("bucket", "token", "line_no", "pos"), "postings", "bucket"))
+    write(spark.createDataFrame([(n, avgdl, buckets)], "n_docs long, avgdl double, buckets int").coalesce(1), "stats")
 
 
 def load_index(spark: SparkSession, path: str) -> Index:
@@ -82,33 +105,64 @@ def load_index(spark: SparkSession, path: str) -> Index:
                  spark.read.parquet(f"{path}/df"), s["n_docs"], s["avgdl"], s["buckets"])
 
 
-def _only(table: DataFrame, tokens: DataFrame, buckets: int, max_broadcast_bytes: int | None) -> DataFrame:
-    """The rows of the wanted tokens: their buckets by folder, then the tokens themselves."""
+def rows_of(table: DataFrame, tokens: DataFrame, buckets: int, max_broadcast_bytes: int | None = None) -> DataFrame:
+    """The rows of the wanted tokens: their folders, then the tokens, which for a few are tested by the scan."""
     wanted = sorted(r["b"] for r in tokens.select(bucket(F.col("token"), buckets).alias("b")).distinct().collect())
+    table = table.filter(F.col("bucket").isin(wanted)).drop("bucket")
+    few = [r["token"] for r in tokens.select("token").distinct().limit(FEW_TOKENS + 1).collect()]
+    if len(few) <= FEW_TOKENS:
+        return table.filter(F.col("token").isin(few))
     small, _ = maybe_broadcast(tokens, ["token"], max_broadcast_bytes)
-    return table.filter(F.col("bucket").isin(wanted)).drop("bucket").join(small, "token", "left_semi")
+    return table.join(small, "token", "left_semi")
 
 
-def phrase_hits(index: Index, terms: DataFrame, max_broadcast_bytes: int | None = None) -> DataFrame:
-    """QRY-2: (term_no, line_no, tf, starts, n_tokens, score, docid), as the
-    n-gram search gives them; ``terms`` must be normalised."""
+def token_df(index: Index, tokens: DataFrame, max_broadcast_bytes: int | None = None) -> DataFrame:
+    """IDX-6 from the index: (token, df)."""
+    return rows_of(index.df, tokens.select("token").distinct(), index.buckets, max_broadcast_bytes)
+
+
+def _matched(index: Index, terms: DataFrame, max_broadcast_bytes: int | None, only: DataFrame | None = None) -> DataFrame:
+    """(term_no, line_no, n_tokens, score, docid, first): where each phrase begins.  ``only``: (term_no, line_no)
+    pairs to look at."""
     toks = cut_lineage(terms.filter("n_toks > 0").select("term_no", "n_toks", F.posexplode("toks").alias("k", "token")))
     tokens = toks.select("token").distinct()
-    rare = toks.join(_only(index.df, tokens, index.buckets, max_broadcast_bytes), "token", "left").fillna({"df": 0})
+    rare = toks.join(token_df(index, tokens, max_broadcast_bytes), "token", "left").fillna({"df": 0})
     # a phrase's rarest token; one that no document has rules the phrase out
-    anchors = rare.groupBy("term_no").agg(F.min(F.struct("df", "k", "token", "n_toks")).alias("a")).filter("a.df > 0").select(
-        "term_no", F.col("a.k").alias("k"), F.col("a.token").alias("token"), F.col("a.n_toks").alias("n_toks"))
-    found = _only(index.postings, anchors.select("token").distinct(), index.buckets, max_broadcast_bytes)
-    small, _ = maybe_broadcast(anchors, ["token"], max_broadcast_bytes)
-    start = (F.col("pos") - F.col("k")).alias("first")
-    cands = cut_lineage(found.join(small, "token").select("term_no", "n_toks", "k", "line_no", *CARRY, start).filter("first >= 0"))
-    several = cands.filter("n_toks > 1")
-    others = several.join(toks.select("term_no", F.col("k").alias("j"), "token"), "term_no").filter("j <> k").select(
-        "term_no", "n_toks", "line_no", *CARRY, "first", "token", (F.col("first") + F.col("j")).alias("pos"))
-    near = _only(index.postings, tokens, index.buckets, max_broadcast_bytes).select("token", "line_no", "pos")
-    whole = (others.join(near, ["token", "line_no", "pos"]).groupBy("term_no", "n_toks", "line_no", *CARRY, "first")
-             .agg(F.count(F.lit(1)).alias("same")).filter(F.col("same") == F.col("n_toks") - 1))
+    anchors = cut_lineage(rare.groupBy("term_no").agg(F.min(F.struct("df", "k", "token", "n_toks")).alias("a")).filter("a.df > 0").select(
+        "term_no", F.col("a.k").alias("k"), F.col("a.token").alias("token"), F.col("a.n_toks").alias("n_toks")))
+    if only is not None:
+        only, _ = maybe_broadcast(only, [], max_broadcast_bytes)
+
+    def begins(which: str) -> DataFrame:
+        mine = anchors.filter(which)
+        found = rows_of(index.postings, mine.select("token").distinct(), index.buckets, max_broadcast_bytes)
+        small, _ = maybe_broadcast(mine, ["token"], max_broadcast_bytes)
+        out = found.join(small, "token").withColumn("first", F.col("pos") - F.col("k")).filter("first >= 0").select(
+            "term_no", "n_toks", "k", "line_no", *CARRY, "first")
+        return out if only is None else out.join(only, ["term_no", "line_no"], "left_semi")
+
     keep = ["term_no", "line_no", *CARRY, "first"]
-    hits = cands.filter("n_toks = 1").select(*keep).unionByName(whole.select(*keep))
-    return hits.groupBy("term_no", "line_no", *CARRY).agg(
+    hits = begins("n_toks = 1").select(*keep)
+    if anchors.filter("n_toks > 1").isEmpty():
+        return hits
+    others = cut_lineage(begins("n_toks > 1").join(toks.select("term_no", F.col("k").alias("j"), "token"), "term_no").filter("j <> k").select(
+        "term_no", "n_toks", "line_no", *CARRY, "first", "token", (F.col("first") + F.col("j")).alias("pos")))
+    near = rows_of(index.postings, tokens, index.buckets, max_broadcast_bytes).select("token", "line_no", "pos")
+    # few candidates: the frequent tokens' lists are probed where they lie
+    small, _ = maybe_broadcast(others, ["token"], max_broadcast_bytes, extra=F.lit(48))
+    whole = (near.join(small, ["token", "line_no", "pos"]).groupBy("term_no", "n_toks", "line_no", *CARRY, "first")
+             .agg(F.count(F.lit(1)).alias("same")).filter(F.col("same") == F.col("n_toks") - 1))
+    return hits.unionByName(whole.select(*keep))
+
+
+def phrase_counts(index: Index, terms: DataFrame, max_broadcast_bytes: int | None = None) -> DataFrame:
+    """(term_no, line_no, tf, n_tokens, score, docid): documents and occurrences, without positions."""
+    return _matched(index, terms, max_broadcast_bytes).groupBy("term_no", "line_no", *CARRY).agg(F.count(F.lit(1)).alias("tf"))
+
+
+def phrase_hits(index: Index, terms: DataFrame, max_broadcast_bytes: int | None = None,
+                only: DataFrame | None = None) -> DataFrame:
+    """QRY-2: (term_no, line_no, tf, starts, n_tokens, score, docid), as the
+    n-gram search gives them; ``terms`` must be normalised."""
+    return _matched(index, terms, max_broadcast_bytes, only).groupBy("term_no", "line_no", *CARRY).agg(
         F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("first")).alias("starts"))

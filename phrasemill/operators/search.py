@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from phrasemill.functions import patterns as P
 from phrasemill.functions.formula import DEFAULT_FORMULA, sql_formula, validate
 from phrasemill.operators import index as IDX
-from phrasemill.session import cut_lineage, maybe_broadcast, top_per_group
+from phrasemill.operators import postings as PO
+from phrasemill.session import GROUP_LIMIT, cut_lineage, maybe_broadcast, top_per_group
 
 SCORE_ROUND = 9
 KEY_TOKENS = 3   # tokens of a term that the n-gram join matches; the rest is compared on candidates
@@ -62,21 +63,19 @@ def all_shingles(docs: DataFrame, lengths: list[int], cols: list[str], keep_firs
     return out
 
 
-def phrase_hits(docs: DataFrame, terms: DataFrame, carry: tuple[str, ...] = ("n_tokens", "score", "docid"),
-                max_broadcast_bytes: int | None = None, terms_small: bool | None = None) -> DataFrame:
-    """QRY-2: (term_no, line_no, tf, starts, *carry) — one row per document
-    containing the phrase, ``starts`` = sorted token positions of the matches.
-
-    ``terms`` must be normalised.  ``carry`` document columns ride along so
-    that ranking needs no second join with the document table.  The n-grams
-    of all lengths come from one scan of the index and meet the terms in one
-    join."""
+def _matched(docs: DataFrame, terms: DataFrame, cols: list[str], max_broadcast_bytes: int | None,
+             terms_small: bool | None, positions: bool, only: DataFrame | None = None) -> DataFrame | None:
+    """(term_no, *cols, pos, n) rows of the n-grams that are terms; None if there are no terms with tokens.
+    Without ``positions`` a row may stand for n matches and pos is null.  ``only``: (term_no, line_no) pairs to look at."""
     terms = terms.filter("n_toks > 0")
     lengths = [r["n"] for r in terms.select(F.least("n_toks", F.lit(KEY_TOKENS)).alias("n")).distinct().collect()]
     longer = not terms.filter(F.col("n_toks") > KEY_TOKENS).isEmpty()
     if not lengths:
-        return docs.sparkSession.createDataFrame(
-            [], "term_no long, line_no long, tf long, starts array<int>, n_tokens int, score double, docid long")
+        return None
+    if only is not None:
+        lines, _ = maybe_broadcast(only.select("line_no").distinct(), [], max_broadcast_bytes)
+        docs = docs.join(lines, "line_no", "left_semi")
+        only, _ = maybe_broadcast(only, [], max_broadcast_bytes)
     # A term meets the n-grams with its first KEY_TOKENS tokens, however long it is.
     key = F.array_join(F.slice("toks", 1, KEY_TOKENS), " ")
     keyed = terms.select("term_no", F.col("n_toks").alias("_len"), F.least("n_toks", F.lit(KEY_TOKENS)).alias("n_toks"),
@@ -85,10 +84,10 @@ def phrase_hits(docs: DataFrame, terms: DataFrame, carry: tuple[str, ...] = ("n_
         keyed, small = maybe_broadcast(keyed, ["phrase"], max_broadcast_bytes)
     else:
         keyed, small = (F.broadcast(keyed), True) if terms_small else (keyed, False)
-    cols = ["line_no", *carry]
     grams = all_shingles(docs, sorted(lengths), cols, keep_first=not small)
+    one = F.lit(1).cast("long").alias("n")
     if small:
-        matched = grams.join(keyed, ["n_toks", "phrase"]).select("term_no", *cols, "pos", "_len")
+        matched = grams.join(keyed, ["n_toks", "phrase"]).select("term_no", *cols, "pos", one, "_len")
     else:
         # QRY-3 candidate pruning: the distinct first tokens of the terms are
         # far fewer than the terms; n-grams whose first token is not among
@@ -98,9 +97,15 @@ def phrase_hits(docs: DataFrame, terms: DataFrame, carry: tuple[str, ...] = ("n_
         grams = grams.join(firsts, "_t0", "left_semi").drop("_t0")
         # Pre-aggregate repeats of one phrase inside a document before the
         # shuffle, so a hot one-word phrase moves one row per document.
-        grams = grams.groupBy(*cols, "n_toks", "phrase").agg(F.collect_list("pos").alias("_ps"))
-        matched = (grams.join(keyed, ["n_toks", "phrase"])
-                   .select("term_no", *cols, F.explode("_ps").alias("pos"), "_len"))
+        grams = grams.groupBy(*cols, "n_toks", "phrase")
+        if positions or longer:
+            matched = (grams.agg(F.collect_list("pos").alias("_ps")).join(keyed, ["n_toks", "phrase"])
+                       .select("term_no", *cols, F.explode("_ps").alias("pos"), one, "_len"))
+        else:
+            matched = grams.agg(F.count(F.lit(1)).alias("n")).join(keyed, ["n_toks", "phrase"]).select(
+                "term_no", *cols, F.lit(None).cast("int").alias("pos"), "n", "_len")
+    if only is not None:
+        matched = matched.join(only, ["term_no", "line_no"], "left_semi")
     if longer:
         # Candidates of longer terms are compared whole.
         want = terms.select("term_no", F.col("toks").alias("_want"))
@@ -108,15 +113,58 @@ def phrase_hits(docs: DataFrame, terms: DataFrame, carry: tuple[str, ...] = ("n_
                  .join(docs.select("line_no", "toks"), "line_no")
                  .filter(F.slice("toks", F.col("pos") + 1, F.col("_len")) == F.col("_want")))
         matched = matched.filter(F.col("_len") <= KEY_TOKENS).unionByName(whole.select(*matched.columns))
-    return (matched.groupBy("term_no", *cols)
+    return matched
+
+
+def _no_hits(docs: DataFrame, carry: tuple[str, ...], starts: bool) -> DataFrame:
+    types = {f.name: f.dataType.simpleString() for f in docs.select(*carry).schema}
+    ddl = ", ".join(["term_no long", "line_no long", "tf long", *(["starts array<int>"] * starts), *(f"{c} {types[c]}" for c in carry)])
+    return docs.sparkSession.createDataFrame([], ddl)
+
+
+def phrase_hits(docs: DataFrame, terms: DataFrame, carry: tuple[str, ...] = ("n_tokens", "score", "docid"),
+                max_broadcast_bytes: int | None = None, terms_small: bool | None = None,
+                only: DataFrame | None = None) -> DataFrame:
+    """QRY-2: (term_no, line_no, tf, starts, *carry) — one row per document
+    containing the phrase, ``starts`` = sorted token positions of the matches.
+
+    ``terms`` must be normalised.  ``carry`` document columns ride along so
+    that ranking needs no second join with the document table.  The n-grams
+    of all lengths come from one scan of the index and meet the terms in one
+    join."""
+    matched = _matched(docs, terms, ["line_no", *carry], max_broadcast_bytes, terms_small, True, only)
+    if matched is None:
+        return _no_hits(docs, carry, True)
+    return (matched.groupBy("term_no", "line_no", *carry)
             .agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("pos")).alias("starts")))
 
 
-def term_idf(docs: DataFrame, terms: DataFrame, n_docs: int) -> DataFrame:
+def phrase_counts(docs: DataFrame, terms: DataFrame, carry: tuple[str, ...] = ("n_tokens", "score", "docid"),
+                  max_broadcast_bytes: int | None = None, terms_small: bool | None = None) -> DataFrame:
+    """(term_no, line_no, tf, *carry): what ranking needs of the hits, without positions."""
+    matched = _matched(docs, terms, ["line_no", *carry], max_broadcast_bytes, terms_small, False)
+    if matched is None:
+        return _no_hits(docs, carry, False)
+    return matched.groupBy("term_no", "line_no", *carry).agg(F.sum("n").alias("tf"))
+
+
+def with_starts(source: DataFrame | PO.Index, hits: DataFrame, terms: DataFrame,
+                max_broadcast_bytes: int | None = None) -> DataFrame:
+    """The second phase of a ranked search: ``hits`` with the positions of their matches, which are looked up for
+    these (term, document) pairs only.  ``hits`` is read twice: it should be written or checkpointed."""
+    only = hits.select("term_no", "line_no")
+    if isinstance(source, PO.Index):
+        found = PO.phrase_hits(source, terms, max_broadcast_bytes, only)
+    else:
+        found = phrase_hits(source, terms, (), max_broadcast_bytes, only=only)
+    return hits.join(found.select("term_no", "line_no", "starts"), ["term_no", "line_no"])
+
+
+def term_idf(source: DataFrame | PO.Index, terms: DataFrame, n_docs: int) -> DataFrame:
     """(term_no, idf): sum over the phrase's tokens (repeats count again) of
-    ln(1 + (N - df + 0.5) / (df + 0.5))."""
+    ln(1 + (N - df + 0.5) / (df + 0.5)).  An index has the df of every token stored."""
     term_toks = terms.select("term_no", F.explode("toks").alias("token"))
-    dfs = IDX.doc_freq(docs, term_toks)
+    dfs = PO.token_df(source, term_toks) if isinstance(source, PO.Index) else IDX.doc_freq(source, term_toks)
     idf = F.log(1 + (F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     return (term_toks.join(dfs, "token", "left").fillna({"df": 0})
             .groupBy("term_no").agg(F.sum(idf).alias("idf")))
@@ -136,23 +184,32 @@ def formula_score(formula: str) -> Column:
     return F.round(F.greatest(x, F.lit(0.0)), SCORE_ROUND)
 
 
-def ranked_hits(docs: DataFrame, terms: DataFrame, formula: str = DEFAULT_FORMULA,
+def ranked_hits(source: DataFrame | PO.Index, terms: DataFrame, formula: str = DEFAULT_FORMULA,
                 limit: int | None = None, usage: DataFrame | None = None,
-                stats: tuple[int, float] | None = None, max_broadcast_bytes: int | None = None) -> DataFrame:
-    """QRY-2..6: (term_no, line_no, tf, starts, n_tokens, score, docid, idf,
-    n_hits, bm25, final_score, rank), rank by final_score desc then line_no.
+                stats: tuple[int, float] | None = None, max_broadcast_bytes: int | None = None,
+                starts: bool = True) -> DataFrame:
+    """QRY-2..6: (term_no, line_no, tf, n_tokens, score, docid, idf, n_hits,
+    bm25, final_score, rank, starts), rank by final_score desc then line_no.
+
+    ``source`` is the document table or a stored index.  Two phases: counts of
+    all hits are ranked, then the matches' positions (``starts``, if asked for)
+    are looked up for the hits that the limit keeps.
 
     ``usage`` (docid, n) gives docMatchCount = 1 + n (RNK-6).  An invalid
     formula raises before anything is read."""
-    validate(docs.sparkSession, formula)
-    n_docs, avgdl = stats if stats is not None else IDX.corpus_stats(docs)
+    indexed = isinstance(source, PO.Index)
+    validate((source.docs if indexed else source).sparkSession, formula)
+    if stats is None:
+        stats = (source.n_docs, source.avgdl) if indexed else IDX.corpus_stats(source)
+    n_docs, avgdl = stats
     # One size check of the term table decides both broadcasts below: the
     # per-term table has at most one narrower row per term.
     _, small = maybe_broadcast(terms.select("term_no", "n_toks", "phrase"), ["phrase"], max_broadcast_bytes)
     # The hits feed both the per-term counts and the ranking; materialise
     # them once (reliable checkpoint) instead of running the n-gram join twice.
-    hits = cut_lineage(phrase_hits(docs, terms, max_broadcast_bytes=max_broadcast_bytes, terms_small=small))
-    idf = term_idf(docs, terms, n_docs)
+    hits = cut_lineage(PO.phrase_counts(source, terms, max_broadcast_bytes) if indexed else phrase_counts(
+        source, terms, max_broadcast_bytes=max_broadcast_bytes, terms_small=small))
+    idf = term_idf(source, terms, n_docs)
     # Per-term table: idf and the total hit count (QRY-8), one row per term.
     counts = hits.groupBy("term_no").agg(F.count(F.lit(1)).alias("n_hits"))
     per_term = idf.join(counts, "term_no")
@@ -167,8 +224,10 @@ def ranked_hits(docs: DataFrame, terms: DataFrame, formula: str = DEFAULT_FORMUL
             .withColumn("final_score", formula_score(formula)).drop("_score"))
     order = [F.desc("final_score"), F.asc("line_no")]
     if limit is not None:
-        return top_per_group(hits, ["term_no"], order, limit, "rank")
-    return hits.withColumn("rank", F.row_number().over(Window.partitionBy("term_no").orderBy(*order)))
+        hits = top_per_group(hits, ["term_no"], order, limit, "rank")
+    else:
+        hits = hits.withColumn("rank", F.row_number().over(Window.partitionBy("term_no").orderBy(*order)))
+    return with_starts(source, cut_lineage(hits), terms, max_broadcast_bytes) if starts else hits
 
 
 def term_summary(terms: DataFrame, hits: DataFrame) -> DataFrame:
@@ -178,10 +237,15 @@ def term_summary(terms: DataFrame, hits: DataFrame) -> DataFrame:
             .fillna({"n_hits": 0}))
 
 
-def search_phrase(docs: DataFrame, phrase: str, limit: int = 20, formula: str = DEFAULT_FORMULA) -> DataFrame:
-    """QRY-9: ranked documents for one phrase (no excerpts)."""
-    spark = docs.sparkSession
-    one = normalize_terms(spark.createDataFrame([(1, phrase)], "term_no long, term string"))
-    return (ranked_hits(docs, one, formula=formula, limit=limit)
-            .join(docs.select("line_no", "title", "content"), "line_no")
-            .orderBy("rank"))
+def search_phrase(source: DataFrame | PO.Index, phrase: str, limit: int = 20, formula: str = DEFAULT_FORMULA) -> DataFrame:
+    """QRY-9: ranked documents for one phrase (no excerpts).
+
+    On an index the phrase is looked up: its tokens' row groups are read, and the
+    documents by their line numbers (at most ``limit``, which the scan tests)."""
+    docs = source.docs if isinstance(source, PO.Index) else source
+    one = normalize_terms(docs.sparkSession.createDataFrame([(1, phrase)], "term_no long, term string"))
+    hits = cut_lineage(ranked_hits(source, one, formula=formula, limit=limit))
+    bodies = docs.select("line_no", "title", "content")
+    if limit <= GROUP_LIMIT:
+        bodies = bodies.filter(F.col("line_no").isin([r["line_no"] for r in hits.select("line_no").collect()]))
+    return hits.join(bodies, "line_no").orderBy("rank")

@@ -119,11 +119,11 @@ def _ranked_out(ranked: DataFrame) -> DataFrame:
 
 
 def q_bm25_top(spark, sf_dir):
-    return _ranked_out(S.ranked_hits(_docs(spark, sf_dir), _terms(spark, sf_dir), formula="_score", limit=TOP_N))
+    return _ranked_out(S.ranked_hits(_docs(spark, sf_dir), _terms(spark, sf_dir), formula="_score", limit=TOP_N, starts=False))
 
 
 def q_formula_top(spark, sf_dir):
-    return _ranked_out(S.ranked_hits(_docs(spark, sf_dir), _terms(spark, sf_dir), limit=TOP_N))
+    return _ranked_out(S.ranked_hits(_docs(spark, sf_dir), _terms(spark, sf_dir), limit=TOP_N, starts=False))
 
 
 def _sql_ranked(formula_sql: str) -> str:
@@ -257,10 +257,11 @@ def _sql_word_any(col: str, words: list[str]) -> str:
     return f"regexp_matches({col}, {O.q(pat)})"
 
 
-def _sql_penalty_parts(mn: int, mx: int, excluded: bool, lenient: dict | None) -> tuple[str, str]:
+def _sql_penalty_parts(mn: int, mx: int, excluded: bool | str, lenient: dict | None) -> tuple[str, str]:
     """(reason, penalty-without-reason) SQL over columns ``excerpt`` and ``term``."""
     first = r"regexp_matches(excerpt, '^[\p{Ll}\x{AA}\x{BA}]')"
     excl = f"(NOT {_sql_word_any('term', EXCLUDED_DEMO)} AND {_sql_word_any('excerpt', EXCLUDED_DEMO)})" if excluded else "false"
+    excl = excluded if isinstance(excluded, str) else excl
     length = f"(length(excerpt) < {mn} OR length(excerpt) > {mx})"
     chars = ("len(regexp_extract_all(excerpt, '[\\p{Pc}\\p{Ps}\\p{Pe}\\p{Po}]')) "
              "+ len(regexp_extract_all(excerpt, '\\p{Lu}')) + len(regexp_extract_all(excerpt, '\\p{Nd}'))")
@@ -276,8 +277,10 @@ def _sql_penalty_parts(mn: int, mx: int, excluded: bool, lenient: dict | None) -
     return reason, f"1 + {full} + {chars}"
 
 
-def _sql_scored(mn: int = 60, mx: int = 180, excluded: bool = False, lenient: dict | None = None) -> str:
-    """... ``sc``: every hit within the last limit with excerpt, reason and penalty."""
+def _sql_scored(mn: int = 60, mx: int = 180, excluded: bool | str = False, lenient: dict | None = None,
+                marks: tuple[str, ...] = (), source: str = "excerpts") -> str:
+    """... ``sc``: every hit within the last limit with excerpt, reason and penalty.  ``excluded`` may be a condition
+    over the columns of ``source``, which ``marks`` define."""
     reason, pen = _sql_penalty_parts(mn, mx, excluded, lenient)
     return O.with_ctes(O.DOCS, O.DOCIDS, O.TERMS, O.GRAMS, O.HITS, O.STATS, O.IDF,
                        O.scored_hits(O.DEFAULT_FORMULA_SQL), O.OFFSETS, O.sentences(mn),
@@ -287,9 +290,9 @@ def _sql_scored(mn: int = 60, mx: int = 180, excluded: bool = False, lenient: di
   FROM ranked r JOIN hits h ON h.term_no = r.term_no AND h.line_no = r.line_no
        JOIN terms t ON t.term_no = r.term_no JOIN nh ON nh.term_no = r.term_no
   WHERE r.rank <= {max(LIMITS)})""",
-                       O.passages("top", mn, mx),
+                       O.passages("top", mn, mx), *marks,
                        f"""sc AS (SELECT *, CASE WHEN reason IS NULL THEN {pen} END AS penalty
-       FROM excerpts, LATERAL (SELECT {reason} AS reason))""")
+       FROM {source}, LATERAL (SELECT {reason} AS reason))""")
 
 
 SQL_EXCERPTS = _sql_scored() + """
@@ -300,6 +303,33 @@ SELECT term_no, line_no, CAST(penalty AS BIGINT) AS penalty, reason AS skip_reas
 SQL_EXCERPT_PENALTIES = _sql_scored(excluded=True) + _SQL_PENALTIES
 SQL_EXCLUDED_WORDS = _sql_scored(excluded=True, lenient=LENIENT) + _SQL_PENALTIES
 
+# Excluded words as a file: all words of four letters of the benchmark, and a pattern that is no plain word.
+EXCLUDED_PATTERN = "E[nr][a-z]*"
+
+
+def q_excluded_text(spark, sf_dir):
+    """SRC-7, SCO-2, SCO-8: excluded words written as a text file, read as a table and joined with the excerpts' words."""
+    path = _folder(spark, "excluded")
+    words = C.table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{Nd}]+"), F.lit(0))).alias("w"))
+    (words.filter(F.length("w") == 4).distinct().unionByName(spark.range(1).select(F.lit(EXCLUDED_PATTERN).alias("w")))
+     .unionByName(spark.range(1).select(F.lit("").alias("w"))).write.text(path))
+    cfg = _cfg(excluded_words=C.read_excluded_words(spark, path))
+    return _scored(spark, sf_dir, cfg).select("term_no", "line_no", *_long("penalty"), "skip_reason")
+
+
+_NO_WORD = r"[^\p{L}\p{M}\p{Nd}_]"
+_MARKS = (
+    "words AS (SELECT DISTINCT lower(w) AS w FROM (SELECT unnest(regexp_extract_all(text, '[\\p{L}\\p{Nd}]+')) AS w FROM benchmark) WHERE length(w) = 4)",
+    "seen AS (SELECT DISTINCT excerpt AS text FROM excerpts UNION SELECT DISTINCT term FROM excerpts)",
+    f"""having_word AS (
+  SELECT DISTINCT text FROM (SELECT text, unnest(string_split_regex(text, {O.q(_NO_WORD + '+')})) AS w FROM seen) WHERE w IN (SELECT w FROM words)
+  UNION
+  SELECT text FROM seen WHERE regexp_matches(text, {O.q('(?:^|' + _NO_WORD + ')(?:' + EXCLUDED_PATTERN.lower() + ')(?:' + _NO_WORD + '|$)')}))""",
+    """marked_excerpts AS (
+  SELECT e.*, he.text IS NOT NULL AND ht.text IS NULL AS excl
+  FROM excerpts e LEFT JOIN having_word he ON he.text = e.excerpt LEFT JOIN having_word ht ON ht.text = e.term)""")
+SQL_EXCLUDED_TEXT = _sql_scored(excluded="excl", marks=_MARKS, source="marked_excerpts") + _SQL_PENALTIES
+
 
 def _sql_round(mode: str) -> str:
     """``ord``: the accepted excerpts of each term's last round, in excerpt order."""
@@ -367,8 +397,9 @@ def _batch(spark, sf_dir, cfg):
 
 
 def q_run_batch(spark, sf_dir):
-    """The whole batch search with the default quota."""
-    return _batch(spark, sf_dir, _cfg()).select("term_no", *_long("result_no"), "term", "excerpt", "title")
+    """The whole batch search with the default quota, on the stored index."""
+    out = B.run_batch(_index(spark, sf_dir), C.terms_from_benchmark(spark, sf_dir), _cfg())
+    return out.select("term_no", *_long("result_no"), "term", "excerpt", "title")
 
 
 def q_source_cap(spark, sf_dir):
@@ -504,7 +535,9 @@ def q_corpus_text(spark, sf_dir):
     docs = C.table(spark, sf_dir, "documents").select("doc_id", "source", F.posexplode(F.split("text", "\n", -1)).alias("i", "line"))
     (docs.repartitionByRange("doc_id", "i").sortWithinPartitions("doc_id", "i")
      .select(F.concat("source", F.lit(".txt:"), "line").alias("value")).write.option("lineSep", "\n").text(path))
-    good, _ = C.split_lines(C.read_corpus(spark, path))
+    # every written file ends with a line feed: one empty line a file, which is rejected
+    lines = C.read_corpus(spark, path).withColumn("line_no", F.col("line_no") - F.col("file_no"))
+    good, _ = C.split_lines(lines)
     return good.select("line_no", "title", "content", "base_score")
 
 
@@ -518,7 +551,7 @@ def q_rules_text(spark, sf_dir):
     """SRC-5, IDX-1, IDX-2: one rule per source, written as rule lines, read back and folded."""
     path = _folder(spark, "rules")
     digit = F.substring("source", -1, 1).cast("int")
-    (C.table(spark, sf_dir, "documents").select("source").distinct().coalesce(1).sortWithinPartitions("source")
+    (C.table(spark, sf_dir, "documents").select("source").distinct().repartitionByRange("source").sortWithinPartitions("source")
      .select(F.concat_ws("\t", F.when(digit % 2 == 0, "REGEX").otherwise("EXACT"), F.concat("source", F.when(digit % 2 == 0, "$").otherwise("")),
                          ((digit - 3) / 4).cast("string"), F.when(digit % 4 == 0, "T").otherwise("F")).alias("value"))
      .write.text(path))
@@ -569,15 +602,24 @@ FROM chosen c JOIN docs d ON d.line_no = c.line_no"""
 
 
 def q_adhoc_search(spark, sf_dir):
-    """QRY-9: the ranked documents of one phrase, the first two words of the first benchmark text."""
-    phrase = C.terms_from_benchmark(spark, sf_dir, sizes=(2,), whole=False, only_at=0).orderBy("term_no").first()["term"]
-    return S.search_phrase(_docs(spark, sf_dir), phrase).select("line_no", *_long("rank", "tf"), F.round("final_score", ROUND).alias("final_score"))
+    """QRY-9: the ranked documents of one phrase on the stored index: the two words of the benchmark that stand side by
+    side in most documents."""
+    index = _index(spark, sf_dir)
+    pairs = S.normalize_terms(C.terms_from_benchmark(spark, sf_dir, sizes=(2,), whole=False))
+    pairs = pairs.groupBy("phrase", "toks", "n_toks", "q").agg(F.min("term_no").alias("term_no"))
+    counts = PO.phrase_counts(index, pairs).groupBy("term_no").agg(F.count(F.lit(1)).alias("n"))
+    best = counts.join(pairs, "term_no").orderBy(F.desc("n"), "phrase").first()
+    found = S.search_phrase(index, best["phrase"] if best else "")
+    return found.select("line_no", *_long("rank", "tf"), F.round("final_score", ROUND).alias("final_score"))
 
 
 SQL_ADHOC_SEARCH = O.with_ctes(O.DOCS, O.DOCIDS, O.TERMS, O.GRAMS, O.HITS, O.STATS, O.IDF,
                                O.scored_hits(O.DEFAULT_FORMULA_SQL)) + f"""
 SELECT line_no, CAST(rank AS BIGINT) AS rank, CAST(tf AS BIGINT) AS tf, round(final_score, {ROUND}) AS final_score
-FROM ranked WHERE rank <= {TOP_N} AND term_no = (SELECT min(item_id) * (SELECT width FROM bench_width) + 2 FROM bench WHERE len(w) >= 2)"""
+FROM ranked WHERE rank <= {TOP_N} AND term_no = (
+  SELECT min(t.term_no) FROM terms t JOIN (
+    SELECT h.phrase, count(*) AS n FROM phrase_hits h JOIN phrases p ON p.phrase = h.phrase WHERE p.n_toks = 2
+    GROUP BY h.phrase ORDER BY n DESC, h.phrase LIMIT 1) b ON b.phrase = t.phrase)"""
 
 
 def q_explain(spark, sf_dir):
@@ -640,6 +682,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rejects": q_rejects,
     "excerpt_penalties": q_excerpt_penalties,
     "excluded_words": q_excluded_words,
+    "excluded_text": q_excluded_text,
     "format_columns": q_format_columns,
     "result_limit": q_result_limit,
     "result_limit_band": q_result_limit_band,
@@ -674,6 +717,7 @@ ORACLE: dict[str, str] = {
     "rejects": SQL_REJECTS,
     "excerpt_penalties": SQL_EXCERPT_PENALTIES,
     "excluded_words": SQL_EXCLUDED_WORDS,
+    "excluded_text": SQL_EXCLUDED_TEXT,
     "format_columns": SQL_FORMAT_COLUMNS,
     "result_limit": SQL_RESULT_LIMIT,
     "result_limit_band": SQL_RESULT_LIMIT_BAND,

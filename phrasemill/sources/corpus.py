@@ -16,39 +16,57 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from phrasemill.functions import patterns as P
-from phrasemill.session import maybe_broadcast
+from phrasemill.session import cut_lineage, maybe_broadcast
 
-def number_lines(df: DataFrame) -> DataFrame:
+def number_lines(df: DataFrame, text: str | None = None) -> DataFrame:
     """1-based line numbers in file order, without moving the lines.
 
     Each input split is a contiguous run of lines.  One pass counts the lines
     of every (file, split) — a table with one row per split, so its size is
     bounded by the number of splits — and a broadcast join adds each split's
     starting line number to the row's position inside the split.
+
+    With the name of the ``text`` column, a file whose last byte is a line feed
+    has one more, empty line at its end, as a reader that splits at line feeds
+    gives it (Spark's does not): its lines and line feeds make up the file's
+    whole size.  ``file_no`` counts the files from 0.
     """
     tagged = (df.withColumn("_file", F.col("_metadata.file_path"))
+                .withColumn("_size", F.col("_metadata.file_size"))
                 .withColumn("_block", F.col("_metadata.file_block_start"))
                 .withColumn("_mid", F.monotonically_increasing_id()))
+    size = F.octet_length(text) + 1 if text else F.lit(0)
     blocks = (tagged.groupBy("_file", "_block")
-              .agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first")))
+              .agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"), F.sum(size.cast("long")).alias("_bytes"),
+                   F.first("_size").alias("_size")))
     # Lines before each file (one row per file), and before each split within
     # its file: no window sees more than the files, or one file's splits.
-    files = blocks.groupBy("_file").agg(F.sum("_n").alias("_lines"))
-    files = files.withColumn("_before", F.coalesce(F.sum("_lines").over(
-        W.orderBy("_file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("_file", "_before")
+    # A byte order mark of three bytes is no part of the first line.
+    files = blocks.groupBy("_file").agg(F.sum("_n").alias("_own"), (F.first("_size") - F.sum("_bytes")).isin(0, 3).alias("_tail"))
+    tail = F.col("_tail").cast("long") if text else F.lit(0).cast("long")
+    ahead = W.orderBy("_file").rowsBetween(W.unboundedPreceding, -1)
+    files = files.withColumn("_lines", F.col("_own") + tail).withColumn(
+        "_before", F.coalesce(F.sum("_lines").over(ahead), F.lit(0))).withColumn("file_no", F.count(F.lit(1)).over(ahead))
+    files = files.select("_file", "_before", "_lines", "file_no", (tail > 0).alias("_tail"))
     inside = W.partitionBy("_file").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    blocks = blocks.withColumn("_skip", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(files, "_file").select(
-        "_file", "_block", "_first", (F.col("_before") + F.col("_skip")).alias("_base"))
-    blocks, _ = maybe_broadcast(blocks, ["_file"])
-    out = (tagged.join(blocks, ["_file", "_block"])
-           .withColumn("line_no", F.col("_base") + F.col("_mid") - F.col("_first") + 1))
-    return out.drop("_file", "_block", "_mid", "_first", "_base")
+    skip = blocks.withColumn("_skip", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(files, "_file").select(
+        "_file", "_block", "_first", "file_no", (F.col("_before") + F.col("_skip")).alias("_base"))
+    skip, _ = maybe_broadcast(skip, ["_file"])
+    out = (tagged.join(skip, ["_file", "_block"])
+           .withColumn("line_no", F.col("_base") + F.col("_mid") - F.col("_first") + 1)
+           .drop("_file", "_size", "_block", "_mid", "_first", "_base"))
+    if text is None:
+        return out
+    empty = files.filter("_tail").select(F.lit("").alias(text), "file_no", (F.col("_before") + F.col("_lines")).alias("line_no"))
+    return out.unionByName(empty)
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-1/2: lines split on ``\\n`` only (``\\r`` stays in the line)."""
+    """SRC-1/2: (line_no, raw, file_no), split on ``\\n`` only (``\\r`` stays in the line);
+    a file that ends with a line feed has an empty last line.  (Of a compressed
+    file the size says nothing; it gets none.)"""
     lines = spark.read.option("lineSep", "\n").text(path).withColumnRenamed("value", "raw")
-    return number_lines(lines).select("line_no", "raw")
+    return number_lines(lines, "raw").select("line_no", "raw", "file_no")
 
 
 def split_lines(lines: DataFrame, delimiter: str = P.DEFAULT_DELIMITER) -> tuple[DataFrame, DataFrame]:
@@ -83,7 +101,7 @@ def parse_scores(staged: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 # ---------------------------------------------------------------------------
-# Configuration-sized inputs: score rules, terms, excluded words.
+# Score rules, terms, excluded words: tables, like the corpus.
 
 @dataclass(frozen=True)
 class ScoreRule:
@@ -119,32 +137,43 @@ def parse_rule_lines(lines: list[str]) -> list[ScoreRule]:
     return rules
 
 
-MAX_CONFIG_ROWS = 100_000
+RULE_COLUMNS = "rule_no long, kind string, text string, adj double, stop boolean"
+
+
+def rules_table(spark: SparkSession, rules: list[ScoreRule]) -> DataFrame:
+    """Rules given as values, as a table."""
+    return spark.createDataFrame([(r.rule_no, r.kind, r.text, float(r.adj), bool(r.stop)) for r in rules], RULE_COLUMNS)
 
 
-def config_lines(lines: DataFrame, what: str) -> list[str]:
-    """The rows of a one-column configuration table, which must be small."""
-    rows = lines.limit(MAX_CONFIG_ROWS + 1).collect()
-    if len(rows) > MAX_CONFIG_ROWS:
-        raise ValueError(f"{what}: more than {MAX_CONFIG_ROWS} lines")
-    return [r[0] for r in rows]
+def parse_rules(lines: DataFrame) -> DataFrame:
+    """SRC-5 on a table of lines (line_no, value): (rule_no, kind, text, adj, stop, line), rule_no being the line's
+    number; adj is null where it is no number."""
+    value = F.regexp_replace("value", r"\r\z", "")
+    fields = F.split(F.regexp_replace(value, r"\t+\z", ""), "\t", -1)
+    kept = lines.select(F.col("line_no").alias("rule_no"), value.alias("line"), fields.alias("f")).filter(
+        ~F.col("line").rlike(r"\A[ \t\n\x0B\f\r]*#.+\z") & (F.size("f") == 4))
+    f = F.col("f")
+    return kept.select("rule_no", F.when(f[0] == "EXACT", "EXACT").otherwise("REGEX").alias("kind"), f[1].alias("text"),
+                       F.trim(f[2]).try_cast("double").alias("adj"), (f[3] == "T").alias("stop"), "line")
 
 
-def check_rules(spark: SparkSession, rules: list[ScoreRule]) -> list[ScoreRule]:
-    """Raise on a rule whose regular expression is invalid, before any corpus is read."""
-    probe = spark.range(1).select(F.lit("x").alias("t"))
-    for r in rules:
-        if r.kind == "REGEX":
-            try:
-                probe.filter(F.col("t").rlike(r.text)).collect()
-            except Exception as exc:
-                raise ValueError(f"invalid regular expression in rule {r.rule_no}: {r.text!r}") from exc
+def check_rules(rules: DataFrame) -> DataFrame:
+    """Raise on a bad adjustment or regular expression, before any corpus is read: one job for all rules."""
+    valid = F.when(F.col("kind") == "REGEX", F.rlike(F.lit("x"), F.col("text")).cast("int"))
+    try:
+        bad = rules.agg(F.min(F.when(F.col("adj").isNull(), F.col("line"))).alias("bad"), F.sum(valid)).first()["bad"]
+    except Exception as exc:
+        raise ValueError("invalid regular expression in a rule") from exc
+    if bad is not None:
+        raise ValueError(f"invalid score offset in rule: {bad!r}")
     return rules
 
 
-def read_rules(spark: SparkSession, path: str) -> list[ScoreRule]:
-    lines = config_lines(spark.read.option("lineSep", "\n").text(path), "score rules")
-    return check_rules(spark, parse_rule_lines([ln[:-1] if ln.endswith("\r") else ln for ln in lines]))
+def read_rules(spark: SparkSession, path: str) -> DataFrame:
+    """SRC-5: the rules of a file, or of several in order of their names, as a table."""
+    lines = number_lines(spark.read.option("lineSep", "\n").text(path))
+    rules = cut_lineage(parse_rules(lines.select("line_no", "value")))   # parsed once; also read by every search plan
+    return check_rules(rules).drop("line")
 
 
 def read_terms(spark: SparkSession, path: str) -> DataFrame:
@@ -154,9 +183,9 @@ def read_terms(spark: SparkSession, path: str) -> DataFrame:
     return numbered.filter(F.trim(F.col("term")) != "").select("term_no", "term")
 
 
-def read_excluded_words(spark: SparkSession, path: str) -> list[str]:
-    """SRC-7: one pattern per line (configuration-sized)."""
-    return config_lines(spark.read.text(path), "excluded words")
+def read_excluded_words(spark: SparkSession, path: str) -> DataFrame:
+    """SRC-7: (word), one pattern per line; empty lines are none."""
+    return spark.read.text(path).withColumnRenamed("value", "word").filter("word <> ''")
 
 
 # ---------------------------------------------------------------------------
