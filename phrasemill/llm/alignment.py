@@ -10,11 +10,12 @@ join to space + text, so their byte ranges can be merged like two sorted lists.
    lane, moves on where a token ends (both, at a cut), and drops lanes that are
    done.  A lane is a document or, of a long one, a run of `LANE` A tokens, so
    the number of steps is bounded whatever a document's length.
-2. A block keeps its ids and steps (one byte a link), and its distinct id pairs
-   with their counts.  Counts are summed over the corpus by Spark; the highest
-   count of each B id is a table of at most B's vocabulary.
-3. Each block's distinct pairs are joined to the counts and brought back to the
-   block, which sums them over its documents' links.
+2. A block keeps one number a link, from which ids and steps follow, and its
+   distinct id pairs with their counts.  Counts are summed over the corpus by
+   Spark; the highest count of each B id is a table of at most B's vocabulary.
+3. The pairs' counts go to the blocks, which sum them over their documents'
+   links: by broadcast if their measured size allows, otherwise each block's
+   distinct pairs are joined to the counts and brought back to the block.
 
 Results: a text that is null, empty or whose joined token bytes (of A or of B)
 differ from space + text has no tokens: zeros and no groups.  Equal rows are
@@ -26,7 +27,9 @@ from __future__ import annotations
 
 import functools
 import json
+from array import array
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +39,11 @@ from pyspark.sql import functions as F
 
 from phrasemill.llm import blocks as B
 from phrasemill.llm import tables as T
+from phrasemill.session import DEFAULT_MAX_BROADCAST_BYTES
 
-BLOCK_BYTES = 4 << 20
-ENCODE_BYTES = 1 << 19      # of text whose ids are Python lists at a time
+BLOCK_BYTES = 2 << 20
+ENCODE_BYTES = 1 << 18      # of text whose ids are Python lists at a time
+WRITE_LINKS = 1 << 18       # whose groups are written at a time
 LANE = 512
 A_ENDS, B_ENDS, BOTH_END = 0, 1, 2
 _SELF = [*range(33, 127), *range(161, 173), *range(174, 256)]   # bytes that stand for themselves in byte-level tokens
@@ -53,20 +58,30 @@ def _table(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 @functools.cache
 def byte_level(path: str):
-    """(encode texts, token-byte table) of a byte-level BPE."""
+    """(encode texts, token-byte table) of a byte-level BPE file.  Its merges are in order of id, so they are ranks
+    (checked; any other file is encoded by its own library)."""
     import os
     os.environ["TOKENIZERS_PARALLELISM"] = "false"      # a task has one core
+    with open(path, encoding="utf-8") as f:
+        whole = json.load(f)
+    model, split = whole["model"], whole["pre_tokenizer"]
+    vocab = model["vocab"]
+    size = 1 + max([*vocab.values(), *(x["id"] for x in whole["added_tokens"])])
+    tokens = [b""] * size
+    for token, i in vocab.items():
+        tokens[i] = bytes(_LEVEL[c] for c in token)
+    first = len(_LEVEL)
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    if (whole["normalizer"] is None and split["type"] == "ByteLevel" and split["use_regex"] and not split["add_prefix_space"]
+            and all(vocab[a + b] == first + i for i, (a, b) in enumerate(merges)) and len(vocab) == first + len(merges)):
+        import tiktoken
+        one = tiktoken.Encoding("ranks", pat_str=T.pretoken_pattern(), special_tokens={},
+                                mergeable_ranks={tokens[i]: i for i in vocab.values()}).encode_ordinary
+        return lambda texts: map(one, texts), _table(tokens)
     from tokenizers import Tokenizer
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True
-    with open(path, encoding="utf-8") as f:
-        vocab = json.load(f)["model"]["vocab"]
-    tokens = [b""] * t.get_vocab_size()
-    for token, i in vocab.items():
-        if i < len(tokens):
-            # an added token (never given here) may hold other characters
-            tokens[i] = bytes(_LEVEL[c] for c in token) if all(c in _LEVEL for c in token) else token.encode()
-    return lambda texts: [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)], _table(tokens)
+    return lambda texts: (e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)), _table(tokens)
 
 
 @functools.cache
@@ -80,29 +95,27 @@ def pieces(path: str):
 
 
 def _encode(encode, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """All ids, and the number of each text's."""
-    ids, size, part, have = [], [], [], 0
+    """All ids, and the number of each text's; ids are Python lists for some texts at a time."""
+    ids, size, part, have = array("I"), [], [], 0
     for i, t in enumerate(texts):
         part.append(t)
         have += len(t)
         if have >= ENCODE_BYTES or i + 1 == len(texts):
-            got = encode(part)
-            size += map(len, got)
-            ids.append(np.fromiter((x for g in got for x in g), np.int64, sum(map(len, got))))
+            for x in encode(part):
+                ids.extend(x)
+                size.append(len(x))
             part, have = [], 0
-    return np.concatenate(ids) if ids else np.zeros(0, np.int64), np.array(size, np.int64)
+    return np.array(ids, np.int64), np.array(size, np.int64)
 
 
 def _same(raw: np.ndarray, raw_size: np.ndarray, ids: np.ndarray, n: np.ndarray, table) -> np.ndarray:
     """Which texts' token bytes join to their bytes."""
     values, at, size = table
     doc = np.repeat(np.arange(len(n)), n)
-    length = np.bincount(doc, weights=size[ids], minlength=len(n)).astype(np.int64)
-    ok = length == raw_size
-    mine = np.repeat(ok, raw_size)
-    got = B.gather(values, at, size, ids[ok[doc]])
-    wrong = np.repeat(np.arange(len(n)), raw_size)[mine][got != raw[mine]]
-    ok[wrong] = False
+    ok = np.bincount(doc, weights=size[ids], minlength=len(n)).astype(np.int64) == raw_size
+    here = raw if ok.all() else raw[np.repeat(ok, raw_size)]
+    wrong = np.flatnonzero(B.gather(values, at, size, ids if ok.all() else ids[ok[doc]]) != here)
+    ok[np.flatnonzero(ok)[np.searchsorted(np.cumsum(raw_size[ok]), wrong, side="right")]] = False
     return ok
 
 
@@ -147,9 +160,27 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (b.astype(np.int64) << 32) | a.astype(np.int64)
 
 
-_BLOCK = "block long, ids array<long>, n_a binary, n_b binary, n_links binary, a binary, b binary, codes binary, pairs binary, n binary"
-_FIELDS = ["block", "ids", "n_a", "n_b", "n_links", "a", "b", "codes", "pairs", "n"]
-_TYPES = [pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 8]
+def _pack_links(a: np.ndarray, b: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of each link's kind, kinds, their counts).  A kind is a pair of ids and a step, the most frequent first;
+    ids and steps of the block follow from the numbers."""
+    i, j = places(codes)
+    kinds, number, n = np.unique((_pairs(a[i], b[j]) << 2) | codes, return_inverse=True, return_counts=True)
+    order = np.argsort(-n, kind="stable")
+    rank = np.empty(len(order), np.uint32)
+    rank[order] = np.arange(len(order), dtype=np.uint32)
+    return rank[number], kinds[order], n[order]
+
+
+def _open_links(number: np.ndarray, kinds: np.ndarray):
+    """A ids, B ids, steps, and each link's pair."""
+    kind = kinds[number]
+    codes, pair = (kind & 3).astype(np.uint8), kind >> 2
+    return pair[codes != B_ENDS] & 0xFFFFFFFF, pair[codes != A_ENDS] >> 32, codes, pair
+
+
+_BLOCK = "block long, ids array<long>, n_a binary, n_b binary, n_links binary, links binary, kinds binary, n binary"
+_FIELDS = ["block", "ids", "n_a", "n_b", "n_links", "links", "kinds", "n"]
+_TYPES = [pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 6]
 
 
 def align_texts(texts: list[str | None], byte_path: str, piece_path: str, lane: int = LANE):
@@ -179,20 +210,21 @@ def _align(byte_path: str, piece_path: str, block_bytes: int):
         part = TaskContext.get().partitionId()
         for seq, batch in enumerate(B.small_batches(batches, 1, block_bytes)):
             na, nb, nl, a, b, codes = align_texts(batch.column(1).to_pylist(), byte_path, piece_path)
-            i, j = places(codes)
-            pairs, n = np.unique(_pairs(a[i], b[j]), return_counts=True)
-            row = [(part << 32) | seq, batch.column(0).to_pylist(), *[B.put(x.astype(np.uint32)) for x in (na, nb, nl, a, b)],
-                   B.put(codes), B.put(pairs), B.put(n.astype(np.uint32))]
+            number, kinds, n = _pack_links(a, b, codes)
+            row = [(part << 32) | seq, batch.column(0).to_pylist(), *[B.put(x.astype(np.uint32)) for x in (na, nb, nl, number)],
+                   B.put(kinds), B.put(n.astype(np.uint32))]
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, _TYPES, strict=True)], names=_FIELDS)
     return run
 
 
 def _pair_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, b, a, n): distinct pairs of each block."""
     for batch in batches:
-        for block, pairs, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            p, n = B.get(pairs, np.int64), B.get(n, np.uint32).astype(np.int64)
-            for lo in range(0, len(p), 100_000):
-                q = p[lo:lo + 100_000]
+        for block, kinds, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            pairs, which = np.unique(B.get(kinds, np.int64) >> 2, return_inverse=True)
+            n = np.bincount(which, weights=B.get(n, np.uint32), minlength=len(pairs)).astype(np.int64)
+            for lo in range(0, len(pairs), 100_000):
+                q = pairs[lo:lo + 100_000]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(q), block)), pa.array((q >> 32).astype(np.int32)),
                                                   pa.array((q & 0xFFFFFFFF).astype(np.int32)), pa.array(n[lo:lo + 100_000])],
                                                  names=["block", "b", "a", "n"])
@@ -233,38 +265,72 @@ def _sums(values: np.ndarray, n: np.ndarray) -> np.ndarray:
     return total[end] - total[end - n]
 
 
-def _finish(tokens: bool):
-    def run(key: tuple[pa.Scalar, ...], block: pa.Table, counts: pa.Table) -> pa.Table:
-        r = block.to_pylist()[0]
-        na, nb, nl, a, b = (B.get(r[c], np.uint32).astype(np.int64) for c in ("n_a", "n_b", "n_links", "a", "b"))
-        codes = B.get(r["codes"], np.uint8)
-        i, j = places(codes)
-        pair = _pairs(counts.column("a").to_numpy(), counts.column("b").to_numpy())
+class Counts(NamedTuple):
+    """Counts of id pairs, ascending by pair."""
+    pair: np.ndarray
+    n: np.ndarray
+    best: np.ndarray
+
+    @staticmethod
+    def of(t: pa.Table) -> Counts:
+        pair = _pairs(t.column("a").to_numpy(), t.column("b").to_numpy())
         order = np.argsort(pair)
-        where = order[np.searchsorted(pair[order], _pairs(a[i], b[j]))] if len(pair) else np.zeros(0, np.int64)
-        n, best = counts.column("n").to_numpy()[where], counts.column("best").to_numpy(zero_copy_only=False)[where]
-        out = {"doc_id": pa.array(r["ids"], pa.int64()), "n_a": na, "n_b": nb, "n_groups": _sums(codes == BOTH_END, nl), "n_links": nl,
-               "n_best": _sums(best, nl), "count_sum": _sums(n, nl), "groups": pa.array([g.decode() for g in groups_of(a, b, codes, na, nb)], pa.string())}
+        return Counts(pair[order], t.column("n").to_numpy()[order], t.column("best").to_numpy(zero_copy_only=False)[order])
+
+
+def _documents(r: dict, counts: Counts, tokens: bool) -> Iterator[pa.Table]:
+    """The documents of a block, some at a time."""
+    na, nb, nl = (B.get(r[c], np.uint32).astype(np.int64) for c in ("n_a", "n_b", "n_links"))
+    number, kinds = B.get(r["links"], np.uint32), B.get(r["kinds"], np.int64)
+    where = np.searchsorted(counts.pair, kinds >> 2)
+    n, best = (counts.n[where], counts.best[where]) if len(kinds) else (np.zeros(0, np.int64), np.zeros(0, bool))
+    end = np.cumsum(nl)
+    part = np.cumsum(nl) // WRITE_LINKS
+    for rows in np.split(np.arange(len(nl)), np.flatnonzero(np.diff(part)) + 1):
+        lo, hi = (end[rows[0]] - nl[rows[0]], end[rows[-1]]) if len(rows) else (0, 0)
+        a, b, codes, _ = _open_links(number[lo:hi], kinds)
+        k, mine = nl[rows], number[lo:hi]
+        out = {"doc_id": pa.array([r["ids"][i] for i in rows], pa.int64()), "n_a": na[rows], "n_b": nb[rows],
+               "n_groups": _sums(codes == BOTH_END, k), "n_links": k, "n_best": _sums(best[mine], k), "count_sum": _sums(n[mine], k),
+               "groups": pa.array([g.decode() for g in groups_of(a, b, codes, na[rows], nb[rows])], pa.string())}
         if tokens:
-            for name, x, size in (("a_ids", a.astype("<u4"), na), ("b_ids", b.astype("<u4"), nb), ("steps", codes, nl)):
-                end = np.cumsum(size)
-                out[name] = pa.array([x[hi - k:hi].tobytes() for hi, k in zip(end.tolist(), size.tolist(), strict=True)], pa.binary())
-        return pa.table(out)
+            for name, x, size in (("a_ids", a.astype("<u4"), na[rows]), ("b_ids", b.astype("<u4"), nb[rows]), ("steps", codes, k)):
+                out[name] = pa.array([x[e - z:e].tobytes() for e, z in zip(np.cumsum(size).tolist(), size.tolist(), strict=True)], pa.binary())
+        yield pa.table(out)
+
+
+def _finish(tokens: bool):
+    def run(key: tuple[pa.Scalar, ...], block: pa.Table, counts: pa.Table) -> pa.Table:
+        return pa.concat_tables(_documents(block.to_pylist()[0], Counts.of(counts), tokens))
+    return run
+
+
+def _finish_here(counts, tokens: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                for t in _documents(batch.slice(i, 1).to_pylist()[0], counts.value, tokens):
+                    yield from t.combine_chunks().to_batches()
     return run
 
 
 def align(docs: DataFrame, byte_path: str, piece_path: str, id_col: str = "doc_id", text_col: str = "text",
-          block_bytes: int = BLOCK_BYTES, tokens: bool = False) -> DataFrame:
+          block_bytes: int = BLOCK_BYTES, tokens: bool = False,
+          max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups); groups is `a1,a2|b1;a3|b2,b3`.
     With `tokens`, also a_ids and b_ids (little-endian unsigned 32-bit) and steps, one byte a link: 0 the A token
     ends first, 1 the B token, 2 both (a cut); the links follow from it (`places`)."""
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     done = T.write_shared(src.mapInArrow(_align(byte_path, piece_path, block_bytes), _BLOCK), "aligned")
-    rows = done.select("block", "pairs", "n").mapInArrow(_pair_rows, "block long, b int, a int, n long")
+    rows = done.select("block", "kinds", "n").mapInArrow(_pair_rows, "block long, b int, a int, n long")
     counts = T.write_shared(rows.groupBy("b", "a").agg(F.sum("n").alias("n")), "pair-counts")
     best = counts.groupBy("b").agg(F.max("n").alias("top"))         # at most the vocabulary of B
     marked = counts.join(F.broadcast(best), "b").select("b", "a", "n", (F.col("n") == F.col("top")).alias("best"))
-    back = rows.select("block", "b", "a").join(marked, ["b", "a"])
     schema = ("doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string"
               + ", a_ids binary, b_ids binary, steps binary" * tokens)
-    return done.drop("pairs", "n").groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_finish(tokens), schema)
+    done = done.drop("n")
+    if counts.count() * 17 <= max_broadcast_bytes:
+        table = docs.sparkSession.sparkContext.broadcast(Counts.of(marked.toArrow()))
+        return done.mapInArrow(_finish_here(table, tokens), schema)
+    back = rows.select("block", "b", "a").join(marked, ["b", "a"])
+    return done.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_finish(tokens), schema)

@@ -75,12 +75,15 @@ ODD = ["<|endoftext|> a <s></s> <0x41> ▁ b", "a  b   c\n\n\td ", " lead", "日
        "ＡＢＣ ½ ①", "▁▁", " ", "  ", "ñandú İstanbul ΣΑΣ", "\r\n\x0b\x0c tabs\t\t", "مرحبا नमस्ते", "﻿bom  nbsp "]
 
 
-def test_odd_rows(spark, nasty, no_docs):
+def test_odd_rows(spark, nasty, no_docs, monkeypatch):
+    monkeypatch.setattr(A, "WRITE_LINKS", 100)
     rows = [(r.doc_id, r.text) for r in nasty.collect()] + [(100 + i, t) for i, t in enumerate(ODD)]
     df = nasty.select("doc_id", "text", "block").unionByName(
         spark.createDataFrame([(i, t, 5) for i, t in rows[-len(ODD):]], "doc_id long, text string, block int")).withColumn("a", A.F.lit(1))
-    assert _got(A.align(df, A_PATH, B_PATH, block_bytes=2000)) == _literal(rows)
-    assert A.align(no_docs, A_PATH, B_PATH).count() == 0
+    for cap in (1 << 26, 0):      # counts by broadcast, and by joins
+        assert _got(A.align(df, A_PATH, B_PATH, block_bytes=2000, max_broadcast_bytes=cap)) == _literal(rows)
+    for cap in (1 << 26, 0):
+        assert A.align(no_docs, A_PATH, B_PATH, max_broadcast_bytes=cap).count() == 0
 
 
 def test_random(spark):
@@ -110,4 +113,7 @@ def test_lanes_give_the_same_steps(lane):
 def test_tokens_and_steps(spark):
     rows = [(1, "some unbelievable text"), (2, ""), (None, "naïve 東京")]
     for r in A.align(spark.createDataFrame(rows, "doc_id long, text string"), A_PATH, B_PATH, tokens=True).collect():
+        if r.n_a:
+            assert A.groups_of(np.frombuffer(r.a_ids, "<u4"), np.frombuffer(r.b_ids, "<u4"), np.frombuffer(r.steps, np.uint8),
+                               np.array([r.n_a]), np.array([r.n_b]))[0].decode() == r.groups
         assert (len(r.a_ids), len(r.b_ids), len(r.steps)) == (4 * r.n_a, 4 * r.n_b, r.n_links) and r.steps.count(2) == r.n_groups
