@@ -5,7 +5,7 @@
    per task), so only distinct fingerprints are compared.
 3. A vantage-point tree over Hamming distance, fitted on a bounded sample
    (`sample` fingerprints, the smallest by hash), splits the space into shards
-   of about `shard_rows`; every fingerprint has one home shard.  A fingerprint
+   of up to 2 million (16 MB); every fingerprint has one home shard.  A fingerprint
    whose ball of radius `max_bits` crosses a boundary also visits the shards on
    the other side, as the triangle bound allows no fewer; of a pair in two
    shards only the one with the smaller shard number visits.
@@ -33,6 +33,7 @@ from phrasemill.llm.links import Forest, components
 from phrasemill.session import cut_lineage
 
 LEAF = 256
+SHARD_ROWS = (32_000, 1 << 21)      # fingerprints; 8 bytes each
 CELLS = 1 << 21
 
 
@@ -70,23 +71,35 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 # ---------------------------------------------------------------- vantage-point trees
-def _vantage(points: np.ndarray, rng: np.random.Generator) -> tuple[np.uint64, int]:
-    """Of a few candidates, the point whose distances spread most, and their median."""
+def _vantage(points: np.ndarray, rng: np.random.Generator, reach: int = 4) -> tuple[np.uint64, int]:
+    """Of a few candidates and radii, those with the fewest rows near the cut for what the cut tells: rows within
+    `reach` of it go to both sides."""
     tries = rng.choice(points, min(8, len(points)), replace=False)
     few = rng.choice(points, min(256, len(points)), replace=False)
-    vp = max(tries, key=lambda v: np.bitwise_count(few ^ v).var())
-    return vp, int(np.median(np.bitwise_count(points ^ vp)))
-
-
-def _grow(points: np.ndarray, depth: int, rng: np.random.Generator):
+    best = None
+    for v in tries:
+        d = np.sort(np.bitwise_count(few ^ v).astype(np.int64))
+        for mu in sorted(set(np.quantile(d, [0.3, 0.4, 0.5, 0.6, 0.7], method="lower").tolist())):
+            p = np.count_nonzero(d <= mu) / len(d)
+            if 0 < p < 1:
+                both = np.count_nonzero((d > mu - reach) & (d <= mu + reach)) / len(d)
+                cost = np.log1p(both / 2) / -(p * np.log(p) + (1 - p) * np.log(1 - p))
+                if best is None or cost < best[0]:
+                    best = cost, v, int(mu)
+    if best is None:
+        return tries[0], int(np.median(np.bitwise_count(points ^ tries[0])))
+    return best[1], best[2]
+
+
+def _grow(points: np.ndarray, depth: int, rng: np.random.Generator, reach: int = 4):
     """Nodes (vantage point, radius, inside, outside); a leaf is None."""
     if depth == 0 or len(points) < 2:
         return None
-    vp, mu = _vantage(points, rng)
+    vp, mu = _vantage(points, rng, reach)
     inside = np.bitwise_count(points ^ vp) <= mu
     if inside.all():
         return None
-    return vp, mu, _grow(points[inside], depth - 1, rng), _grow(points[~inside], depth - 1, rng)
+    return vp, mu, _grow(points[inside], depth - 1, rng, reach), _grow(points[~inside], depth - 1, rng, reach)
 
 
 def _route(tree, q: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
@@ -115,7 +128,7 @@ def _near(p: np.ndarray, q: np.ndarray, bits: int, found, rng, pi=None, qi=None)
     if not len(pi) or not len(qi):
         return
     if len(pi) > LEAF and len(qi) > 8:
-        vp, mu = _vantage(p[pi], rng)
+        vp, mu = _vantage(p[pi], rng, bits)
         dp = np.bitwise_count(p[pi] ^ vp).astype(np.int64)
         dq = np.bitwise_count(q[qi] ^ vp).astype(np.int64)
         if 0 < (dp <= mu).sum() < len(pi):
@@ -161,18 +174,23 @@ def _links(bits: int):
     return run
 
 
-def near_links(distinct: DataFrame, bits: int, shard_rows: int = 32_000, sample: int = 20_000) -> DataFrame:
+def near_links(distinct: DataFrame, bits: int, shard_rows: int | None = None, sample: int = 20_000) -> DataFrame:
     """Links (a, b) of distinct fingerprints `fp` whose components are those of
-    all pairs within `bits` bits: a spanning forest from each shard."""
+    all pairs within `bits` bits: a spanning forest from each shard.
+
+    Every level of the tree sends some rows to both sides, so there are only as many shards as keep the cores busy
+    (four a core), within the bounds of SHARD_ROWS; `shard_rows` sets the size instead."""
     spark, n = distinct.sparkSession, distinct.count()
+    if shard_rows is None:
+        shard_rows = min(max(n // (4 * spark.sparkContext.defaultParallelism), SHARD_ROWS[0]), SHARD_ROWS[1])
     depth = max(0, math.ceil(math.log2(max(1, n / shard_rows))))
     points = distinct.orderBy(F.xxhash64("fp"), "fp").limit(sample if depth else 0).toArrow().column("fp").to_numpy()
-    tree = spark.sparkContext.broadcast(_grow(points.astype(np.int64).view(np.uint64), depth, np.random.default_rng(7)))
+    tree = spark.sparkContext.broadcast(_grow(points.astype(np.int64).view(np.uint64), depth, np.random.default_rng(7), bits))
     return (distinct.select("fp").mapInArrow(_shards(tree, bits), "shard long, fp long, home boolean")
             .groupBy("shard").applyInArrow(_links(bits), "a long, b long"))
 
 
-def _groups(fps: DataFrame, bits: int, shard_rows: int, sample: int) -> DataFrame:
+def _groups(fps: DataFrame, bits: int, shard_rows: int | None, sample: int) -> DataFrame:
     """(fp, component) for every distinct fingerprint."""
     distinct = fps.select("fp").distinct()
     comp = components(near_links(distinct, bits, shard_rows, sample), "a", "b").withColumnRenamed("node", "fp")
@@ -180,7 +198,7 @@ def _groups(fps: DataFrame, bits: int, shard_rows: int, sample: int) -> DataFram
 
 
 def simhash_near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4,
-                       seed: int = 42, bits: int = 4, shard_rows: int = 32_000, sample: int = 20_000) -> DataFrame:
+                       seed: int = 42, bits: int = 4, shard_rows: int | None = None, sample: int = 20_000) -> DataFrame:
     """(doc_id, fp, component_id), one row per input row."""
     fps = cut_lineage(fingerprints(docs, id_col, text_col, words, seed))
     least = fps.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
@@ -191,7 +209,7 @@ def simhash_near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, seed: int = 42,
-             bits: int = 4, shard_rows: int = 32_000, sample: int = 20_000) -> DataFrame:
+             bits: int = 4, shard_rows: int | None = None, sample: int = 20_000) -> DataFrame:
     """The rows of `docs` with one of each component: its smallest doc_id (null ids only where there is no other;
     of rows with that id the smallest text hash, of equal rows any)."""
     fps = cut_lineage(fingerprints(docs, id_col, text_col, words, seed))
