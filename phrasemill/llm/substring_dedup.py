@@ -6,15 +6,17 @@ smallest position.  Consecutive edges of a document whose canonical coordinates
 also advance by one word form a nonbranching path; a branch (another successor,
 or an edge that was first seen elsewhere) ends it.  Only paths are passed on:
 one row (document, start, length) -> (source document, start), and the words of
-both ends are compared, so a hash collision never removes a word.
+both ends are compared, so a hash collision never removes a word.  Windows
+overlap in their k-1 words, so a run of advancing coordinates is a path whose
+inner nodes have, in the graph of first occurrences, one edge in and one out.
 
 1. Each block of documents (see `blocks`) sends every distinct edge once, with
    its first coordinate there, to the edge's bucket: a passage that a third of
    the corpus shares is one entry per block, not one per copy.
 2. A bucket finds each edge's canonical coordinate and answers the blocks.
-3. Blocks join the answers to their edges, compact paths and send the distinct
-   (path, digest) claims to the block of the source document, which checks
-   them against its text.
+3. Blocks join the answers to their edges, compact paths and keep their claims;
+   the distinct (path, digest) go to the block of the source document, which
+   checks them against its text and sends back those that are wrong.
 4. Windows of claims that fail (two different windows with one key) are matched
    by their own digests instead, with those of the claimed source documents.
 5. Blocks remove the words that proven paths cover.
@@ -36,11 +38,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
 from phrasemill.llm import blocks as B
+from phrasemill.llm import tables as T
+from phrasemill.session import maybe_broadcast
 
 EDGES_PER_BUCKET = 2_000_000
 _EDGE = "bucket int, block int, keys binary, docs binary, pos binary"
 _ANSWER = "block int, bucket int, at binary, docs binary, pos binary"
-# columns that are never null, so that no consumer adds a filter of its own below the shared exchange
 _CLAIM = (StructType().add("src_doc", "long", False).add("src_start", "long", False).add("n", "long", False)
           .add("digest", "binary", False)
           .add("spans", ArrayType(StructType().add("doc_id", "long").add("start", "long")), False))
@@ -253,27 +256,25 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     packed = B.pack_blocks(docs, id_col, text_col, nb)
     by_block = packed.groupBy("block")
 
-    edges = by_block.applyInArrow(_edges(k, buckets, key_bits), _EDGE)
+    edges = by_block.applyInArrow(_edges(k, buckets, key_bits), _EDGE).repartition(buckets, "bucket")
     answers = edges.groupBy("bucket").applyInArrow(_canonical, _ANSWER)
-    # both uses of the claims, and of the digests below, read one exchange on the same keys
-    path = ["src_doc", "src_start", "n", "digest"]
-    claims = by_block.cogroup(answers.groupBy("block")).applyInArrow(_claims(k, buckets, key_bits), _CLAIM
-                                                                    ).repartition(*path)
-    to_check = claims.groupBy(*path).agg(F.sum(F.size("spans")).alias("copies")).withColumn(
-        "block", B.block_of(F.col("src_doc"), nb))
-    wrong = by_block.cogroup(to_check.groupBy("block")).applyInArrow(
-        _wrong(k), _PATH)
+    # Claims stay with the blocks that make them; only distinct paths travel, to be checked, and the wrong ones back.
+    claims = T.write_shared(by_block.cogroup(answers.groupBy("block")).applyInArrow(_claims(k, buckets, key_bits), _CLAIM), "claims")
+    path = _PATH.names
+    to_check = claims.select(*path).distinct().withColumn("block", B.block_of(F.col("src_doc"), nb))
+    wrong = T.write_shared(by_block.cogroup(to_check.groupBy("block")).applyInArrow(_wrong(k), _PATH), "wrong-claims")
+    few, _ = maybe_broadcast(wrong, [], extra=F.lit(32))
     own_block = B.block_of(F.col("doc_id"), nb).alias("block")
 
     def spans(of: DataFrame) -> DataFrame:
         return of.select("src_doc", "n", F.inline("spans").alias("doc_id", "start"))
 
-    good = spans(claims.join(wrong, path, "left_anti")).select(own_block, "doc_id", "start", "n")
-    failed = spans(claims.join(wrong, path, "left_semi"))
+    good = spans(claims.join(few, path, "left_anti")).select(own_block, "doc_id", "start", "n")
+    failed = spans(claims.join(few, path, "left_semi"))
     sources = failed.select(B.block_of(F.col("src_doc"), nb).alias("block"), F.col("src_doc").alias("doc_id"),
                             F.lit(0).cast("long").alias("start"), F.lit(-1).cast("long").alias("n")).distinct()
     failed = failed.select(own_block, "doc_id", "start", "n").unionByName(sources)
-    own = by_block.cogroup(failed.groupBy("block")).applyInArrow(_window_digests(k), _WINDOW).repartition("digest")
+    own = T.write_shared(by_block.cogroup(failed.groupBy("block")).applyInArrow(_window_digests(k), _WINDOW), "window-digests")
     first = own.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.min("start").alias("first_start"))
     late = own.join(first, "digest").filter("first_doc < doc_id").select(
         own_block, "doc_id", "start", F.lit(1).cast("long").alias("n"))
