@@ -139,7 +139,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     words = docs.agg(F.sum(F.size(F.filter(F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "[ \t-\r]+"),
                                            lambda w: w != "")).cast("long")).alias("n")).first()["n"] or 0
     sums = (by_block.applyInArrow(_counts(tables), "tab int, block int, keys binary, counts binary")
-            .groupBy("tab").applyInArrow(_sums, "block int, tab int, rest binary"))
+            .repartition(tables, "tab").groupBy("tab")     # as many tasks as tables, however large the corpus
+            .applyInArrow(_sums, "block int, tab int, rest binary"))
     return by_block.cogroup(sums.groupBy("block")).applyInArrow(
         _scores(tables, words), "doc_id long, n_words long, n_trigram long, n_bigram long, n_unigram long, "
                                 "n_unseen long, log_score double")
