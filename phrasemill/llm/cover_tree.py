@@ -10,8 +10,9 @@ Cosine >= c between unit vectors is a distance <= sqrt(2 - 2c).
    has about `shard_rows` vectors, its centre and its covering radius.
 3. Each shard is a cover tree: nested levels whose radii halve; a node knows how
    far its farthest descendant is.
-4. Shard pairs of a label that their covering radii don't rule out are joined
-   and traversed together: a pair of nodes is dropped when their distance less
+4. Of two shards of a label that their covering radii don't rule out, only the
+   points within the other's covering radius and the threshold of its centre are
+   sent to the pair, made into trees and traversed together: a pair of nodes is dropped when their distance less
    both radii exceeds the threshold, taken whole when their distance plus both
    radii stays within it, and opened otherwise; points are compared in double
    precision.
@@ -40,6 +41,7 @@ from phrasemill.llm import tables as T
 from phrasemill.llm.links import Forest, components
 
 LEAF = 16
+PARTNERS = 64  # of a shard that one task serves
 SLACK = 1e-7   # above rounding errors; what is this near the threshold is compared exactly
 
 
@@ -166,28 +168,59 @@ def _assign(key: tuple[pa.Scalar, ...], t: pa.Table, nets: pa.Table) -> pa.Table
     return t.select(["label", "dim", "gid", "copies", "v"]).append_column("c", pa.array(c.astype(np.int32), pa.int32()))
 
 
+def _tree(x: np.ndarray) -> Node:
+    center = int(np.argmax(x @ x.mean(axis=0)))
+    return grow(x, np.arange(len(x)), center, np.sqrt(np.maximum(0, 2 - 2 * (x @ x[center]))))
+
+
 def _shard(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
     t = t.sort_by("gid")
     x = _matrix(t)
-    mid = x.mean(axis=0)
-    center = int(np.argmax(x @ mid))
-    tree = grow(x, np.arange(len(x)), center, np.sqrt(np.maximum(0, 2 - 2 * (x @ x[center]))))
-    data = pickle.dumps((tree, x, t.column("gid").to_numpy(), t.column("copies").to_numpy()))
+    tree = _tree(x)
+    data = pickle.dumps((x, t.column("gid").to_numpy(), t.column("copies").to_numpy()))
     return pa.table({"label": pa.array([key[0].as_py()], pa.int64()), "dim": pa.array([key[1].as_py()], pa.int32()),
-                     "center": pa.array([x[center].tolist()], pa.list_(pa.float64())),
+                     "center": pa.array([x[tree.center].tolist()], pa.list_(pa.float64())),
                      "radius": pa.array([tree.radius], pa.float64()), "data": pa.array([data], pa.binary())})
 
 
-def _open(t: pa.Table):
-    sides = [pickle.loads(d) for d in t.sort_by("shard").column("data").to_pylist()]
-    same = len(sides) == 1
-    a = sides[0]
-    return a, a if same else sides[1], same
+_SENT = "s1 long, s2 long, shard long, data binary"
+
+
+def _send(cosine: float):
+    """For each partner of a shard: the points that may have a link into the partner's ball; nothing if there are none."""
+    reach = math.sqrt(2 - 2 * cosine) + SLACK
+
+    def run(key: tuple[pa.Scalar, ...], shard: pa.Table, partners: pa.Table) -> pa.Table:
+        own = key[0].as_py()
+        x, gid, copies = pickle.loads(shard.column("data")[0].as_py())
+        rows = []
+        for r in partners.select(["s1", "s2", "center", "radius"]).to_pylist():
+            near = np.ones(len(x), bool)
+            if r["s1"] != r["s2"]:
+                near = np.sqrt(np.maximum(0, 2 - 2 * (x @ np.array(r["center"])))) <= r["radius"] + reach
+            if near.any():
+                rows.append((r["s1"], r["s2"], own, pickle.dumps((x[near], gid[near], copies[near]))))
+        c = list(zip(*rows, strict=True)) or [[]] * 4
+        return pa.table({"s1": pa.array(c[0], pa.int64()), "s2": pa.array(c[1], pa.int64()),
+                         "shard": pa.array(c[2], pa.int64()), "data": pa.array(c[3], pa.binary())})
+    return run
+
+
+def _open(key: tuple[pa.Scalar, ...], t: pa.Table):
+    """Both sides of a pair of shards as trees; None if one has no point near the other."""
+    same = key[0].as_py() == key[1].as_py()
+    if t.num_rows < 2 and not same:
+        return None
+    sides = [(_tree(x), x, gid, copies) for x, gid, copies in map(pickle.loads, t.sort_by("shard").column("data").to_pylist())]
+    return sides[0], sides[0] if same else sides[1], same
 
 
 def _links(cosine: float):
     def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        (ta, xa, ga, wa), (tb, xb, gb, wb), same = _open(t)
+        sides = _open(key, t)
+        if sides is None:
+            return pa.table({c: pa.array([], pa.int64()) for c in ("gid", "links", "root")})
+        (ta, xa, ga, wa), (tb, xb, gb, wb), same = sides
         found = Found(wa, wb, same)
         traverse(ta, tb, xa, xb, cosine, found)
         gid = ga if same else np.concatenate((ga, gb))
@@ -199,7 +232,10 @@ def _links(cosine: float):
 
 def _pairs(cosine: float):
     def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        (ta, xa, ga, _), (tb, xb, gb, _), _ = _open(t)
+        sides = _open(key, t)
+        if sides is None:
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "cosine": pa.array([], pa.float64())})
+        (ta, xa, ga, _), (tb, xb, gb, _), _ = sides
         found = Pairs()
         traverse(ta, tb, xa, xb, cosine, found)
         a, b = np.concatenate([np.zeros(0, np.int64), *found.a]), np.concatenate([np.zeros(0, np.int64), *found.b])
@@ -221,7 +257,7 @@ def distinct_vectors(vectors: DataFrame, id_col: str, vector_col: str, label_col
 
 
 def shard_pairs(distinct: DataFrame, cosine: float, shard_rows: int, sample: int) -> DataFrame:
-    """One or two rows (pid, shard, data) per pair of shards that may hold a link."""
+    """(s1, s2, shard, data): of each pair of shards that may hold a link, the points of both that may have one."""
     group = ["label", "dim"]
     size = distinct.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
     hashed = distinct.withColumn("h", F.xxhash64("v"))
@@ -243,16 +279,23 @@ def shard_pairs(distinct: DataFrame, cosine: float, shard_rows: int, sample: int
     two = shards.select(*group, F.col("shard").alias("s2"), F.col("center").alias("c2"), F.col("radius").alias("r2"))
     dot = F.aggregate(F.zip_with("c1", "c2", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     near = F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * dot)) <= F.col("r1") + F.col("r2") + math.sqrt(2 - 2 * cosine) + SLACK
-    pairs = one.join(two, group).filter("s1 <= s2").filter(near).select(
-        F.struct("s1", "s2").alias("pid"), F.explode(F.array_distinct(F.array("s1", "s2"))).alias("shard"))
-    return pairs.join(shards.select("shard", "data"), "shard").select("pid", "shard", "data")
+    pairs = T.write_shared(one.join(two, group).filter("s1 <= s2").filter(near).drop(*group), "pairs")
+    first = pairs.select("s1", "s2", F.col("s1").alias("shard"), F.col("c2").alias("center"), F.col("r2").alias("radius"))
+    second = pairs.filter("s1 < s2").select("s1", "s2", F.col("s2").alias("shard"), F.col("c1").alias("center"), F.col("r1").alias("radius"))
+    partners = first.unionByName(second)
+    # a shard of very many partners serves them in several tasks
+    parts = partners.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).alias("parts"))
+    partners = partners.join(parts, "shard").withColumn("part", F.pmod(F.xxhash64("s1", "s2"), F.col("parts"))).drop("parts")
+    copies = shards.select("shard", "data").join(parts, "shard").select(
+        "shard", "data", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    return copies.groupBy("shard", "part").cogroup(partners.groupBy("shard", "part")).applyInArrow(_send(cosine), _SENT)
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label",
                     cosine: float = 0.98, shard_rows: int = 2048, sample: int = 512) -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row per row."""
     valid, distinct = distinct_vectors(vectors, id_col, vector_col, label_col)
-    found = T.write_shared(shard_pairs(distinct, cosine, shard_rows, sample).groupBy("pid").applyInArrow(
+    found = T.write_shared(shard_pairs(distinct, cosine, shard_rows, sample).groupBy("s1", "s2").applyInArrow(
         _links(cosine), "gid long, links long, root long"), "links")
     links = found.groupBy("gid").agg(F.sum("links").alias("links"))
     comp = components(found, "gid", "root").withColumnRenamed("node", "gid")
@@ -276,7 +319,7 @@ def threshold_pairs(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
                     cosine: float = 0.98, shard_rows: int = 2048, sample: int = 512) -> DataFrame:
     """(vec_id_a, vec_id_b, cosine): pairs of different vectors, each named by its smallest vec_id."""
     _, distinct = distinct_vectors(vectors, id_col, vector_col, label_col)
-    got = shard_pairs(distinct, cosine, shard_rows, sample).groupBy("pid").applyInArrow(
+    got = shard_pairs(distinct, cosine, shard_rows, sample).groupBy("s1", "s2").applyInArrow(
         _pairs(cosine), "a long, b long, cosine double")
     ids = distinct.select("gid", "least_id")
     return got.join(ids.select(F.col("gid").alias("a"), F.col("least_id").alias("i")), "a").join(
