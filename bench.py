@@ -1,7 +1,9 @@
 """Benchmark: the headline plans on one scale factor.
 
-Prints ONE JSON line: {"metric", "value" (total seconds), "unit", "queries"
-(seconds per plan), "sf", plus throughput figures}.
+Prints ONE JSON line: {"metric", "value" (seconds of the first six plans), "unit", "queries"
+(seconds per plan), "sf", plus throughput figures}.  Plans past the first six
+are medians of three runs: the registered terms, many terms on the shuffle
+path, and the stored index.
 
   BENCH_SF_DIR  input tables (default /root/testdata/sf0.1)
   BENCH_CPUS    local[N] (default 8)
@@ -21,6 +23,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import functions as F  # noqa: E402
 
 from phrasemill.operators import index as IDX  # noqa: E402
+from phrasemill.operators import postings as PO  # noqa: E402
 from phrasemill.operators import search as S  # noqa: E402
 from phrasemill.plans import batch as B  # noqa: E402
 from phrasemill.session import cut_lineage, get_session  # noqa: E402
@@ -31,6 +34,16 @@ def run(df):
     df.write.format("noop").mode("overwrite").save()
 
 
+def median(job, times: int = 3) -> float:
+    """Seconds of the median of three runs."""
+    took = []
+    for _ in range(times):
+        t = time.time()
+        job()
+        took.append(time.time() - t)
+    return sorted(took)[times // 2]
+
+
 def main():
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
@@ -68,7 +81,28 @@ def main():
     run(res)
     times["run_batch"] = time.time() - t
 
-    total = sum(times.values())
+    total = sum(times.values())      # the plans of earlier rounds; those below are listed beside them
+
+    terms = cut_lineage(S.normalize_terms(C.terms_from_benchmark(spark, sf_dir)))
+    extra["terms_registered"] = terms.count()
+    times["hits_registered"] = median(lambda: run(S.phrase_counts(docs, terms)))
+    times["top20_registered"] = median(lambda: run(S.ranked_hits(docs, terms, limit=20, stats=(n_docs, avgdl))))
+
+    # many terms, on the shuffle path: three consecutive tokens of every document, from the tenth on
+    toks = docs.filter("size(toks) > 40").select(F.explode(F.transform(F.sequence(F.lit(10), F.lit(28), F.lit(2)), lambda i: F.array_join(
+        F.slice("toks", i, 3), " "))).alias("term")).distinct().select(F.xxhash64("term").alias("term_no"), "term")
+    many = cut_lineage(S.normalize_terms(toks))
+    extra["terms_many"] = many.count()
+    times["hits_many_shuffle"] = median(lambda: run(S.phrase_counts(docs, many, max_broadcast_bytes=0)))
+
+    path = os.path.join(scratch, "index")
+    t = time.time()
+    PO.write_index(docs, path)
+    times["index_write"] = time.time() - t
+    index = PO.load_index(spark, path)
+    phrase = terms.filter("n_toks = 2").orderBy("term_no").first()["phrase"]
+    times["search_on_index"] = median(lambda: S.search_phrase(index, phrase).collect())
+    times["top20_on_index"] = median(lambda: run(S.ranked_hits(index, terms, limit=20)))
     sf = re.search(r"sf([0-9.]+)", sf_dir)
     out = {"metric": "phrase_search_total", "value": round(total, 3), "unit": "sec",
            "queries": {k: round(v, 3) for k, v in times.items()},

@@ -241,6 +241,11 @@ def q_excerpts(spark, sf_dir):
     return _scored(spark, sf_dir, _cfg()).select("term_no", "line_no", *_long("rank", "ex_start", "ex_end"), "excerpt")
 
 
+def q_excerpts_last(spark, sf_dir):
+    """EXC-4: the same with the last passage of each hit (the default)."""
+    return _scored(spark, sf_dir, B.SearchConfig()).select("term_no", "line_no", *_long("rank", "ex_start", "ex_end"), "excerpt")
+
+
 def q_excerpt_penalties(spark, sf_dir):
     cfg = _cfg(excluded_words=tuple(EXCLUDED_DEMO))
     return _scored(spark, sf_dir, cfg).select("term_no", "line_no", *_long("penalty"), "skip_reason")
@@ -298,6 +303,33 @@ def _sql_scored(mn: int = 60, mx: int = 180, excluded: bool | str = False, lenie
 SQL_EXCERPTS = _sql_scored() + """
 SELECT term_no, line_no, CAST(rank AS BIGINT) AS rank, CAST(ex_start AS BIGINT) AS ex_start,
        CAST(ex_end AS BIGINT) AS ex_end, excerpt FROM sc"""
+
+
+def _sql_excerpts_last(mn: int = 60, mx: int = 180) -> str:
+    """Every token of every match is an occurrence; the first one opens a passage, the next one at or past its end
+    another, and so on: a walk from passage to passage, whose last is kept."""
+    head = O.with_ctes(O.DOCS, O.DOCIDS, O.TERMS, O.GRAMS, O.HITS, O.STATS, O.IDF,
+                       O.scored_hits(O.DEFAULT_FORMULA_SQL), O.OFFSETS, O.sentences(mn),
+                       f"""occ AS (
+  SELECT DISTINCT r.term_no, r.line_no, r.rank, t.q, f.pos + unnest(range(t.n_toks)) AS first_pos
+  FROM ranked r JOIN terms t ON t.term_no = r.term_no JOIN found f ON f.phrase = t.phrase AND f.line_no = r.line_no
+  WHERE r.rank <= {max(LIMITS)})""",
+                       O.passages("occ", mn, mx),
+                       """steps AS (
+  SELECT a.term_no, a.line_no, a.rank, a.s, a.ex_start, a.ex_end, a.excerpt, b.s AS next,
+         a.s = min(a.s) OVER (PARTITION BY a.term_no, a.line_no) AS opens
+  FROM excerpts a ASOF LEFT JOIN (SELECT term_no, line_no, s FROM excerpts) b
+    ON a.term_no = b.term_no AND a.line_no = b.line_no AND a.ex_end <= b.s)""",
+                       """walk AS (
+  SELECT * FROM steps WHERE opens
+  UNION ALL
+  SELECT n.* FROM walk w JOIN steps n ON n.term_no = w.term_no AND n.line_no = w.line_no AND n.s = w.next)""")
+    return "WITH RECURSIVE" + head[len("WITH"):] + """
+SELECT term_no, line_no, CAST(rank AS BIGINT) AS rank, CAST(ex_start AS BIGINT) AS ex_start,
+       CAST(ex_end AS BIGINT) AS ex_end, excerpt FROM walk WHERE next IS NULL"""
+
+
+SQL_EXCERPTS_LAST = _sql_excerpts_last()
 _SQL_PENALTIES = """
 SELECT term_no, line_no, CAST(penalty AS BIGINT) AS penalty, reason AS skip_reason FROM sc"""
 SQL_EXCERPT_PENALTIES = _sql_scored(excluded=True) + _SQL_PENALTIES
@@ -688,6 +720,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "result_limit_band": q_result_limit_band,
     "source_cap": q_source_cap,
     "excerpts": q_excerpts,
+    "excerpts_last": q_excerpts_last,
     "expansion_rounds": q_expansion_rounds,
     "run_batch": q_run_batch,
     "source_quota": q_source_quota,
@@ -723,6 +756,7 @@ ORACLE: dict[str, str] = {
     "result_limit_band": SQL_RESULT_LIMIT_BAND,
     "source_cap": SQL_SOURCE_CAP,
     "excerpts": SQL_EXCERPTS,
+    "excerpts_last": SQL_EXCERPTS_LAST,
     "expansion_rounds": SQL_EXPANSION_ROUNDS,
     "run_batch": SQL_RUN_BATCH,
     "source_quota": SQL_SOURCE_QUOTA,
