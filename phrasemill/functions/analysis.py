@@ -30,16 +30,10 @@ def mask_sentence_starts(content: Column) -> Column:
 
 
 def token_spans(masked: Column) -> Column:
-    """Every match of the token grammar (group 0, including the one character
-    a dotted form consumes after its final period)."""
+    """Every match of the token grammar."""
     return F.regexp_extract_all(masked, F.lit(P.TOKEN_RE_JAVA), F.lit(0))
 
 
-def _span_text(span: Column) -> Column:
-    # A dotted match carries one consumed character after its period.
-    return F.regexp_replace(span, P.SPAN_FIX_RE, ".")
-
-
 def _token_text(raw: Column) -> Column:
     # Dotted forms keep their final period only when they are acronyms.
     undotted = F.when(raw.endswith(".") & ~raw.rlike(P.ACRONYM_RE),
@@ -51,7 +45,7 @@ def _token_text(raw: Column) -> Column:
 def tokens_from_spans(spans: Column) -> Column:
     """Index tokens, one per span; position i of the array is position i of
     the document.  The first kept token becomes the empty string."""
-    texts = F.transform(spans, lambda s: _token_text(_span_text(s)))
+    texts = F.transform(spans, lambda s: _token_text(s))
     return blank_first(texts)
 
 
@@ -70,7 +64,7 @@ def with_tokens(df: DataFrame, content: str = "content", out: str = "toks") -> D
     keeps an expensive column in its own projection rather than inline it
     into several uses."""
     texts = F.transform(token_spans(mask_sentence_starts(F.col(content))),
-                        lambda s: _token_text(_span_text(s)))
+                        lambda s: _token_text(s))
     return (df.withColumn("_tx", texts)
             .withColumn(out, blank_first(F.col("_tx")))
             .drop("_tx")

@@ -64,43 +64,55 @@ MARK2 = "\ue001"
 ABBREV_PROTECT_RE2 = "(" + _abbrev_alternation(sorted(ABBREVIATIONS, key=len, reverse=True)) + r")\."
 MASK_RE2, MASK_3_RE2 = _mask(), _mask(capture=True)
 
-# Token grammar (ordered alternation; longer forms first so the first
-# alternative that matches is also the longest one in ordinary prose).
-AN = r"[\p{L}\p{Nd}]+"
-# "has a digit", written so the first digit is the one matched by \p{Nd}:
-# the ambiguous form backtracks catastrophically on long junk tokens in Java.
-HD = r"\p{L}*\p{Nd}[\p{L}\p{Nd}]*"
-P = r"[_\-/.,]"
-EMAIL = AN + r"(?:[._\-]" + AN + r")*@" + AN + r"(?:[.\-]" + AN + r")+"
-# Dotted forms that end in a period (acronyms like U.S.A. and hosts written
-# before a period).  The period is part of the match; the match must not be
-# followed by a letter or digit, so one following character (never the start
-# of a token) is consumed outside the capture group.
-DOTTED = AN + r"(?:\." + AN + r")+\."
-NUM_D = HD + P + AN + "(?:" + P + HD + P + AN + ")*(?:" + P + HD + ")?"
-NUM_A = AN + P + HD + "(?:" + P + AN + P + HD + ")*(?:" + P + AN + ")?"
-HOST = AN + r"(?:\." + AN + ")+"
-COMPANY = r"\p{L}+[&@]\p{L}+"
-APOSTROPHE = r"\p{L}+(?:'\p{L}+)+"
-
-TOKEN_RE = (
-    "(" + EMAIL + ")"
-    + "|(" + DOTTED + r")(?:[^\p{L}\p{Nd}]|\z)"
-    + "|(" + "|".join([NUM_D, NUM_A, HOST, COMPANY, APOSTROPHE, AN]) + ")"
-)
-# Java form of the same grammar with possessive quantifiers.  Every letter /
-# digit run in it is followed by a character outside that class (or ends the
-# alternative), so giving characters back can never produce another match:
-# the possessive form matches exactly the same strings and fails fast.  RE2
-# (the SQL oracle) has no possessive quantifiers and keeps TOKEN_RE.
-TOKEN_RE_JAVA = (TOKEN_RE
-                 .replace(r"[\p{L}\p{Nd}]+", r"[\p{L}\p{Nd}]++")
-                 .replace(r"[\p{L}\p{Nd}]*", r"[\p{L}\p{Nd}]*+")
-                 .replace(r"\p{L}*\p{Nd}", r"\p{L}*+\p{Nd}")
-                 .replace(r"\p{L}+", r"\p{L}++"))
-# Group numbers of TOKEN_RE: 1 e-mail, 2 dotted, 3 everything else.  Exactly
-# one of them is non-empty per match; group 0 is the consumed span.
-SPAN_FIX_RE = r"\.[^\p{L}\p{Nd}]\z"
+# Token grammar: at each place the longest of its forms.  A form begins with a
+# run of letters and digits; what it can be follows from the character behind
+# that run, and where two forms go on past it the longer one stands first:
+#
+# * an e-mail passes its `@`, which no other form with these separators does;
+# * dotted runs with a final period (acronyms, hosts before a period);
+# * number chains (runs between _ - / . , of which every second one has a digit)
+#   that hold a separator other than a period: these go on past a dotted run.
+#   Digit runs come first, so the first run without a digit settles whether the
+#   even or the odd ones need digits (NUMBERS, by where that separator stands);
+# * dotted runs, which pure-period number chains are a part of;
+# * words with & or @, words with apostrophes, and the run itself.
+#
+# Han, Kana and Bopomofo characters are no part of a run: each is a token.
+CJ = r"\x{3040}-\x{312F}\x{31F0}-\x{31FF}\x{3300}-\x{337F}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{FF65}-\x{FF9F}"
+AN = r"[\p{L}\p{Nd}]+"           # words of a term list
+
+_L = r"[\p{L}&&[^" + CJ + "]]"
+_A = r"[\p{L}\p{Nd}&&[^" + CJ + "]]"
+# Possessive throughout: a run is always followed by a character outside its
+# class, and what follows a loop can never begin inside its last turn, so giving
+# anything back could not produce another match (and Java keeps no stack).
+_RUN, _WORD = _A + "++", _L + "++"
+_HAS_DIGIT = _L + r"*+\p{Nd}" + _A + "*+"
+
+
+def _number_chains(run: str, digits: str) -> list[str]:
+    sep, other = r"[_\-/.,]", r"[_\-/,]"
+    dots = digits + r"(?:\." + digits + ")*+"
+    need_digit = f"(?:{sep}{digits}{sep}{run})*+(?:{sep}{digits})?+"     # behind a run that need not have one
+    free = f"(?:{sep}{run}{sep}{digits})*+(?:{sep}{run})?+"              # behind one that had to
+    later = rf"(?:\.{digits}\.{run})*+(?:{other}{digits}{free}|\.{digits}{other}{run}{need_digit})"
+    return [f"{dots}{other}{digits}(?:{sep}{digits})*+(?:{sep}{run}{need_digit})?+",
+            f"{dots}{other}{run}{need_digit}",
+            rf"{dots}\.{run}{later}",
+            f"{run}{later}"]
+
+
+TOKEN_RE_JAVA = "|".join([
+    _RUN + r"(?![._\-/,'&@])",                                         # most words: no other form can begin here
+    _RUN + r"(?:[._\-]" + _RUN + ")*+@" + _RUN + r"(?:[.\-]" + _RUN + ")++",
+    _RUN + r"(?:\." + _RUN + r")++\.(?!" + _A + ")",
+    *_number_chains(_RUN, _HAS_DIGIT),
+    _RUN + r"(?:\." + _RUN + ")++",
+    _WORD + "[&@]" + _WORD,
+    _WORD + "(?:'" + _WORD + ")++",
+    _RUN,
+    "[" + CJ + "]",
+])
 ACRONYM_RE = r"^(?:\p{L}\.)+$"
 
 # Sentence boundaries (English rules of the JDK sentence iterator, as a

@@ -13,6 +13,27 @@ from phrasemill.functions import patterns as P
 
 q = P.sql_str
 
+# The token grammar in RE2, on its own: e-mail; dotted with a final period (the
+# character behind it is consumed and cut off again); number chains with a
+# separator that is no period, by the place of the first run without a digit;
+# hosts; company names; apostrophes; words; single Han, Kana and Bopomofo
+# characters.
+_CJ = r"\x{3040}-\x{312F}\x{31F0}-\x{31FF}\x{3300}-\x{337F}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{FF65}-\x{FF9F}"
+_W = r"(?:[^\P{L}" + _CJ + r"])"
+_X = r"(?:[^\P{L}" + _CJ + r"]|\p{Nd})"
+TOKEN_RE2 = (
+    r"(X+(?:[._\-]X+)*@X+(?:[.\-]X+)+)"
+    r"|(X+(?:\.X+)+\.)(?:[^\p{L}\p{Nd}]|\z)"
+    r"|(D(?:\.D)*[_\-/,]D(?:[_\-/.,]D)*(?:[_\-/.,]X+(?:[_\-/.,]D[_\-/.,]X+)*(?:[_\-/.,]D)?)?"
+    r"|D(?:\.D)*[_\-/,]X+(?:[_\-/.,]D[_\-/.,]X+)*(?:[_\-/.,]D)?"
+    r"|D(?:\.D)*\.X+(?:\.D\.X+)*(?:[_\-/,]D(?:[_\-/.,]X+[_\-/.,]D)*(?:[_\-/.,]X+)?"
+    r"|\.D[_\-/,]X+(?:[_\-/.,]D[_\-/.,]X+)*(?:[_\-/.,]D)?)"
+    r"|X+(?:\.D\.X+)*(?:[_\-/,]D(?:[_\-/.,]X+[_\-/.,]D)*(?:[_\-/.,]X+)?"
+    r"|\.D[_\-/,]X+(?:[_\-/.,]D[_\-/.,]X+)*(?:[_\-/.,]D)?)"
+    r"|X+(?:\.X+)+|W+[&@]W+|W+(?:'W+)+|X+|[CJ])"
+).replace("D", r"(?:W*\p{Nd}X*)").replace("CJ", _CJ).replace("X", _X).replace("W", _W)
+SPAN_FIX_RE = r"\.[^\p{L}\p{Nd}]\z"
+
 
 def masked(col: str) -> str:
     protect = f"regexp_replace({col}, {q(P.ABBREV_PROTECT_RE2)}, '\\1' || chr(57344), 'g')"
@@ -22,8 +43,8 @@ def masked(col: str) -> str:
 
 def token_texts(masked_sql: str) -> str:
     """Token texts before first-word blanking (analysis.tokens_from_spans)."""
-    spans = f"regexp_extract_all({masked_sql}, {q(P.TOKEN_RE)})"
-    span_text = f"list_transform({spans}, lambda s: regexp_replace(s, {q(P.SPAN_FIX_RE)}, '.'))"
+    spans = f"regexp_extract_all({masked_sql}, {q(TOKEN_RE2)})"
+    span_text = f"list_transform({spans}, lambda s: regexp_replace(s, {q(SPAN_FIX_RE)}, '.'))"
     undot = (f"CASE WHEN suffix(r, '.') AND NOT regexp_matches(r, {q(P.ACRONYM_RE)}) "
              f"THEN left(r, length(r) - 1) ELSE r END")
     return (f"list_transform({span_text}, lambda r: CASE WHEN length(r) > {P.MAX_TOKEN_LENGTH} THEN chr(1) "
@@ -143,7 +164,7 @@ cuts AS (
 tok_starts AS (
   SELECT line_no, i - 1 AS pos, sum(length(ps[i])) OVER (PARTITION BY line_no ORDER BY i) AS at
   FROM (SELECT line_no, ps, unnest(range(1, len(ps))) AS i
-        FROM (SELECT line_no, string_split(regexp_replace(masked, {q(P.TOKEN_RE)}, {_MARK} || '\\0', 'g'), {_MARK}) AS ps
+        FROM (SELECT line_no, string_split(regexp_replace(masked, {q(TOKEN_RE2)}, {_MARK} || '\\0', 'g'), {_MARK}) AS ps
               FROM marked))),
 starts AS (
   SELECT t.line_no, t.pos, CAST(t.at + coalesce(c.shift, 0) AS BIGINT) AS s

@@ -7,6 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from phrasemill.operators import postings as PO
 from phrasemill.operators import ranking as RK
 from phrasemill.plans import batch as B
 from phrasemill.session import cut_lineage
@@ -29,10 +30,10 @@ def number_terms(terms: DataFrame, epoch_id: int) -> DataFrame:
         (F.lit(epoch_id).cast("long") * F.lit(1 << 40) + place).alias("term_no"), "term")
 
 
-def search_term_files(spark: SparkSession, docs: DataFrame, terms_dir: str, out_dir: str,
+def search_term_files(spark: SparkSession, source: DataFrame | PO.Index, terms_dir: str, out_dir: str,
                       checkpoint_location: str, cfg: B.SearchConfig = B.SearchConfig(),
                       available_now: bool = True):
-    """Start the query; returns the StreamingQuery.
+    """Start the query on the document table or a stored index; returns the StreamingQuery.
 
     Each micro-batch: number its terms (epoch-major, so earlier batches keep
     priority), run the batch search with the usage so far, append the TSV
@@ -49,7 +50,7 @@ def search_term_files(spark: SparkSession, docs: DataFrame, terms_dir: str, out_
             usage.write.mode("overwrite").parquet(this_dir)
             return
         terms = number_terms(df.select(F.col("value").alias("term")).filter(F.trim("term") != ""), epoch_id)
-        res = B.run_batch(docs, terms, cfg, usage)
+        res = B.run_batch(source, terms, cfg, usage)
         res = cut_lineage(res)
         sinks.write_results_tsv(res, os.path.join(out_dir, f"epoch={epoch_id}"))
         RK.source_usage(res, usage).write.mode("overwrite").parquet(this_dir)

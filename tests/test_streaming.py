@@ -4,6 +4,7 @@ import os
 import tempfile
 
 from fixtures import TEST_CORPUS
+from phrasemill.operators import postings as PO
 from phrasemill.operators import scoring as SC
 from phrasemill.plans import batch as B
 from phrasemill.streaming import search_term_files
@@ -28,6 +29,11 @@ def test_term_files_stream(spark):
     usage = spark.read.parquet(os.path.join(out, "_usage", "epoch=0")).collect()
     assert sum(r.n for r in usage) == len(rows)
     assert max(r.n for r in usage) <= 3
+    # the same from a stored index
+    PO.write_index(docs, os.path.join(root, "index"))
+    other = os.path.join(root, "out2")
+    search_term_files(spark, PO.load_index(spark, os.path.join(root, "index")), terms_dir, other, os.path.join(root, "ckpt2"), cfg).awaitTermination(300)
+    assert sorted(map(tuple, spark.read.option("sep", "\t").csv(os.path.join(other, "epoch=0")).collect())) == sorted(map(tuple, rows))
 
 
 def test_usage_carries_to_next_batch(spark):

@@ -1,0 +1,87 @@
+"""The token grammar against a literal longest match, and against the oracle's own form of it."""
+
+import random
+
+import duckdb
+import pytest
+import regex
+from pyspark.sql import functions as F
+
+from phrasemill.functions import analysis as A
+from phrasemill.functions import patterns as P
+from phrasemill.plans import oracle_sql as O
+
+_CJ = "぀-ㄯㇰ-ㇿ㌀-㍿㐀-䶿一-鿿豈-﫿･-ﾟ"
+RUN, WORD, SEP = rf"[[\p{{L}}\p{{Nd}}]--[{_CJ}]]+", rf"[\p{{L}}--[{_CJ}]]+", r"[_\-/.,]"
+DIGIT = rf"(?:(?:{RUN})?\p{{Nd}}(?:{RUN})?)"
+# every production by itself
+FORMS = [regex.compile(f, regex.V1) for f in (
+    RUN, f"{WORD}(?:'{WORD})+", rf"{RUN}(?:\.{RUN})+\.?", f"{WORD}[&@]{WORD}", rf"{RUN}(?:[._\-]{RUN})*@{RUN}(?:[.\-]{RUN})+",
+    f"{RUN}{SEP}{DIGIT}", f"{DIGIT}{SEP}{RUN}", f"{RUN}(?:{SEP}{DIGIT}{SEP}{RUN})+", f"{DIGIT}(?:{SEP}{RUN}{SEP}{DIGIT})+",
+    f"{RUN}{SEP}{DIGIT}(?:{SEP}{RUN}{SEP}{DIGIT})+", f"{DIGIT}{SEP}{RUN}(?:{SEP}{DIGIT}{SEP}{RUN})+", f"[{_CJ}]")]
+
+
+def longest(text):
+    out, i = [], 0
+    while i < len(text):
+        end = next((j for j in range(len(text), i, -1) if any(f.fullmatch(text, i, j) for f in FORMS)), None)
+        if end is None:
+            i += 1
+        else:
+            out.append(text[i:end])
+            i = end
+    return out
+
+
+def _texts(n, seed):
+    rnd = random.Random(seed)
+    parts = ["a", "b1", "2", "x", "3", "é", "日", "本", "カ", *"._-/,'&@ .,-"]
+    return ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 14))) for _ in range(n)]
+
+
+CASES = [("1-2-a-b", ["1-2-a", "b"]), ("a.b1.c.d", ["a.b1.c.d"]), ("a.b1.c-2.d", ["a.b1.c-2.d"]), ("1.2.a-3", ["1.2.a-3"]),
+         ("U.S.A. Army", ["U.S.A.", "Army"]), ("www.site.org.", ["www.site.org."]), ("AT&T o'neil's up-and-down x-9", ["AT&T", "o'neil's", "up", "and", "down", "x-9"]),
+         ("東京 タワー ab日c", ["東", "京", "タ", "ワ", "ー", "ab", "日", "c"]), ("a_b@c.d-e.f,g", ["a_b@c.d-e.f", "g"]), ("it’s", ["it", "s"]), ("", []), ("...", [])]
+
+
+def test_cases(spark):
+    df = spark.createDataFrame([(t,) for t, _ in CASES], "t string")
+    got = {r.t: r.s for r in df.select("t", A.token_spans(F.col("t")).alias("s")).collect()}
+    assert got == dict(CASES)
+    assert [longest(t) for t, _ in CASES] == [w for _, w in CASES]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_random_texts(spark, seed):
+    texts = sorted(set(_texts(4000, seed)))
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(4)
+    got = {r.t: r.s for r in df.select("t", A.token_spans(F.col("t")).alias("s")).collect()}
+    assert [(t, got[t], longest(t)) for t in texts if got[t] != longest(t)] == []
+
+
+def test_oracle_form(spark):
+    """RE2 has no look-ahead: a dotted form directly before a single-character token loses its period there."""
+    texts = [t for t in sorted(set(_texts(3000, 3))) if not regex.search(rf"\.[{_CJ}]", t)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE x (t VARCHAR)")
+    con.executemany("INSERT INTO x VALUES (?)", [(t,) for t in texts])
+    rows = con.execute(f"SELECT t, list_transform(regexp_extract_all(t, {O.q(O.TOKEN_RE2)}), lambda s: "
+                       f"regexp_replace(s, {O.q(O.SPAN_FIX_RE)}, '.')) FROM x").fetchall()
+    assert [(t, s, longest(t)) for t, s in rows if list(s) != longest(t)] == []
+
+
+def test_possessives(spark):
+    rows = ["dog's", "DOG'S", "dog’s", "dog＇S", "dogs", "'s", "dog's'"]
+    df = spark.createDataFrame([(t,) for t in rows], "t string")
+    got = {r.t: r.x for r in df.select("t", F.regexp_replace("t", P.POSSESSIVE_RE, "").alias("x")).collect()}
+    assert got == {"dog's": "dog", "DOG'S": "DOG", "dog’s": "dog", "dog＇S": "dog", "dogs": "dogs", "'s": "", "dog's'": "dog's'"}
+
+
+def test_long_junk_is_linear(spark):
+    """Long runs of any separator end at once."""
+    import time
+    junk = ["1" * 50_000, "a1." * 20_000, "1-" * 20_000, "a.1-" * 15_000, "a." * 20_000, "x&" * 20_000, "@" * 50_000, "日" * 30_000, "a'" * 20_000]
+    df = spark.createDataFrame([(t,) for t in junk], "t string").coalesce(1)
+    t = time.time()
+    assert df.select(F.size(A.token_spans(F.col("t"))).alias("n")).agg(F.sum("n")).first()[0] > 30_000
+    assert time.time() - t < 20
