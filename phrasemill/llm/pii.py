@@ -186,27 +186,46 @@ def _all_words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(_TERM), F.lit(0))
 
 
+_built: dict = {}
+
+
+def _once(name: str, build) -> Column:
+    """A column over the fixed names __pii_t (text), __pii_s (spans) and __pii_b (blanked text), made once per JVM:
+    these expressions take thousands of calls to it."""
+    from pyspark import SparkContext
+    key = id(SparkContext._active_spark_context._jvm), name
+    if key not in _built:
+        _built[key] = build()
+    return _built[key]
+
+
+def _spans() -> Column:
+    return _once("spans", lambda: base_spans(F.col("__pii_t")))
+
+
+def _places() -> Column:
+    return _once("places", lambda: _placed(F.col("__pii_b"), _TERM))
+
+
 def _with_blank(docs: DataFrame, text_col: str, *keep: Column) -> DataFrame:
-    """keep, s (base spans) and b (the blanked text)."""
-    text = F.col(text_col).cast("string")
-    return docs.select(*keep, text.alias("t")).withColumn("s", base_spans(F.col("t"))).withColumn(
-        "b", blanked(F.col("t"), F.col("s")))
+    """keep, __pii_t (text), __pii_s (base spans) and __pii_b (the blanked text)."""
+    blank = _once("blank", lambda: blanked(F.col("__pii_t"), F.col("__pii_s")))
+    return docs.select(*keep, F.col(text_col).cast("string").alias("__pii_t")).withColumn("__pii_s", _spans()).withColumn("__pii_b", blank)
 
 
 def revealing(docs: DataFrame, text_col: str, window: int, alpha: float, support: int) -> DataFrame:
     """(term): those that reveal an entity beside them."""
-    beside = F.when(F.size("s") > 0, _beside(F.col("b"), F.col("s"), window))
-    near = T.write_shared(_with_blank(docs, text_col).select(F.xxhash64("t").alias("x"), F.explode(beside).alias("r")).select(
+    beside = _once(f"beside {window}", lambda: F.when(F.size("__pii_s") > 0, _beside(F.col("__pii_b"), F.col("__pii_s"), window)))
+    near = T.write_shared(_with_blank(docs, text_col).select(F.xxhash64("__pii_t").alias("x"), F.explode(beside).alias("r")).select(
         "x", "r.*"), "beside")
     pair = (near.groupBy("rank", "e", "term", "x").agg(F.count(F.lit(1)).alias("n"), F.min("w").alias("w"))
             .groupBy("rank", "e", "term").agg(F.countDistinct("w").alias("texts"), F.sum("n").alias("n_te"))
             .filter(F.col("texts") >= support))
-    text = F.col(text_col).cast("string")
     entity = F.when(F.col("s.rank") == 0, F.lower("s.m")).when(F.col("s.rank") == 1, F.col("s.m")).otherwise(
         F.regexp_replace("s.m", "[^0-9]", ""))
-    n_e = docs.select(F.explode(base_spans(text)).alias("s")).groupBy(F.col("s.rank").alias("rank"), entity.alias("e")).agg(
+    n_e = docs.select(F.col(text_col).cast("string").alias("__pii_t")).select(F.explode(_spans()).alias("s")).groupBy(F.col("s.rank").alias("rank"), entity.alias("e")).agg(
         F.count(F.lit(1)).alias("n_e"))
-    words = _with_blank(docs, text_col).select(F.explode(_all_words(F.col("b"))).alias("word")).select(F.lower("word").alias("term"))
+    words = _with_blank(docs, text_col).select(F.explode(_all_words(F.col("__pii_b"))).alias("word")).select(F.lower("word").alias("term"))
     counts = T.write_shared(words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")), "words")
     total = counts.agg(F.sum("n_t").alias("total")).first()["total"] or 0
     ic = -F.log2(F.col("n_e") / F.lit(float(total)))
@@ -221,11 +240,11 @@ def term_spans(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str) ->
     terms are too many to broadcast."""
     terms, _ = maybe_broadcast(terms, ["term"])
     src = _with_blank(docs, text_col, *_identity(id_col, F.col(text_col).cast("string")))
-    words = src.select(*_KEY, F.explode(F.array_distinct(_all_words(F.col("b")))).alias("word"))
+    words = src.select(*_KEY, F.explode(F.array_distinct(_all_words(F.col("__pii_b")))).alias("word"))
     holds = words.withColumn("term", F.lower("word")).join(terms, "term", "left_semi").select(*[F.col(k).alias(f"h{k}") for k in _KEY]).distinct()
     holds, _ = maybe_broadcast(T.write_shared(holds, "holds"), [])
     rows = src.join(holds, F.col("d").eqNullSafe(F.col("hd")) & (F.col("x") == F.col("hx")) & (F.col("l") == F.col("hl")), "left_semi")
-    placed = rows.select(*_KEY, F.explode(_placed(F.col("b"), _TERM)).alias("p")).select(*_KEY, "p.*", F.lower("p.m").alias("term"))
+    placed = rows.select(*_KEY, F.explode(_places()).alias("p")).select(*_KEY, "p.*", F.lower("p.m").alias("term"))
     hit = F.struct("start", F.lit(4).alias("rank"), "end", "m").cast(_SPAN)
     return placed.join(terms, "term").groupBy(*_KEY).agg(F.collect_set(hit).alias("hits"))
 
@@ -244,13 +263,14 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
              support: int = 3) -> DataFrame:
     """The table with `text_col` sanitised, and spans array<struct<start, rank, end, kind>> of the text as it was."""
     terms = T.write_shared(revealing(docs, text_col, window, alpha, support), "terms")
-    of = term_spans(docs, terms, id_col, text_col)
+    of = term_spans(docs, terms, id_col, text_col).toDF("__pii_hd", "__pii_hx", "__pii_hl", "__pii_hits")
     text = F.col(text_col).cast("string")
     marked = docs.select("*", *[c.alias(f"__pii_{k}") for k, c in zip(_KEY, _identity(id_col, text), strict=True)])
-    joined = marked.join(of, F.col("__pii_d").eqNullSafe(F.col("d")) & (F.col("__pii_x") == F.col("x"))
-                         & F.col("__pii_l").eqNullSafe(F.col("l")), "left")
-    joined = joined.withColumn("__pii_s", F.array_sort(F.concat(base_spans(text), F.coalesce("hits", _none(_SPAN)))))
-    clean = _rewrite(text, F.col("__pii_s"), lambda s, n: _label(s))
+    joined = marked.join(of, F.col("__pii_d").eqNullSafe(F.col("__pii_hd")) & (F.col("__pii_x") == F.col("__pii_hx"))
+                         & F.col("__pii_l").eqNullSafe(F.col("__pii_hl")), "left")
+    joined = joined.withColumn("__pii_t", text).withColumn(
+        "__pii_s", F.array_sort(F.concat(_spans(), F.coalesce("__pii_hits", _none(_SPAN)))))
+    clean = _once("clean", lambda: _rewrite(F.col("__pii_t"), F.col("__pii_s"), lambda s, n: _label(s)))
     kind = F.array(*map(F.lit, KINDS))
     spans = F.transform("__pii_s", lambda s: F.struct(s.start.alias("start"), s.rank.alias("rank"), s.end.alias("end"),
                                                       F.element_at(kind, s.rank + 1).alias("kind")))

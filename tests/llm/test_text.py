@@ -112,7 +112,7 @@ def test_pii_tricky(spark):
     assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted(((i, t) for i, t, _ in want), key=str)
 
 
-@settings(max_examples=5, deadline=None)
+@settings(max_examples=3, deadline=None)
 @given(st.lists(st.text("a1@. +-()9\n4é_%", max_size=60), min_size=40, max_size=60))
 def test_pii_random(spark, texts):
     rows = list(enumerate(texts))
@@ -120,6 +120,8 @@ def test_pii_random(spark, texts):
 
 
 def test_pii_odd_rows(nasty, no_docs):
+    for name in ("d", "x", "l", "s", "t", "hits", "term"):
+        nasty = nasty.withColumn(name, F.lit(name))
     out = _check(nasty, [(r.doc_id, r.text) for r in nasty.collect()])
     assert out.columns == [*nasty.columns, "spans"] and out.count() == nasty.count()
     assert pii.sanitise(no_docs).count() == 0
@@ -187,7 +189,7 @@ def test_pii_no_terms_from_values(spark):
     assert not [s for r in out.values() for s in r.spans if s.kind == "term"]
 
 
-@settings(max_examples=4, deadline=None)
+@settings(max_examples=3, deadline=None)
 @given(st.data())
 def test_pii_terms_same_as_literal(spark, data):
     """Information content, support and spans on random tables that hold terms."""
@@ -217,10 +219,10 @@ def test_pii_linear_in_spans(spark):
         best = []
         for _ in range(2):
             t = time.time()
-            s = F.col("s")
+            s = F.col("__pii_s")
             row = pii._with_blank(df, "text").select(
-                F.size("s").alias("n"), pii._rewrite(F.col("t"), s, lambda x, _: pii._label(x)).alias("c"),
-                F.size(pii._beside(F.col("b"), s, 96)).alias("w")).first()
+                F.size(s).alias("n"), pii._rewrite(F.col("__pii_t"), s, lambda x, _: pii._label(x)).alias("c"),
+                F.size(pii._beside(F.col("__pii_b"), s, 96)).alias("w")).first()
             best.append(time.time() - t)
         assert row["n"] == n and row["c"] == "".join(f"note {i} by [EMAIL], " for i in range(n)) and row["w"] > n
         return min(best)
