@@ -129,19 +129,19 @@ def _ranked(df):
 @pytest.mark.parametrize("cap", [None, 0])
 def test_ranked_search_is_the_same_on_the_index(spark, sf_dir, table_index, cap):
     docs, index = table_index
-    terms = S.normalize_terms(C.terms_from_benchmark(spark, sf_dir))
+    terms = S.normalize_terms(C.terms_from_benchmark(spark, sf_dir, only_at=3))
     a = _ranked(S.ranked_hits(docs, terms, limit=5, max_broadcast_bytes=cap))
     b = _ranked(S.ranked_hits(index, terms, limit=5, max_broadcast_bytes=cap))
-    assert a == b and len(a) > 500
+    assert a == b and len(a) > 10
 
 
 def test_batch_is_the_same_on_the_index(spark, sf_dir, table_index):
     docs, index = table_index
-    terms = C.terms_from_benchmark(spark, sf_dir, sizes=(1, 2))
+    terms = C.terms_from_benchmark(spark, sf_dir, sizes=(1, 2), only_at=3)
     cfg = B.SearchConfig(match_limit=4, expand_iterations=1, source_cap=7)
     key = lambda d: sorted(map(tuple, B.run_batch(d, terms, cfg).collect()))
     a = key(docs)
-    assert a == key(index) and len(a) > 50
+    assert a == key(index) and a
 
 
 def test_search_on_the_index_reads_no_tokens_of_documents(spark, table_index):
