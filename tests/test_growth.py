@@ -35,3 +35,64 @@ def test_prefix_sums_of_odd_arrays(spark):
     m = A.mask_marked(F.col("c"))
     starts = {r.k: r.s for r in d.select("k", A.original_token_starts(m, A.unmark(m)).alias("s")).collect()}
     assert starts[1] == [0, 3, 14, 19, 24, 27, 29] and starts[2] in ([], None) and starts[3] == [0, 4]
+
+
+def _docs(spark, rows):
+    from phrasemill.operators import index as IDX
+    from phrasemill.sources import corpus as C
+    good, _ = C.parse_scores(spark.createDataFrame([(k, "", "src1", t) for k, t in rows], "line_no long, raw string, title string, content string"))
+    return IDX.build_docs(good, []).cache()
+
+
+WORDS = "x the of the of a b the of a b the c of"
+
+
+def _terms(spark, words):
+    from phrasemill.operators import search as S
+    return S.normalize_terms(spark.createDataFrame([(i, w) for i, w in enumerate(words)], "term_no long, term string"))
+
+
+def _key(df):
+    return sorted((r.term_no, r.line_no, r.tf, tuple(r.starts), r.first_pos) for r in df.collect())
+
+
+def test_equal_phrases_are_searched_once(spark):
+    """Matches are counted within their document; a phrase that is a term many times is joined once."""
+    from phrasemill.operators import phrases as PH
+    from phrasemill.operators import search as S
+    docs = _docs(spark, [(k, WORDS) for k in range(5)])
+    terms = _terms(spark, ["the"] * 50 + ["of a", "the-of", "the of", "the of a b the c", "the of a b the a"])
+    once, same = PH.distinct_phrases(terms)
+    assert once.count() == 5 and same.count() == 55
+    hits = S.phrase_hits(docs, terms)
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(line_no" in plan and "hashpartitioning(term_no" not in plan
+    got = _key(hits)
+    assert [r[2:] for r in got if r[:2] == (0, 3)] == [(4, (1, 3, 7, 11), 1)] and len([r for r in got if r[0] < 50]) == 250
+    assert [r[2:] for r in got if r[:2] == (53, 3)] == [(1, (7,), 7)] and not [r for r in got if r[0] == 54]
+    assert [r[1:] for r in got if r[0] == 51] == [r[1:] for r in got if r[0] == 52]
+    # terms that share a number share rows
+    twice = S.phrase_hits(docs, terms.filter("term_no = 0").unionByName(terms.filter("term_no = 0")))
+    assert {r.tf for r in twice.collect()} == {8}
+
+
+def test_index_compares_neighbours_where_candidates_are_many(spark):
+    import os
+    import tempfile
+    from phrasemill.operators import postings as PO
+    from phrasemill.operators import search as S
+    docs = _docs(spark, [(k, WORDS) for k in range(20)] + [(30, "x the of"), (31, ""), (32, "the")])
+    path = os.path.join(tempfile.mkdtemp(prefix="pm-idx-"), "index")
+    PO.write_index(docs, path, buckets=2)
+    index = PO.load_index(spark, path)
+    terms = _terms(spark, ["the", "the of", "of the", "of a", "the of a", "of a b", "a b the", "b the of", "the c of", "c of the",
+                           "the of a b the c", "nowhere", "of nowhere", ""])
+    once, _ = PO.distinct_phrases(terms)
+    near = PO._matched(index, once, None)
+    assert len(near) == 2 and "Window" in near[0]._jdf.queryExecution().executedPlan().toString()
+    assert len(PO._matched(index, once.filter("term_no = 1"), None)) == 1
+    a = _key(PO.phrase_hits(index, terms))
+    assert a == _key(S.phrase_hits(docs, terms)) and len(a) > 100
+    assert a == _key(PO.phrase_hits(index, terms, max_broadcast_bytes=0))
+    pairs = spark.createDataFrame([(0, 3), (4, 3), (10, 4), (0, 30)], "term_no long, line_no long")
+    assert _key(PO.phrase_hits(index, terms, None, pairs)) == [r for r in a if r[:2] in {(0, 3), (4, 3), (10, 4), (0, 30)}]
