@@ -96,3 +96,66 @@ def test_index_compares_neighbours_where_candidates_are_many(spark):
     assert a == _key(PO.phrase_hits(index, terms, max_broadcast_bytes=0))
     pairs = spark.createDataFrame([(0, 3), (4, 3), (10, 4), (0, 30)], "term_no long, line_no long")
     assert _key(PO.phrase_hits(index, terms, None, pairs)) == [r for r in a if r[:2] in {(0, 3), (4, 3), (10, 4), (0, 30)}]
+
+
+def test_index_files_hold_about_as_many_rows(spark):
+    """A token that few documents hold very often is dealt over files too, and no task gets two folders by chance."""
+    import os
+    import tempfile
+    import pyarrow.parquet as pq
+    from phrasemill.operators import index as IDX
+    from phrasemill.operators import postings as PO
+    from phrasemill.sources import corpus as C
+    lines = [(k, "", "src1", "x " + "the " * 100 + " ".join(f"w{(k * 7 + i) % 500}" for i in range(60))) for k in range(60)]
+    good, _ = C.parse_scores(spark.createDataFrame(lines, "line_no long, raw string, title string, content string"))
+    docs = IDX.build_docs(good, [], starts=PO.STARTS).cache()
+    path = os.path.join(tempfile.mkdtemp(prefix="pm-idx-"), "index")
+    before = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters", None)
+    PO.write_index(docs, path, buckets=4, tokens_per_file=500)
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters", None) == before
+    index = PO.load_index(spark, path)
+    rows = index.postings.withColumn("file", F.input_file_name()).groupBy("file").count().collect()
+    assert sum(r["count"] for r in rows) == 60 * 160 and len(rows) >= 20
+    assert max(r["count"] for r in rows) <= 3 * 500, sorted(r["count"] for r in rows)
+    for r in rows:
+        t = pq.ParquetFile(r["file"].removeprefix("file://").removeprefix("file:")).read(["token", "line_no", "pos"]).to_pylist()
+        assert [tuple(x.values()) for x in t] == sorted(tuple(x.values()) for x in t)
+    assert {r.token: r.df for r in index.df.collect()} == {r.token: r.df for r in IDX.doc_freq(docs).collect()}
+    text = {k: c for k, _, _, c in lines}
+    assert all(text[r.line_no][r.start:r.end] == r.token for r in index.postings.collect())
+    assert index.docs.columns == PO.DOC_COLUMNS and index.df.columns == ["token", "df", "bucket"]
+
+
+def test_tokens_and_starts_of_one_pass(spark):
+    """The same tokens, lengths and offsets as by a mask and a token pass for each."""
+    from phrasemill.functions import analysis as A
+    rng = random.Random(7)
+    bits = ["Mr", "U.S", "U.S.", "A.B.C.", "a.b.c.", "end.", ".", ".", " ", " ", "\n", "Word", "other", '"', "'", "'s", "’S", "＇s", "cats",
+            "!", ";", ":", "1.5-x", "a@b.cd", "日本", "étui", "😀", "𝒳y", "x" * 255, "y" * 256, "É.", "s", "S.", "\ue000", "\ue001"]
+    rare = [*bits[:-2]] * 4 + bits[-2:]
+    texts = ["".join(rng.choice(rare) for _ in range(30)) for _ in range(1500)]
+    texts += ["", None, " ", "z" * 300, "z" * 300 + " b " + "z" * 300, " He came. Then rain", "one"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, content string").repartition(3)
+    m = A.mask_marked(F.col("content"))
+    two = A.with_tokens(df).withColumn("starts", A.original_token_starts(m, A.unmark(m)))
+    a = {r.k: (r.toks, r.n_tokens, r.starts) for r in two.collect()}
+    b = {r.k: (r.toks, r.n_tokens, r.starts) for r in A.with_tokens(df, starts="starts").collect()}
+    assert len(b) == len(texts) and [k for k in a if a[k] != b[k]] == []
+    assert sum("\ue000" in (t or "") for t in texts) > 100 and sum(len(v[0] or []) for v in a.values()) > 10000
+
+
+def test_possessives_and_blanks_as_their_plain_forms(spark):
+    from phrasemill.functions import analysis as A
+    rows = [(["Tom's", "cats", "JOHN’S", "x＇s", "U.S.", "end.", "y" * 256, "'s", "s", "A.s."],), (["y" * 256, "y" * 300, "b"],), ([],), (["y" * 256],), (None,)]
+    df = spark.createDataFrame(rows, "a array<string>").coalesce(1)
+    out = [(r.t, r.n) for r in df.select(A.tokens_from_spans(F.col("a")).alias("t")).withColumn("n", A.field_length(F.col("t"))).collect()]
+    assert out[0] == (["", "cats", "JOHN", "x", "U.S.", "end", "\u0001", "", "s", "A.s."], 9)
+    assert out[1] == (["\u0001", "\u0001", ""], 1) and out[2] == ([], 0) and out[3] == (["\u0001"], 0) and out[4][0] is None
+
+
+def test_token_counts_are_exact(spark):
+    from phrasemill.operators import index as IDX
+    rows = [(["", "a", "b", "a", "\u0001"],), (["", "a"],), ([],), (None,), (["", "é", "é"],)]
+    docs = spark.createDataFrame(rows * 3, "toks array<string>").repartition(4)
+    got = {r.token: (r.df, r.n) for r in IDX.token_counts(docs).collect()}
+    assert got == {"a": (6, 9), "b": (3, 3), "\u0001": (3, 3), "é": (3, 6)}
