@@ -159,3 +159,73 @@ def test_token_counts_are_exact(spark):
     docs = spark.createDataFrame(rows * 3, "toks array<string>").repartition(4)
     got = {r.token: (r.df, r.n) for r in IDX.token_counts(docs).collect()}
     assert got == {"a": (6, 9), "b": (3, 3), "\u0001": (3, 3), "é": (3, 6)}
+
+
+def test_packets_give_back_what_they_hold():
+    import numpy as np
+    import pyarrow as pa
+    from phrasemill.operators import packed as PK
+    rng = np.random.default_rng(3)
+    arrays = [rng.integers(-5, 2 ** 31 - 1, 1000).astype(np.int32), np.empty(0, np.int64), rng.random(7), np.arange(9, dtype=np.uint8)]
+    back = PK.unpack(PK.pack(*arrays), *[a.dtype.type for a in arrays])
+    assert all(a.dtype == b.dtype and (a == b).all() for a, b in zip(arrays, back))
+    assert [len(a) for a in PK.unpack(PK.pack(*[np.empty(0, np.int32)] * 2), np.int32, np.int32)] == [0, 0]
+    some = rng.integers(0, 10 ** 6, 500).astype(np.int32)
+    assert (PK.summed(PK.steps(some)) == some).all() and len(PK.pack(PK.steps(np.arange(10 ** 5)))) < 1000
+    sizes = [3, 0, 50, 0, 2, 2, 2, 7, 1]
+    batch = pa.RecordBatch.from_arrays([pa.array(sizes)], names=["n"])
+    got = [b["n"].to_pylist() for b in PK.gathered(iter([batch, batch]), lambda b: b["n"].to_numpy(), 10)]
+    assert [x for b in got for x in b] == sizes * 2 and all(sum(b) <= 10 or sum(b) == 50 for b in got) and len(got) < 10
+
+
+def test_occurrences_travel_packed(spark, monkeypatch):
+    """An exchange of an index build moves packets, not a row per occurrence; null and repeated keys keep their rows."""
+    import os
+    import tempfile
+    from phrasemill.operators import index as IDX
+    from phrasemill.operators import postings as PO
+    from phrasemill.sources import corpus as C
+    lines = [(None if k % 20 == 7 else k // 2, "", f"src{k % 3}", "x " + "the " * 80 + " ".join(f"w{(k * 7 + i) % 30}" for i in range(20))) for k in range(60)]
+    lines += [(500, "", "src1", ""), (501, "", "src1", "x"), (502, "", "src1", None)]
+    good, _ = C.parse_scores(spark.createDataFrame(lines, "line_no long, raw string, title string, content string").fillna("", ["content"]))
+    docs = IDX.build_docs(good, [], starts=PO.STARTS).cache()
+    moved, deal = [], type(docs).repartitionById
+    monkeypatch.setattr(type(docs), "repartitionById", lambda self, n, c: moved.append(self.count()) or deal(self, n, c))
+    monkeypatch.setattr(PO, "TOKENS_AT_ONCE", 1500)
+    path = os.path.join(tempfile.mkdtemp(prefix="pm-idx-"), "index")
+    PO.write_index(docs, path, buckets=2, tokens_per_file=900)
+    assert sum(moved) < 600, moved      # a row per occurrence: 6000
+    got = PO.load_index(spark, path).postings
+    want = docs.select("line_no", *PO.CARRY, PO.STARTS, F.posexplode("toks").alias("pos", "token")).filter("token <> ''").select(
+        "token", "line_no", "pos", F.get(PO.STARTS, F.col("pos")).cast("long").alias("start"), *PO.CARRY)
+    key = lambda d: sorted(map(repr, map(tuple, d.collect())))
+    assert key(got.select(*want.columns)) == key(want) and want.count() == 60 * 100
+    assert got.filter("end <> start + length(token)").isEmpty() and got.filter("line_no IS NULL").count() == 300
+
+
+def test_a_corpus_of_enough_splits_is_not_moved(spark):
+    """Only fewer splits than keep the cores busy are spread, whatever the number of shuffle partitions."""
+    from phrasemill.operators import index as IDX
+    from phrasemill.operators import postings as PO
+    from phrasemill.sources import corpus as C
+    rows = spark.createDataFrame([(k, "", "src1", WORDS) for k in range(64)], "line_no long, raw string, title string, content string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    try:
+        for splits, moved in ((2, True), (16, False)):
+            good, _ = C.parse_scores(rows.repartition(splits).cache())
+            plan = IDX.build_docs(good, [], starts=PO.STARTS)._jdf.queryExecution().executedPlan().toString()
+            assert ("hashpartitioning(line_no" in plan) == moved
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_an_index_of_another_layout_is_refused(spark):
+    import os
+    import tempfile
+    import pytest
+    from phrasemill.operators import postings as PO
+    path = os.path.join(tempfile.mkdtemp(prefix="pm-idx-"), "index")
+    spark.createDataFrame([(1, 1.0, 2)], "n_docs long, avgdl double, buckets int").write.parquet(f"{path}/stats")
+    with pytest.raises(ValueError, match="write it again"):
+        PO.load_index(spark, path)
