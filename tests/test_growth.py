@@ -229,3 +229,53 @@ def test_an_index_of_another_layout_is_refused(spark):
     spark.createDataFrame([(1, 1.0, 2)], "n_docs long, avgdl double, buckets int").write.parquet(f"{path}/stats")
     with pytest.raises(ValueError, match="write it again"):
         PO.load_index(spark, path)
+
+
+def test_neighbours_against_a_literal_search():
+    """Windows and whole phrases of any length, with gaps between places, in several documents."""
+    import numpy as np
+    from phrasemill.operators.neighbours import Phrases
+    rng = random.Random(11)
+    texts = {d: {p: rng.choice("abcd") for p in range(60) if rng.random() < 0.9} for d in range(30)}
+    some = {tuple(rng.choice("abcde") for _ in range(n)) for n in (1, 1, 1, 2, 2, 2, 3, 3, 3, 4, 4, 5, 6) for _ in range(6)}
+    for d, n in ((3, 9), (4, 4), (5, 7), (6, 30), (7, 4), (8, 5)):
+        p = next(p for p in range(60) if all(p + k in texts[d] for k in range(min(n, 6))))
+        some.add(tuple(texts[d].get(p + k, "a") for k in range(n)))
+    rows = [(100 - k, list(p)) for k, p in enumerate(sorted(some))]
+    want = sorted((no, d, p) for no, toks in rows for d, t in texts.items() for p in t if [t.get(p + k) for k in range(len(toks))] == toks)
+    phrases = Phrases(rows)
+    at = [(phrases.tokens.index(t), d, p) for d, x in texts.items() for p, t in sorted(x.items())]
+    code, doc, pos = (np.array(c, np.int64) for c in zip(*at))
+    got = sorted((int(phrases.term_no[t]), int(doc[r]), int(pos[r])) for ts, rs in phrases.matches(code, doc, pos) for t, r in zip(ts, rs))
+    assert got == want and len({x[0] for x in want if len(dict(rows)[x[0]]) > 3}) > 5 and len(want) > 500
+    assert [len(t) for t, _ in phrases.matches(code[:0], doc[:0], pos[:0])] == []
+
+
+def test_neighbours_travel_packed(spark, monkeypatch):
+    """The index search moves packets of occurrences to their documents' parts, and no row per occurrence is sorted there."""
+    import os
+    import tempfile
+    from phrasemill.operators import neighbours as NB
+    from phrasemill.operators import postings as PO
+    from phrasemill.operators import search as S
+    docs = _docs(spark, [(k * 10 ** 12 - 7, WORDS) for k in range(40)] + [(30, "x the of"), (31, ""), (32, "the")])
+    path = os.path.join(tempfile.mkdtemp(prefix="pm-idx-"), "index")
+    PO.write_index(docs, path, buckets=2)
+    index = PO.load_index(spark, path)
+    terms = _terms(spark, ["the", "the of", "of the", "of a", "the of a", "of a b", "a b the", "b the of", "the c of", "of a", "the of a b the c",
+                           "of the of a b the of a", "the of a b the a", "of a b c", "nowhere", "of nowhere", ""])
+    monkeypatch.setattr(NB, "ROWS_AT_ONCE", 60)
+    hits = PO.phrase_hits(index, terms)
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "packet" in plan and "hashpartitioning(line_no" not in plan and "hashpartitioning(term_no" not in plan
+    a = _key(hits)
+    assert a == _key(S.phrase_hits(docs, terms)) and {r[0] for r in a} >= {0, 3, 9, 10, 11} and not {12, 13, 14} & {r[0] for r in a}
+    row = lambda d: sorted(map(repr, d.select("term_no", "line_no", "n_tokens", "score", "docid", "tf").collect()))
+    assert row(hits) == row(PO.phrase_counts(index, terms)) == row(PO.phrase_hits(index, terms, max_broadcast_bytes=0))
+    pairs = spark.createDataFrame([(0, 30), (4, 30), (10, 10 ** 12 - 7), (11, 99), (77, 30)], "term_no long, line_no long")
+    assert _key(PO.phrase_hits(index, terms, None, pairs)) == [r for r in a if r[:2] in {(0, 30), (4, 30), (10, 10 ** 12 - 7)}]
+    # numbers that are no line's only one are joined as before
+    twice = docs.unionByName(docs.filter("line_no = 30"))
+    PO.write_index(twice, path + "-twice", buckets=2)
+    other = PO.load_index(spark, path + "-twice")
+    assert {r.tf for r in PO.phrase_counts(other, terms).filter("line_no = 30 AND term_no = 0").collect()} == {2}
