@@ -279,3 +279,20 @@ def test_neighbours_travel_packed(spark, monkeypatch):
     PO.write_index(twice, path + "-twice", buckets=2)
     other = PO.load_index(spark, path + "-twice")
     assert {r.tf for r in PO.phrase_counts(other, terms).filter("line_no = 30 AND term_no = 0").collect()} == {2}
+
+
+def test_many_rows_are_checkpointed_packed(spark, monkeypatch):
+    """All hits of a ranked search are kept as compressed batches, a fraction of a row's 70 bytes; no row changes."""
+    from phrasemill import session
+    from phrasemill.operators import search as S
+    kept, cut = [], session.cut_lineage
+    monkeypatch.setattr(session, "cut_lineage", lambda df: kept.append(out := cut(df)) or out)
+    rows = spark.range(40000).select((F.col("id") % 400).alias("term_no"), "id", F.when(F.col("id") % 7 > 0, F.col("id") * 0.5).alias("x"),
+                                     F.when(F.col("id") % 5 > 0, F.array(F.col("id").cast("int"))).alias("a"), F.lit("é").alias("s"))
+    back = session.cut_lineage_packed(rows)
+    assert back.schema == rows.schema and kept[0].columns == ["packet"]
+    assert sorted(map(repr, back.collect())) == sorted(map(repr, rows.collect()))
+    assert kept[0].agg(F.sum(F.length("packet"))).first()[0] < 20 * 40000
+    assert session.cut_lineage_packed(rows.filter("id < 0")).collect() == []
+    docs, n = _docs(spark, [(k, WORDS) for k in range(20)]), len(kept)
+    assert S.ranked_hits(docs, _terms(spark, ["the", "of a"]), starts=False).count() == 40 and ["packet"] in [d.columns for d in kept[n:]]
