@@ -296,3 +296,28 @@ def test_many_rows_are_checkpointed_packed(spark, monkeypatch):
     assert session.cut_lineage_packed(rows.filter("id < 0")).collect() == []
     docs, n = _docs(spark, [(k, WORDS) for k in range(20)]), len(kept)
     assert S.ranked_hits(docs, _terms(spark, ["the", "of a"]), starts=False).count() == 40 and ["packet"] in [d.columns for d in kept[n:]]
+
+
+def test_excerpts_of_an_index_take_its_offsets(spark, sf_dir):
+    """The offsets stored with the documents are used: no mask and token pass, and the same excerpts."""
+    import os
+    import tempfile
+    from phrasemill.operators import excerpt as EX
+    from phrasemill.operators import index as IDX
+    from phrasemill.operators import postings as PO
+    from phrasemill.operators import search as S
+    from phrasemill.session import cut_lineage
+    from phrasemill.sources import corpus as C
+    good, _ = C.parse_scores(C.staged_from_documents(spark, sf_dir))
+    docs = IDX.build_docs(good, [], starts=PO.STARTS).limit(40).cache()
+    path = os.path.join(tempfile.mkdtemp(prefix="pm-idx-"), "index")
+    PO.write_index(docs, path, buckets=2)
+    index, docs = PO.load_index(spark, path), docs.drop(PO.STARTS)
+    terms = S.normalize_terms(C.terms_from_benchmark(spark, sf_dir, sizes=(1, 2), only_at=3))
+    hits = cut_lineage(S.phrase_hits(docs, terms).join(terms.select("term_no", "term", "q", "n_toks"), "term_no"))
+    row = lambda d: sorted(map(repr, d.select("term_no", "line_no", "title", "ex_start", "ex_end", "excerpt").collect()))
+    for pick, cap in (("first", None), ("last", 0)):
+        a, b = EX.excerpts(docs, hits, pick=pick, max_broadcast_bytes=cap), EX.excerpts(index.texts, hits, pick=pick, max_broadcast_bytes=cap)
+        assert row(a) == row(b) and len(row(a)) > 50
+        plans = [d._jdf.queryExecution().executedPlan().toString() for d in (a, b)]
+        assert ["regexp_replace(content" in p and "\ue001" in p for p in plans] == [True, False]
