@@ -192,6 +192,8 @@ def test_occurrences_travel_packed(spark, monkeypatch):
     moved, deal = [], type(docs).repartitionById
     monkeypatch.setattr(type(docs), "repartitionById", lambda self, n, c: moved.append(self.count()) or deal(self, n, c))
     monkeypatch.setattr(PO, "TOKENS_AT_ONCE", 1500)
+    monkeypatch.setattr(PO, "ROWS_SORTED", 70)
+    monkeypatch.setattr(PO, "ROWS_OUT", 40)
     path = os.path.join(tempfile.mkdtemp(prefix="pm-idx-"), "index")
     PO.write_index(docs, path, buckets=2, tokens_per_file=900)
     assert sum(moved) < 600, moved      # a row per occurrence: 6000
